@@ -57,11 +57,17 @@ def binary(col: str = "text") -> F.Column:
     return F.coalesce(F.col(col).cast("binary"), F.lit(b""))
 
 
+#: Bytes of a batch that arrow_map hands over at once (a longer row comes alone): keeps a worker's Python objects small.
+SLICE = 3_000_000
+
+
 def arrow_map(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows and (out := f(b)) is not None and out.num_rows:
-                yield out
+            step = max(1, int(b.num_rows * SLICE / max(b.nbytes, SLICE)))
+            for at in range(0, b.num_rows, step):
+                if (out := f(b.slice(at, step))) is not None and out.num_rows:
+                    yield out
 
     return df.mapInArrow(run, schema)
 
