@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from . import ngram_join
+from . import decontaminate, ngram_join, packing, quality, secrets
 
 
 def queries():
-    return {"op3_ngram_jaccard": ngram_join.op3_ngram_jaccard}
+    return {
+        "op2_decontamination": decontaminate.op2_decontamination,
+        "op3_ngram_jaccard": ngram_join.op3_ngram_jaccard,
+        "op5_best_fit_packing": packing.op5_best_fit_packing,
+        "op7_quality_classifier": quality.op7_quality_classifier,
+        "op9_secret_scan": secrets.op9_secret_scan,
+    }
 
 
 def oracle_sql():
-    return {}
+    return {"op2_decontamination": decontaminate.OP2_SQL}
