@@ -19,6 +19,8 @@ RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com"
 #: Labelled URLs in the sample that is fitted (smallest hashes), suffixes with statistics of their own, thresholds of a feature.
 MAX_TRAIN, MAX_SUFFIXES, MAX_BINS = 20_000, 64, 16
 ROUNDS, DEPTH, RATE, RIDGE = 8, 3, 0.4, 1.0
+#: Probability from which the trees block; labels come from few rules, so less certain URLs pass.
+BLOCK_AT = 0.9
 _UNIT = 1 << 20
 FEATURES = ("f_length", "f_host", "f_path", "f_depth", "f_digits", "f_entropy", "f_params", "f_labels", "f_hyphens", "f_suffix")
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -115,12 +117,16 @@ def train(labelled: DataFrame, max_rows: int = MAX_TRAIN, rounds: int = ROUNDS,
         p = 1 / (1 + F.exp(-model.margin()))
         g = F.round((p * F.col("n") - F.col("k")) * _UNIT).cast("long")
         h = F.round(p * (1 - p) * F.col("n") * _UNIT).cast("long")
-        bins = F.array(*[F.size(F.filter(F.array(*map(F.lit, cuts[f])), lambda c, f=f: c < F.col(f))) if cuts[f] else F.lit(0) for f in FEATURES])
+        bins = F.array(*[_bin(f, cuts[f]) for f in FEATURES])
         table = full.select("*", g.alias("g"), h.alias("h"), F.posexplode(bins).alias("f", "bin"))
         model.trees.append(_grown(table, cuts, depth))
     return model
 
 
+def _bin(name: str, cuts: list[int]) -> Column:
+    return F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(name))) if cuts else F.lit(0)
+
+
 def _grown(table: DataFrame, cuts: dict[str, list[int]], depth: int):
     """One tree; a level is one aggregate over all its nodes."""
     splits: dict[int, tuple[str, int]] = {}
@@ -165,7 +171,7 @@ def _grown(table: DataFrame, cuts: dict[str, list[int]], depth: int):
 
 
 def judge(pages: DataFrame, model: Model, rules=RULES) -> DataFrame:
-    """pages (url, ...) plus host, path, rule, score (of the trees: above 0 blocks) and verdict.
+    """pages (url, ...) plus host, path, rule, score (probability of block by the trees) and verdict.
 
     Columns of pages with these names are replaced. Null urls have empty host and path.
     """
@@ -173,8 +179,8 @@ def judge(pages: DataFrame, model: Model, rules=RULES) -> DataFrame:
     host, path = host_and_path(F.col("url"))
     rows = with_features(pages.select(*keep, host.alias("host"), path.alias("path")), model.suffixes, model.prior)
     name, verdict = rule_for(F.col("host"), F.col("path"), rules)
-    rows = rows.select(*keep, "host", "path", name.alias("rule"), verdict.alias("_verdict"), model.margin().alias("score"))
-    return rows.withColumn("verdict", F.coalesce("_verdict", F.when(F.col("score") > 0, "block").otherwise("allow"))).drop("_verdict")
+    rows = rows.select(*keep, "host", "path", name.alias("rule"), verdict.alias("_verdict"), (1 / (1 + F.exp(-model.margin()))).alias("score"))
+    return rows.withColumn("verdict", F.coalesce("_verdict", F.when(F.col("score") >= BLOCK_AT, "block").otherwise("allow"))).drop("_verdict")
 
 
 def ruled(pages: DataFrame, rules=RULES) -> DataFrame:
