@@ -1,9 +1,737 @@
-"""The registered queries and their SQL."""
+"""The registered queries, each with SQL that derives its result another way (closed forms, brute-force joins) where SQL can.
+
+Driver tables hold no meshes: grids are generated in the query; points, times and depths come from the tables.
+"""
+
+from __future__ import annotations
+
+import os
+import tempfile
+from datetime import datetime, timedelta
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import expressions as ex
+from ..functions import timefn
+from ..operators import depth, join, rgrid, sgrid, timeaxis, ugrid
+from ..operators.field import Field, RectGrid, VectorField, at_points, regrid
+from ..sources import cdf, metadata, verdat
+
+XS, YS = (0.0, 1.0, 3.0, 7.0, 15.0, 31.0, 51.0), (0.0, 2.0, 3.0, 5.0, 8.0, 11.0)
+SMALL_XS, SMALL_YS = (5.0, 10.0, 20.0, 40.0), (950.0, 1000.0, 1100.0, 1300.0)
+LEVELS = (0.0, 1.0, 2.0, 4.0, 6.0, 10.0)
+S_W, CS_W, HC = (-1.0, -0.75, -0.5, -0.25, 0.0), (-1.0, -0.6, -0.3, -0.1, 0.0), 5.0
+MONTHS = tuple(datetime(1995 + k // 12, 1 + k % 12, 1) for k in range(96))
+NX, NY, QX, QY = 26, 6, 27, 7
+
+_Q: dict = {}
+_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        _Q[name] = f
+        if sql:
+            _SQL[name] = sql
+        return f
+
+    return add
 
 
 def queries():
-    return {}
+    return dict(_Q)
 
 
 def oracle_sql():
-    return {}
+    return dict(_SQL)
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _r(c, digits: int = 6):
+    return F.round(F.col(c) if isinstance(c, str) else c, digits)
+
+
+PID = "l_orderkey * 10 + l_linenumber"
+
+
+def _points(spark, d, dx=0.0, dy=0.0) -> DataFrame:
+    return _t(spark, d, "lineitem").select(F.expr(PID).cast("long").alias("pid"), (F.col("l_quantity") + dx).alias("lon"), (F.col("l_discount") * 100 + dy).alias("lat"))
+
+
+PTS = f"pts AS (SELECT ({PID})::BIGINT pid, l_quantity + 0.0 x, l_discount * 100 + 0.0 y FROM lineitem)"
+OFF = f"pts AS (SELECT ({PID})::BIGINT pid, l_quantity + 0.3 x, l_discount * 100 + 0.1 y FROM lineitem)"
+
+
+def _list(values) -> str:
+    return "[" + ", ".join(f"{float(v)}::DOUBLE" for v in values) + "]"
+
+
+def _dig(x: str, values, op: str = "<=") -> str:
+    return "(" + " + ".join(f"({float(v)} {op} {x})::INT" for v in values) + ")"
+
+
+def _grid_field(spark) -> DataFrame:
+    return rgrid.node_points(spark, XS, YS).select("j", "i", (2 * F.col("lon") + 3 * F.col("lat") + F.col("lon") * F.col("lat")).alias("value"))
+
+
+# ---- rectilinear grids
+
+IN_R = "x >= 0 AND x < 51 AND y >= 0 AND y < 11"
+
+
+@query("rgrid_locate", f"WITH {PTS} SELECT pid, CASE WHEN {IN_R} THEN {_dig('x', XS)} - 1 ELSE -1 END::BIGINT i, CASE WHEN {IN_R} THEN {_dig('y', YS)} - 1 ELSE -1 END::BIGINT j FROM pts")
+def rgrid_locate(spark, d):
+    return rgrid.locate(_points(spark, d), XS, YS).select("pid", F.col("i").cast("long"), F.col("j").cast("long"))
+
+
+@query("rgrid_interp_linear", f"WITH {PTS} SELECT pid, CASE WHEN x BETWEEN 0 AND 51 AND y BETWEEN 0 AND 11 THEN round(2 * x + 3 * y + x * y, 6) ELSE 0.0 END v FROM pts")
+def rgrid_interp_linear(spark, d):
+    return rgrid.interpolate(_points(spark, d), _grid_field(spark), XS, YS).select("pid", _r("value").alias("v"))
+
+
+def _near_sql(x: str, axis) -> str:
+    k = f"least({_dig(x, axis)} - 1, {len(axis) - 2})"
+    lo, hi = f"{_list(axis)}[{k} + 1]", f"{_list(axis)}[{k} + 2]"
+    return f"CASE WHEN ({x} - {lo}) / ({hi} - {lo}) > 0.5 THEN {hi} ELSE {lo} END"
+
+
+@query("rgrid_interp_nearest", f"WITH {PTS}, n AS (SELECT pid, {_near_sql('x', XS)} a, {_near_sql('y', YS)} b FROM pts) SELECT pid, round(2 * a + 3 * b + a * b, 6) v FROM n")
+def rgrid_interp_nearest(spark, d):
+    return rgrid.interpolate(_points(spark, d), _grid_field(spark), XS, YS, "nearest").select("pid", _r("value").alias("v"))
+
+
+@query("rgrid_offgrid_zero", "SELECT p_partkey::BIGINT pid, CASE WHEN p_size BETWEEN 5 AND 40 AND p_retailprice BETWEEN 950 AND 1300 THEN round(p_size + 2 * p_retailprice, 6) ELSE 0.0 END v FROM part")
+def rgrid_offgrid_zero(spark, d):
+    field = rgrid.node_points(spark, SMALL_XS, SMALL_YS).select("j", "i", (F.col("lon") + 2 * F.col("lat")).alias("value"))
+    points = _t(spark, d, "part").select(F.col("p_partkey").cast("long").alias("pid"), F.col("p_size").cast("double").alias("lon"), F.col("p_retailprice").alias("lat"))
+    return rgrid.interpolate(points, field, SMALL_XS, SMALL_YS).select("pid", _r("value").alias("v"))
+
+
+@query("axis_centers", f"SELECT a.i::BIGINT i, b.j::BIGINT j, ({_list(XS)}[a.i + 1] + {_list(XS)}[a.i + 2]) / 2 lon, ({_list(YS)}[b.j + 1] + {_list(YS)}[b.j + 2]) / 2 lat FROM range({len(XS) - 1}) a(i), range({len(YS) - 1}) b(j)")
+def axis_centers(spark, d):
+    return rgrid.centers(spark, XS, YS).select(F.col("i").cast("long"), F.col("j").cast("long"), "lon", "lat")
+
+
+# ---- time
+
+AXIS = "ax AS (SELECT k, (TIMESTAMP '1995-01-01' + to_months(k::INT)) t FROM range(96) r(k))"
+SHORT = tuple(datetime(1997, 1, 1) + timedelta(days=91 * k) for k in range(9))
+SHORT_AXIS = "ax AS (SELECT k, (TIMESTAMP '1997-01-01' + to_days((91 * k)::INT)) t FROM range(9) r(k))"
+
+
+def _orders(spark, d):
+    return _t(spark, d, "orders").select(F.col("o_orderkey").cast("long").alias("pid"), F.col("o_orderdate").cast("timestamp_ntz").alias("t"))
+
+
+@query("time_index", f"WITH {AXIS} SELECT o_orderkey::BIGINT pid, (SELECT count(*) FROM ax WHERE ax.t < o_orderdate)::BIGINT idx FROM orders")
+def time_index(spark, d):
+    return _orders(spark, d).select("pid", timeaxis.TimeAxis(MONTHS).index(F.col("t")).cast("long").alias("idx"))
+
+
+@query("time_alpha", f"""WITH {AXIS}, b AS (SELECT o_orderkey::BIGINT pid, o_orderdate o, (SELECT max(t) FROM ax WHERE t < o_orderdate) lo, (SELECT min(t) FROM ax WHERE t >= o_orderdate) hi FROM orders)
+SELECT pid, round(CASE WHEN lo IS NULL THEN 0.0 WHEN hi IS NULL THEN 1.0 ELSE (epoch_us(o) - epoch_us(lo)) / (epoch_us(hi) - epoch_us(lo)) END, 9) alpha FROM b""")
+def time_alpha(spark, d):
+    axis = timeaxis.TimeAxis(MONTHS)
+    return _orders(spark, d).withColumn("k", axis.index(F.col("t"))).select("pid", _r(axis.alpha(F.col("t"), F.col("k")), 9).alias("alpha"))
+
+
+@query("time_lerp_events", """WITH daily AS (SELECT date_trunc('day', ts) t, sum(cast(value AS DECIMAL(18, 2)))::DOUBLE / count(*) v FROM events WHERE event_type = 'view' GROUP BY 1),
+c AS (SELECT event_id::BIGINT pid, ts FROM events WHERE event_type = 'click'),
+b AS (SELECT pid, ts, (SELECT max(t) FROM daily WHERE t < ts) lo, (SELECT min(t) FROM daily WHERE t >= ts) hi FROM c)
+SELECT pid, round(l.v + (h.v - l.v) * ((epoch_us(ts) - epoch_us(lo)) / (epoch_us(hi) - epoch_us(lo))), 6) v FROM b JOIN daily l ON l.t = lo JOIN daily h ON h.t = hi""")
+def time_lerp_events(spark, d):
+    events = _t(spark, d, "events")
+    daily = events.where("event_type = 'view'").groupBy(F.date_trunc("day", "ts").alias("t")).agg((F.sum(F.col("value").cast("decimal(18,2)")).cast("double") / F.count("*")).alias("value"))
+    clicks = events.where("event_type = 'click'").select(F.col("event_id").cast("long").alias("pid"), F.col("ts").alias("t"))
+    out = timeaxis.bracket_join(clicks, daily).where("lo_us is not null and hi_us is not null")
+    alpha = (timefn.micros(F.col("t")) - F.col("lo_us")) / (F.col("hi_us") - F.col("lo_us"))
+    return out.select("pid", _r(ex.lerp(F.col("lo"), F.col("hi"), alpha)).alias("v"))
+
+
+def _ships(spark, d):
+    return _t(spark, d, "lineitem").select(F.expr(PID).cast("long").alias("pid"), F.col("l_shipdate").cast("timestamp_ntz").alias("t"))
+
+
+@query("time_extrapolate", f"""WITH {SHORT_AXIS}, p AS (SELECT ({PID})::BIGINT pid, least(greatest(l_shipdate, TIMESTAMP '1997-01-01'), (SELECT max(t) FROM ax)) s FROM lineitem)
+SELECT pid, round((epoch_us(s) - epoch_us(TIMESTAMP '1997-01-01')) / (91 * 86400000000.0), 9) pos FROM p""")
+def time_extrapolate(spark, d):
+    out = timeaxis.TimeAxis(SHORT).bracket(_ships(spark, d), extrapolate=True)
+    return out.select("pid", _r(ex.lerp(F.col("t_lo").cast("double"), F.col("t_hi").cast("double"), F.col("t_alpha")), 9).alias("pos"))
+
+
+@query("time_in_bounds", f"WITH {SHORT_AXIS} SELECT ({PID})::BIGINT pid, l_shipdate BETWEEN (SELECT min(t) FROM ax) AND (SELECT max(t) FROM ax) ok FROM lineitem")
+def time_in_bounds(spark, d):
+    return _ships(spark, d).select("pid", timeaxis.TimeAxis(SHORT).in_bounds(F.col("t")).alias("ok"))
+
+
+def _events(spark, d):
+    return _t(spark, d, "events").select(F.col("event_id").cast("long").alias("pid"), F.col("ts").cast("timestamp_ntz").alias("t"))
+
+
+@query("time_shift_tz", "SELECT event_id::BIGINT pid, epoch_us(ts) + (3.5 * 3600000000)::BIGINT + (7 * 3600000000)::BIGINT us FROM events")
+def time_shift_tz(spark, d):
+    return _events(spark, d).select("pid", timefn.micros(timefn.to_zone(F.col("t"), -7, 3.5)).alias("us"))
+
+
+@query("time_origin", "SELECT event_id::BIGINT pid, epoch_us(ts) - (SELECT epoch_us(min(ts)) FROM events) + epoch_us(TIMESTAMP '2030-01-01') us FROM events")
+def time_origin(spark, d):
+    rows = _events(spark, d)
+    first = rows.agg(F.min("t").alias("first"))
+    start = int((datetime(2030, 1, 1) - datetime(1970, 1, 1)) / timedelta(microseconds=1))
+    return rows.join(F.broadcast(first)).select("pid", (timefn.micros(F.col("t")) - timefn.micros(F.col("first")) + F.lit(start)).alias("us"))
+
+
+@query("time_displace", "SELECT event_id::BIGINT pid, epoch_us(ts + INTERVAL 90 MINUTE) us FROM events")
+def time_displace(spark, d):
+    return _events(spark, d).select("pid", timefn.micros(timefn.shifted(F.col("t"), 1.5)).alias("us"))
+
+
+@query("cf_time_decode", "SELECT event_id::BIGINT pid, epoch_us(TIMESTAMP '2000-01-01 06:00:00') + event_id * 3600000000 us FROM events")
+def cf_time_decode(spark, d):
+    t = timefn.decode(F.col("event_id"), "hours since 2000-1-1T06:00:00")
+    return _t(spark, d, "events").select(F.col("event_id").cast("long").alias("pid"), timefn.micros(t).alias("us"))
+
+
+@query("offset_text", "SELECT n_nationkey::BIGINT k, printf('%s%02d:%02d', CASE WHEN n_nationkey < 12 THEN '-' ELSE '+' END, abs(n_nationkey - 12)::INT, 30) s FROM nation")
+def offset_text(spark, d):
+    hours = F.when(F.col("n_nationkey") < 12, -(12 - F.col("n_nationkey") + 0.5)).otherwise(F.col("n_nationkey") - 12 + 0.5)
+    return _t(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("k"), timefn.offset_column(hours).alias("s"))
+
+
+# ---- triangles
+
+MESH = f"""nodes AS (SELECT j * {NX} + i node, 2.0::DOUBLE * i + 0.5 * j lon, 2.0::DOUBLE * j lat FROM range({NX}) a(i), range({NY}) b(j)),
+faces AS (SELECT 2 * (j * {NX - 1} + i) + s face, CASE s WHEN 0 THEN [n, n + 1, n + {NX + 1}] ELSE [n, n + {NX + 1}, n + {NX}] END ns FROM (SELECT i, j, s, j * {NX} + i n FROM range({NX - 1}) a(i), range({NY - 1}) b(j), range(2) c(s))),
+tri AS (SELECT face, ns, a.lon ax, a.lat ay, b.lon bx, b.lat by_, c.lon cx, c.lat cy FROM faces JOIN nodes a ON a.node = ns[1] JOIN nodes b ON b.node = ns[2] JOIN nodes c ON c.node = ns[3]),
+side AS (SELECT face, k - 1 slot, ns[k] p, ns[k % 3 + 1] q FROM faces, range(1, 4) r(k))"""
+BARY = """spot AS (SELECT DISTINCT x, y FROM pts),
+area AS (SELECT x, y, face, ns, ((bx - x) * (cy - y) - (cx - x) * (by_ - y)) / 2 u, ((x - ax) * (cy - ay) - (cx - ax) * (y - ay)) / 2 v, ((bx - ax) * (cy - ay) - (cx - ax) * (by_ - ay)) / 2 w FROM spot, tri),
+loc AS (SELECT x, y, face, ns, u / w w0, v / w w1, 1.0 - u / w - v / w w2 FROM area WHERE u >= 0 AND v >= 0 AND w - u - v >= 0)"""
+
+
+def _mesh(spark):
+    nodes = spark.range(NX * NY).select(F.col("id").cast("int").alias("node"), (2.0 * (F.col("id") % NX) + 0.5 * F.floor(F.col("id") / NX)).alias("lon"), (2.0 * F.floor(F.col("id") / NX)).alias("lat"))
+    q = F.floor(F.col("id") / 2)
+    n = (F.floor(q / (NX - 1)) * NX + q % (NX - 1)).cast("int")
+    faces = spark.range(2 * (NX - 1) * (NY - 1)).select(F.col("id").cast("int").alias("face"), F.when(F.col("id") % 2 == 0, F.array(n, n + 1, n + NX + 1)).otherwise(F.array(n, n + NX + 1, n + NX)).alias("nodes"))
+    return nodes, faces
+
+
+def _off(spark, d):
+    return _points(spark, d, 0.3, 0.1)
+
+
+@query("tri_locate", f"WITH {OFF}, {MESH}, {BARY} SELECT pid, coalesce(face, -1)::BIGINT face FROM pts LEFT JOIN loc USING (x, y)")
+def tri_locate(spark, d):
+    nodes, faces = _mesh(spark)
+    return ugrid.locate(_off(spark, d), faces, nodes).select("pid", F.coalesce("face", F.lit(-1)).cast("long").alias("face"))
+
+
+@query("tri_weights", f"WITH {OFF}, {MESH}, {BARY} SELECT pid, round(w0, 6) w0, round(w1, 6) w1, round(w2, 6) w2, ns[1]::BIGINT n0, ns[2]::BIGINT n1, ns[3]::BIGINT n2 FROM pts JOIN loc USING (x, y)")
+def tri_weights(spark, d):
+    nodes, faces = _mesh(spark)
+    out = ugrid.weights(ugrid.locate(_off(spark, d), faces, nodes).where("face is not null"), faces, nodes)
+    return out.select("pid", *[_r(f"w{k}").alias(f"w{k}") for k in range(3)], *[F.col(f"n{k}").cast("long") for k in range(3)])
+
+
+@query("tri_interp_node", f"WITH {OFF}, {MESH}, {BARY} SELECT pid, CASE WHEN face IS NULL THEN 0.0 ELSE round(3 * x - 2 * y + 1, 6) END v FROM pts LEFT JOIN loc USING (x, y)")
+def tri_interp_node(spark, d):
+    nodes, faces = _mesh(spark)
+    field = nodes.select("node", (3 * F.col("lon") - 2 * F.col("lat") + 1).alias("value"))
+    return ugrid.interpolate_nodes(_off(spark, d), faces, nodes, field).select("pid", _r("value").alias("v"))
+
+
+@query("tri_face_value", f"WITH {OFF}, {MESH}, {BARY} SELECT pid, coalesce(face * 1.5, 0.0)::DOUBLE v FROM pts LEFT JOIN loc USING (x, y)")
+def tri_face_value(spark, d):
+    nodes, faces = _mesh(spark)
+    field = faces.select("face", (F.col("face") * 1.5).cast("double").alias("value"))
+    return ugrid.gather_faces(_off(spark, d), faces, nodes, field).select("pid", F.col("value").alias("v"))
+
+
+@query("tri_edges", f"WITH {MESH} SELECT DISTINCT least(p, q)::BIGINT n0, greatest(p, q)::BIGINT n1 FROM side")
+def tri_edges(spark, d):
+    return ugrid.edges(_mesh(spark)[1]).select(F.col("n0").cast("long"), F.col("n1").cast("long"))
+
+
+@query("tri_boundaries", f"WITH {MESH} SELECT p::BIGINT n0, q::BIGINT n1, face::BIGINT face FROM side s WHERE NOT EXISTS (SELECT 1 FROM side o WHERE o.face <> s.face AND least(o.p, o.q) = least(s.p, s.q) AND greatest(o.p, o.q) = greatest(s.p, s.q))")
+def tri_boundaries(spark, d):
+    return ugrid.boundaries(_mesh(spark)[1]).select(*[F.col(c).cast("long") for c in ("n0", "n1", "face")])
+
+
+@query("tri_neighbors", f"WITH {MESH} SELECT s.face::BIGINT face, s.slot::BIGINT slot, coalesce(o.face, -1)::BIGINT other FROM side s LEFT JOIN side o ON o.face <> s.face AND o.p = s.q AND o.q = s.p")
+def tri_neighbors(spark, d):
+    return ugrid.neighbours(_mesh(spark)[1]).select(F.col("face").cast("long"), F.col("slot").cast("long"), F.coalesce("other", F.lit(-1)).cast("long").alias("other"))
+
+
+@query("tri_face_edges", f"WITH {MESH}, e AS (SELECT DISTINCT least(p, q) a, greatest(p, q) b FROM side WHERE least(p, q) % 3 > 0) SELECT face::BIGINT face, slot::BIGINT slot, coalesce(a * 1000 + b, -1)::BIGINT edge FROM side LEFT JOIN e ON a = least(p, q) AND b = greatest(p, q)")
+def tri_face_edges(spark, d):
+    faces = _mesh(spark)[1]
+    edge = ugrid.edges(faces).where("n0 % 3 > 0").select((F.col("n0") * 1000 + F.col("n1")).alias("edge"), "n0", "n1")
+    return ugrid.face_edge_ids(faces, edge).select(F.col("face").cast("long"), F.col("slot").cast("long"), F.coalesce("edge", F.lit(-1)).cast("long").alias("edge"))
+
+
+@query("tri_centroids", f"WITH {MESH} SELECT face::BIGINT face, round((ax + bx + cx) / 3, 6) lon, round((ay + by_ + cy) / 3, 6) lat FROM tri")
+def tri_centroids(spark, d):
+    nodes, faces = _mesh(spark)
+    return ugrid.centroids(faces, nodes).select(F.col("face").cast("long"), _r("lon").alias("lon"), _r("lat").alias("lat"))
+
+
+@query("edge_midpoints", f"WITH {MESH} SELECT DISTINCT least(p, q)::BIGINT n0, greatest(p, q)::BIGINT n1, round((a.lon + b.lon) / 2, 6) lon, round((a.lat + b.lat) / 2, 6) lat FROM side JOIN nodes a ON a.node = p JOIN nodes b ON b.node = q")
+def edge_midpoints(spark, d):
+    nodes, faces = _mesh(spark)
+    return ugrid.midpoints(ugrid.edges(faces), nodes).select(F.col("n0").cast("long"), F.col("n1").cast("long"), _r("lon").alias("lon"), _r("lat").alias("lat"))
+
+
+@query("mesh_extent", "SELECT -180.0 - (152.5 + 180.0) * 0.1 xmin, 152.5 + (152.5 + 180.0) * 0.1 xmax, -1.0 ymin, 11.0 ymax")
+def mesh_extent(spark, d):
+    moved = _mesh(spark)[0].select("node", (F.col("lon") + 100.0).alias("lon"), "lat")
+    extra = spark.createDataFrame([(-1, 180.0 + 0.0, 0.0), (-2, 180.00000001 * 0 + 180.0, 10.0)], "node int, lon double, lat double")
+    west = spark.createDataFrame([(-3, 180.0 * 0 - 180.0, 5.0)], "node int, lon double, lat double")
+    nodes = moved.where("lon <= 152.5").union(west).union(extra.where("node > -1"))
+    out = ugrid.extent(nodes, 0.1)
+    return out.select("xmin", "xmax", "ymin", "ymax")
+
+
+@query("mesh_counts", f"WITH {MESH} SELECT (SELECT count(*) FROM nodes)::BIGINT n_nodes, (SELECT count(*) FROM faces)::BIGINT n_faces, 3::BIGINT num_vertices")
+def mesh_counts(spark, d):
+    nodes, faces = _mesh(spark)
+    return nodes.agg(F.count("*").alias("n_nodes")).join(F.broadcast(faces.agg(F.count("*").alias("n_faces"), F.max(F.size("nodes")).cast("long").alias("num_vertices"))))
+
+
+@query("checked_faces", f"WITH {MESH} SELECT face::BIGINT face, ns[1]::BIGINT n0, ns[3]::BIGINT n2 FROM faces")
+def checked_faces(spark, d):
+    _, faces = _mesh(spark)
+    one = faces.withColumn("nodes", F.transform("nodes", lambda n: n + 1))
+    return ugrid.checked_faces(one, NX * NY).select(F.col("face").cast("long"), F.col("nodes")[0].cast("long").alias("n0"), F.col("nodes")[2].cast("long").alias("n2"))
+
+
+CUST = "SELECT c_custkey::BIGINT pid, c_acctbal / 200 x, c_nationkey + 0.0 y FROM customer"
+
+
+def _customers(spark, d):
+    return _t(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("pid"), (F.col("c_acctbal") / 200).alias("lon"), F.col("c_nationkey").cast("double").alias("lat"))
+
+
+@query("nearest_node", f"WITH {MESH}, p AS ({CUST}), d AS (SELECT pid, node, (x - lon) * (x - lon) + (y - lat) * (y - lat) d2 FROM p, nodes) SELECT pid, first(node ORDER BY d2, node)::BIGINT node, round(sqrt(min(d2)), 6) dist FROM d GROUP BY pid")
+def nearest_node(spark, d):
+    out = join.nearest(_customers(spark, d), _mesh(spark)[0].withColumn("node", F.col("node").cast("long")))
+    return out.select("pid", "node", _r("node_distance").alias("dist"))
+
+
+@query("locate_or_nearest", f"""WITH {MESH}, pts AS ({CUST.replace('c_nationkey + 0.0', 'c_nationkey + 0.1')}), {BARY}, mid AS (SELECT face, (ax + bx + cx) / 3 mx, (ay + by_ + cy) / 3 my FROM tri),
+m AS (SELECT pid, first(face ORDER BY (x - mx) * (x - mx) + (y - my) * (y - my), face) f FROM pts, mid GROUP BY pid)
+SELECT pid, coalesce(loc.face, f)::BIGINT face, loc.face IS NOT NULL inside FROM pts LEFT JOIN loc USING (x, y) JOIN m USING (pid)""")
+def locate_or_nearest(spark, d):
+    nodes, faces = _mesh(spark)
+    mids = ugrid.centroids(faces, nodes).select(F.col("face").cast("long").alias("node"), "lon", "lat")
+    points = _customers(spark, d).withColumn("lat", F.col("lat") + 0.1)
+    return join.locate_or_nearest(points, ugrid.cells(faces, nodes), mids, name="face").select("pid", "face", "inside")
+
+
+@query("selected_cells", f"WITH {OFF}, {MESH}, {BARY} SELECT pid, face::BIGINT face, n.node::BIGINT node, n.lon node_lon, n.lat node_lat, round((ax + bx + cx) / 3, 6) center_lon FROM pts JOIN loc USING (x, y) JOIN tri USING (face) JOIN nodes n ON list_contains(tri.ns, n.node) WHERE pid % 50 = 1")
+def selected_cells(spark, d):
+    nodes, faces = _mesh(spark)
+    picked = ugrid.locate(_off(spark, d).where("pid % 50 = 1"), faces, nodes).where("face is not null")
+    out = ugrid.face_node_rows(faces, nodes, picked)
+    return out.select("pid", "face", F.col("node").cast("long"), "node_lon", "node_lat", _r("center_lon").alias("center_lon"))
+
+
+# ---- curvilinear grids
+
+AFF = f"""{OFF}, g0 AS (SELECT pid, x, y, (2 * x - 0.5 * y) / 3.875 gi, (2 * y - 0.25 * x) / 3.875 gj FROM pts),
+g AS (SELECT pid, x, y, CASE WHEN ok THEN floor(gi)::BIGINT END i, CASE WHEN ok THEN floor(gj)::BIGINT END j, gi - floor(gi) l, gj - floor(gj) m FROM (SELECT *, gi >= 0 AND gi < {QX - 1} AND gj >= 0 AND gj < {QY - 1} ok FROM g0))"""
+
+
+def _ji(spark, nj=QY, ni=QX):
+    return spark.range(nj * ni).select(F.floor(F.col("id") / ni).cast("int").alias("j"), (F.col("id") % ni).cast("int").alias("i"))
+
+
+def _affine(spark):
+    return _ji(spark).select("j", "i", (2.0 * F.col("i") + 0.5 * F.col("j")).alias("lon"), (2.0 * F.col("j") + 0.25 * F.col("i")).alias("lat"))
+
+
+def _fan(spark):
+    return _ji(spark).select("j", "i", (2.0 * F.col("i") * (1 + 0.05 * F.col("j"))).alias("lon"), (2.0 * F.col("j")).alias("lat"))
+
+
+def _long(df, *names):
+    return [F.coalesce(F.col(c).cast("long"), F.lit(-1)).alias(c) for c in names]
+
+
+@query("quad_locate", f"WITH {AFF} SELECT pid, coalesce(j, -1)::BIGINT j, coalesce(i, -1)::BIGINT i FROM g")
+def quad_locate(spark, d):
+    out = sgrid.locate(_off(spark, d), sgrid.cells(_affine(spark)))
+    return out.select("pid", *_long(out, "j", "i"))
+
+
+@query("quad_masked_locate", f"WITH {AFF} SELECT pid, CASE WHEN (i + j) % 5 = 0 THEN -1 ELSE coalesce(j, -1) END::BIGINT j, CASE WHEN (i + j) % 5 = 0 THEN -1 ELSE coalesce(i, -1) END::BIGINT i FROM g")
+def quad_masked_locate(spark, d):
+    mask = _ji(spark, QY - 1, QX - 1).withColumn("masked", (F.col("i") + F.col("j")) % 5 == 0)
+    out = sgrid.locate(_off(spark, d), sgrid.cells(_affine(spark), mask))
+    return out.select("pid", *_long(out, "j", "i"))
+
+
+def _lm(spark, d, nodes):
+    cell = sgrid.cells(nodes)
+    return sgrid.with_logical(sgrid.locate(_off(spark, d), cell), cell)
+
+
+@query("quad_logical_linear", f"WITH {AFF} SELECT pid, round(l, 6) l, round(m, 6) m FROM g WHERE i IS NOT NULL")
+def quad_logical_linear(spark, d):
+    return _lm(spark, d, _affine(spark)).where("i is not null").select("pid", _r("l").alias("l"), _r("m").alias("m"))
+
+
+@query("quad_logical_quadratic", f"WITH {OFF}, g AS (SELECT pid, x / (2 * (1 + 0.025 * y)) gi, y / 2 gj FROM pts) SELECT pid, round(gi - floor(gi), 6) l, round(gj - floor(gj), 6) m FROM g WHERE gi < {QX - 1} AND gj < {QY - 1}")
+def quad_logical_quadratic(spark, d):
+    return _lm(spark, d, _fan(spark)).where("i is not null").select("pid", _r("l").alias("l"), _r("m").alias("m"))
+
+
+NODEV = "CASE WHEN (({i}) * 7 + ({j}) * 3) % 11 <> 0 THEN ({i}) * 3.0 + ({j}) * 7.0 END"
+
+
+def _corner(w, i, j):
+    return f"({w}) * ({NODEV.format(i=i, j=j)})"
+
+
+@query("quad_interp_node", f"WITH {AFF} SELECT pid, round((SELECT sum(v) FROM unnest([{_corner('1 - l - m + l * m', 'i', 'j')}, {_corner('m - l * m', 'i', 'j + 1')}, {_corner('l * m', 'i + 1', 'j + 1')}, {_corner('l - l * m', 'i + 1', 'j')}]) u(v)), 6) v FROM g")
+def quad_interp_node(spark, d):
+    field = _ji(spark).withColumn("value", F.when((F.col("i") * 7 + F.col("j") * 3) % 11 != 0, F.col("i") * 3.0 + F.col("j") * 7.0))
+    return sgrid.interpolate(_lm(spark, d, _affine(spark)), field, "node").select("pid", _r("value").alias("v"))
+
+
+@query("quad_interp_center", f"WITH {AFF} SELECT pid, (i * 10 + j)::DOUBLE v FROM g")
+def quad_interp_center(spark, d):
+    field = _ji(spark, QY - 1, QX - 1).withColumn("value", (F.col("i") * 10 + F.col("j")).cast("double"))
+    return sgrid.interpolate(_lm(spark, d, _affine(spark)), field, "center").select("pid", F.col("value").alias("v"))
+
+
+def _ev(i, j, land=""):
+    return f"coalesce(CASE WHEN ({i} + {j}) % 4 <> 0{land} THEN {i} + 100.0 * ({j}) END, 0)"
+
+
+@query("quad_interp_edge1", f"WITH {AFF} SELECT pid, CASE WHEN i IS NOT NULL THEN round((1 - l) * {_ev('i', 'j')} + l * {_ev('(i + 1)', 'j')}, 6) END v FROM g")
+def quad_interp_edge1(spark, d):
+    field = _ji(spark, QY - 1, QX).withColumn("value", F.when((F.col("i") + F.col("j")) % 4 != 0, F.col("i") + 100.0 * F.col("j")))
+    return sgrid.interpolate(_lm(spark, d, _affine(spark)), field, "edge1").select("pid", _r("value").alias("v"))
+
+
+@query("quad_interp_edge2", f"WITH {AFF} SELECT pid, CASE WHEN i IS NOT NULL THEN round((1 - m) * {_ev('i', 'j')} + m * {_ev('i', '(j + 1)')}, 6) END v FROM g")
+def quad_interp_edge2(spark, d):
+    field = _ji(spark, QY, QX - 1).withColumn("value", F.when((F.col("i") + F.col("j")) % 4 != 0, F.col("i") + 100.0 * F.col("j")))
+    return sgrid.interpolate(_lm(spark, d, _affine(spark)), field, "edge2").select("pid", _r("value").alias("v"))
+
+
+def _land(k):
+    return f" AND ({k} = 0 OR {k} = {QX - 1} OR ((({k} - 1) * j) % 3 = 0) = (({k} * j) % 3 = 0))"
+
+
+@query("quad_coastal_edge1", f"WITH {AFF} SELECT pid, CASE WHEN i IS NOT NULL THEN round((1 - l) * {_ev('i', 'j', _land('i'))} + l * {_ev('(i + 1)', 'j', _land('(i + 1)'))}, 6) END v FROM g")
+def quad_coastal_edge1(spark, d):
+    field = _ji(spark, QY - 1, QX).withColumn("value", F.when((F.col("i") + F.col("j")) % 4 != 0, F.col("i") + 100.0 * F.col("j")))
+    coast = _ji(spark, QY - 1, QX - 1).withColumn("masked", (F.col("i") * F.col("j")) % 3 == 0)
+    return sgrid.interpolate(_lm(spark, d, _affine(spark)), field, "edge1", coast=coast).select("pid", _r("value").alias("v"))
+
+
+@query("nearest_value", f"WITH p AS ({CUST}), n AS (SELECT j, i, 2.0 * i + 0.5 * j lon, 2.0 * j + 0.25 * i lat FROM range({QY}) a(j), range({QX}) b(i)), d AS (SELECT pid, j, i, (x - lon) * (x - lon) + (y - lat) * (y - lat) d2 FROM p, n) SELECT pid, first(i * 2.0 + j ORDER BY d2, j, i)::DOUBLE v FROM d GROUP BY pid")
+def nearest_value(spark, d):
+    field = _ji(spark).withColumn("value", F.col("i") * 2.0 + F.col("j"))
+    return sgrid.nearest_value(_customers(spark, d), _affine(spark), field).select("pid", F.col("value").alias("v"))
+
+
+PART = "SELECT p_partkey::BIGINT pid, CASE WHEN p_partkey % 3 <> 0 THEN p_size + 0.5 END a, CASE WHEN p_partkey % 4 <> 0 THEN p_retailprice END b FROM part"
+
+
+def _pair(spark, d, policy):
+    rows = _t(spark, d, "part").select(F.col("p_partkey").cast("long").alias("pid"), F.when(F.col("p_partkey") % 3 != 0, F.col("p_size") + 0.5).alias("a"), F.when(F.col("p_partkey") % 4 != 0, F.col("p_retailprice")).alias("b"))
+    return rows.select("pid", _r(ex.with_mask_policy([F.col("a"), F.col("b")], [F.lit(0.25), F.lit(0.75)], policy)).alias("v"))
+
+
+for _policy, _sql in (("zero", "coalesce(a, 0) * 0.25 + coalesce(b, 0) * 0.75"), ("mask", "a * 0.25 + b * 0.75"), ("mirror", "coalesce(a, -b) * 0.25 + coalesce(b, -a) * 0.75"), ("skip", "CASE WHEN a IS NOT NULL OR b IS NOT NULL THEN coalesce(a * 0.25, 0) + coalesce(b * 0.75, 0) END")):
+    query(f"mask_policy_{_policy}", f"WITH p AS ({PART}) SELECT pid, round({_sql}, 6) v FROM p")(lambda spark, d, p=_policy: _pair(spark, d, p))
+
+
+@query("mask_decode_flags", "SELECT o_orderkey::BIGINT pid, o_orderstatus NOT IN ('F', 'O') masked FROM orders")
+def mask_decode_flags(spark, d):
+    return _t(spark, d, "orders").select(F.col("o_orderkey").cast("long").alias("pid"), metadata.mask_from_flags(F.col("o_orderstatus"), ["F", "O", "X"], "Lake open_WATER land").alias("masked"))
+
+
+@query("padding_slice", f"SELECT (j - 1)::BIGINT j, i::BIGINT i, (j * 100 + i)::BIGINT v FROM range({QY}) a(j), range({QX}) b(i) WHERE j BETWEEN 1 AND {QY - 2} AND i <= {QX - 2}")
+def padding_slice(spark, d):
+    rows = _ji(spark).withColumn("v", F.col("j") * 100 + F.col("i"))
+    return sgrid.padded(rows, {"j": "both", "i": "high"}, QY, QX).select(*[F.col(c).cast("long") for c in ("j", "i", "v")])
+
+
+@query("avg_to_center", f"SELECT j::BIGINT j, i::BIGINT i, ((j * j + 3 * i) + ((j + 1) * (j + 1) + 3 * i)) / 2.0 v FROM range({QY - 1}) a(j), range({QX}) b(i)")
+def avg_to_center(spark, d):
+    field = _ji(spark).withColumn("value", (F.col("j") * F.col("j") + 3 * F.col("i")).cast("double"))
+    return sgrid.average_to_centers(field, "j").select(F.col("j").cast("long"), F.col("i").cast("long"), F.col("value").alias("v"))
+
+
+@query("center_to_node", f"SELECT j::BIGINT j, i::BIGINT i, (j * i + (j + 1) * i + j * (i + 1) + (j + 1) * (i + 1)) / 4.0 v FROM range({QY - 1}) a(j), range({QX - 1}) b(i)")
+def center_to_node(spark, d):
+    field = _ji(spark).withColumn("value", (F.col("j") * F.col("i")).cast("double"))
+    return sgrid.centers_to_nodes(field).select(F.col("j").cast("long"), F.col("i").cast("long"), F.col("value").alias("v"))
+
+
+@query("grid_lines", f"SELECT 'row' kind, j::BIGINT idx, {QX}::BIGINT n, 0.5 * j first_lon, 2.0 * j + 0.25 * {QX - 1} last_lat FROM range({QY}) a(j) UNION ALL SELECT 'column', i, {QY}, 2.0 * i, 2.0 * {QY - 1} + 0.25 * i FROM range({QX}) b(i)")
+def grid_lines(spark, d):
+    out = sgrid.grid_lines(_affine(spark))
+    return out.select("kind", F.col("idx").cast("long"), F.size("line").cast("long").alias("n"), F.col("line")[0]["lon"].alias("first_lon"), F.element_at("line", -1)["lat"].alias("last_lat"))
+
+
+# ---- depth
+
+Z = f"z AS (SELECT ({PID})::BIGINT pid, l_extendedprice / 10000 z FROM lineitem)"
+
+
+def _depths(spark, d):
+    return _t(spark, d, "lineitem").select(F.expr(PID).cast("long").alias("pid"), (F.col("l_extendedprice") / 10000).alias("z"))
+
+
+def _levels_sql(values, op, order):
+    n = len(values)
+    return f"WITH {Z}, k AS (SELECT pid, z, {_dig('z', values, op) if order > 0 else f'({n} - {_dig(chr(122), values, op)})'} - 1 k FROM z)"
+
+
+@query("depth_levels_asc", f"{_levels_sql(LEVELS, '<=', 1)} SELECT pid, CASE WHEN k < 5 THEN k END::BIGINT k, CASE WHEN k < 5 THEN round((z - {_list(LEVELS)}[k + 1]) / ({_list(LEVELS)}[k + 2] - {_list(LEVELS)}[k + 1]), 6) END alpha FROM k")
+def depth_levels_asc(spark, d):
+    k, a = depth.Levels(LEVELS).weights(F.col("z"))
+    return _depths(spark, d).select("pid", k.cast("long").alias("k"), _r(a).alias("alpha"))
+
+
+DOWN = LEVELS[::-1]
+
+
+@query("depth_levels_desc", f"{_levels_sql(DOWN, '<', -1)} SELECT pid, CASE WHEN k >= 0 THEN k END::BIGINT k, CASE WHEN k >= 5 THEN 0.0 WHEN k >= 0 THEN round((z - {_list(DOWN)}[k + 1]) / ({_list(DOWN)}[k + 2] - {_list(DOWN)}[k + 1]), 6) END alpha FROM k")
+def depth_levels_desc(spark, d):
+    k, a = depth.Levels(DOWN).weights(F.col("z"))
+    return _depths(spark, d).select("pid", k.cast("long").alias("k"), _r(a).alias("alpha"))
+
+
+BC = tuple((s, b) for s in depth.CONDITIONS for b in depth.CONDITIONS)
+
+
+@query("depth_bc_matrix", f"""WITH {Z}, k AS (SELECT pid, z - 1 z, {_dig('(z - 1)', LEVELS)} - 1 k FROM z), c AS (SELECT * FROM (VALUES ('mask', 'mask'), ('mask', 'extrapolate'), ('extrapolate', 'mask'), ('extrapolate', 'extrapolate')) v(s, b))
+SELECT s, b, CASE WHEN k < 0 THEN 'above' WHEN k >= 5 THEN 'below' ELSE 'inside' END w, count(*)::BIGINT n, count(CASE WHEN (k >= 0 OR s = 'extrapolate') AND (k < 5 OR b = 'extrapolate') THEN 1 END)::BIGINT kept, round(sum(CASE WHEN k < 0 AND s = 'extrapolate' THEN 1.0 ELSE 0 END), 6)::DOUBLE ones FROM k, c GROUP BY ALL""")
+def depth_bc_matrix(spark, d):
+    rows = _depths(spark, d).withColumn("z", F.col("z") - 1)
+    idx = depth.Levels(LEVELS).index(F.col("z"))
+    parts = []
+    for s, b in BC:
+        k, a = depth.bounded(F.col("idx"), F.lit(0.5), 0, len(LEVELS) - 1, s, b)
+        w = F.when(F.col("idx") < 0, "above").when(F.col("idx") >= 5, "below").otherwise("inside")
+        parts.append(F.struct(F.lit(s).alias("s"), F.lit(b).alias("b"), w.alias("w"), k.alias("k"), a.alias("a")))
+    out = rows.withColumn("idx", idx).select(F.explode(F.array(*parts)).alias("c")).select("c.*")
+    return out.groupBy("s", "b", "w").agg(F.count("*").alias("n"), F.count("k").alias("kept"), F.sum(F.when(F.col("a") == 1, 1.0).otherwise(0.0)).alias("ones"))
+
+
+def _hz(spark, d):
+    return _t(spark, d, "lineitem").select(F.expr(PID).cast("long").alias("pid"), (F.col("l_quantity") + 5).alias("h"), (F.col("l_discount") * 2 - 0.05).alias("zeta"), (F.col("l_extendedprice") / 5000).alias("z"))
+
+
+HZ = f"hz AS (SELECT ({PID})::BIGINT pid, l_quantity + 5 h, l_discount * 2 - 0.05 zeta, l_extendedprice / 5000 z FROM lineitem)"
+
+
+def _roms_sql(v):
+    out = []
+    for s, c in zip(S_W, CS_W, strict=True):
+        if v == 1:
+            big = f"({HC * s} + h * {c} - {HC * c})"
+            out.append(f"-({big} + zeta * (1.0 + {big} / h)) + zeta")
+        else:
+            out.append(f"-(zeta + (zeta + h) * (({HC * s} + h * {c}) / ({HC} + h))) + zeta")
+    return out
+
+
+def _profile(spark, d, v):
+    return _hz(spark, d).withColumn("p", depth.profile_below_surface(depth.roms(S_W, CS_W, HC, F.col("h"), F.col("zeta"), v), F.col("zeta")))
+
+
+for _v in (1, 2):
+    query(f"sigma_profile_v{_v}", f"WITH {HZ} SELECT pid, " + ", ".join(f"round({e}, 6) + 0.0 p{k}" for k, e in enumerate(_roms_sql(_v))) + " FROM hz")(
+        lambda spark, d, v=_v: _profile(spark, d, v).select("pid", *[(_r(F.col("p")[k]) + 0.0).alias(f"p{k}") for k in range(len(S_W))])
+    )
+
+
+@query("sigma_interp", f"""WITH {HZ}, p AS (SELECT pid, z, [{', '.join(_roms_sql(2))}] p FROM hz), k AS (SELECT pid, z, p, len(list_filter(p, lambda d: d > z)) - 1 k FROM p)
+SELECT pid, CASE WHEN k >= 0 THEN k END::BIGINT k, CASE WHEN k >= 4 THEN 0.0 WHEN k >= 0 THEN round((z - p[k + 1]) / (p[k + 2] - p[k + 1]), 6) END alpha FROM k""")
+def sigma_interp(spark, d):
+    out = _profile(spark, d, 2)
+    k, a = depth.in_profile(F.col("z"), F.col("p"))
+    return out.select("pid", k.cast("long").alias("k"), _r(a).alias("alpha"))
+
+
+@query("sigma_node", f"WITH {HZ} SELECT pid, " + ", ".join(f"round(-(zeta + (zeta + h) * {s}) + zeta, 6) + 0.0 p{k}" for k, s in enumerate((-1.0, -0.5, 0.0))) + " FROM hz")
+def sigma_node(spark, d):
+    levels = F.array(F.lit(-1.0), F.lit(-0.5), F.lit(0.0))
+    p = depth.profile_below_surface(depth.sigma(levels, F.col("h"), F.col("zeta")), F.col("zeta"))
+    return _hz(spark, d).withColumn("p", p).select("pid", *[(_r(F.col("p")[k]) + 0.0).alias(f"p{k}") for k in range(3)])
+
+
+# ---- fields
+
+def _axis_month(spark):
+    return timeaxis.TimeAxis(MONTHS)
+
+
+def _field4d(spark, name="temp", shift=0.0):
+    grid = RectGrid(XS, YS)
+    cells = grid.targets(spark).withColumn("t_idx", F.explode(F.sequence(F.lit(0), F.lit(len(MONTHS) - 1)))).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(len(LEVELS) - 1))))
+    base = 2 * F.col("lon") + 3 * F.col("lat") + F.col("lon") * F.col("lat")
+    return Field(name, grid, cells.select("elem", "t_idx", "k", (base * (1 + F.col("k")) + F.col("t_idx") + shift).alias("value")), _axis_month(spark), depth.Levels(LEVELS))
+
+
+def _points4d(spark, d):
+    lines = _t(spark, d, "lineitem").select(F.expr(PID).cast("long").alias("pid"), "l_orderkey", F.col("l_quantity").alias("lon"), (F.col("l_discount") * 100).alias("lat"), (F.col("l_extendedprice") / 10000).alias("z"))
+    orders = _t(spark, d, "orders").select("o_orderkey", F.col("o_orderdate").cast("timestamp_ntz").alias("t"))
+    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("pid", "lon", "lat", "z", "t")
+
+
+POS4 = f"""{AXIS}, p AS (SELECT ({PID})::BIGINT pid, l_quantity x, l_discount * 100 y, l_extendedprice / 10000 z, o_orderdate o FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+b AS (SELECT o, count(CASE WHEN t < o THEN 1 END) k, max(CASE WHEN t < o THEN t END) lo, min(CASE WHEN t >= o THEN t END) hi FROM (SELECT DISTINCT o FROM p), ax GROUP BY o),
+q AS (SELECT pid, 2 * x + 3 * y + x * y f, z, {_dig('z', LEVELS)} - 1 k, CASE WHEN lo IS NULL THEN 0.0 ELSE b.k - 1 + (epoch_us(p.o) - epoch_us(lo)) / (epoch_us(hi) - epoch_us(lo)) END tp FROM p JOIN b ON p.o = b.o),
+r AS (SELECT *, CASE WHEN k < 5 THEN k + (z - {_list(LEVELS)}[k + 1]) / ({_list(LEVELS)}[k + 2] - {_list(LEVELS)}[k + 1]) END zp FROM q)"""
+
+
+@query("field4d_at", f"WITH {POS4} SELECT pid, round(f * (1 + zp) + tp, 4) v FROM r")
+def field4d_at(spark, d):
+    return _field4d(spark).at(_points4d(spark, d)).select("pid", _r("temp", 4).alias("v"))
+
+
+@query("vector_at", f"WITH {POS4} SELECT pid, round(f * (1 + zp) + tp, 4) u, round(f * (1 + zp) + tp + 5, 4) v, round(sqrt(pow(f * (1 + zp) + tp, 2) + pow(f * (1 + zp) + tp + 5, 2)), 3) speed FROM r")
+def vector_at(spark, d):
+    uv = VectorField({"u": _field4d(spark, "u"), "v": _field4d(spark, "v", 5.0)})
+    out = uv.at(_points4d(spark, d))
+    return out.select("pid", _r("u", 4).alias("u"), _r("v", 4).alias("v"), _r(ex.vector_sum("u", "v"), 3).alias("speed"))
+
+
+EV = tuple(datetime(2024, 1, 1) + timedelta(days=k) for k in range(32))
+
+
+@query("trajectory_at", """SELECT event_id::BIGINT pid, user_id::BIGINT user_id, round(2 * (value / 10) + 3 * (event_id % 11) + (value / 10) * (event_id % 11) + (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 86400000000.0, 4) v,
+row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)::BIGINT step FROM events""")
+def trajectory_at(spark, d):
+    from pyspark.sql import Window
+
+    grid = RectGrid(XS, YS)
+    data = grid.targets(spark).withColumn("t_idx", F.explode(F.sequence(F.lit(0), F.lit(len(EV) - 1))))
+    base = 2 * F.col("lon") + 3 * F.col("lat") + F.col("lon") * F.col("lat")
+    f = Field("f", grid, data.select("elem", "t_idx", (base + F.col("t_idx")).alias("value")), timeaxis.TimeAxis(EV))
+    points = _t(spark, d, "events").select(F.col("event_id").cast("long").alias("pid"), F.col("user_id").cast("long"), F.col("ts").cast("timestamp_ntz").alias("t"), (F.col("value") / 10).alias("lon"), (F.col("event_id") % 11).cast("double").alias("lat"))
+    step = F.row_number().over(Window.partitionBy("user_id").orderBy("t", "pid")).cast("long")
+    return f.at(points).select("pid", "user_id", _r("f", 4).alias("v"), step.alias("step"))
+
+
+@query("field_extrapolate_unmask", f"""WITH {SHORT_AXIS}, p AS (SELECT ({PID})::BIGINT pid, l_quantity * 1.2 x, l_discount * 100 y, least(greatest(l_shipdate, TIMESTAMP '1997-01-01'), (SELECT max(t) FROM ax)) s FROM lineitem)
+SELECT pid, CASE WHEN x <= 51 THEN round(2 * x + 3 * y + (epoch_us(s) - epoch_us(TIMESTAMP '1997-01-01')) / (91 * 86400000000.0), 4) ELSE 0.0 END v FROM p""")
+def field_extrapolate_unmask(spark, d):
+    grid = RectGrid(XS, YS)
+    data = grid.targets(spark).withColumn("t_idx", F.explode(F.sequence(F.lit(0), F.lit(len(SHORT) - 1))))
+    f = Field("f", grid, data.select("elem", "t_idx", (2 * F.col("lon") + 3 * F.col("lat") + F.col("t_idx")).alias("value")), timeaxis.TimeAxis(SHORT))
+    points = _t(spark, d, "lineitem").select(F.expr(PID).cast("long").alias("pid"), F.col("l_shipdate").cast("timestamp_ntz").alias("t"), (F.col("l_quantity") * 1.2).alias("lon"), (F.col("l_discount") * 100).alias("lat"))
+    return f.at(points, extrapolate=True, unmask=True).select("pid", _r("f", 4).alias("v"))
+
+
+@query("regrid_r_to_s", f"WITH n AS (SELECT j, i, 2.0 * i + 0.5 * j x, 2.0 * j + 0.25 * i y FROM range({QY}) a(j), range({QX}) b(i)), t AS (SELECT * FROM range(4) r(t)) SELECT j::BIGINT j, i::BIGINT i, t::BIGINT t_idx, round(2 * x + 3 * y + x * y + t, 6) v FROM n, t WHERE x <= 51 AND y <= 11")
+def regrid_r_to_s(spark, d):
+    from ..operators.field import QuadGrid
+
+    grid = RectGrid(XS, YS)
+    axis = timeaxis.TimeAxis(MONTHS[:4])
+    data = grid.targets(spark).withColumn("t_idx", F.explode(F.sequence(F.lit(0), F.lit(3)))).select("elem", "t_idx", (2 * F.col("lon") + 3 * F.col("lat") + F.col("lon") * F.col("lat") + F.col("t_idx")).alias("value"))
+    out = regrid(Field("f", grid, data, axis), QuadGrid(_affine(spark)), spark).data
+    j, i = sgrid.from_id("elem")
+    return out.select(j.cast("long").alias("j"), i.cast("long").alias("i"), F.col("t_idx").cast("long"), _r("value").alias("v"))
+
+
+# ---- vectors and bearings
+
+SUP = "SELECT s_suppkey::BIGINT pid, s_nationkey * 10.0 - 120 lon1, s_acctbal / 200 lat1, s_nationkey * 7.0 - 80 lon2, s_acctbal / 300 + 10 lat2 FROM supplier"
+
+
+def _suppliers(spark, d):
+    s, a = F.col("s_nationkey"), F.col("s_acctbal")
+    return _t(spark, d, "supplier").select(F.col("s_suppkey").cast("long").alias("pid"), (s * 10.0 - 120).alias("lon1"), (a / 200).alias("lat1"), (s * 7.0 - 80).alias("lon2"), (a / 300 + 10).alias("lat2"))
+
+
+BEAR = "degrees(atan2(sin(radians(lon2) - radians(lon1)) * cos(radians(lat2)), cos(radians(lat1)) * sin(radians(lat2)) - sin(radians(lat1)) * cos(radians(lat2)) * cos(radians(lon2) - radians(lon1))))"
+
+
+@query("bearing", f"WITH s AS ({SUP}), b AS (SELECT pid, {BEAR} d FROM s) SELECT pid, round(CASE WHEN d < 0 THEN d + 360 ELSE d END, 5) bearing FROM b")
+def bearing(spark, d):
+    return _suppliers(spark, d).select("pid", _r(ex.bearing("lon1", "lat1", "lon2", "lat2"), 5).alias("bearing"))
+
+
+@query("angle_from_east", f"WITH s AS ({SUP}), b AS (SELECT pid, {BEAR} d FROM s) SELECT pid, round(radians(90 - CASE WHEN d < 0 THEN d + 360 ELSE d END), 5) a FROM b")
+def angle_from_east(spark, d):
+    return _suppliers(spark, d).select("pid", _r(ex.angle_from_east(ex.bearing("lon1", "lat1", "lon2", "lat2")), 5).alias("a"))
+
+
+@query("vector_rotate", "SELECT s_suppkey::BIGINT pid, round(s_acctbal * cos(s_nationkey) - 3 * sin(s_nationkey), 4) x, round(s_acctbal * sin(s_nationkey) + 3 * cos(s_nationkey), 4) y FROM supplier")
+def vector_rotate(spark, d):
+    x, y = ex.rotate("s_acctbal", F.lit(3.0), F.col("s_nationkey").cast("double"))
+    return _t(spark, d, "supplier").select(F.col("s_suppkey").cast("long").alias("pid"), _r(x, 4).alias("x"), _r(y, 4).alias("y"))
+
+
+@query("vector_sum", "SELECT s_suppkey::BIGINT pid, round(sqrt(s_acctbal * s_acctbal + s_nationkey * s_nationkey), 5) v FROM supplier")
+def vector_sum(spark, d):
+    return _t(spark, d, "supplier").select(F.col("s_suppkey").cast("long").alias("pid"), _r(ex.vector_sum("s_acctbal", F.col("s_nationkey").cast("double")), 5).alias("v"))
+
+
+@query("wrap_longitude", "SELECT n_nationkey::BIGINT k, CASE WHEN n_nationkey * 15.0 > 180 THEN n_nationkey * 15.0 - 360 ELSE n_nationkey * 15.0 END::DOUBLE lon FROM nation")
+def wrap_longitude(spark, d):
+    return _t(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("k"), ex.wrap_longitude(F.col("n_nationkey") * 15.0).alias("lon"))
+
+
+@query("triangle_area", f"WITH {MESH} SELECT face::BIGINT face, abs(((bx - ax) * (cy - ay) - (cx - ax) * (by_ - ay)) / 2) area FROM tri")
+def triangle_area(spark, d):
+    nodes, faces = _mesh(spark)
+    p = lambda k, c: F.col("poly")[k][c]
+    area = ex.triangle_area(p(0, "lon"), p(0, "lat"), p(1, "lon"), p(1, "lat"), p(2, "lon"), p(2, "lat"))
+    return ugrid.with_polygons(faces, nodes).select(F.col("face").cast("long"), F.abs(area).alias("area"))
+
+
+# ---- metadata, files
+
+NC = [("temp", {"standard_name": "sea_water_temperature", "location": "node"}), ("u", {"standard_name": "x_velocity", "location": "face"}), ("zeta", {"location": "node"}), ("mesh", {"cf_role": "mesh_topology"})]
+
+
+@query("vars_by_attribute", "SELECT * FROM (VALUES ('temp'), ('zeta')) v(name)")
+def vars_by_attribute(spark, d):
+    rows = spark.createDataFrame(NC, "name string, attrs map<string,string>")
+    return metadata.vars_by_attribute(rows, "location", "node").select("name")
+
+
+@query("verdat_rings")
+def verdat_rings(spark, d):
+    """Rings of two boundaries read back from verdat text."""
+    n = [(float(k), float(k * k % 7), 10.0 + k) for k in range(12)]
+    units, rows, segments = verdat.parse(verdat.render(n, [[0, 3, 2, 1], [5, 6, 8]], "m"))
+    df = spark.createDataFrame(segments, "n0 long, n1 long")
+    spark_dir(spark)
+    return ugrid.order_rings(df)
+
+
+@query("classic_cdf_roundtrip", "SELECT t::INTEGER t_idx, j::INTEGER j, i::INTEGER i, CASE WHEN (t + j + i) % 5 <> 0 THEN t * 100 + j * 10 + i + 0.25 END v FROM range(6) a(t), range(4) b(j), range(5) c(i) WHERE t BETWEEN 2 AND 4")
+def classic_cdf_roundtrip(spark, d):
+    """A classic file written and read again, with a filter on the record dimension."""
+    t, j, i = np.meshgrid(np.arange(6), np.arange(4), np.arange(5), indexing="ij")
+    v = np.where((t + j + i) % 5 != 0, t * 100 + j * 10 + i + 0.25, -9999.0)
+    path = os.path.join(tempfile.mkdtemp(prefix="meshfield-"), "sample.nc")
+    cdf.write(path, {"time": None, "y": 4, "x": 5}, {"temp": (("time", "y", "x"), v, {"_FillValue": -9999.0, "units": "degC"}), "lon": (("x",), np.arange(5.0), {})}, {"title": "sample"})
+    df = cdf.load_variable(spark, path, "temp").where(F.col("t_idx").between(2, 4))
+    return df.select("t_idx", F.col("idx")[1].alias("j"), F.col("idx")[2].alias("i"), F.col("value").alias("v"))
+
+
+def spark_dir(spark: SparkSession) -> None:
+    """A checkpoint folder where none is set (tests); a cluster names its own."""
+    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="meshfield-"))
+
+
+__all__ = ["at_points", "oracle_sql", "queries"]
