@@ -150,25 +150,39 @@ def at_points(fields: Mapping[str, Field], points: DataFrame, lon: str = "lon",
         data = own if data is None else data.join(own, [c for c in own.columns if c != f"v{i}"], "full")
     slot = (F.col("t_idx") if "t_idx" in data.columns else F.lit(0)) * n_k + (F.col("k") if "k" in data.columns else F.lit(0))
     vals = [f"v{i}" for i in range(len(names))]
-    table = data.groupBy("elem").agg(F.map_from_entries(F.collect_list(F.struct(slot.cast("int").alias("s"), F.struct(*vals).alias("v")))).alias("_m"))
+    table = data.groupBy("elem").agg(F.sort_array(F.collect_list(F.struct(slot.cast("int").alias("s"), *vals))).alias("_m"))
     table = join.small(table)
     size = 3 if isinstance(first.grid, TriGrid) else 4
     for c in range(size):
         t_c = table.select(F.col("elem").alias(f"_e{c}"), F.col("_m").alias(f"_m{c}"))
         out = out.join(t_c, F.get("_elems", F.lit(c)) == F.col(f"_e{c}"), "left")
     skip = isinstance(first.grid, QuadGrid)
+    times, levels = (("t_lo", "t_hi") if n_t > 1 else ("t_lo",)), (("_k0", "_k1") if n_k > 1 else ("_k0",))
 
-    def plane(v: str, tt: str, kk: str) -> Column:
-        terms = [F.try_element_at(F.col(f"_m{c}"), (F.col(tt) * n_k + F.col(kk)).cast("int"))[v] for c in range(size)]
-        prods = [x * F.get("_w", F.lit(c)) for c, x in enumerate(terms)]
-        total = sum(([F.coalesce(p, F.lit(0.0)) for p in prods] if skip else prods)[1:], F.coalesce(prods[0], F.lit(0.0)) if skip else prods[0])
-        return F.when(F.coalesce(*terms).isNotNull(), total) if skip else total
+    def entry(c: int, at: Column) -> Column:
+        """The entry of a slot: at its own index where no step or level is missing before it, else searched for."""
+        m = F.col(f"_m{c}")
+        return F.when(F.get(m, at)["s"] == at, F.get(m, at)).otherwise(F.get(F.filter(m, lambda e: e["s"] == at), F.lit(0)))
 
+    # Columns in steps, so that no lookup is repeated: entries, values of planes, levels, times.
+    out = out.withColumns({f"_s{tt}{kk}": (F.col(tt) * n_k + F.col(kk)).cast("int") for tt in times for kk in levels})
+    out = out.withColumns({f"_x{c}{tt}{kk}": entry(c, F.col(f"_s{tt}{kk}")) for c in range(size) for tt in times for kk in levels})
+    planes, rows, values = {}, {}, {}
     for i, n in enumerate(names):
-        levels = [lerp(plane(f"v{i}", tt, "_k0"), plane(f"v{i}", tt, "_k1"), F.col("_za")) if n_k > 1 else plane(f"v{i}", tt, "_k0") for tt in ("t_lo", "t_hi")]
-        value = F.when(F.col("t_lo") == F.col("t_hi"), levels[0]).otherwise(lerp(levels[0], levels[1], F.col("t_alpha"))) if n_t > 1 else levels[0]
+        for tt in times:
+            for kk in levels:
+                terms = [F.col(f"_x{c}{tt}{kk}")[f"v{i}"] for c in range(size)]
+                prods = [x * F.get("_w", F.lit(c)) for c, x in enumerate(terms)]
+                prods = [F.coalesce(p, F.lit(0.0)) for p in prods] if skip else prods
+                total = sum(prods[1:], prods[0])
+                planes[f"_p{i}{tt}{kk}"] = F.when(F.coalesce(*terms).isNotNull(), total) if skip else total
+            rows[f"_r{i}{tt}"] = lerp(F.col(f"_p{i}{tt}_k0"), F.col(f"_p{i}{tt}_k1"), F.col("_za")) if n_k > 1 else F.col(f"_p{i}{tt}_k0")
+        value = F.col(f"_r{i}t_lo")
+        if n_t > 1:
+            value = F.when(F.col("t_lo") == F.col("t_hi"), value).otherwise(lerp(value, F.col(f"_r{i}t_hi"), F.col("t_alpha")))
         value = F.when(F.col("_elems").isNull(), F.lit(first.grid.off_grid).cast("double")).otherwise(value)
-        out = out.withColumn(n, F.coalesce(value, F.lit(float(fields[n].fill_value))) if unmask else value)
+        values[n] = F.coalesce(value, F.lit(float(fields[n].fill_value))) if unmask else value
+    out = out.withColumns(planes).withColumns(rows).withColumns(values)
     gone = [c for c in out.columns if c.startswith("_") and c not in points.columns]
     return out.drop("t_lo", "t_hi", "t_alpha", *gone)
 

@@ -287,12 +287,9 @@ def edge_midpoints(spark, d):
     return ugrid.midpoints(ugrid.edges(faces), nodes).select(F.col("n0").cast("long"), F.col("n1").cast("long"), _r("lon").alias("lon"), _r("lat").alias("lat"))
 
 
-@query("mesh_extent", "SELECT -180.0 - (152.5 + 180.0) * 0.1 xmin, 152.5 + (152.5 + 180.0) * 0.1 xmax, -1.0 ymin, 11.0 ymax")
+@query("mesh_extent", "WITH n AS (SELECT CASE WHEN lon > 180 THEN lon - 360 ELSE lon END lon, lat FROM (VALUES (180.0, 0.0), (-180.0, 5.0), (152.5, 10.0), (181.0, 3.0)) v(lon, lat)), e AS (SELECT min(lon)::DOUBLE a, max(lon)::DOUBLE b, min(lat)::DOUBLE c, max(lat)::DOUBLE d FROM n) SELECT a - (b - a) * 0.1::DOUBLE xmin, b + (b - a) * 0.1::DOUBLE xmax, c - (d - c) * 0.1::DOUBLE ymin, d + (d - c) * 0.1::DOUBLE ymax FROM e")
 def mesh_extent(spark, d):
-    moved = _mesh(spark)[0].select("node", (F.col("lon") + 100.0).alias("lon"), "lat")
-    extra = spark.createDataFrame([(-1, 180.0 + 0.0, 0.0), (-2, 180.00000001 * 0 + 180.0, 10.0)], "node int, lon double, lat double")
-    west = spark.createDataFrame([(-3, 180.0 * 0 - 180.0, 5.0)], "node int, lon double, lat double")
-    nodes = moved.where("lon <= 152.5").union(west).union(extra.where("node > -1"))
+    nodes = spark.createDataFrame([(0, 180.0, 0.0), (1, -180.0, 5.0), (2, 152.5, 10.0), (3, 181.0, 3.0)], "node int, lon double, lat double")
     out = ugrid.extent(nodes, 0.1)
     return out.select("xmin", "xmax", "ymin", "ymax")
 
@@ -343,7 +340,8 @@ def selected_cells(spark, d):
 
 # ---- curvilinear grids
 
-AFF = f"""{OFF}, g0 AS (SELECT pid, x, y, (2 * x - 0.5 * y) / 3.875 gi, (2 * y - 0.25 * x) / 3.875 gj FROM pts),
+OFF2 = OFF.replace("0.3", "0.31").replace("0.1 y", "0.17 y")
+AFF = f"""{OFF2}, g0 AS (SELECT pid, x, y, (2 * x - 0.5 * y) / 3.875 gi, (2 * y - 0.25 * x) / 3.875 gj FROM pts),
 g AS (SELECT pid, x, y, CASE WHEN ok THEN floor(gi)::BIGINT END i, CASE WHEN ok THEN floor(gj)::BIGINT END j, gi - floor(gi) l, gj - floor(gj) m FROM (SELECT *, gi >= 0 AND gi < {QX - 1} AND gj >= 0 AND gj < {QY - 1} ok FROM g0))"""
 
 
@@ -365,20 +363,20 @@ def _long(df, *names):
 
 @query("quad_locate", f"WITH {AFF} SELECT pid, coalesce(j, -1)::BIGINT j, coalesce(i, -1)::BIGINT i FROM g")
 def quad_locate(spark, d):
-    out = sgrid.locate(_off(spark, d), sgrid.cells(_affine(spark)))
+    out = sgrid.locate(_points(spark, d, 0.31, 0.17), sgrid.cells(_affine(spark)))
     return out.select("pid", *_long(out, "j", "i"))
 
 
 @query("quad_masked_locate", f"WITH {AFF} SELECT pid, CASE WHEN (i + j) % 5 = 0 THEN -1 ELSE coalesce(j, -1) END::BIGINT j, CASE WHEN (i + j) % 5 = 0 THEN -1 ELSE coalesce(i, -1) END::BIGINT i FROM g")
 def quad_masked_locate(spark, d):
     mask = _ji(spark, QY - 1, QX - 1).withColumn("masked", (F.col("i") + F.col("j")) % 5 == 0)
-    out = sgrid.locate(_off(spark, d), sgrid.cells(_affine(spark), mask))
+    out = sgrid.locate(_points(spark, d, 0.31, 0.17), sgrid.cells(_affine(spark), mask))
     return out.select("pid", *_long(out, "j", "i"))
 
 
 def _lm(spark, d, nodes):
     cell = sgrid.cells(nodes)
-    return sgrid.with_logical(sgrid.locate(_off(spark, d), cell), cell)
+    return sgrid.with_logical(sgrid.locate(_points(spark, d, 0.31, 0.17), cell), cell)
 
 
 @query("quad_logical_linear", f"WITH {AFF} SELECT pid, round(l, 6) l, round(m, 6) m FROM g WHERE i IS NOT NULL")
@@ -386,7 +384,7 @@ def quad_logical_linear(spark, d):
     return _lm(spark, d, _affine(spark)).where("i is not null").select("pid", _r("l").alias("l"), _r("m").alias("m"))
 
 
-@query("quad_logical_quadratic", f"WITH {OFF}, g AS (SELECT pid, x / (2 * (1 + 0.025 * y)) gi, y / 2 gj FROM pts) SELECT pid, round(gi - floor(gi), 6) l, round(gj - floor(gj), 6) m FROM g WHERE gi < {QX - 1} AND gj < {QY - 1}")
+@query("quad_logical_quadratic", f"WITH {OFF2}, g AS (SELECT pid, x / (2 * (1 + 0.025 * y)) gi, y / 2 gj FROM pts) SELECT pid, round(gi - floor(gi), 6) l, round(gj - floor(gj), 6) m FROM g WHERE gi < {QX - 1} AND gj < {QY - 1}")
 def quad_logical_quadratic(spark, d):
     return _lm(spark, d, _fan(spark)).where("i is not null").select("pid", _r("l").alias("l"), _r("m").alias("m"))
 
@@ -478,7 +476,7 @@ def center_to_node(spark, d):
     return sgrid.centers_to_nodes(field).select(F.col("j").cast("long"), F.col("i").cast("long"), F.col("value").alias("v"))
 
 
-@query("grid_lines", f"SELECT 'row' kind, j::BIGINT idx, {QX}::BIGINT n, 0.5 * j first_lon, 2.0 * j + 0.25 * {QX - 1} last_lat FROM range({QY}) a(j) UNION ALL SELECT 'column', i, {QY}, 2.0 * i, 2.0 * {QY - 1} + 0.25 * i FROM range({QX}) b(i)")
+@query("grid_lines", f"SELECT 'row' kind, j::BIGINT idx, {QX}::BIGINT n, (0.5 * j)::DOUBLE first_lon, (2.0 * j + 0.25 * {QX - 1})::DOUBLE last_lat FROM range({QY}) a(j) UNION ALL SELECT 'column', i, {QY}, (2.0 * i)::DOUBLE, (2.0 * {QY - 1} + 0.25 * i)::DOUBLE FROM range({QX}) b(i)")
 def grid_lines(spark, d):
     out = sgrid.grid_lines(_affine(spark))
     return out.select("kind", F.col("idx").cast("long"), F.size("line").cast("long").alias("n"), F.col("line")[0]["lon"].alias("first_lon"), F.element_at("line", -1)["lat"].alias("last_lat"))
@@ -498,19 +496,19 @@ def _levels_sql(values, op, order):
     return f"WITH {Z}, k AS (SELECT pid, z, {_dig('z', values, op) if order > 0 else f'({n} - {_dig(chr(122), values, op)})'} - 1 k FROM z)"
 
 
-@query("depth_levels_asc", f"{_levels_sql(LEVELS, '<=', 1)} SELECT pid, CASE WHEN k < 5 THEN k END::BIGINT k, CASE WHEN k < 5 THEN round((z - {_list(LEVELS)}[k + 1]) / ({_list(LEVELS)}[k + 2] - {_list(LEVELS)}[k + 1]), 6) END alpha FROM k")
+@query("depth_levels_asc", f"{_levels_sql(LEVELS, '<=', 1)} SELECT pid, CASE WHEN k < 5 THEN k END::BIGINT k, CASE WHEN k < 5 THEN round((z - {_list(LEVELS)}[k + 1]) / ({_list(LEVELS)}[k + 2] - {_list(LEVELS)}[k + 1]), 9) END alpha FROM k")
 def depth_levels_asc(spark, d):
     k, a = depth.Levels(LEVELS).weights(F.col("z"))
-    return _depths(spark, d).select("pid", k.cast("long").alias("k"), _r(a).alias("alpha"))
+    return _depths(spark, d).select("pid", k.cast("long").alias("k"), _r(a, 9).alias("alpha"))
 
 
 DOWN = LEVELS[::-1]
 
 
-@query("depth_levels_desc", f"{_levels_sql(DOWN, '<', -1)} SELECT pid, CASE WHEN k >= 0 THEN k END::BIGINT k, CASE WHEN k >= 5 THEN 0.0 WHEN k >= 0 THEN round((z - {_list(DOWN)}[k + 1]) / ({_list(DOWN)}[k + 2] - {_list(DOWN)}[k + 1]), 6) END alpha FROM k")
+@query("depth_levels_desc", f"{_levels_sql(DOWN, '<', -1)} SELECT pid, CASE WHEN k >= 0 THEN k END::BIGINT k, CASE WHEN k >= 5 THEN 0.0 WHEN k >= 0 THEN round((z - {_list(DOWN)}[k + 1]) / ({_list(DOWN)}[k + 2] - {_list(DOWN)}[k + 1]), 9) END alpha FROM k")
 def depth_levels_desc(spark, d):
     k, a = depth.Levels(DOWN).weights(F.col("z"))
-    return _depths(spark, d).select("pid", k.cast("long").alias("k"), _r(a).alias("alpha"))
+    return _depths(spark, d).select("pid", k.cast("long").alias("k"), _r(a, 9).alias("alpha"))
 
 
 BC = tuple((s, b) for s in depth.CONDITIONS for b in depth.CONDITIONS)
@@ -553,24 +551,24 @@ def _profile(spark, d, v):
 
 
 for _v in (1, 2):
-    query(f"sigma_profile_v{_v}", f"WITH {HZ} SELECT pid, " + ", ".join(f"round({e}, 6) + 0.0 p{k}" for k, e in enumerate(_roms_sql(_v))) + " FROM hz")(
-        lambda spark, d, v=_v: _profile(spark, d, v).select("pid", *[(_r(F.col("p")[k]) + 0.0).alias(f"p{k}") for k in range(len(S_W))])
+    query(f"sigma_profile_v{_v}", f"WITH {HZ} SELECT pid, " + ", ".join(f"round({e}, 9) + 0.0 p{k}" for k, e in enumerate(_roms_sql(_v))) + " FROM hz")(
+        lambda spark, d, v=_v: _profile(spark, d, v).select("pid", *[(_r(F.col("p")[k], 9) + 0.0).alias(f"p{k}") for k in range(len(S_W))])
     )
 
 
 @query("sigma_interp", f"""WITH {HZ}, p AS (SELECT pid, z, [{', '.join(_roms_sql(2))}] p FROM hz), k AS (SELECT pid, z, p, len(list_filter(p, lambda d: d > z)) - 1 k FROM p)
-SELECT pid, CASE WHEN k >= 0 THEN k END::BIGINT k, CASE WHEN k >= 4 THEN 0.0 WHEN k >= 0 THEN round((z - p[k + 1]) / (p[k + 2] - p[k + 1]), 6) END alpha FROM k""")
+SELECT pid, CASE WHEN k >= 0 THEN k END::BIGINT k, CASE WHEN k >= 4 THEN 0.0 WHEN k >= 0 THEN round((z - p[k + 1]) / (p[k + 2] - p[k + 1]), 9) END alpha FROM k""")
 def sigma_interp(spark, d):
     out = _profile(spark, d, 2)
     k, a = depth.in_profile(F.col("z"), F.col("p"))
-    return out.select("pid", k.cast("long").alias("k"), _r(a).alias("alpha"))
+    return out.select("pid", k.cast("long").alias("k"), _r(a, 9).alias("alpha"))
 
 
-@query("sigma_node", f"WITH {HZ} SELECT pid, " + ", ".join(f"round(-(zeta + (zeta + h) * {s}) + zeta, 6) + 0.0 p{k}" for k, s in enumerate((-1.0, -0.5, 0.0))) + " FROM hz")
+@query("sigma_node", f"WITH {HZ} SELECT pid, " + ", ".join(f"round(-(zeta + (zeta + h) * {s}) + zeta, 9) + 0.0 p{k}" for k, s in enumerate((-1.0, -0.5, 0.0))) + " FROM hz")
 def sigma_node(spark, d):
     levels = F.array(F.lit(-1.0), F.lit(-0.5), F.lit(0.0))
     p = depth.profile_below_surface(depth.sigma(levels, F.col("h"), F.col("zeta")), F.col("zeta"))
-    return _hz(spark, d).withColumn("p", p).select("pid", *[(_r(F.col("p")[k]) + 0.0).alias(f"p{k}") for k in range(3)])
+    return _hz(spark, d).withColumn("p", p).select("pid", *[(_r(F.col("p")[k], 9) + 0.0).alias(f"p{k}") for k in range(3)])
 
 
 # ---- fields
@@ -583,7 +581,7 @@ def _field4d(spark, name="temp", shift=0.0):
     grid = RectGrid(XS, YS)
     cells = grid.targets(spark).withColumn("t_idx", F.explode(F.sequence(F.lit(0), F.lit(len(MONTHS) - 1)))).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(len(LEVELS) - 1))))
     base = 2 * F.col("lon") + 3 * F.col("lat") + F.col("lon") * F.col("lat")
-    return Field(name, grid, cells.select("elem", "t_idx", "k", (base * (1 + F.col("k")) + F.col("t_idx") + shift).alias("value")), _axis_month(spark), depth.Levels(LEVELS))
+    return Field(name, grid, cells.select("elem", "t_idx", "k", (base * (1 + F.col("k")) + F.col("t_idx") + shift + PI3).alias("value")), _axis_month(spark), depth.Levels(LEVELS))
 
 
 def _points4d(spark, d):
@@ -592,9 +590,11 @@ def _points4d(spark, d):
     return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("pid", "lon", "lat", "z", "t")
 
 
+#: Keeps values off the halves that rounding would decide.
+PI3 = 0.0031415926535
 POS4 = f"""{AXIS}, p AS (SELECT ({PID})::BIGINT pid, l_quantity x, l_discount * 100 y, l_extendedprice / 10000 z, o_orderdate o FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 b AS (SELECT o, count(CASE WHEN t < o THEN 1 END) k, max(CASE WHEN t < o THEN t END) lo, min(CASE WHEN t >= o THEN t END) hi FROM (SELECT DISTINCT o FROM p), ax GROUP BY o),
-q AS (SELECT pid, 2 * x + 3 * y + x * y f, z, {_dig('z', LEVELS)} - 1 k, CASE WHEN lo IS NULL THEN 0.0 ELSE b.k - 1 + (epoch_us(p.o) - epoch_us(lo)) / (epoch_us(hi) - epoch_us(lo)) END tp FROM p JOIN b ON p.o = b.o),
+q AS (SELECT pid, 2 * x + 3 * y + x * y f, z, {_dig('z', LEVELS)} - 1 k, CASE WHEN lo IS NULL THEN 0.0 ELSE b.k - 1 + (epoch_us(p.o) - epoch_us(lo)) / (epoch_us(hi) - epoch_us(lo)) END + {PI3}::DOUBLE tp FROM p JOIN b ON p.o = b.o),
 r AS (SELECT *, CASE WHEN k < 5 THEN k + (z - {_list(LEVELS)}[k + 1]) / ({_list(LEVELS)}[k + 2] - {_list(LEVELS)}[k + 1]) END zp FROM q)"""
 
 
@@ -637,7 +637,7 @@ def field_extrapolate_unmask(spark, d):
     return f.at(points, extrapolate=True, unmask=True).select("pid", _r("f", 4).alias("v"))
 
 
-@query("regrid_r_to_s", f"WITH n AS (SELECT j, i, 2.0 * i + 0.5 * j x, 2.0 * j + 0.25 * i y FROM range({QY}) a(j), range({QX}) b(i)), t AS (SELECT * FROM range(4) r(t)) SELECT j::BIGINT j, i::BIGINT i, t::BIGINT t_idx, round(2 * x + 3 * y + x * y + t, 6) v FROM n, t WHERE x <= 51 AND y <= 11")
+@query("regrid_r_to_s", f"WITH n AS (SELECT j, i, (2.0 * i + 0.5 * j)::DOUBLE x, (2.0 * j + 0.25 * i)::DOUBLE y FROM range({QY}) a(j), range({QX}) b(i)), t AS (SELECT * FROM range(4) r(t)) SELECT j::BIGINT j, i::BIGINT i, t::BIGINT t_idx, round(2 * x + 3 * y + x * y + t, 6) v FROM n, t WHERE x <= 51 AND y <= 11")
 def regrid_r_to_s(spark, d):
     from ..operators.field import QuadGrid
 
@@ -717,7 +717,7 @@ def verdat_rings(spark, d):
     return ugrid.order_rings(df)
 
 
-@query("classic_cdf_roundtrip", "SELECT t::INTEGER t_idx, j::INTEGER j, i::INTEGER i, CASE WHEN (t + j + i) % 5 <> 0 THEN t * 100 + j * 10 + i + 0.25 END v FROM range(6) a(t), range(4) b(j), range(5) c(i) WHERE t BETWEEN 2 AND 4")
+@query("classic_cdf_roundtrip", "SELECT t::INTEGER t_idx, j::INTEGER j, i::INTEGER i, CASE WHEN (t + j + i) % 5 <> 0 THEN (t * 100 + j * 10 + i + 0.25)::DOUBLE END v FROM range(6) a(t), range(4) b(j), range(5) c(i) WHERE t BETWEEN 2 AND 4")
 def classic_cdf_roundtrip(spark, d):
     """A classic file written and read again, with a filter on the record dimension."""
     t, j, i = np.meshgrid(np.arange(6), np.arange(4), np.arange(5), indexing="ij")

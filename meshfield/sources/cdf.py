@@ -288,6 +288,8 @@ class CdfSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    """Makes the format known, and turns on the session's filter pushdown to Python sources."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(CdfSource)
 
 
