@@ -211,7 +211,7 @@ def write(path: str, dims: Mapping[str, int | None], variables: Mapping[str, tup
                 f.write(_pad(a.tobytes()))
         for r in range(n_rec):
             for k in records:
-                raw = arrays[k][1][r].tobytes()
+                raw = arrays[k][1][r : r + 1].tobytes()
                 f.write(raw if len(records) == 1 else _pad(raw))
 
 
