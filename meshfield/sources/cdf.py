@@ -231,6 +231,7 @@ class _Part(InputPartition):
     path: str
     start: int
     stop: int
+    base: int = 0
 
 
 class _Reader(DataSourceReader):
@@ -249,13 +250,14 @@ class _Reader(DataSourceReader):
             yield f  # Spark tests them again
 
     def partitions(self) -> list[InputPartition]:
-        parts = []
+        parts, base = [], 0
         for path in self.paths:
             v = read_header(path).variables[self.variable]
             n = v.shape[0] if v.shape else 1
             step = max(1, CHUNK // max(1, int(np.prod(v.shape[1:], dtype=np.int64))))
-            lo, hi = max(0, self.lo), min(n - 1, self.hi)
-            parts += [_Part(path, k, min(k + step, hi + 1)) for k in range(lo, hi + 1, step)]
+            lo, hi = max(0, self.lo - base), min(n - 1, self.hi - base)
+            parts += [_Part(path, k, min(k + step, hi + 1), base) for k in range(lo, hi + 1, step)]
+            base += n
         return parts or [_Part("", 0, 0)]
 
     def read(self, part: _Part) -> Iterator[pa.RecordBatch]:
@@ -267,7 +269,7 @@ class _Reader(DataSourceReader):
         fill = v.attrs.get("_FillValue", v.attrs.get("missing_value"))
         flat = a.reshape(-1).astype(np.float64) if v.dtype.kind != "S" else np.array([ord(x or b"\0") for x in a.reshape(-1)], np.float64)
         idx = np.stack(np.unravel_index(np.arange(flat.size), a.shape or (1,)), 1).astype(np.int32)
-        idx[:, 0] += part.start
+        idx[:, 0] += part.start + part.base
         gone = np.zeros(flat.size, bool) if fill is None else flat == np.float64(fill)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(0, idx.size + 1, idx.shape[1]), pa.int32()), pa.array(idx.reshape(-1)))
         yield pa.RecordBatch.from_arrays([pa.array([part.path] * flat.size, pa.string()), pa.array(idx[:, 0], pa.int32()), lists, pa.array(flat, mask=gone)], names=["file", "t_idx", "idx", "value"])
@@ -297,17 +299,7 @@ def load_variable(spark: SparkSession, path: str | Sequence[str], name: str) ->
     """One variable of one file, or of several joined along their leading dimension (file order): t_idx goes on from file to file."""
     register(spark)
     paths = [str(path)] if isinstance(path, str) or not isinstance(path, Sequence) else [str(p) for p in path]
-    df = spark.read.format("meshfield_cdf").option("paths", json.dumps(paths)).option("variable", name).load()
-    if len(paths) == 1:
-        return df.drop("file")
-    from pyspark.sql import functions as F
-
-    at, base = 0, []
-    for p in paths:
-        base += [F.lit(p), F.lit(at)]
-        at += read_header(p).variables[name].shape[0]
-    shift = F.create_map(*base)[F.col("file")]
-    return df.select((F.col("t_idx") + shift).alias("t_idx"), F.transform("idx", lambda x, k: F.when(k == 0, x + shift).otherwise(x)).alias("idx"), "value")
+    return spark.read.format("meshfield_cdf").option("paths", json.dumps(paths)).option("variable", name).load().drop("file")
 
 
 def metadata(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, dict[str, str]]:
