@@ -79,7 +79,7 @@ def tables(items: list[tuple[int, bytes | None]], window: int = WINDOW) -> list[
 
 
 def search(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs plus hits (one byte per word: 1 inside an occurrence), items (sorted ids of items that occur) and n_words.
+    """docs plus (or with other) hits (one byte per word: 1 inside an occurrence), items (sorted ids of items that occur) and n_words.
 
     Null or wordless texts: no words, no items. Items that are null, wordless or have a null id match nothing; repeated items count once.
     """
@@ -87,8 +87,8 @@ def search(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataF
     bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), binary().alias("body")).where("item_id is not null")
     total = bench.agg(F.sum(F.size(F.split(F.col("body").cast("string"), "[^0-9A-Za-z\\x{80}-\\x{10FFFF}]+")))).first()[0] or 0
     passes = max(1, -(-total // TABLE_WORDS))
-    docs_ = docs.withColumn("hits", F.lit(None).cast("binary")).withColumn("items", F.array().cast("array<long>")).withColumn("n_words", F.lit(0).cast("long"))
-    keep = docs.columns
+    keep = [c for c in docs.columns if c not in ("hits", "items", "n_words")]
+    docs_ = docs.select(*keep).withColumn("hits", F.lit(None).cast("binary")).withColumn("items", F.array().cast("array<long>")).withColumn("n_words", F.lit(0).cast("long"))
     for part in range(passes):
         own = sorted((r.item_id, bytes(r.body)) for r in bench.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == part).collect())
         shared = spark.sparkContext.broadcast(own)

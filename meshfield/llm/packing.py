@@ -1,14 +1,15 @@
 """Best-fit packing with certified repacking.
 
 Documents become token pieces of at most CAPACITY; pieces are dealt to partitions and each partition is packed by
-best-fit decreasing. A lower bound from dual-feasible functions certifies its number of bins: where both agree the
-partition is optimal and done. The others put the documents of their incomplete bins together, deal them anew and run
-again; a round counts only if it saves bins.
+best-fit decreasing. A lower bound from dual-feasible functions certifies its number of bins: where they all but agree the
+partition is done. The others put the documents of their emptier bins (those with more room than their
+partition's mean) together, deal them anew and run again; a round counts only if it saves bins.
 """
 
 from __future__ import annotations
 
 import base64
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,8 @@ CAPACITY, END = 2048, 0
 #: Pieces that one task packs.
 SHARE = 150_000
 ROUNDS = 3
+#: Bins above its bound from which a partition joins an exchange (a fraction: bins that are half empty in several partitions can be one).
+GAP = 0.25
 
 
 def default_vocabulary() -> str:
@@ -126,21 +129,24 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[
     return bins, offset, n
 
 
-def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY) -> int:
-    """The largest of several bounds, each from a dual-feasible function of the lengths."""
+def bound(lengths: np.ndarray, capacity: int = CAPACITY) -> float:
+    """No packing has fewer bins: the largest sum of several dual-feasible functions of the lengths (fractions of a bin count)."""
     count = np.bincount(lengths, minlength=capacity + 1)
     if not count.sum():
-        return 0
+        return 0.0
     x = np.arange(capacity + 1)
     num, mass = np.concatenate(([0], np.cumsum(count))), np.concatenate(([0], np.cumsum(count * x)))  # of lengths below
-    best = -(-int(mass[-1]) // capacity)
+    best = mass[-1] / capacity
     k = np.arange(1, capacity // 2 + 1)  # lengths over capacity - k count whole, those under k not at all
-    best = max(best, int((num[-1] - num[capacity - k + 1] - (-(mass[capacity - k + 1] - mass[k]) // capacity)).max()))
-    for t in range(2, 33):  # x -> x if (t + 1) * x / capacity is whole, else its floor, in units of 1 / (t * (t + 1))
+    best = max(best, (num[-1] - num[capacity - k + 1] + (mass[capacity - k + 1] - mass[k]) / capacity).max())
+    for t in range(2, 33):  # x stays where (t + 1) * x / capacity is whole, else it becomes its floor / t
         whole = (t + 1) * x % capacity == 0
-        val = np.where(whole, (t + 1) * x // capacity * t, (t + 1) * x // capacity * (t + 1))
-        best = max(best, -(-int((count * val).sum()) // (t * (t + 1))))
-    return best
+        best = max(best, (count * np.where(whole, x / capacity, (t + 1) * x // capacity / t)).sum())
+    return float(best)
+
+
+def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY) -> int:
+    return math.ceil(bound(lengths, capacity) - 1e-9)
 
 
 def pack(sized: DataFrame, capacity: int = CAPACITY, share: int = SHARE, rounds: int = ROUNDS) -> DataFrame:
@@ -162,14 +168,14 @@ def pack(sized: DataFrame, capacity: int = CAPACITY, share: int = SHARE, rounds:
             order = np.argsort(t.column("key").to_numpy())
             b, off, n = best_fit_decreasing(length[order], capacity)
             fill = np.bincount(b, weights=length[order], minlength=n).astype(np.int64)
-            gap = n - lower_bound(length, capacity)
+            gap = n - bound(length, capacity) >= GAP
+            loose = fill * n <= fill.sum()
             part = t.column("part")[0].as_py()
-            return pa.table({"key": pa.array(t.column("key").to_numpy()[order], pa.int64()), "length": pa.array(length[order], pa.int64()), "part": pa.array(np.full(len(b), part), pa.int64()), "bin": pa.array(b, pa.int64()), "offset": pa.array(off, pa.int64()), "fill": pa.array(fill[b], pa.int64()), "gap": pa.array(np.full(len(b), gap), pa.int64())})
+            return pa.table({"key": pa.array(t.column("key").to_numpy()[order], pa.int64()), "length": pa.array(length[order], pa.int64()), "part": pa.array(np.full(len(b), part), pa.int64()), "bin": pa.array(b, pa.int64()), "offset": pa.array(off, pa.int64()), "free": pa.array(gap & loose[b], pa.bool_())})
 
-        now = materialize(dealt.groupBy("part").applyInArrow(run, "key long, length long, part long, bin long, offset long, fill long, gap long"), "packed")
-        free = (F.col("gap") > 0) & (F.col("fill") < capacity)
-        named = now.select("key", (F.lit((r + 1) << 58) + F.shiftleft("part", 33) + F.col("bin")).alias("seq"), "offset", "length", free.alias("free"))
-        stats = now.where(F.col("offset") == 0).agg(F.count("*"), F.sum(free.cast("long")), F.count_distinct("part")).first()
+        now = materialize(dealt.groupBy("part").applyInArrow(run, "key long, length long, part long, bin long, offset long, free boolean"), "packed")
+        named = now.select("key", (F.lit((r + 1) << 58) + F.shiftleft("part", 33) + F.col("bin")).alias("seq"), "offset", "length", "free")
+        stats = now.where(F.col("offset") == 0).agg(F.count("*"), F.sum(F.col("free").cast("long")), F.count_distinct("part")).first()
         n_all, n_free, n_parts = stats[0] or 0, stats[1] or 0, stats[2] or 0
         if best is not None and n_all >= best:
             break  # the exchange saves nothing: what was there stays

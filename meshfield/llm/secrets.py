@@ -77,10 +77,10 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, version: str = RULE_V
 
     fresh = materialize(arrow_map(unseen, f, LEDGER), "secret-ledger")
     every = fresh if known is None else fresh.union(known.select("blob", "rule_version", "findings"))
-    some = materialize(every.where(F.size("findings") > 0).select(F.col("blob").alias("b"), "findings").dropDuplicates(["b"]), "secret-findings")
+    some = materialize(every.where(F.size("findings") > 0).select(F.col("blob").alias("_blob"), F.col("findings").alias("_findings")).dropDuplicates(["_blob"]), "secret-findings")
     names = [c for c in docs.columns if c not in ("blob", "findings")]
-    out = docs.select(*names).withColumn("blob", blob()).join(broadcast_if_small(some, 100_000), F.col("blob") == F.col("b"), "left")
-    return out.select(*names, "blob", F.coalesce("findings", F.array().cast(some.schema["findings"].dataType)).alias("findings")), fresh
+    out = docs.select(*names).withColumn("blob", blob()).join(broadcast_if_small(some, 100_000), F.col("blob") == F.col("_blob"), "left")
+    return out.select(*names, "blob", F.coalesce("_findings", F.array().cast(some.schema["_findings"].dataType)).alias("findings")), fresh
 
 
 def append_ledger(fresh: DataFrame, path: str) -> None:

@@ -60,10 +60,11 @@ def shard(docs: DataFrame, key: str = "doc_id", size: Column | None = None, limi
     cell_of_leaf = leaves.select("depth", start.alias("start")).withColumn("cell", F.call_function("shiftright", F.col("start"), F.lit(BITS - bits)))
     wide = F.call_function("shiftleft", F.lit(1).cast("long"), F.greatest(F.lit(bits) - F.col("depth"), F.lit(0)).cast("int"))
     directory = cell_of_leaf.withColumn("cell", F.explode(F.sequence(F.col("cell"), F.col("cell") + wide - 1)))
-    directory = materialize(directory.groupBy("cell").agg(F.sort_array(F.collect_list(F.struct("start", "depth")), asc=False).alias("leaves")), "shard-directory")
-    leaf = F.filter("leaves", lambda x: x["start"] <= F.col("_h"))[0]
-    out = rows.withColumn("_cell", _prefix("_h", F.lit(bits))).join(broadcast_if_small(directory, 200_000), F.col("_cell") == F.col("cell"))
-    return out.select(*keep, leaf["depth"].cast("int").alias("shard_depth"), F.expr(f"substring(lpad(bin(_h), {BITS}, '0'), 1, filter(leaves, x -> x.start <= _h)[0].depth)").alias("shard_prefix"), F.col("_bytes").alias("shard_bytes"))
+    directory = directory.groupBy(F.col("cell").alias("_shard_cell")).agg(F.sort_array(F.collect_list(F.struct("start", "depth")), asc=False).alias("_shard_leaves"))
+    directory = materialize(directory, "shard-directory")
+    leaf = F.filter("_shard_leaves", lambda x: x["start"] <= F.col("_h"))[0]
+    out = rows.withColumn("_cell", _prefix("_h", F.lit(bits))).join(broadcast_if_small(directory, 200_000), F.col("_cell") == F.col("_shard_cell"))
+    return out.select(*keep, leaf["depth"].cast("int").alias("shard_depth"), F.expr(f"substring(lpad(bin(_h), {BITS}, '0'), 1, filter(_shard_leaves, x -> x.start <= _h)[0].depth)").alias("shard_prefix"), F.col("_bytes").alias("shard_bytes"))
 
 
 def with_totals(sharded: DataFrame) -> DataFrame:
