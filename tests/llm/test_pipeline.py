@@ -59,7 +59,8 @@ def test_stages(spark, sf):
 
 def test_run(spark, sf):
     got = {r.doc_id for r in cp.run(spark, sf).collect()}
-    assert 8 not in got and 1 not in got and 2 not in got and {0, 3, None} <= got
+    first = set(kept(cp.classify(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf)))
+    assert got == first - {i for i in range(80) if i % 8 == 2} - {8} and len(got) > 50
     assert [n for n, _ in cp.STAGES] == ["quality classifier", "n-gram Jaccard join", "benchmark decontamination", "secret scans", "best-fit packing"]
 
 
