@@ -126,8 +126,8 @@ class Field:
 def at_points(fields: Mapping[str, Field], points: DataFrame, lon: str = "lon", lat: str = "lat", z: str = "z", t: str = "t", extrapolate: bool = False, strict: bool = True, unmask: bool = False) -> DataFrame:
     """points plus a column per field (I-02): fields share grid, time and depth, and so one set of weights and one join.
 
-    Values of one element stand in one array over (time step, level), so a point needs a join per corner of its cell at most, never a
-    row per weight: the plan has no aggregate over points. Off the grid the value is the grid's own (0 or null); masked corners follow
+    A field within the broadcast bound is looked up corner by corner, with no shuffle or aggregate of the points; a larger one is joined
+    on (element, time step) and summed back per point. Off the grid the value is the grid's own (0 or null); masked corners follow
     the grid (quads leave them out, others are masked); either side of a bracket that is null makes the value null.
     """
     first = next(iter(fields.values()))
@@ -150,41 +150,77 @@ def at_points(fields: Mapping[str, Field], points: DataFrame, lon: str = "lon",
         data = own if data is None else data.join(own, [c for c in own.columns if c != f"v{i}"], "full")
     slot = (F.col("t_idx") if "t_idx" in data.columns else F.lit(0)) * n_k + (F.col("k") if "k" in data.columns else F.lit(0))
     vals = [f"v{i}" for i in range(len(names))]
-    table = data.groupBy("elem").agg(F.sort_array(F.collect_list(F.struct(slot.cast("int").alias("s"), *vals))).alias("_m"))
-    table = join.small(table)
     size = 3 if isinstance(first.grid, TriGrid) else 4
-    for c in range(size):
-        t_c = table.select(F.col("elem").alias(f"_e{c}"), F.col("_m").alias(f"_m{c}"))
-        out = out.join(t_c, F.get("_elems", F.lit(c)) == F.col(f"_e{c}"), "left")
     skip = isinstance(first.grid, QuadGrid)
     times, levels = (("t_lo", "t_hi") if n_t > 1 else ("t_lo",)), (("_k0", "_k1") if n_k > 1 else ("_k0",))
+    args = (out, data, slot, vals, size, skip, times, levels, n_k)
+    out = _planes_by_lookup(*args) if join.is_small(data) else _planes_by_shuffle(*args)
+    rows, values = {}, {}
+    for i, n in enumerate(names):
+        for tt in times:
+            rows[f"_r{i}{tt}"] = lerp(F.col(f"_p{i}{tt}_k0"), F.col(f"_p{i}{tt}_k1"), F.col("_za")) if n_k > 1 else F.col(f"_p{i}{tt}_k0")
+        value = F.col(f"_r{i}t_lo")
+        if n_t > 1:
+            value = F.when(F.col("t_lo") == F.col("t_hi"), value).otherwise(lerp(value, F.col(f"_r{i}t_hi"), F.col("t_alpha")))
+        value = F.when(F.col("_elems").isNull(), F.lit(first.grid.off_grid).cast("double")).otherwise(value)
+        values[n] = F.coalesce(value, F.lit(float(fields[n].fill_value))) if unmask else value
+    out = out.withColumns(rows).withColumns(values)
+    gone = [c for c in out.columns if c.startswith("_") and c not in points.columns]
+    return out.drop("t_lo", "t_hi", "t_alpha", *gone)
+
+
+def _planes_by_lookup(out: DataFrame, data: DataFrame, slot: Column, vals: list[str], size: int, skip: bool, times, levels, n_k: int) -> DataFrame:
+    """out plus _p{field}{time}{level}: the weighted sum over corners. The field is broadcast, each element's values as one array over slots."""
+    table = data.groupBy("elem").agg(F.sort_array(F.collect_list(F.struct(slot.cast("int").alias("s"), *vals))).alias("_m"))
+    for c in range(size):
+        t_c = table.select(F.col("elem").alias(f"_e{c}"), F.col("_m").alias(f"_m{c}"))
+        out = out.join(F.broadcast(t_c), F.get("_elems", F.lit(c)) == F.col(f"_e{c}"), "left")
 
     def entry(c: int, at: Column) -> Column:
         """The entry of a slot: at its own index where no step or level is missing before it, else searched for."""
         m = F.col(f"_m{c}")
         return F.when(F.get(m, at)["s"] == at, F.get(m, at)).otherwise(F.get(F.filter(m, lambda e: e["s"] == at), F.lit(0)))
 
-    # Columns in steps, so that no lookup is repeated: entries, values of planes, levels, times.
+    # Columns in steps, so that no lookup is repeated.
     out = out.withColumns({f"_s{tt}{kk}": (F.col(tt) * n_k + F.col(kk)).cast("int") for tt in times for kk in levels})
     out = out.withColumns({f"_x{c}{tt}{kk}": entry(c, F.col(f"_s{tt}{kk}")) for c in range(size) for tt in times for kk in levels})
-    planes, rows, values = {}, {}, {}
-    for i, n in enumerate(names):
+    planes = {}
+    for v in vals:
         for tt in times:
             for kk in levels:
-                terms = [F.col(f"_x{c}{tt}{kk}")[f"v{i}"] for c in range(size)]
+                terms = [F.col(f"_x{c}{tt}{kk}")[v] for c in range(size)]
                 prods = [x * F.get("_w", F.lit(c)) for c, x in enumerate(terms)]
                 prods = [F.coalesce(p, F.lit(0.0)) for p in prods] if skip else prods
                 total = sum(prods[1:], prods[0])
-                planes[f"_p{i}{tt}{kk}"] = F.when(F.coalesce(*terms).isNotNull(), total) if skip else total
-            rows[f"_r{i}{tt}"] = lerp(F.col(f"_p{i}{tt}_k0"), F.col(f"_p{i}{tt}_k1"), F.col("_za")) if n_k > 1 else F.col(f"_p{i}{tt}_k0")
-        value = F.col(f"_r{i}t_lo")
-        if n_t > 1:
-            value = F.when(F.col("t_lo") == F.col("t_hi"), value).otherwise(lerp(value, F.col(f"_r{i}t_hi"), F.col("t_alpha")))
-        value = F.when(F.col("_elems").isNull(), F.lit(first.grid.off_grid).cast("double")).otherwise(value)
-        values[n] = F.coalesce(value, F.lit(float(fields[n].fill_value))) if unmask else value
-    out = out.withColumns(planes).withColumns(rows).withColumns(values)
-    gone = [c for c in out.columns if c.startswith("_") and c not in points.columns]
-    return out.drop("t_lo", "t_hi", "t_alpha", *gone)
+                planes[f"_p{v[1:]}{tt}{kk}"] = F.when(F.coalesce(*terms).isNotNull(), total) if skip else total
+    return out.withColumns(planes)
+
+
+def _planes_by_shuffle(out: DataFrame, data: DataFrame, slot: Column, vals: list[str], size: int, skip: bool, times, levels, n_k: int) -> DataFrame:
+    """The same for a field too large to broadcast: one row per point, corner and time, one join on (element, time), one aggregate back."""
+    t_of = F.col("t_idx") if "t_idx" in data.columns else F.lit(0)
+    k_of = F.col("k") if "k" in data.columns else F.lit(0)
+    table = data.groupBy("elem", t_of.cast("int").alias("_dt")).agg(F.collect_list(F.struct(k_of.cast("int").alias("s"), *vals)).alias("_m"))
+    keep = out.columns
+    wanted = F.explode_outer(F.arrays_zip(F.col("_elems"), F.col("_w")))
+    spread = out.withColumn("_row", F.monotonically_increasing_id()).withColumn("_c", wanted)
+    spread = spread.withColumn("_tt", F.explode(F.array(*map(F.lit, times))))
+    at = F.col(times[0]) if len(times) == 1 else F.when(F.col("_tt") == "t_lo", F.col("t_lo")).otherwise(F.col("t_hi"))
+    got = spread.withColumn("_at", at).join(table.withColumnRenamed("elem", "_de"), (F.col("_c._elems") == F.col("_de")) & (F.col("_at") == F.col("_dt")), "left")
+    for kk in levels:
+        got = got.withColumn(f"_x{kk}", _level(kk))
+    aggs = [F.first(F.struct(*keep)).alias("_keep")]
+    for v in vals:
+        for tt in times:
+            for kk in levels:
+                here = F.when(F.col("_tt") == tt, F.col(f"_x{kk}")[v])
+                total = F.sum(here * F.col("_c._w"))
+                aggs.append((total if skip else F.when(F.count(here) == size, total)).alias(f"_p{v[1:]}{tt}{kk}"))
+    return got.groupBy("_row").agg(*aggs).select("_keep.*", *[f"_p{v[1:]}{tt}{kk}" for v in vals for tt in times for kk in levels])
+
+
+def _level(kk: str) -> Column:
+    return F.get(F.filter("_m", lambda e: e["s"] == F.col(kk)), F.lit(0))
 
 
 @dataclass(frozen=True)

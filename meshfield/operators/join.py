@@ -13,9 +13,13 @@ from ..functions.expressions import in_polygon, squared_distance
 BROADCAST_ROWS = 200_000
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df marked for broadcast if it has at most that many rows."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def is_small(df: DataFrame) -> bool:
+    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df marked for broadcast if it has at most BROADCAST_ROWS rows."""
+    return F.broadcast(df) if is_small(df) else df
 
 
 def with_boxes(cells: DataFrame) -> DataFrame:

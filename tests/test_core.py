@@ -345,7 +345,9 @@ def grids(spark):
     return [RectGrid(tuple(map(float, range(9))), tuple(map(float, range(6)))), QuadGrid(nodes), TriGrid(spark.createDataFrame(faces, "face int, nodes array<int>"), flat)]
 
 
-def test_affine_fields_are_exact(spark):
+@pytest.mark.parametrize("limit", [200_000, 0])
+def test_affine_fields_are_exact(spark, monkeypatch, limit):
+    monkeypatch.setattr(join, "BROADCAST_ROWS", limit)  # looked up, or shuffled
     r = np.random.default_rng(3)
     rows = [(k, float(r.uniform(2, 5)), float(r.uniform(1, 3)), float(r.uniform(0, 9.9)), datetime(2020, 1, 1) + timedelta(hours=float(r.uniform(0, 18)))) for k in range(50)]
     p = spark.createDataFrame(rows, "pid long, lon double, lat double, z double, t timestamp_ntz")
@@ -355,7 +357,9 @@ def test_affine_fields_are_exact(spark):
         assert got == pytest.approx(want)
 
 
-def test_off_grid_and_masks(spark):
+@pytest.mark.parametrize("limit", [200_000, 0])
+def test_off_grid_and_masks(spark, monkeypatch, limit):
+    monkeypatch.setattr(join, "BROADCAST_ROWS", limit)
     p = spark.createDataFrame([(0, 99.0, 99.0, 1.0, datetime(2020, 1, 1)), (1, 3.0, 2.0, 50.0, datetime(2020, 1, 1)), (2, 3.0, 2.0, -5.0, datetime(2020, 1, 1))], "pid long, lon double, lat double, z double, t timestamp_ntz")
     for g, off in zip(grids(spark), (0.0, None, 0.0), strict=True):
         got = column(affine(g, spark).at(p), "f")
