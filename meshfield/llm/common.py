@@ -112,6 +112,10 @@ def distinct_sorted(x: np.ndarray) -> np.ndarray:
     return s[np.concatenate(([True], s[1:] != s[:-1]))] if len(s) else s
 
 
+#: Edges of a forest that one task may finish; more go through rounds.
+FEW_EDGES = 10_000
+
+
 def connected_components(edges: DataFrame, name: str = "cc", rounds: int = 40) -> DataFrame:
     """edges (u long, v long), any direction -> (node, label): the smallest node of each component, for nodes that have an edge.
 
@@ -120,6 +124,8 @@ def connected_components(edges: DataFrame, name: str = "cc", rounds: int = 40) -
     """
     spark = edges.sparkSession
     e = materialize(contract(edges.select("u", "v").where("u <> v")), name)
+    if e.limit(FEW_EDGES + 1).count() <= FEW_EDGES:
+        return e.coalesce(1).mapInArrow(_labels, "node long, label long")
     last = None
     for _ in range(rounds):
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -140,6 +146,16 @@ def connected_components(edges: DataFrame, name: str = "cc", rounds: int = 40) -
     return e.select(F.col("u").alias("node"), F.col("v").alias("label")).union(roots.select("node", F.col("node").alias("label"))).groupBy("node").agg(F.min("label").alias("label"))
 
 
+def _labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, smallest node of its component) of all edges of one task."""
+    parts = [[b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)] for b in batches if b.num_rows]
+    if parts:
+        u, v = (np.concatenate(x) for x in zip(*parts, strict=True))
+        nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+        label = components(len(nodes), at[: len(u)], at[len(u) :])
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(nodes[label], pa.int64())], names=["node", "label"])
+
+
 def contract(edges: DataFrame) -> DataFrame:
     """Each batch of edges becomes (node, smallest node of its tree in the batch): a spanning forest with no more rows than nodes."""
 

@@ -1,7 +1,9 @@
 import random
 
 import pyspark.sql.functions as F
+import pytest
 
+from meshfield.llm import common
 from meshfield.llm import ngram_join as nj
 
 
@@ -53,7 +55,9 @@ def corpus(n, seed=1):
     return rows
 
 
-def test_against_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("few", [10_000, 0])
+def test_against_brute_force(spark, monkeypatch, few):
+    monkeypatch.setattr(common, "FEW_EDGES", few)  # components in one task, or in rounds
     monkeypatch.setattr(nj, "BLOCK", 8)  # large components: pairs of blocks
     rows = corpus(160) + [(1000, None), (1001, ""), (1002, " \n "), (1003, "Ä Ö"), (1004, "ä ö"), (1005, "A b"), (1006, "a\tB")]
     assert run(spark, rows) == brute(rows)
