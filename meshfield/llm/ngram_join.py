@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from .common import WordHashes, arrow_map, binary, broadcast_if_small, components, connected_components, distinct_sorted, materialize, shingle_hashes
 
 FRAGMENTS = 4
-#: N-grams of the first fragment counted in one bucket, and texts compared in one block.
-BUCKET, BLOCK = 400_000, 512
+#: N-grams of the first fragment counted in one bucket; texts, and n-grams of them, compared in one block (a longer text is a block).
+BUCKET, BLOCK, BLOCK_GRAMS = 400_000, 512, 1_000_000
 LIGHT = "doc_id long, n_shingles long, cls long, n0 long"
 _HASHES = WordHashes()
 
@@ -178,10 +178,11 @@ def _links(docs: DataFrame, classes: DataFrame, posting: DataFrame, k: int, num:
     """Spanning links (u, v) between classes, and for each linked class the number of documents in the others (cls, others)."""
     heads = posting.groupBy("token").agg(F.min("cls").alias("head"), F.max("cls").alias("tail")).where("head < tail")
     near = connected_components(posting.join(heads, "token").where("cls <> head").select(F.col("cls").alias("u"), F.col("head").alias("v")), "ngram-near")
-    near = materialize(near, "ngram-near-labels")
-    cells = max(1, -(-near.count() // BLOCK))
-    sizes = near.groupBy("label").agg(F.count("*").alias("size"))
-    placed = near.join(sizes, "label").withColumn("m", F.ceil(F.col("size") / BLOCK).cast("int"))
+    near = materialize(near.join(classes.select(F.col("cls").alias("node"), "n_shingles"), "node"), "ngram-near-labels")
+    count, grams = near.agg(F.count("*"), F.sum("n_shingles")).first()
+    cells = max(1, -(-count // BLOCK), -(-(grams or 0) // BLOCK_GRAMS))
+    sizes = near.groupBy("label").agg(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / BLOCK_GRAMS).alias("size"))
+    placed = near.join(sizes, "label").withColumn("m", F.ceil("size").cast("int"))
     placed = placed.withColumn("side", F.pmod(F.xxhash64("node"), F.col("m")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
     lo, hi = F.least("side", "other"), F.greatest("side", "other")
     group = F.when(F.col("m") == 1, F.pmod(F.xxhash64("label"), F.lit(cells))).otherwise(F.xxhash64("label", lo, hi))
