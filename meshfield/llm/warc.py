@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, broadcast_if_small, materialize, new_path
 
-#: Payload bytes of one archive file, and captures in one range of the merged index.
-ARCHIVE_BYTES, RANGE = 12_000_000, 200_000
+#: Payload bytes of one archive file, captures in one range of the merged index, and ranges at most (their bounds are all that the driver holds).
+ARCHIVE_BYTES, RANGE, MAX_RANGES = 12_000_000, 20_000, 20_000
 INDEX = "url_key string, timestamp string, page_id long, record long, record_type string, refers_to long, payload_digest string, payload_bytes long, archive string, offset long"
 #: Pages carry no time: record n is dated n seconds after this.
 EPOCH = datetime(2000, 1, 1)
@@ -137,7 +137,7 @@ def runs(spark, path: str) -> DataFrame:
         return pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["archive", "run"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select(F.element_at(F.split("path", "/"), -1).alias("archive"), "content")
-    return arrow_map(files.repartition(max(1, min(2000, files.select("archive").count())), "archive"), f, "archive string, run binary")
+    return arrow_map(files, f, "archive string, run binary")
 
 
 def _order(x: tuple) -> tuple:
@@ -211,7 +211,7 @@ def merged_index(runs_: DataFrame, in_range: int = RANGE) -> DataFrame:
     parts = max(1, -(-n * max(1, in_range // 100) // in_range))
     bounds = []
     if parts > 1:
-        ranked = drawn.repartitionByRange(min(parts, 2000), "k", "t", "p").sortWithinPartitions("k", "t", "p")
+        ranked = drawn.repartitionByRange(min(parts, MAX_RANGES), "k", "t", "p").sortWithinPartitions("k", "t", "p")
         bounds = sorted((r.k, r.t, r.p) for r in arrow_map(ranked, lambda b: b.slice(b.num_rows - 1, 1), "k string, t string, p long").collect())[:-1]
     shared = spark.sparkContext.broadcast(bounds)
 
@@ -246,7 +246,7 @@ def merged_index(runs_: DataFrame, in_range: int = RANGE) -> DataFrame:
             if rows:
                 yield _rows(rows)
 
-    dealt = arrow_map(runs_, cut, "range long, run binary").repartitionByRange(min(max(1, len(bounds) + 1), 20_000), "range")
+    dealt = arrow_map(runs_, cut, "range long, run binary").repartitionByRange(len(bounds) + 1, "range")
     return dealt.mapInArrow(merge, f"range long, place long, {INDEX}")
 
 
