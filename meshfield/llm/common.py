@@ -52,7 +52,7 @@ def binary(col: str = "text") -> F.Column:
 
 
 #: Bytes of a batch that arrow_map hands over at once (a longer row comes alone): keeps a worker's Python objects small.
-SLICE = 3_000_000
+SLICE = 2_000_000
 
 
 def arrow_map(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
@@ -62,6 +62,7 @@ def arrow_map(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None
             for at in range(0, b.num_rows, step):
                 if (out := f(b.slice(at, step))) is not None and out.num_rows:
                     yield out
+            pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 
@@ -69,7 +70,7 @@ def arrow_map(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None
 class WordHashes(dict):
     """word (bytes) -> 8 bytes of its hash; forgets all when it has grown too large."""
 
-    LIMIT = 300_000
+    LIMIT = 80_000
 
     def __missing__(self, word: bytes) -> bytes:
         v = self[word] = xxhash.xxh64_digest(word)

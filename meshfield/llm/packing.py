@@ -36,7 +36,7 @@ def default_vocabulary() -> str:
 class Tokens:
     """Byte-level BPE ids as little-endian uint32 bytes. A chunk that starts at a single space between non-spaces never shares a token with what precedes it, so chunks are encoded once and remembered."""
 
-    LIMIT = 400_000
+    LIMIT = 120_000
 
     def __init__(self, vocabulary: str):
         import public_tokenizers

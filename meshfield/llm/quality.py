@@ -25,7 +25,7 @@ _MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 class Shapes(dict):
     """word -> 8 bytes: 7 of its hash and its shape."""
 
-    LIMIT = 300_000
+    LIMIT = 80_000
 
     def __missing__(self, w: bytes) -> bytes:
         core = w.rstrip(_MARKS)
