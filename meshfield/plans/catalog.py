@@ -333,7 +333,7 @@ def locate_or_nearest(spark, d):
 @query("selected_cells", f"WITH {OFF}, {MESH}, {BARY} SELECT pid, face::BIGINT face, n.node::BIGINT node, n.lon node_lon, n.lat node_lat, round((ax + bx + cx) / 3, 6) center_lon FROM pts JOIN loc USING (x, y) JOIN tri USING (face) JOIN nodes n ON list_contains(tri.ns, n.node) WHERE pid % 50 = 1")
 def selected_cells(spark, d):
     nodes, faces = _mesh(spark)
-    picked = ugrid.locate(_off(spark, d).where("pid % 50 = 1"), faces, nodes).where("face is not null")
+    picked = ugrid.locate(_off(spark, d), faces, nodes).where("face is not null")
     out = ugrid.face_node_rows(faces, nodes, picked)
     return out.select("pid", "face", F.col("node").cast("long"), "node_lon", "node_lat", _r("center_lon").alias("center_lon"))
 

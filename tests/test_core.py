@@ -519,3 +519,29 @@ def test_mask_flags(spark):
     got = column(df.withColumn("m", metadata.mask_from_flags(F.col("c"), [0, 1, 2], "land WATER Lake")), "m")
     assert got == [True, False, False, True]
     assert column(df.withColumn("m", metadata.mask_from_options(F.col("c"))), "m") == [True, False, True, True]
+
+
+# ---- registered queries
+
+
+def test_selected_cells(spark, tmp_path):
+    """Every point inside the mesh has its face's corners, whatever its id: against brute force over all faces."""
+    from meshfield.plans import catalog
+
+    rows = [(o, n, float(7 * o % 50 + 1), (3 * o + n) % 11 / 100) for o in range(1, 12) for n in (1, 2, 3)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_quantity double, l_discount double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    xy = {n: (2.0 * (n % catalog.NX) + 0.5 * (n // catalog.NX), 2.0 * (n // catalog.NX)) for n in range(catalog.NX * catalog.NY)}
+    faces = {}
+    for q in range((catalog.NX - 1) * (catalog.NY - 1)):
+        n = q // (catalog.NX - 1) * catalog.NX + q % (catalog.NX - 1)
+        faces |= {2 * q: (n, n + 1, n + catalog.NX + 1), 2 * q + 1: (n, n + catalog.NX + 1, n + catalog.NX)}
+    want = set()
+    for o, k, x, y in rows:
+        x, y = x + 0.3, y * 100 + 0.1
+        for f, ns in faces.items():
+            sides = [(xy[a], xy[b]) for a, b in zip(ns, ns[1:] + ns[:1], strict=True)]
+            if all((bx - ax) * (y - ay) - (by - ay) * (x - ax) >= 0 for (ax, ay), (bx, by) in sides):
+                want |= {(o * 10 + k, f, n, *xy[n], round(sum(xy[m][0] for m in ns) / 3, 6)) for n in ns}
+    got = [tuple(r) for r in catalog.queries()["selected_cells"](spark, str(tmp_path)).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert {p % 50 for p, *_ in want} > {1}
