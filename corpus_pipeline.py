@@ -10,6 +10,8 @@ from meshfield.llm import decontaminate, ngram_join, packing, quality, secrets
 from meshfield.llm.common import arrow_map, broadcast_if_small, materialize
 
 DOCUMENTS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Words of a shingle and least similarity of near copies (op3 has its own).
+NEAR = {"k": 5, "num": 80, "den": 100}
 
 
 def _columns(docs: DataFrame) -> DataFrame:
@@ -24,7 +26,7 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents, the one with the smallest id. Documents with a null id stay."""
-    found = ngram_join.ngram_jaccard_join(docs)
+    found = ngram_join.ngram_jaccard_join(docs, **NEAR)
     gone = materialize(found.where("component_id <> doc_id").select(F.col("doc_id").alias("gone")).distinct(), "duplicates")
     return _columns(docs.join(broadcast_if_small(gone, 1_000_000), F.col("doc_id") == F.col("gone"), "left_anti"))
 

@@ -69,3 +69,37 @@ def test_empty(spark, sf):
     for _, stage in cp.STAGES:
         out = stage(spark, docs, sf)
         assert out.count() == 0
+
+
+def plain_groups(rows):
+    """Row number -> smallest row number of its group: 5-word shingles, similarity 0.8."""
+    w = [(t or "").split() for _, t in rows]
+    sets = [{tuple(x[k : k + 5]) for k in range(max(1, len(x) - 4))} if x else set() for x in w]
+    label = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]):
+                x, y = sorted((label[a], label[b]))
+                label = [x if z == y else z for z in label]
+    return label
+
+
+def as_docs(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], SCHEMA)
+
+
+def test_near_duplicates_threshold(spark):
+    """A copy that five words at 0.8 link and three words at 0.9 do not, and a corpus against brute force."""
+    r = random.Random(5)
+    base = [f"w{r.random()}" for _ in range(500)]
+    copy = [f"x{i}" if i % 50 == 25 else w for i, w in enumerate(base)]
+    rows = [(1, " ".join(base)), (2, " ".join(copy))]
+    for i in range(3, 150):
+        w = r.choice(rows)[1].split() if r.random() < 0.7 else [f"v{r.randrange(300)}" for _ in range(r.choice([3, 5, 20, 90]))]
+        for _ in range(r.randrange(4)):
+            w[r.randrange(len(w))] = f"v{r.randrange(300)}"
+        rows.append((i, " ".join(w)))
+    assert [x.n_links for x in cp.ngram_join.ngram_jaccard_join(as_docs(spark, rows[:2])).collect()] == [0, 0]
+    assert kept(cp.near_duplicates(spark, as_docs(spark, rows[:2]), "")) == [1]
+    label = plain_groups(rows)
+    assert set(kept(cp.near_duplicates(spark, as_docs(spark, rows), ""))) == {i for k, (i, _) in enumerate(rows) if label[k] == k}
