@@ -25,10 +25,15 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents, the one with the smallest id. Documents with a null id stay."""
-    found = ngram_join.ngram_jaccard_join(docs, **NEAR)
-    gone = materialize(found.where("component_id <> doc_id").select(F.col("doc_id").alias("gone")).distinct(), "duplicates")
-    return _columns(docs.join(broadcast_if_small(gone, 1_000_000), F.col("doc_id") == F.col("gone"), "left_anti"))
+    """Of each group of linked rows, the one with the smallest id, null ids last; one row too where ids repeat or are null. Texts without words stay."""
+    rows = materialize(_columns(docs).withColumn("row", F.monotonically_increasing_id()), "rows")
+    found = ngram_join.ngram_jaccard_join(rows.select(F.col("row").alias("doc_id"), "text"), **NEAR)
+    linked = found.where("n_links > 0").select(F.col("doc_id").alias("row"), "component_id")
+    linked = materialize(linked.join(rows.select("row", "doc_id"), "row"), "linked")
+    first = linked.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("least"))
+    gone = linked.join(first.select(F.col("least.row").alias("row")), "row", "left_anti")
+    gone = materialize(gone.select(F.col("row").alias("gone")), "duplicates")
+    return _columns(rows.join(broadcast_if_small(gone, 1_000_000), F.col("row") == F.col("gone"), "left_anti"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -103,3 +103,14 @@ def test_near_duplicates_threshold(spark):
     assert kept(cp.near_duplicates(spark, as_docs(spark, rows[:2]), "")) == [1]
     label = plain_groups(rows)
     assert set(kept(cp.near_duplicates(spark, as_docs(spark, rows), ""))) == {i for k, (i, _) in enumerate(rows) if label[k] == k}
+
+
+def test_near_duplicates_repeated_ids(spark):
+    """One row of each group, where ids repeat with the same or another text or are null."""
+    r = random.Random(6)
+    a, b, c, d = (" ".join(f"w{r.random()}" for _ in range(60)) for _ in range(4))
+    rows = [(7, a), (7, a), (3, b), (9, b + " tail"), (9, c), (None, d), (None, d), (None, d + " tail"), (5, a + " tail"), (None, b), (8, None), (8, None), (None, "")]
+    got = sorted(((x.doc_id, x.text) for x in cp.near_duplicates(spark, as_docs(spark, rows), "").collect()), key=str)
+    at_d = [x for x in got if (x[1] or "").startswith(d)]
+    assert len(at_d) == 1 and at_d[0][0] is None
+    assert [x for x in got if x not in at_d] == sorted([(5, a + " tail"), (3, b), (9, c), (8, None), (8, None), (None, "")], key=str)
