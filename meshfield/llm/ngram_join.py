@@ -174,6 +174,12 @@ def _postings(docs: DataFrame, classes: DataFrame, k: int, num: int, den: int, b
     return own.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(prefixes, "token long, cls long")
 
 
+def _by_class(b: pa.RecordBatch, k: int) -> pa.RecordBatch | None:
+    """One text of each class in the batch."""
+    own = {class_of(s): t for s, t in zip(shingle_sets(_texts(b, 0), k), _texts(b, 0), strict=True) if len(s)}
+    return pa.RecordBatch.from_arrays([pa.array(list(own), pa.int64()), pa.array(list(own.values()), pa.binary())], names=["node", "body"]) if own else None
+
+
 def _links(docs: DataFrame, classes: DataFrame, posting: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """Spanning links (u, v) between classes, and for each linked class the number of documents in the others (cls, others)."""
     heads = posting.groupBy("token").agg(F.min("cls").alias("head"), F.max("cls").alias("tail")).where("head < tail")
@@ -188,8 +194,14 @@ def _links(docs: DataFrame, classes: DataFrame, posting: DataFrame, k: int, num:
     group = F.when(F.col("m") == 1, F.pmod(F.xxhash64("label"), F.lit(cells))).otherwise(F.xxhash64("label", lo, hi))
     placed = placed.select("node", "label", F.when(lo == hi, F.lit(-1)).otherwise(F.col("side")).alias("side"), group.alias("g"), (F.col("m") > 1).alias("big"))
     route = placed.groupBy("node").agg(F.first("label").alias("label"), F.collect_list(F.struct("g", "side")).alias("to"))
-    route = materialize(route.join(classes.select(F.col("cls").alias("node"), "rep", "copies"), "node").where("rep is not null"), "ngram-route")
-    text = docs.select(F.col("doc_id").cast("long").alias("rep"), binary().alias("body")).join(broadcast_if_small(route.select("rep", "node", "label", "copies", "to"), BLOCK * 200), "rep")
+    route = materialize(route.join(classes.select(F.col("cls").alias("node"), "rep", "copies"), "node"), "ngram-route")
+    body = docs.select(F.col("doc_id").cast("long").alias("rep"), binary().alias("body"))
+    text = body.join(broadcast_if_small(route.where("rep is not null").select("rep", "node", "label", "copies", "to"), BLOCK * 200), "rep")
+    unnamed = route.where("rep is null")
+    if not unnamed.isEmpty():  # sets of which no document has an id: by class key, one text of each
+        keyed = arrow_map(body.where("rep is null").select("body"), lambda b: _by_class(b, k), "node long, body binary")
+        keyed = keyed.join(unnamed.select("node"), "node", "left_semi").groupBy("node").agg(F.first("body").alias("body"))
+        text = text.select("body", "node", "label", "copies", "to").union(keyed.join(unnamed, "node").select("body", "node", "label", "copies", "to"))
 
     def cut(b: pa.RecordBatch) -> pa.RecordBatch | None:
         out: dict[str, list] = {c: [] for c in ("g", "fragment", "cls", "label", "side", "n", "copies", "segment")}

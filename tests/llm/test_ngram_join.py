@@ -80,3 +80,18 @@ def test_empty_and_repeated(spark):
     df = spark.createDataFrame([(1, "a b c d"), (1, "a b c d"), (None, "a b c d"), (None, None)], "doc_id long, text string")
     got = sorted((r.doc_id or -1, r.n_shingles, r.component_id or -1) for r in nj.ngram_jaccard_join(df).collect())
     assert got == [(-1, 0, -1), (-1, 2, 1), (1, 2, 1), (1, 2, 1)]
+
+
+def test_null_ids_link(spark):
+    """A text whose documents all have null ids counts as a partner, and links two documents that it alone joins."""
+    base = [f"t{i}" for i in range(200)]
+
+    def changed(*at):
+        return " ".join(f"x{i}" if i in at else w for i, w in enumerate(base))
+
+    rows = [(1, changed(20, 60)), (2, changed(100, 140)), (None, changed()), (None, changed())]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id or -1, r.component_id, r.n_links) for r in nj.ngram_jaccard_join(df).collect())
+    assert got == [(-1, 1, 3), (-1, 1, 3), (1, 1, 2), (2, 1, 2)]
+    alone = spark.createDataFrame([(None, changed()), (None, changed(20))], "doc_id long, text string")
+    assert [(r.component_id, r.n_links) for r in nj.ngram_jaccard_join(alone).collect()] == [(None, 1), (None, 1)]
