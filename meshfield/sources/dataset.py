@@ -109,6 +109,9 @@ def load_field(spark: SparkSession, path: str | Sequence[str], name: str, grid=N
         levels = next((n for n in metadata.DEPTH_LEVELS if n in v and tuple(v[n].dims) == (rest[0],)), None)
         if levels:
             level = depth.Levels.loaded(np.asarray(cdf.read_values(paths[0], h, levels), float).tolist())
+    loose = [d for d in (rest[1:] if level is not None else rest) if meta.shape[meta.dims.index(d)] != 1]
+    if loose:  # sigma layers, for one: their values would fall into one slot
+        raise ValueError(f"no levels for the dimension {', '.join(loose)}: sigma depths are not loaded")
     df = cdf.load_variable(spark, paths, name)
     idx = lambda k: F.element_at("idx", k)
     if isinstance(grid, RectGrid):

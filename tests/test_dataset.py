@@ -63,3 +63,13 @@ def test_one_based_names_and_levels(spark, tmp_path):
     assert [r.nodes for r in f.grid.faces.orderBy("face").collect()] == [[0, 1, 2], [1, 3, 2]]
     p = spark.createDataFrame([(0, 0.5, 0.5, 2.5)], "pid long, lon double, lat double, z double")
     assert f.at(p).first().salt == pytest.approx((1 + 2) / 3 + 2)
+
+
+def test_sigma_layers_are_an_error(spark, tmp_path):
+    path = str(tmp_path / "s.nc")
+    base = {"lon": (("node",), np.array([0, 1.5, 0, 1.5]), {}), "lat": (("node",), np.array([0, 0, 1.5, 1.5]), {}), "nv": (("nele", "three"), np.array([[1, 2, 3], [2, 4, 3]], "i4"), {})}
+    v = np.arange(8.0).reshape(2, 4)
+    cdf.write(path, {"node": 4, "nele": 2, "three": 3, "siglay": 2, "one": 1}, {**base, "siglay": (("siglay", "node"), v, {}), "h": (("node",), v[0], {}), "salt": (("siglay", "node"), v, {}), "top": (("one", "node"), v[:1], {})})
+    with pytest.raises(ValueError, match="siglay"):
+        dataset.load_field(spark, path, "salt")
+    assert dataset.load_field(spark, path, "top").data.count() == 4
