@@ -55,14 +55,19 @@ def binary(col: str = "text") -> F.Column:
 SLICE = 2_000_000
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        step = max(1, int(b.num_rows * SLICE / max(b.nbytes, SLICE)))
+        for at in range(0, b.num_rows, step):
+            yield b.slice(at, step)
+        pa.default_memory_pool().release_unused()
+
+
 def arrow_map(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            step = max(1, int(b.num_rows * SLICE / max(b.nbytes, SLICE)))
-            for at in range(0, b.num_rows, step):
-                if (out := f(b.slice(at, step))) is not None and out.num_rows:
-                    yield out
-            pa.default_memory_pool().release_unused()
+        for b in slices(batches):
+            if (out := f(b)) is not None and out.num_rows:
+                yield out
 
     return df.mapInArrow(run, schema)
 
@@ -107,6 +112,26 @@ def distinct_sorted(x: np.ndarray) -> np.ndarray:
     return s[np.concatenate(([True], s[1:] != s[:-1]))] if len(s) else s
 
 
+#: Keys of which a join broadcasts the rows at most (those with the most rows on the other side).
+HOT_KEYS = 100_000
+
+
+def keyed_join(rows: DataFrame, keyed: DataFrame, key: str, weight: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined with keyed (materialized; one row per key, weight: how many of the total rows have the key).
+
+    Keys with more rows than total / HOT_KEYS (2,000 at least) are joined by broadcast, so that no task holds all rows of a hot key; the
+    rest is shuffled. There cannot be more than HOT_KEYS such keys.
+    """
+    hot = max(2_000, total // HOT_KEYS)
+    some = keyed.where(F.col(weight) > hot)
+    rest = keyed.drop(weight)
+    if some.isEmpty():
+        return rows.join(rest, key, how)
+    one = rows.join(F.broadcast(some.drop(weight)), key)
+    other = rows.join(F.broadcast(some.select(key)), key, "left_anti").join(keyed.where(F.col(weight) <= hot).drop(weight), key, how)
+    return one.unionByName(other)
+
+
 #: Edges of a forest that one task may finish; more go through rounds.
 FEW_EDGES = 10_000
 
@@ -114,23 +139,20 @@ FEW_EDGES = 10_000
 def connected_components(edges: DataFrame, name: str = "cc", rounds: int = 40) -> DataFrame:
     """edges (u long, v long), any direction -> (node, label): the smallest node of each component, for nodes that have an edge.
 
-    Alternating large-star and small-star steps; every round is a written table, and each worker first contracts
-    its own share to a spanning forest, so that a hub of a million neighbours stays a list of rows, never a group in one task.
+    Alternating large-star and small-star steps. Each worker first contracts its own share to a spanning forest. Every round is a
+    written table; the edges of a hub are joined with its one row by broadcast, so they stay where they are.
     """
-    spark = edges.sparkSession
     e = materialize(contract(edges.select("u", "v").where("u <> v")), name)
     if e.limit(FEW_EDGES + 1).count() <= FEW_EDGES:
         return e.coalesce(1).mapInArrow(_labels, "node long, label long")
     last = None
     for _ in range(rounds):
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
-        large = both.join(least, both.u == least.k).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = down.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m")
-        small = down.join(least, down.u == least.k).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        small = small.union(least.select(F.col("k").alias("u"), F.col("m").alias("v"))).distinct()
-        e = materialize(small, name)
+        large = _with_least(both, name, F.least("u", "m")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        down = materialize(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), name)
+        small = _with_least(down, name, F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        own = down.groupBy("u").agg(F.min("v").alias("v"))
+        e = materialize(small.union(own).distinct(), name)
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == last:
             break
@@ -141,6 +163,13 @@ def connected_components(edges: DataFrame, name: str = "cc", rounds: int = 40) -
     return e.select(F.col("u").alias("node"), F.col("v").alias("label")).union(roots.select("node", F.col("node").alias("label"))).groupBy("node").agg(F.min("label").alias("label"))
 
 
+def _with_least(edges: DataFrame, name: str, least: F.Column) -> DataFrame:
+    """edges (u, v) plus m: by least, from the smallest v (as m) of each u."""
+    own = materialize(edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", least.alias("m"), "n"), name)
+    total = own.agg(F.sum("n")).first()[0] or 0
+    return keyed_join(edges, own, "u", "n", total)
+
+
 def _labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(node, smallest node of its component) of all edges of one task."""
     parts = [[b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)] for b in batches if b.num_rows]

@@ -2,28 +2,45 @@
 
 The hash order of all n-grams is cut into FRAGMENTS ranges. Within the first fragment n-grams are ordered by exact
 document frequency, and a text's prefix under that order (rarest first, n - ceil(t * n) + 1 n-grams; texts with too few
-there take their smallest others) finds its possible partners: two texts that reach the threshold share a prefix n-gram.
-Texts whose prefix holds no shared n-gram have no partner. The rest fall into candidate components; those are dealt to
-groups of bounded size (large components: pairs of blocks). Each (group, fragment) counts its partial overlaps apart from
-the others; the counts are summed per pair, links are exact, and only a spanning forest of them leaves the group.
-Texts with equal sets are one class throughout, so copies never multiply.
+there take their smallest others) finds its possible partners: two texts that reach the threshold share a prefix n-gram, at
+positions and with lengths that leave room for the overlap they need. Texts that share one are near each other: each has a
+home (the smallest text that shares an n-gram with it), homes are cut into blocks of bounded size, and a text goes to those
+pairs of blocks alone in which it has a possible partner. Each (group of pairs of blocks, fragment) counts its partial
+overlaps apart from the others; the counts are summed per pair, links are exact, and only a spanning forest of them leaves
+the group. Texts with equal sets are one class throughout, so copies never multiply.
+
+N-grams that very many texts hold come last in the first fragment and are not counted: no task gathers their texts. Lists of
+texts under one n-gram are paired in chunks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, arrow_map, binary, broadcast_if_small, components, connected_components, distinct_sorted, materialize, shingle_hashes
+from .common import WordHashes, arrow_map, binary, broadcast_if_small, components, connected_components, distinct_sorted, keyed_join, materialize, mixed, shingle_hashes, slices
 
 FRAGMENTS = 4
-#: N-grams of the first fragment counted in one bucket; texts, and n-grams of them, compared in one block (a longer text is a block).
-BUCKET, BLOCK, BLOCK_GRAMS = 400_000, 512, 1_000_000
+#: N-grams counted in one bucket; texts, and n-grams of them, of one block (a longer text is a block); texts of one chunk of a list.
+BUCKET, BLOCK, BLOCK_GRAMS, CHUNK = 400_000, 1024, 1_000_000, 4096
+#: Lists of more texts than this are paired between blocks only; within a block all texts go together.
+WIDE = 256
+#: An n-gram is not counted where more texts hold it than this, and than a millionth of all n-grams (so there are a million of them at most).
+FREQUENT = 5_000
+#: Least count of an n-gram in a share of COUNTED n-grams of one task from which it is added up.
+SEEN, COUNTED = 16, 4_000_000
+#: Bytes of the table of ways that is broadcast at most.
+ROUTE_BYTES = 16_000_000
 LIGHT = "doc_id long, n_shingles long, cls long, n0 long"
 _HASHES = WordHashes()
+_TOP = np.uint64(2**64 // FRAGMENTS)
+#: Stands for the document frequency of what is not counted.
+_MANY = 1 << 40
 
 
 def shingle_sets(texts: list[bytes | None], k: int) -> list[np.ndarray]:
@@ -47,18 +64,38 @@ def _texts(b: pa.RecordBatch, i: int) -> list[bytes]:
     return b.column(i).to_pylist()
 
 
-def light(docs: DataFrame, k: int = 3) -> DataFrame:
-    """One row per document: doc_id, n_shingles, cls (key of its set), n0 (n-grams in the first fragment)."""
+def light(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
+    """One row per document: doc_id, n_shingles, cls (key of its set), n0 (n-grams in the first fragment).
 
-    def f(b: pa.RecordBatch) -> pa.RecordBatch:
-        sets = shingle_sets(_texts(b, 1), k)
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) for s in sets], pa.int64()), pa.array([_first(s) for s in sets], pa.int64())], names=["doc_id", "n_shingles", "cls", "n0"])
+    Between them rows with n_shingles -1: an n-gram (cls) that is often a prefix candidate, and how often in a share of one task (n0).
+    """
 
-    return arrow_map(docs.select(F.col("doc_id").cast("long"), binary()), f, LIGHT)
+    def often(sets: list[np.ndarray]) -> pa.RecordBatch:
+        tok, n = np.unique(np.concatenate(sets), return_counts=True)
+        tok, n = tok[n >= SEEN], n[n >= SEEN]
+        return pa.RecordBatch.from_arrays([pa.nulls(len(tok), pa.int64()), pa.array(np.full(len(tok), -1), pa.int64()), pa.array(tok.view(np.int64), pa.int64()), pa.array(n.astype(np.int64), pa.int64())], names=["doc_id", "n_shingles", "cls", "n0"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = {}, 0
+        for b in slices(batches):
+            sets = shingle_sets(_texts(b, 1), k)
+            keys = [class_of(s) for s in sets]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64()), pa.array([_first(s) for s in sets], pa.int64())], names=["doc_id", "n_shingles", "cls", "n0"])
+            for key, s in zip(keys, sets, strict=True):
+                if len(s) and key not in held:
+                    held[key] = s[: max(_first(s), _prefix(len(s), num, den))].copy()
+                    size += len(held[key])
+            if size > COUNTED:
+                yield often(list(held.values()))
+                held, size = {}, 0
+        if held:
+            yield often(list(held.values()))
+
+    return docs.select(F.col("doc_id").cast("long"), binary()).mapInArrow(run, LIGHT)
 
 
 def _first(s: np.ndarray) -> int:
-    return int(np.searchsorted(s, np.uint64(2**64 // FRAGMENTS)))
+    return int(np.searchsorted(s, _TOP))
 
 
 def _prefix(n: int, num: int, den: int) -> int:
@@ -70,21 +107,24 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     """docs (doc_id, text, ...) -> doc_id, n_shingles, component_id, n_links: den * |A & B| >= num * |A | B| links two documents.
 
     n_links counts linked documents (copies included). Null or wordless texts: n_shingles 0, their own component, no link.
-    Null ids keep their row; they never name a component unless all ids in it are null. Repeated rows are copies. Extra columns are ignored.
-    N-grams and whole sets are told apart by 64-bit hashes.
+    Null ids keep their row; they never name a component unless all ids in it are null. Repeated rows are copies. Extra columns are
+    ignored, an empty table gives an empty one, and texts of any length are compared whole. N-grams and whole sets are told apart by 64-bit hashes.
     """
-    spark = docs.sparkSession
-    rows = materialize(light(docs, k), "ngram-light")
+    every = materialize(light(docs, k, num, den), "ngram-light")
+    rows = every.where("n_shingles >= 0")
     classes = materialize(rows.where("n_shingles > 0").groupBy("cls").agg(F.max("n_shingles").alias("n_shingles"), F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min("n0").alias("n0")), "ngram-classes")
-    total = classes.agg(F.sum("n0")).first()[0] or 0
-    posting = materialize(_postings(docs, classes, k, num, den, max(1, -(-total // BUCKET))), "ngram-postings")
+    total, n_rows = (x or 0 for x in classes.agg(F.sum("n0"), F.sum("copies")).first())
+    limit = max(FREQUENT, total // 1_000_000)
+    frequent = every.where("n_shingles = -1").groupBy("cls").agg(F.sum("n0").alias("n")).where(F.col("n") > limit).select("cls").collect()
+    frequent = np.sort(np.array([r.cls for r in frequent], np.int64).view(np.uint64))
+    posting = materialize(_postings(docs, classes, k, num, den, max(1, -(-total // BUCKET)), frequent), "ngram-postings")
     links, counts = _links(docs, classes, posting, k, num, den)
     comp = connected_components(links, "ngram-links")
     named = classes.select("cls", "rep", "copies").join(comp, F.col("cls") == F.col("node"), "left").withColumn("label", F.coalesce("label", "cls"))
     least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
     named = named.join(least, "label").join(counts.select(F.col("cls").alias("c"), "others"), F.col("cls") == F.col("c"), "left")
-    named = named.select("cls", "component_id", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    return rows.join(named, "cls", "left").select(
+    named = materialize(named.select("cls", "component_id", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "copies"), "ngram-named")
+    return keyed_join(rows, named, "cls", "copies", n_rows, "left").select(
         "doc_id",
         "n_shingles",
         F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
@@ -110,27 +150,38 @@ def _gathered(t: pa.Table, *kinds: str) -> list[np.ndarray]:
     return [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.empty(0, kind) for kind in kinds]
 
 
-def _postings(docs: DataFrame, classes: DataFrame, k: int, num: int, den: int, buckets: int) -> DataFrame:
-    """(token, cls): the shared prefix n-grams of each class."""
-    top = np.uint64(2**64 // FRAGMENTS)
+def _within(x: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Which of x are in some (sorted)."""
+    at = np.searchsorted(some, x)
+    return (at < len(some)) & (some[np.minimum(at, len(some) - 1)] == x) if len(some) else np.zeros(len(x), bool)
+
+
+def _runs(new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, length) of the runs that start where new is set."""
+    first = np.flatnonzero(new)
+    return first, np.diff(np.append(first, len(new)))
+
+
+def _postings(docs: DataFrame, classes: DataFrame, k: int, num: int, den: int, buckets: int, frequent: np.ndarray) -> DataFrame:
+    """(token, cls, n, pos): the prefix n-grams of each class that another text may share, with their place in its order."""
+    shared_frequent = docs.sparkSession.sparkContext.broadcast(frequent)
+    parts = max(1, buckets // 4)  # of classes
 
     def cut(b: pa.RecordBatch) -> pa.RecordBatch | None:
         toks, own = [], []
         for s in {class_of(s): s for s in shingle_sets(_texts(b, 0), k) if len(s)}.values():
-            n0, p = _first(s), _prefix(len(s), num, den)
-            toks.append(s[: max(n0, p)])
-            own.append(np.full(max(n0, p), class_of(s), np.int64))
+            m = max(_first(s), _prefix(len(s), num, den))
+            toks.append(s[:m])
+            own.append(np.full(m, class_of(s), np.int64))
         if not toks:
             return None
         tok, cls = np.concatenate(toks), np.concatenate(own)
-        at = (tok % np.uint64(buckets)).astype(np.int64)
+        # Frequent ones are not counted: they go by their text, to negative buckets.
+        at = np.where(_within(tok, shared_frequent.value), -1 - cls % parts, (tok % np.uint64(buckets)).astype(np.int64))
         order = np.argsort(at, kind="stable")
         tok, cls, at = tok[order], cls[order], at[order]
-        names, start = np.unique(at, return_index=True)
-        ends = [*start[1:], len(at)]
-        return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array([_pack(tok[i:j], cls[i:j]) for i, j in zip(start, ends, strict=True)], pa.binary())], names=["bucket", "blob"])
-
-    parts = max(1, buckets // 4)  # of classes
+        first, size = _runs(np.concatenate(([True], at[1:] != at[:-1])))
+        return pa.RecordBatch.from_arrays([pa.array(at[first], pa.int64()), pa.array([_pack(tok[i : i + n], cls[i : i + n]) for i, n in zip(first, size, strict=True)], pa.binary())], names=["bucket", "blob"])
 
     def shared(t: pa.Table) -> pa.Table:
         tok, cls = _gathered(t, "<u8", "<i8")
@@ -138,40 +189,39 @@ def _postings(docs: DataFrame, classes: DataFrame, k: int, num: int, den: int, b
         tok, cls = tok[order], cls[order]
         new = np.concatenate(([True], (tok[1:] != tok[:-1]) | (cls[1:] != cls[:-1])))
         tok, cls = tok[new], cls[new]
-        first = np.flatnonzero(np.concatenate(([True], tok[1:] != tok[:-1])))
-        df = np.diff(np.append(first, len(tok)))
-        df = np.repeat(df, df)
+        if t.column("bucket")[0].as_py() < 0:
+            df = np.full(len(tok), _MANY)
+        else:
+            _, size = _runs(np.concatenate(([True], tok[1:] != tok[:-1])))
+            df = np.repeat(size, size)
         tok, cls, df = tok[df > 1], cls[df > 1], df[df > 1].astype(np.int64)
         if not len(tok):
             return pa.table({"part": pa.array([], pa.int64()), "blob": pa.array([], pa.binary())})
         part = cls % parts
         order = np.argsort(part, kind="stable")
         tok, cls, df, part = tok[order], cls[order], df[order], part[order]
-        names, start = np.unique(part, return_index=True)
-        ends = [*start[1:], len(part)]
-        return pa.table({"part": pa.array(names, pa.int64()), "blob": pa.array([_pack(tok[i:j], cls[i:j], df[i:j]) for i, j in zip(start, ends, strict=True)], pa.binary())})
+        first, size = _runs(np.concatenate(([True], part[1:] != part[:-1])))
+        return pa.table({"part": pa.array(part[first], pa.int64()), "blob": pa.array([_pack(tok[i : i + n], cls[i : i + n], df[i : i + n]) for i, n in zip(first, size, strict=True)], pa.binary())})
 
     def prefixes(mine: pa.Table, t: pa.Table) -> pa.Table:
         keys, n, n0 = (mine.column(c).to_numpy() for c in ("cls", "n_shingles", "n0"))
         order = np.argsort(keys)
         keys, n, n0 = keys[order], n[order], n0[order]
         tok, cls, df = _gathered(t, "<u8", "<i8", "<i8")
-        order = np.lexsort((tok, df, tok >= top, cls))  # n-grams beyond the first fragment come last
-        tok, cls, df = tok[order], cls[order], df[order]
+        later = tok >= _TOP  # beyond the first fragment: last, and in their own order
+        order = np.lexsort((tok, np.where(later, 0, df), later, cls))
+        tok, cls, later = tok[order], cls[order], later[order]
         who = np.searchsorted(keys, cls)
-        in0 = tok < top
-        p = n - -(-n * num // den) + 1
-        shared0 = np.bincount(who[in0], minlength=len(keys))
-        alone = n0 - shared0
-        start = np.searchsorted(cls, keys)
-        rank = np.arange(len(tok)) - start[who] if len(tok) else np.empty(0, np.int64)
-        keep = ~in0 | (alone[who] + rank < p[who])
-        return pa.table({"token": pa.array(tok[keep].view(np.int64), pa.int64()), "cls": pa.array(cls[keep], pa.int64())})
+        alone = n0 - np.bincount(who[~later], minlength=len(keys))  # no other text has them: first
+        rank = np.arange(len(tok)) - np.searchsorted(cls, keys)[who] if len(tok) else np.empty(0, np.int64)
+        pos = alone[who] + rank  # of later ones not above their place, as unshared ones before them are not there
+        keep = pos < _prefix(n, num, den)[who]
+        return pa.table({"token": pa.array(tok[keep].view(np.int64), pa.int64()), "cls": pa.array(cls[keep], pa.int64()), "n": pa.array(n[who[keep]], pa.int64()), "pos": pa.array(pos[keep], pa.int64())})
 
     blobs = arrow_map(docs.select(binary()), cut, "bucket long, blob binary")
     found = blobs.groupBy("bucket").applyInArrow(shared, "part long, blob binary")
     own = classes.select(F.pmod("cls", F.lit(parts)).alias("part"), "cls", "n_shingles", "n0")
-    return own.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(prefixes, "token long, cls long")
+    return own.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(prefixes, "token long, cls long, n long, pos long")
 
 
 def _by_class(b: pa.RecordBatch, k: int) -> pa.RecordBatch | None:
@@ -180,76 +230,153 @@ def _by_class(b: pa.RecordBatch, k: int) -> pa.RecordBatch | None:
     return pa.RecordBatch.from_arrays([pa.array(list(own), pa.int64()), pa.array(list(own.values()), pa.binary())], names=["node", "body"]) if own else None
 
 
+def every_pair(first: np.ndarray, size: np.ndarray, most: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, j), i < j, of all pairs of places within each run, some at a time."""
+    end = np.repeat(first + size, size)
+    i = np.repeat(first, size) + np.arange(len(end)) - np.repeat(np.cumsum(size) - size, size)
+    n = end - i - 1
+    i, n = i[n > 0], n[n > 0]
+    upto, at = np.concatenate(([0], np.cumsum(n))), 0
+    while at < len(i):
+        stop = max(at + 1, int(np.searchsorted(upto, upto[at] + most, "right")) - 1)
+        c = n[at:stop]
+        a = np.repeat(i[at:stop], c)
+        yield a, a + 1 + np.arange(len(a)) - np.repeat(upto[at:stop] - upto[at], c)
+        at = stop
+
+
+def _ways(posting: DataFrame, num: int, den: int) -> DataFrame:
+    """(cls, label, side): the pairs of blocks in which a class has a possible partner; side -1 within a block."""
+    heads = materialize(posting.groupBy("token").agg(F.min("cls").alias("head"), F.count("*").alias("size")).where("size > 1"), "ngram-heads")
+    entries = heads.agg(F.sum("size")).first()[0] or 0
+    listed = materialize(keyed_join(posting, heads.withColumn("many", F.col("size")), "token", "many", entries), "ngram-lists")
+    homes = listed.groupBy("cls").agg(F.min("head").alias("home"), F.max("n").alias("n"))
+    sizes = homes.groupBy("home").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_GRAMS)).cast("int").alias("m"))
+    sizes = materialize(sizes, "ngram-homes")
+    cut = sizes.where("m > 1")  # few: a home of one block needs no other key
+    homes = homes.select("cls", "home").join(broadcast_if_small(cut.select(F.col("home").alias("_h"), "m"), 200_000), F.col("home") == F.col("_h"), "left")
+    homes = homes.select("cls", F.when(F.col("m").isNull(), F.xxhash64("home")).otherwise(F.xxhash64("home", F.pmod(F.xxhash64("cls"), F.col("m")))).alias("block"))
+    own = listed.select("token", "cls", "n", "pos", "size").join(homes, "cls")
+    short = own.where(F.col("size") <= CHUNK).select("token", "cls", "n", "pos", "block", F.lit(-1).alias("side"))
+    m = F.ceil(F.col("size") / CHUNK).cast("int")
+    long_ = own.where(F.col("size") > CHUNK).withColumn("a", F.pmod(F.xxhash64("cls", F.lit(1)), m).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), m - 1)))
+    lo, hi = F.least("a", "b"), F.greatest("a", "b")
+    long_ = long_.select(F.xxhash64("token", lo, hi).alias("token"), "cls", "n", "pos", "block", F.when(lo == hi, -1).otherwise((F.col("a") == hi).cast("int")).alias("side"))
+
+    def pairs(t: pa.Table) -> pa.Table:
+        tok, cls, n, pos, block, side = (t.column(c).to_numpy() for c in ("token", "cls", "n", "pos", "block", "side"))
+        order = np.lexsort((cls, block, tok))
+        tok, cls, n, pos, block, side = (x[order] for x in (tok, cls, n, pos, block, side))
+        classes, who = np.unique(cls, return_inverse=True)
+        blocks, block = np.unique(block, return_inverse=True)
+        home, count = np.empty(len(classes), np.int64), len(blocks)
+        home[who] = block
+        found, size = [np.empty(0, np.int64)], 0
+
+        def add(x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> None:
+            nonlocal size
+            found.append(np.unique((who[x] * count + lo) * count + hi))
+            size += len(found[-1])
+            if size > 2_000_000:
+                found[:] = [np.unique(np.concatenate(found))]
+                size = len(found[0])
+
+        first, run = _runs(np.concatenate(([True], tok[1:] != tok[:-1])))
+        wide = np.repeat(run > WIDE, run)
+        # In long lists all texts of one block go together, and only those of different blocks are told apart.
+        _, same = _runs(np.concatenate(([True], (tok[1:] != tok[:-1]) | (block[1:] != block[:-1]))))
+        some = np.flatnonzero(np.repeat(same > 1, same) & wide)
+        add(some, block[some], block[some])
+        for i, j in every_pair(first, run):
+            ok = ((side[i] < 0) | (side[i] != side[j])) & ~(wide[i] & (block[i] == block[j]))
+            i, j = i[ok], j[ok]
+            need = -(-num * (n[i] + n[j]) // (den + num))
+            ok = (den * np.minimum(n[i], n[j]) >= num * np.maximum(n[i], n[j])) & (np.minimum(n[i] - pos[i], n[j] - pos[j]) >= need)
+            i, j = i[ok], j[ok]
+            lo, hi = np.minimum(block[i], block[j]), np.maximum(block[i], block[j])
+            add(i, lo, hi)
+            add(j, lo, hi)
+        code = np.unique(np.concatenate(found))
+        x, lo, hi = code // (count * count), code // count % count, code % count
+        label = mixed(mixed(blocks[lo].view(np.uint64)) * np.uint64(3) + blocks[hi].view(np.uint64)).view(np.int64)
+        own = np.where(lo == hi, -1, home[x] == hi).astype(np.int32)
+        return pa.table({"cls": pa.array(classes[x], pa.int64()), "label": pa.array(label, pa.int64()), "side": pa.array(own, pa.int32())})
+
+    tasks = max(1, -(-entries // BUCKET))
+    dealt = short.union(long_).withColumn("g", F.pmod("token", F.lit(tasks)))
+    return dealt.groupBy("g").applyInArrow(pairs, "cls long, label long, side int").distinct()
+
+
 def _links(docs: DataFrame, classes: DataFrame, posting: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """Spanning links (u, v) between classes, and for each linked class the number of documents in the others (cls, others)."""
-    heads = posting.groupBy("token").agg(F.min("cls").alias("head"), F.max("cls").alias("tail")).where("head < tail")
-    near = connected_components(posting.join(heads, "token").where("cls <> head").select(F.col("cls").alias("u"), F.col("head").alias("v")), "ngram-near")
-    near = materialize(near.join(classes.select(F.col("cls").alias("node"), "n_shingles"), "node"), "ngram-near-labels")
-    count, grams = near.agg(F.count("*"), F.sum("n_shingles")).first()
-    cells = max(1, -(-count // BLOCK), -(-(grams or 0) // BLOCK_GRAMS))
-    sizes = near.groupBy("label").agg(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / BLOCK_GRAMS).alias("size"))
-    placed = near.join(sizes, "label").withColumn("m", F.ceil("size").cast("int"))
-    placed = placed.withColumn("side", F.pmod(F.xxhash64("node"), F.col("m")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
-    lo, hi = F.least("side", "other"), F.greatest("side", "other")
-    group = F.when(F.col("m") == 1, F.pmod(F.xxhash64("label"), F.lit(cells))).otherwise(F.xxhash64("label", lo, hi))
-    placed = placed.select("node", "label", F.when(lo == hi, F.lit(-1)).otherwise(F.col("side")).alias("side"), group.alias("g"), (F.col("m") > 1).alias("big"))
-    route = placed.groupBy("node").agg(F.first("label").alias("label"), F.collect_list(F.struct("g", "side")).alias("to"))
-    route = materialize(route.join(classes.select(F.col("cls").alias("node"), "rep", "copies"), "node"), "ngram-route")
+    ways = materialize(_ways(posting, num, den), "ngram-ways")
+    route = ways.groupBy("cls").agg(F.collect_list(F.struct("label", "side")).alias("to"))
+    route = route.withColumnRenamed("cls", "node").join(classes.select(F.col("cls").alias("node"), "n_shingles", "rep", "copies"), "node")
+    route = materialize(route, "ngram-route")
+    texts, places, grams = (x or 0 for x in route.agg(F.count("*"), F.sum(F.size("to")), F.sum(F.col("n_shingles") * F.size("to"))).first())
+    cells = max(1, -(-places // BLOCK), -(-grams // BLOCK_GRAMS))
     body = docs.select(F.col("doc_id").cast("long").alias("rep"), binary().alias("body"))
-    text = body.join(broadcast_if_small(route.where("rep is not null").select("rep", "node", "label", "copies", "to"), BLOCK * 200), "rep")
+    named = route.where("rep is not null").select("rep", "node", "copies", "to")
+    text = body.join(F.broadcast(named) if 40 * texts + 20 * places <= ROUTE_BYTES else named, "rep").select("body", "node", "copies", "to")
     unnamed = route.where("rep is null")
     if not unnamed.isEmpty():  # sets of which no document has an id: by class key, one text of each
         keyed = arrow_map(body.where("rep is null").select("body"), lambda b: _by_class(b, k), "node long, body binary")
         keyed = keyed.join(unnamed.select("node"), "node", "left_semi").groupBy("node").agg(F.first("body").alias("body"))
-        text = text.select("body", "node", "label", "copies", "to").union(keyed.join(unnamed, "node").select("body", "node", "label", "copies", "to"))
+        text = text.union(keyed.join(unnamed, "node").select("body", "node", "copies", "to"))
 
     def cut(b: pa.RecordBatch) -> pa.RecordBatch | None:
         out: dict[str, list] = {c: [] for c in ("g", "fragment", "cls", "label", "side", "n", "copies", "segment")}
-        nodes, labels, copies, tos = (b.column(i).to_pylist() for i in range(1, 5))
+        nodes, copies, tos = (b.column(i).to_pylist() for i in range(1, 4))
         edges = np.array([i * (2**64 // FRAGMENTS) for i in range(1, FRAGMENTS)], np.uint64)
         done = set()
-        for s, node, label, c, to in zip(shingle_sets(_texts(b, 0), k), nodes, labels, copies, tos, strict=True):
+        for s, node, c, to in zip(shingle_sets(_texts(b, 0), k), nodes, copies, tos, strict=True):
             if not len(s) or node in done or class_of(s) != node:  # a repeated id, with another text
                 continue
             done.add(node)
             for f, seg in enumerate(np.split(s, np.searchsorted(s, edges))):
+                raw = seg.tobytes()
                 for x in to:
-                    for key, v in (("g", x["g"]), ("fragment", f), ("cls", node), ("label", label), ("side", x["side"]), ("n", len(s)), ("copies", c), ("segment", seg.tobytes())):
+                    for key, v in (("g", x["label"] % cells), ("fragment", f), ("cls", node), ("label", x["label"]), ("side", x["side"]), ("n", len(s)), ("copies", c), ("segment", raw)):
                         out[key].append(v)
         kinds = {"fragment": pa.int32(), "side": pa.int32(), "segment": pa.binary()}
         return pa.RecordBatch.from_arrays([pa.array(v, kinds.get(key, pa.int64())) for key, v in out.items()], names=list(out)) if out["g"] else None
 
-    segments = arrow_map(text.select("body", "node", "label", "copies", "to"), cut, "g long, fragment int, cls long, label long, side int, n long, copies long, segment binary")
+    segments = arrow_map(text, cut, "g long, fragment int, cls long, label long, side int, n long, copies long, segment binary")
 
     def overlaps(t: pa.Table) -> pa.Table:
         """Pairs of one group with their overlap within one fragment, but for those whose difference there is too large already."""
         x, segs = _group(t)
         i, j, c = pair_counts(segs, x["label"], x["side"])
-        ok = (np.array([len(s) for s in segs])[i] + np.array([len(s) for s in segs])[j] - 2 * c) * (num + den) <= (den - num) * (x["n"][i] + x["n"][j])
+        size = np.array([len(s) for s in segs], np.int64)
+        ok = (size[i] + size[j] - 2 * c) * (num + den) <= (den - num) * (x["n"][i] + x["n"][j])
         i, j, c = i[ok], j[ok], c[ok]
-        blob = _pack(x["cls"], x["n"], x["copies"]) + _pack(i.astype("<u4"), j.astype("<u4"), c.astype("<u4"))
+        # Sorted by i and j: differences of their codes are small, and so is what compression leaves of them.
+        code = np.diff(i * len(segs) + j, prepend=0)
+        blob = _pack(x["cls"], x["label"], x["n"], x["copies"]) + _pack(code.astype("<u4"), c.astype("<u4"))
         return pa.table({"g": t.column("g").slice(0, 1), "blob": pa.array([blob], pa.binary())})
 
     def summed(t: pa.Table) -> pa.Table:
         """Overlaps summed over fragments; links as a spanning forest, and each class's partners."""
-        nodes: dict[int, tuple[int, int]] = {}
-        parts = []
+        parts, places = [], []
         for blob in t.column("blob").to_pylist():
-            cls, n, copies = _unpack(blob, "<i8", "<i8", "<i8")
-            i, j, c = _unpack(blob[8 + 24 * len(cls) :], "<u4", "<u4", "<u4")
-            nodes.update(zip(cls.tolist(), zip(n.tolist(), copies.tolist(), strict=True), strict=True))
-            parts.append((cls[i], cls[j], c.astype(np.int64)))
-        keys = np.array(sorted(nodes), np.int64)
-        n, copies = np.array([nodes[x] for x in keys.tolist()]).T
-        a, b, c = (np.concatenate(x) for x in zip(*parts, strict=True))
-        a, b = np.searchsorted(keys, a), np.searchsorted(keys, b)
-        codes, inv = np.unique(np.minimum(a, b) * len(keys) + np.maximum(a, b), return_inverse=True)
-        total = np.bincount(inv, weights=c, minlength=len(codes)).astype(np.int64)
-        a, b = codes // len(keys), codes % len(keys)
+            cls, label, n, copies = _unpack(blob, "<i8", "<i8", "<i8", "<i8")
+            code, c = _unpack(blob[8 + 32 * len(cls) :], "<u4", "<u4")
+            code = np.cumsum(code.astype(np.int64))
+            places.append(np.stack([label, cls, n, copies], 1))
+            parts.append((code // max(len(cls), 1), code % max(len(cls), 1), c.astype(np.int64)))
+        nodes, at = np.unique(np.concatenate(places), axis=0, return_inverse=True)  # of each label, its classes
+        d, at = len(nodes), np.split(at.reshape(-1), np.cumsum([len(p) for p in places])[:-1])
+        code = np.concatenate([w[i] * d + w[j] for w, (i, j, _) in zip(at, parts, strict=True)])
+        code, inv = np.unique(code, return_inverse=True)
+        total = np.bincount(inv, weights=np.concatenate([c for *_, c in parts]), minlength=len(code)).astype(np.int64)
+        a, b = code // d, code % d
+        n, copies = nodes[:, 2], nodes[:, 3]
         ok = den * total >= num * (n[a] + n[b] - total)
         a, b = a[ok], b[ok]
-        others = np.bincount(a, weights=copies[b], minlength=len(keys)) + np.bincount(b, weights=copies[a], minlength=len(keys))
-        label = components(len(keys), a, b)
+        others = np.bincount(a, weights=copies[b], minlength=d) + np.bincount(b, weights=copies[a], minlength=d)
+        keys, who = np.unique(nodes[:, 1], return_inverse=True)
+        others = np.bincount(who, weights=others, minlength=len(keys))
+        label = components(len(keys), who[a], who[b])
         keep = others > 0
         return pa.table({"u": pa.array(keys[keep], pa.int64()), "v": pa.array(keys[label[keep]], pa.int64()), "others": pa.array(others[keep].astype(np.int64), pa.int64())})
 
@@ -259,59 +386,53 @@ def _links(docs: DataFrame, classes: DataFrame, posting: DataFrame, k: int, num:
 
 
 def _group(t: pa.Table) -> tuple[dict[str, np.ndarray], list[np.ndarray]]:
-    """Columns and segments, each class once."""
+    """Columns and segments, each class once under a label."""
     x = {c: t.column(c).to_numpy() for c in ("cls", "label", "side", "n", "copies")}
-    _, at = np.unique(x["cls"], return_index=True)
+    order = np.lexsort((x["cls"], x["label"]))
+    new = np.concatenate(([True], (np.diff(x["label"][order]) != 0) | (np.diff(x["cls"][order]) != 0)))
+    at = order[new]
     segs = t.column("segment").to_pylist()
     return {c: v[at] for c, v in x.items()}, [np.frombuffer(segs[i], "<u8") for i in at]
 
 
 def pair_counts(segs: list[np.ndarray], label: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(i, j, common n-grams), i < j, of texts with the same label and, in a pair of blocks, from different blocks."""
+    """(i, j, common n-grams), i < j, of texts with the same label and, in a pair of blocks, from different blocks. Equal labels stand together."""
     d = len(segs)
-    tok, own = np.concatenate(segs) if d else np.empty(0, np.uint64), np.repeat(np.arange(d), [len(s) for s in segs])
-    order = np.lexsort((own, tok))
+    size = np.array([len(s) for s in segs], np.int64)
+    tok, own = np.concatenate(segs) if d else np.empty(0, np.uint64), np.repeat(np.arange(d), size)
+    order = np.lexsort((own, tok, label[own])) if len(tok) else np.empty(0, np.int64)
     tok, own = tok[order], own[order]
-    first = np.flatnonzero(np.concatenate(([True], tok[1:] != tok[:-1]))) if len(tok) else np.empty(0, np.int64)
-    run = np.diff(np.append(first, len(tok)))
+    of = label[own]
+    first, run = _runs(np.concatenate(([True], (tok[1:] != tok[:-1]) | (of[1:] != of[:-1])))) if len(tok) else (np.empty(0, np.int64), np.empty(0, np.int64))
     acc_code, acc_n = np.empty(0, np.int64), np.empty(0, np.int64)
-    pending, waiting = [], 0
 
-    def add() -> None:
-        nonlocal acc_code, acc_n, waiting
-        code, n = np.unique(np.concatenate(pending), return_counts=True)
+    def add(code: np.ndarray, n: np.ndarray) -> None:
+        nonlocal acc_code, acc_n
         both, inv = np.unique(np.concatenate([acc_code, code]), return_inverse=True)
         acc_code, acc_n = both, np.bincount(inv, weights=np.concatenate([acc_n, n])).astype(np.int64)
-        pending.clear()
-        waiting = 0
-
-    def allowed(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        return (label[i] == label[j]) & ((side[i] != side[j]) | (side[i] < 0))
-
-    for r in np.unique(run[(run > 1) & (run < 48)]):
-        at = own[first[run == r][:, None] + np.arange(r)]
-        for a in range(r):
-            for b in range(a + 1, r):
-                ok = allowed(at[:, a], at[:, b])
-                pending.append(at[ok, a] * d + at[ok, b])
-                waiting += int(ok.sum())
-        if waiting > 2_000_000:
-            add()
-    if pending:
-        add()
+
+    few = (run > 1) & (run < 48)
+    for i, j in every_pair(first[few], run[few]):
+        a, b = own[i], own[j]
+        ok = (side[a] < 0) | (side[a] != side[b])
+        add(*np.unique(a[ok] * d + b[ok], return_counts=True))
     hot = np.flatnonzero(run >= 48)
-    if len(hot):  # n-grams of many texts: a product of 0/1 matrices, some columns at a time
-        dense = np.zeros((d, d), np.float32)
-        for some in np.array_split(hot, -(-len(hot) // 1024)):
-            m = np.zeros((d, len(some)), np.float32)
-            for c, x in enumerate(some):
-                m[own[first[x] : first[x] + run[x]], c] = 1
-            dense += m @ m.T
-        i, j = np.nonzero(np.triu(dense, 1))
-        ok = allowed(i, j)
-        i, j = i[ok], j[ok]
-        both, inv = np.unique(np.concatenate([acc_code, i * d + j]), return_inverse=True)
-        acc_code, acc_n = both, np.bincount(inv, weights=np.concatenate([acc_n, dense[i, j]])).astype(np.int64)
+    for some in np.split(hot, np.flatnonzero(np.diff(of[first[hot]])) + 1) if len(hot) else ():
+        # N-grams of many texts: a product of 0/1 matrices over the texts of the label (of its two blocks), some columns at a time.
+        lo, hi = np.searchsorted(label, of[first[some[0]]]), np.searchsorted(label, of[first[some[0]]], "right")
+        left, right = (np.flatnonzero(side[lo:hi] <= 0), np.flatnonzero(side[lo:hi] != 0))
+        dense = np.zeros((len(left), len(right)), np.float32)
+        for part in np.array_split(some, -(-len(some) // 1024)):
+            m = np.zeros((hi - lo, len(part)), np.float32)
+            for c, x in enumerate(part):
+                m[own[first[x] : first[x] + run[x]] - lo, c] = 1
+            dense += m[left] @ m[right].T
+        i, j = np.nonzero(dense)
+        n = dense[i, j]
+        i, j = left[i] + lo, right[j] + lo
+        ok = i != j if side[lo] >= 0 else i < j
+        i, j, n = i[ok], j[ok], n[ok]
+        add(np.minimum(i, j) * d + np.maximum(i, j), n)
     return acc_code // max(d, 1), acc_code % max(d, 1), acc_n
 
 

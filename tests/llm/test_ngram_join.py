@@ -55,14 +55,52 @@ def corpus(n, seed=1):
     return rows
 
 
+SETTINGS = (
+    {},
+    {"BLOCK": 8},
+    {"BLOCK": 3, "CHUNK": 5, "WIDE": 4},
+    {"BLOCK": 5, "FREQUENT": 3, "SEEN": 2, "COUNTED": 50, "BUCKET": 100},
+    {"BLOCK_GRAMS": 60, "WIDE": 0, "ROUTE_BYTES": 0},
+)
+
+
 @pytest.mark.parametrize("few", [10_000, 0])
-def test_against_brute_force(spark, monkeypatch, few):
-    monkeypatch.setattr(common, "FEW_EDGES", few)  # components in one task, or in rounds
-    monkeypatch.setattr(nj, "BLOCK", 8)  # large components: pairs of blocks
+@pytest.mark.parametrize("setting", SETTINGS)
+def test_against_brute_force(spark, monkeypatch, few, setting):
+    """Components in one task or in rounds; blocks, chunks of lists, uncounted n-grams, tables that are not broadcast."""
+    monkeypatch.setattr(common, "FEW_EDGES", few)
+    for name, value in setting.items():
+        monkeypatch.setattr(nj, name, value)
     rows = corpus(160) + [(1000, None), (1001, ""), (1002, " \n "), (1003, "Ä Ö"), (1004, "ä ö"), (1005, "A b"), (1006, "a\tB")]
     assert run(spark, rows) == brute(rows)
 
 
+def test_hub(spark):
+    """A star and a chain of edges, with the join of a hub by broadcast."""
+    edges = [(0, k) for k in range(1, 6000)] + [(k, k + 1) for k in range(7000, 7300)]
+    got = dict(common.connected_components(spark.createDataFrame(edges, "u long, v long").repartition(64)).collect())
+    assert got == {k: 0 for k in range(6000)} | {k: 7000 for k in range(7000, 7301)}
+
+
+def test_many_variants(spark):
+    """5,000 texts of one page, each with words of its own: links to a sample of texts are counted apart, and all are one component."""
+    r = random.Random(8)
+    base = [f"t{i}" for i in range(120)]
+    rows = []
+    for i in range(5000):
+        w = list(base)
+        for _ in range(r.randrange(1, 4)):
+            w[r.randrange(120)] = f"x{r.random()}"
+        rows.append((i, " ".join(w)))
+    got = run(spark, rows)
+    sets = [{tuple(t.split()[k : k + 3]) for k in range(118)} for _, t in rows]
+    for i in range(0, 5000, 500):
+        n = sum(100 * len(sets[i] & s) >= 90 * len(sets[i] | s) for s in sets) - 1
+        assert got[i][0] == len(sets[i]) and got[i][2] == n
+    least = {i: min([j for j in range(5000) if 100 * len(sets[i] & sets[j]) >= 90 * len(sets[i] | sets[j])][:1]) for i in range(0, 5000, 1000)}
+    assert all(got[i][1] <= j for i, j in least.items())
+
+
 def test_hot_group(spark):
     r = random.Random(3)
     base = [f"t{i}" for i in range(150)]
