@@ -12,12 +12,19 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of a few dozen bytes that may be broadcast: at most about 40 MB.
-BROADCAST_ROWS = 400_000
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+#: Rows of a few dozen bytes that may be broadcast: at most about 20 MB.
+BROADCAST_ROWS = 200_000
+
+
+def own_names(df: DataFrame, *names: str) -> list[str]:
+    """names, each with as many _ before it as keep it apart from df's columns (upper and lower case are one)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -116,15 +123,18 @@ def distinct_sorted(x: np.ndarray) -> np.ndarray:
 HOT_KEYS = 100_000
 
 
-def keyed_join(rows: DataFrame, keyed: DataFrame, key: str, weight: str, total: int, how: str = "inner") -> DataFrame:
-    """rows joined with keyed (materialized; one row per key, weight: how many of the total rows have the key).
+def keyed_join(rows: DataFrame, keyed: DataFrame, key: str, weight: str, total: int, how: str = "inner", *flags: F.Column) -> DataFrame:
+    """rows joined with keyed (materialized; one row per key, weight: how many of the total rows have the key), without weight, with flags.
 
-    Keys with more rows than total / HOT_KEYS (2,000 at least) are joined by broadcast, so that no task holds all rows of a hot key; the
-    rest is shuffled. There cannot be more than HOT_KEYS such keys.
+    Small tables are joined by broadcast. Of others, keys with more rows than total / HOT_KEYS (2,000 at least) are, so that no task holds
+    all rows of a hot key, and the rest is shuffled; there cannot be more than HOT_KEYS such keys.
     """
+    keyed = keyed.select("*", *flags)
+    rest = keyed.drop(weight)
+    if keyed.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(rest), key, how)
     hot = max(2_000, total // HOT_KEYS)
     some = keyed.where(F.col(weight) > hot)
-    rest = keyed.drop(weight)
     if some.isEmpty():
         return rows.join(rest, key, how)
     one = rows.join(F.broadcast(some.drop(weight)), key)

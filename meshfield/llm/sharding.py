@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, materialize
+from .common import broadcast_if_small, materialize, own_names
 
 #: Bits of a hash; bytes of a shard.
 BITS, SHARD_BYTES = 60, 1_000_000
@@ -38,40 +38,46 @@ def shard(docs: DataFrame, key: str = "doc_id", size: Column | None = None, limi
     """docs plus shard_depth, shard_prefix (leading bits as text; '' for the only shard) and shard_bytes.
 
     size: bytes of a row (default: of text; null is 0). A shard is over the limit only where one key alone is: rows with equal keys
-    stay together (a repeated id, and all null ids). Columns of docs with these three names are replaced.
+    stay together (a repeated id, and all null ids). Columns of docs with these three names are replaced, all others are kept whatever
+    their names; texts of any length count with all their bytes, and an empty table stays empty.
     """
     size = F.coalesce(F.octet_length("text") if size is None else size, F.lit(0)).cast("long")
     keep = [c for c in docs.columns if c not in ("shard_depth", "shard_prefix", "shard_bytes")]
-    rows = docs.select(*keep, hash_of(F.col(key)).alias("_h"), size.alias("_bytes"))
-    light = rows.select("_h", "_bytes")
-    total = light.agg(F.sum("_bytes")).first()[0] or 0
+    h, own, cell, leaves, at = own_names(docs, "h", "own", "cell", "leaves", "at")
+    rows = docs.select(*keep, hash_of(F.col(key)).alias(h), size.alias(own))
+    light = rows.select(F.col(h).alias("h"), F.col(own).alias("bytes"))
+    total = light.agg(F.sum("bytes")).first()[0] or 0
     bits = min(BITS, max(1, (total // limit).bit_length() + 3))
-    cells = light.groupBy(_prefix("_h", F.lit(bits)).alias("c")).agg(F.sum("_bytes").alias("bytes"), F.min("_h").alias("a"), F.max("_h").alias("b"))
+    cells = light.groupBy(_prefix("h", F.lit(bits)).alias("c")).agg(F.sum("bytes").alias("bytes"), F.min("h").alias("a"), F.max("h").alias("b"))
     cells = materialize(cells.select(F.call_function("shiftleft", F.col("c"), F.lit(BITS - bits)).alias("h"), "c", "bytes", F.when(F.col("a") == F.col("b"), 1).otherwise(2).alias("keys")), "shard-cells")
     upper = _splits(cells, 0, bits, limit)
     heavy = broadcast_if_small(materialize(cells.where(f"bytes > {limit} and keys > 1").select("c"), "shard-heavy"))
-    single = light.join(heavy, _prefix("_h", F.lit(bits)) == F.col("c"), "left_semi").groupBy(F.col("_h").alias("h")).agg(F.sum("_bytes").alias("bytes"), F.lit(1).alias("keys"))
+    single = light.join(heavy, _prefix("h", F.lit(bits)) == F.col("c"), "left_semi").groupBy("h").agg(F.sum("bytes").alias("bytes"), F.lit(1).alias("keys"))
     nodes = materialize(upper.union(_splits(single, bits, BITS, limit)), "shard-splits")
     child = nodes.select((F.col("depth") + 1).alias("depth"), F.explode(F.array(F.col("prefix") * 2, F.col("prefix") * 2 + 1)).alias("prefix"))
     root = docs.sparkSession.range(1).select(F.lit(0).alias("depth"), F.lit(0).cast("long").alias("prefix"))
-    leaves = child.union(root).join(nodes, ["depth", "prefix"], "left_anti")
+    found = child.union(root).join(nodes, ["depth", "prefix"], "left_anti")
     start = F.call_function("shiftleft", F.col("prefix"), (F.lit(BITS) - F.col("depth")).cast("int"))
     # A directory entry for each cell: the one leaf above it, or the leaves below it.
-    cell_of_leaf = leaves.select("depth", start.alias("start")).withColumn("cell", F.call_function("shiftright", F.col("start"), F.lit(BITS - bits)))
+    cell_of_leaf = found.select("depth", start.alias("start")).withColumn("cell", F.call_function("shiftright", F.col("start"), F.lit(BITS - bits)))
     wide = F.call_function("shiftleft", F.lit(1).cast("long"), F.greatest(F.lit(bits) - F.col("depth"), F.lit(0)).cast("int"))
     directory = cell_of_leaf.withColumn("cell", F.explode(F.sequence(F.col("cell"), F.col("cell") + wide - 1)))
-    directory = directory.groupBy(F.col("cell").alias("_shard_cell")).agg(F.sort_array(F.collect_list(F.struct("start", "depth")), asc=False).alias("_shard_leaves"))
+    directory = directory.groupBy(F.col("cell").alias(cell)).agg(F.sort_array(F.collect_list(F.struct("start", "depth")), asc=False).alias(leaves))
     directory = materialize(directory, "shard-directory")
-    leaf = F.filter("_shard_leaves", lambda x: x["start"] <= F.col("_h"))[0]
-    out = rows.withColumn("_cell", _prefix("_h", F.lit(bits))).join(broadcast_if_small(directory, 200_000), F.col("_cell") == F.col("_shard_cell"))
-    return out.select(*keep, leaf["depth"].cast("int").alias("shard_depth"), F.expr(f"substring(lpad(bin(_h), {BITS}, '0'), 1, filter(_shard_leaves, x -> x.start <= _h)[0].depth)").alias("shard_prefix"), F.col("_bytes").alias("shard_bytes"))
+    entries = directory.agg(F.sum(F.size(leaves))).first()[0] or 0
+    directory = F.broadcast(directory) if entries <= 400_000 else directory
+    leaf = F.filter(leaves, lambda x: x["start"] <= F.col(h))[0]
+    out = rows.withColumn(at, _prefix(h, F.lit(bits))).join(directory, F.col(at) == F.col(cell)).withColumn(at, leaf["depth"].cast("int"))
+    prefix = F.substring(F.lpad(F.bin(F.col(h)), BITS, "0"), F.lit(1), F.col(at))
+    return out.select(*keep, F.col(at).alias("shard_depth"), prefix.alias("shard_prefix"), F.col(own).alias("shard_bytes"))
 
 
 def with_totals(sharded: DataFrame) -> DataFrame:
     """shard_bytes: of the row's whole shard."""
-    sums = sharded.groupBy("shard_prefix").agg(F.sum("shard_bytes").alias("_total"))
-    sums = broadcast_if_small(materialize(sums.select(F.col("shard_prefix").alias("_p"), "_total"), "shard-sums"), 200_000)
-    return sharded.join(sums, F.col("shard_prefix") == F.col("_p")).drop("_p", "shard_bytes").withColumnRenamed("_total", "shard_bytes")
+    p, total = own_names(sharded, "p", "total")
+    sums = sharded.groupBy(F.col("shard_prefix").alias(p)).agg(F.sum("shard_bytes").alias(total))
+    sums = broadcast_if_small(materialize(sums, "shard-sums"), 200_000)
+    return sharded.join(sums, F.col("shard_prefix") == F.col(p)).drop(p, "shard_bytes").withColumnRenamed(total, "shard_bytes")
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
