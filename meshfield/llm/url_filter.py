@@ -1,7 +1,9 @@
 """URL filters, in DataFrame operations only: rules on host suffix and path, and gradient-boosted trees for the URLs that no rule fits.
 
 Trees grow level by level from one aggregate per level: sums of integer gradients and curvatures by node, feature and bin. Thresholds,
-suffix statistics and trees come from a bounded sample of labelled URLs; scoring is one expression.
+suffix statistics and trees come from a bounded sample of labelled URLs; scoring is one expression. A row's suffix statistic leaves out
+the rows of its own group (the rule that labelled it, or a fold), so that a label never stands in a feature of its own row, and a
+suffix that one group alone has labelled counts as unknown.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from .common import materialize
 #: (host, path, verdict)
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 #: Labelled URLs in the sample that is fitted (smallest hashes), suffixes with statistics of their own, thresholds of a feature.
-MAX_TRAIN, MAX_SUFFIXES, MAX_BINS = 20_000, 64, 16
+MAX_TRAIN, MAX_SUFFIXES, MAX_BINS, FOLDS = 20_000, 64, 16, 5
 ROUNDS, DEPTH, RATE, RIDGE = 8, 3, 0.4, 1.0
 #: Probability from which the trees block; labels come from few rules, so less certain URLs pass.
 BLOCK_AT = 0.9
@@ -53,8 +55,9 @@ def suffix(host: Column) -> Column:
     return F.element_at(F.split(host, r"\."), -1)
 
 
-def with_features(df: DataFrame, suffixes: dict[str, int], prior: int) -> DataFrame:
-    """df (url, host, path) plus integer features."""
+def with_features(df: DataFrame, suffixes: dict[str, int], prior: int, key: Column | None = None) -> DataFrame:
+    """df (url, host, path) plus integer features. key: of the table of suffix statistics (default: the host's suffix)."""
+    key = suffix(F.col("host")) if key is None else key
     url = F.coalesce(F.col("url"), F.lit(""))
     body = F.concat("host", "path")
     n = F.greatest(F.length(body), F.lit(1))
@@ -62,7 +65,7 @@ def with_features(df: DataFrame, suffixes: dict[str, int], prior: int) -> DataFr
     share = F.transform(seen, lambda c: (F.length(body) - F.length(F.replace(body, c, F.lit("")))) / n)
     entropy = F.aggregate(share, F.lit(0.0), lambda a, p: a - p * F.log2(p))
     table = F.create_map(*[F.lit(x) for kv in suffixes.items() for x in kv]) if suffixes else None
-    rate = F.coalesce(F.get(F.array(table), F.lit(0))[suffix(F.col("host"))] if suffixes else F.lit(None).cast("int"), F.lit(prior))
+    rate = F.coalesce(F.get(F.array(table), F.lit(0))[key] if suffixes else F.lit(None).cast("int"), F.lit(prior))
     return df.withColumns({
         "f_length": F.length(url),
         "f_host": F.length("host"),
@@ -98,18 +101,31 @@ def _tree(t) -> Column:
 
 
 def train(labelled: DataFrame, max_rows: int = MAX_TRAIN, rounds: int = ROUNDS, depth: int = DEPTH) -> Model:
-    """Trees from labelled (url, label 1: block, 0: allow). Null labels are left out; with one class only, or none, the model is a constant."""
+    """Trees from labelled (url, label 1: block, 0: allow; group where known: what the label comes from, else one of FOLDS).
+
+    Null labels are left out; repeated rows count each; with one class only, or no row, the model is a constant.
+    """
     host, path = host_and_path(F.col("url"))
-    rows = labelled.where("label is not null").select("url", host.alias("host"), path.alias("path"), F.col("label").cast("int").alias("label"))
+    group = F.col("group").cast("string") if "group" in labelled.columns else F.pmod(F.xxhash64("url"), F.lit(FOLDS)).cast("string")
+    rows = labelled.where("label is not null").select("url", host.alias("host"), path.alias("path"), F.col("label").cast("int").alias("label"), F.coalesce(group, F.lit("")).alias("grp"))
     rows = materialize(rows.orderBy(F.xxhash64("url"), "url", "label").limit(max_rows), "url-sample")
     n, n1 = rows.agg(F.count("*"), F.sum("label")).first()
     n1 = n1 or 0
     model = Model(base=math.log((n1 + 1) / (n - n1 + 1)), prior=round(1000 * (n1 + 1) / (n + 2)))
     if n1 in (0, n):
         return model
-    stats = rows.groupBy(suffix(F.col("host")).alias("s")).agg(F.count("*").alias("n"), F.sum("label").alias("k")).orderBy(F.desc("n"), "s").limit(MAX_SUFFIXES).collect()
-    model.suffixes = {r.s: round(1000 * (r.k + 10 * model.prior / 1000) / (r.n + 10)) for r in stats if r.s is not None}
-    full = materialize(with_features(rows, model.suffixes, model.prior).groupBy(*FEATURES).agg(F.count("*").alias("n"), F.sum("label").alias("k")), "url-features")
+    top = rows.groupBy(suffix(F.col("host")).alias("s")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "s").limit(MAX_SUFFIXES)
+    stats = rows.groupBy(suffix(F.col("host")).alias("s"), "grp").agg(F.count("*").alias("n"), F.sum("label").alias("k")).join(F.broadcast(top.select("s")), "s").collect()
+    smooth = lambda k, n: round(1000 * (k + 10 * model.prior / 1000) / (n + 10))
+    others = {}
+    for s in sorted({r.s for r in stats}):
+        own = {r.grp: (r.k, r.n) for r in stats if r.s == s}
+        k, n = (sum(x[i] for x in own.values()) for i in (0, 1))
+        if len(own) > 1:
+            model.suffixes[s] = smooth(k, n)
+            others |= {f"{s} {g}": smooth(k - x[0], n - x[1]) for g, x in own.items()}
+    full = with_features(rows, others, model.prior, F.concat(suffix(F.col("host")), F.lit(" "), F.col("grp")))
+    full = materialize(full.groupBy(*FEATURES).agg(F.count("*").alias("n"), F.sum("label").alias("k")), "url-features")
     at = [k / MAX_BINS for k in range(1, MAX_BINS)]
     cuts = full.agg(*[F.percentile_approx(f, at, 10_000).alias(f) for f in FEATURES]).first()
     cuts = {f: sorted(set(cuts[f] or [])) for f in FEATURES}
@@ -173,24 +189,47 @@ def _grown(table: DataFrame, cuts: dict[str, list[int]], depth: int):
 def judge(pages: DataFrame, model: Model, rules=RULES) -> DataFrame:
     """pages (url, ...) plus host, path, rule, score (probability of block by the trees) and verdict.
 
-    Columns of pages with these names are replaced. Null urls have empty host and path.
+    Columns of pages with these names, and with those of FEATURES, are replaced; all others are kept. Null and empty urls, and urls without
+    ://, have an empty host and path and no rule; repeated rows get equal verdicts; of rules of equal length that fit the later one
+    holds; urls of any length are read whole, and an empty table gives an empty one.
     """
     keep = [c for c in pages.columns if c not in ("host", "path", "rule", "score", "verdict", *FEATURES)]
     host, path = host_and_path(F.col("url"))
     rows = with_features(pages.select(*keep, host.alias("host"), path.alias("path")), model.suffixes, model.prior)
     name, verdict = rule_for(F.col("host"), F.col("path"), rules)
-    rows = rows.select(*keep, "host", "path", name.alias("rule"), verdict.alias("_verdict"), (1 / (1 + F.exp(-model.margin()))).alias("score"))
-    return rows.withColumn("verdict", F.coalesce("_verdict", F.when(F.col("score") >= BLOCK_AT, "block").otherwise("allow"))).drop("_verdict")
+    score = 1 / (1 + F.exp(-model.margin()))
+    return rows.select(*keep, "host", "path", name.alias("rule"), score.alias("score"), F.coalesce(verdict, F.when(score >= BLOCK_AT, "block").otherwise("allow")).alias("verdict"))
 
 
 def ruled(pages: DataFrame, rules=RULES) -> DataFrame:
-    """The URLs that a rule decides, as labelled rows (url, label)."""
+    """The URLs that a rule decides, as labelled rows (url, label, group: the rule)."""
     host, path = host_and_path(F.col("url"))
-    _, verdict = rule_for(F.col("host"), F.col("path"), rules)
-    rows = pages.select("url", host.alias("host"), path.alias("path")).select("url", F.when(verdict == "block", 1).when(verdict == "allow", 0).alias("label"))
+    name, verdict = rule_for(F.col("host"), F.col("path"), rules)
+    rows = pages.select("url", host.alias("host"), path.alias("path"))
+    rows = rows.select("url", F.when(verdict == "block", 1).when(verdict == "allow", 0).alias("label"), name.alias("group"))
     return rows.where("label is not null")
 
 
+def held_out_auc(labelled: DataFrame, whole_groups: bool = True) -> float | None:
+    """Area under the ROC curve of scores of labelled rows that no model has seen: of whole groups, or of a fold by the url's hash."""
+    part = F.col("group") if whole_groups else F.pmod(F.xxhash64(F.lit(7), "url"), F.lit(FOLDS)).cast("string")
+    rows = labelled.withColumn("part", part)
+    scored = None
+    for r in rows.select("part").distinct().orderBy("part").limit(100).collect():
+        model = train(rows.where(F.col("part") != r.part).drop("part"))
+        out = judge(rows.where(F.col("part") == r.part), model, rules=()).select(F.round("score", 6).alias("score"), "label")
+        scored = out if scored is None else scored.union(out)
+    if scored is None:
+        return None
+    counts = sorted((r.score, r.n, r.k) for r in scored.groupBy("score").agg(F.count("*").alias("n"), F.sum("label").alias("k")).collect())
+    ones, below, area = sum(k for *_, k in counts), 0, 0.0
+    zeros = sum(n for _, n, _ in counts) - ones
+    for _, n, k in counts:
+        area += k * (below + (n - k) / 2)
+        below += n - k
+    return area / (ones * zeros) if ones and zeros else None
+
+
 def op4_url_filter(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
     return judge(pages, train(ruled(pages))).select("page_id", "host", "path", "rule", "verdict")
