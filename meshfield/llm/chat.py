@@ -1,6 +1,8 @@
 """Chat formatting in budgeted windows.
 
-A conversation becomes windows of whole turns, each within a token budget: prefix sums of turn costs choose the spans. Every
+A conversation becomes windows of whole turns, each within a token budget: prefix sums of turn costs choose the spans. A turn costs
+the tokens of its template, marks and role included; turns end with a line end and start with "<", where no token
+reaches across, so costs add up to the tokens of the window. Every
 window starts with the conversation's system turn (if it has one) and repeats a limited history of the turns before its
 span; loss spans cover assistant texts of the span alone, so each target is learnt once.
 Template: <|im_start|>ROLE\\nTEXT<|im_end|>\\n. Inside texts and roles "<|" becomes "<\\|" (further backslashes are added where
@@ -20,8 +22,8 @@ from pyspark.sql import functions as F
 
 from .packing import default_vocabulary, tokens
 
-#: Tokens of a window; of them for repeated history at most; turns of history at most; tokens of the marks of a turn.
-BUDGET, HISTORY, HISTORY_TURNS, MARKS = 2048, 512, 2, 8
+#: Tokens of a window; of them for repeated history at most; turns of history at most.
+BUDGET, HISTORY, HISTORY_TURNS = 2048, 512, 2
 START, STOP = "<|im_start|>", "<|im_end|>\n"
 WINDOWS = "conv_id long, window long, text string, n_repeated int, n_turns int, loss array<struct<start:int,end:int>>, n_tokens long"
 _RAW, _ESCAPED = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
@@ -40,6 +42,10 @@ def escape_role(role: str) -> str:
     return escape(role).replace("~", "~0").replace("\n", "~1")
 
 
+def turn_text(role: str, text: str) -> str:
+    return f"{START}{escape_role(role)}\n{escape(text)}{STOP}"
+
+
 def unescape_role(role: str) -> str:
     return unescape(role.replace("~1", "\n").replace("~0", "~"))
 
@@ -110,10 +116,12 @@ class _Conversation:
 
 
 def format_windows(conversations: DataFrame, vocabulary: str | None = None, budget: int = BUDGET, history: int = HISTORY, history_turns: int = HISTORY_TURNS) -> DataFrame:
-    """conversations (conv_id, turn, role, text) -> WINDOWS: one row per window.
+    """conversations (conv_id, turn, role, text) -> WINDOWS: one row per window, conversation after conversation, windows in order.
 
     Turns are ordered by turn, role and text; repeated rows are turns of their own. Null texts and roles are empty; rows with a null
-    conv_id are one conversation. A turn that alone exceeds the budget has a window of its own. Extra columns are ignored.
+    conv_id are one conversation. A turn that exceeds the budget, alone or with the system turn, has a window of its own (with that
+    turn): only such windows exceed it. Extra columns are ignored; no rows give no windows. The turns of a conversation pass through
+    one task in order: it holds a window and its history, however long the conversation is.
     """
     vocabulary = vocabulary or default_vocabulary()
 
@@ -126,7 +134,7 @@ def format_windows(conversations: DataFrame, vocabulary: str | None = None, budg
                     if state is not None:
                         out.append((conv, *state.close()))
                     conv, state = key, _Conversation(budget, history, history_turns)
-                cost = len(enc.encode(escape(text))) // 4 + MARKS
+                cost = len(enc.encode(turn_text(role, text))) // 4
                 out += [(conv, *w) for w in state.add(role, text, cost)]
                 if len(out) >= 500:
                     yield _batch(out)
@@ -152,8 +160,11 @@ def parse(text: str) -> list[tuple[str, str]]:
     return [(unescape_role(r), unescape(t)) for r, t in _TURN.findall(text)]
 
 
-def digest(windows: DataFrame) -> DataFrame:
-    """What the windows hold, read back: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars."""
+def digest(windows: DataFrame, in_order: bool = False) -> DataFrame:
+    """What the windows hold, read back: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.
+
+    in_order: windows come as format_windows() gives them, so nothing has to be sorted.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         conv, now, out = None, None, []
@@ -181,7 +192,8 @@ def digest(windows: DataFrame) -> DataFrame:
         if now is not None:
             yield _digests([*out, done()])
 
-    ordered = windows.select("conv_id", "text", "n_repeated", "loss", "window").repartition("conv_id").sortWithinPartitions("conv_id", "window").select("conv_id", "text", "n_repeated", "loss")
+    ordered = windows if in_order else windows.repartition("conv_id").sortWithinPartitions("conv_id", "window")
+    ordered = ordered.select("conv_id", "text", "n_repeated", "loss")
     return ordered.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
@@ -195,4 +207,4 @@ def op6_chat_formatting(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     said = "<|im_end|><|im_start|>assistant ok"
     extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
-    return digest(format_windows(rows.unionByName(extra)))
+    return digest(format_windows(rows.unionByName(extra)), in_order=True)
