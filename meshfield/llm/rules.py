@@ -1,7 +1,7 @@
 """Quality rules, in DataFrame operations only: per-text counts, and line frequency across the documents of a host.
 
-Lines are normalised (A-Z lower-cased, white space collapsed, digits as 0) and hashed; per host the distinct texts that hold a line are
-counted. Lines above the limit are removed, and documents that lose most of their words are rejected.
+Lines are normalised (A-Z lower-cased, white space collapsed, digits as 0) and hashed; per host the distinct documents that hold a line
+are counted. Lines above the limit are removed, and documents that lose most of their words are rejected.
 """
 
 from __future__ import annotations
@@ -9,10 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, materialize
+from .common import keyed_join, materialize, own_names
 
-#: Distinct texts of a host that may hold a line; least share (percent) of its words that a document must keep.
-LINE_TEXTS, LEAST_KEPT = 20, 30
+#: Distinct documents of a host that may hold a line; least share (percent) of its words that a document must keep.
+LINE_DOCS, LEAST_KEPT = 20, 30
 _SPACE = r"[\x20\x09-\x0D]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -54,51 +54,69 @@ def counts(docs: DataFrame, text: str = "text") -> DataFrame:
     t = F.coalesce(F.col(text), F.lit(""))
     own = let(words(t), lambda w: F.struct(F.size(w).alias("n"), repeated_words(w).alias("r")))
     dup = let(lines(t), lambda x: F.size(x) - F.size(F.array_distinct(x)))
-    out = docs.withColumn("_own", own).withColumns({
-        "n_words": F.col("_own.n").cast("long"),
+    (name,) = own_names(docs, "own")
+    out = docs.withColumn(name, own).withColumns({
+        "n_words": F.col(f"{name}.n").cast("long"),
         "word_chars": F.length(F.translate(t, " \t\n\x0b\x0c\r", "")).cast("long"),
         "n_symbols": (F.length(t) - F.length(F.translate(t, "#*$%&|<>", ""))).cast("long"),
         "n_dup_lines": dup.cast("long"),
-        "n_repeat_words": F.col("_own.r").cast("long"),
+        "n_repeat_words": F.col(f"{name}.r").cast("long"),
     })
-    return out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))).drop("_own")
+    return out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))).drop(name)
 
 
-def _lines_of(docs: DataFrame, host: str, keep: list[Column]) -> DataFrame:
-    """A row per line with words: host, h (hash of the normalised line), n (its words)."""
-    line = F.transform(lines(F.coalesce(F.col("text"), F.lit(""))), lambda x: let(normalised(x), lambda y: F.struct(F.xxhash64(y).alias("h"), (F.length(y) - F.length(F.translate(y, " ", "")) + 1).alias("n"))))
-    out = docs.select(*keep, F.coalesce(F.col(host).cast("string"), F.lit("")).alias("_host"), F.explode_outer(line).alias("_line"))
-    return out.select("*", F.col("_line.h").alias("_h"), F.col("_line.n").alias("_n")).drop("_line")
+def line_hash(host: Column, line: Column) -> Column:
+    """Key of a normalised line on a host (null: one host)."""
+    return F.xxhash64(F.coalesce(host.cast("string"), F.lit("")), normalised(line))
 
 
-def frequent_lines(docs: DataFrame, host: str = "source", limit: int = LINE_TEXTS) -> DataFrame:
-    """(host, h) of the lines that more than limit distinct texts of the host hold."""
-    own = _lines_of(docs, host, [F.xxhash64("text").alias("_text")]).where("_h is not null")
-    return own.groupBy("_host", "_h").agg(F.count_distinct("_text").alias("n")).where(F.col("n") > limit).select("_host", "_h")
+def frequent_lines(docs: DataFrame, host: str = "source", limit: int = LINE_DOCS) -> DataFrame:
+    """(h, n) of the lines that more than limit distinct documents of the host hold: key and number of documents.
+
+    A document is its doc_id; where that is null, its text.
+    """
+    doc = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
+    keys = F.transform(lines(F.coalesce(F.col("text"), F.lit(""))), lambda x: line_hash(F.col(host), x))
+    own = docs.select(doc.alias("doc"), F.explode(F.array_distinct(keys)).alias("h"))
+    return own.groupBy("h").agg(F.count_distinct("doc").alias("n")).where(F.col("n") > limit)
 
 
-def judge(docs: DataFrame, host: str = "source", limit: int = LINE_TEXTS, least: int = LEAST_KEPT) -> DataFrame:
+def judge(docs: DataFrame, host: str = "source", limit: int = LINE_DOCS, least: int = LEAST_KEPT) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_removed_words: a row per row of docs.
 
-    kept: neither base_failed nor depleted (less than least percent of the words left when frequent lines are gone). Null texts
-    have no words; null hosts are one host. Extra columns are ignored.
+    kept: neither base_failed nor depleted (less than least percent of the words left when frequent lines are gone; a line that exactly
+    limit documents hold stays). Null texts have no words; null hosts are one host; rows that repeat an id are one document in the count of
+    lines. Texts are judged whole, extra columns are ignored, and an empty table gives an empty one.
     """
-    bad = broadcast_if_small(materialize(frequent_lines(docs, host, limit).select(F.col("_host").alias("_bh"), F.col("_h").alias("_b"), F.lit(1).alias("_bad")), "rules-lines"))
+    bad = materialize(frequent_lines(docs, host, limit), "rules-lines")
     base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    rows = counts(docs.select("doc_id", host, "text").withColumn("_row", F.monotonically_increasing_id()))
-    each = _lines_of(rows, host, [F.col(c) for c in ("_row", "doc_id", *base)])
-    each = each.join(bad, (F.col("_host") == F.col("_bh")) & (F.col("_h") == F.col("_b")), "left")
-    out = each.groupBy("_row", "doc_id", *base).agg(F.coalesce(F.sum(F.when(F.col("_bad") == 1, F.col("_n"))), F.lit(0)).alias("n_removed_words"))
+    rows = counts(docs.select("doc_id", F.col(host).alias("host"), "text").withColumn("row", F.monotonically_increasing_id()))
+    words_of = lambda x: F.length(x) - F.length(F.translate(x, " ", "")) + 1
+    line = F.transform(lines(F.coalesce(F.col("text"), F.lit(""))), lambda x: F.struct(line_hash(F.col("host"), x).alias("h"), words_of(normalised(x)).alias("k")))
+    each = rows.select("row", "doc_id", *base, F.explode_outer(line).alias("line")).select("row", "doc_id", *base, "line.h", "line.k")
+    each = keyed_join(each, bad, "h", "n", bad.agg(F.sum("n")).first()[0] or 0, "left", F.lit(True).alias("bad"))
+    out = each.groupBy("row", "doc_id", *base).agg(F.coalesce(F.sum(F.when(F.col("bad"), F.col("k"))), F.lit(0)).alias("n_removed_words"))
     left = 100 * (F.col("n_words") - F.col("n_removed_words")) >= least * F.col("n_words")
     return out.select("doc_id", *base, (~F.col("base_failed") & left).alias("kept"), F.col("n_removed_words").cast("long"))
 
 
-def clean(docs: DataFrame, host: str = "source", limit: int = LINE_TEXTS) -> DataFrame:
-    """docs with frequent lines removed from text."""
-    bad = frequent_lines(docs, host, limit).groupBy("_host").agg(F.collect_set("_h").alias("_bad"))
-    out = docs.join(bad, F.coalesce(F.col(host).cast("string"), F.lit("")) == F.col("_host"), "left")
-    kept = F.filter(F.split("text", "\n"), lambda x: ~F.coalesce(F.array_contains("_bad", F.xxhash64(normalised(x))), F.lit(False)))
-    return out.withColumn("text", F.when(F.col("_bad").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))).drop("_host", "_bad")
+def clean(docs: DataFrame, host: str = "source", limit: int = LINE_DOCS) -> DataFrame:
+    """docs with frequent lines removed from text; null texts stay null, and all other columns are kept whatever their names.
+
+    Lines are joined with the frequent ones and put together again by row, so no list of frequent lines has to fit a task.
+    """
+    bad = materialize(frequent_lines(docs, host, limit), "rules-lines")
+    row, h, n, kept = own_names(docs, "row", "h", "n", "kept")
+    rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "rules-rows")
+    bad = bad.select(F.col("h").alias(h), F.col("n").alias(n))
+    # A line without words is nothing that is counted: no key.
+    key = F.when(F.col("line").rlike(r"[^\x20\x09-\x0D]"), line_hash(F.col("host"), F.col("line")))
+    each = rows.where("text is not null").select(row, F.col(host).alias("host"), F.posexplode(F.split("text", "\n")).alias("place", "line")).withColumn(h, key)
+    each = keyed_join(each, bad, h, n, bad.agg(F.sum(n)).first()[0] or 0, "left", F.lit(True).alias("bad"))
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "line"))), lambda x: x["line"]), "\n")
+    texts = each.where("bad is null").groupBy(row).agg(text.alias(kept))
+    out = rows.join(texts, row, "left").withColumn("text", F.when(F.col("text").isNotNull(), F.coalesce(kept, F.lit(""))))
+    return out.select(*docs.columns)
 
 
 def op8_quality_rules(spark, sf_dir):
@@ -106,10 +124,10 @@ def op8_quality_rules(spark, sf_dir):
 
 
 OP8_SQL = rf"""
-WITH d AS (SELECT row_number() OVER () r, doc_id, coalesce(source, '') host, coalesce(text, '') t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w FROM documents),
-l AS (SELECT r, host, t, unnest(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) line FROM d),
-ln AS (SELECT r, host, t, line, trim(regexp_replace(translate(line, '{_UPPER}123456789', '{_LOWER}000000000'), '[\x20\x09-\x0D]+', ' ', 'g')) y FROM l),
-bad AS (SELECT host, y FROM ln GROUP BY ALL HAVING count(DISTINCT t) > {LINE_TEXTS}),
+WITH d AS (SELECT row_number() OVER () r, doc_id, coalesce(doc_id::VARCHAR, 't' || text) doc, coalesce(source, '') host, coalesce(text, '') t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w FROM documents),
+l AS (SELECT r, doc, host, t, unnest(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) line FROM d),
+ln AS (SELECT r, doc, host, line, trim(regexp_replace(translate(line, '{_UPPER}123456789', '{_LOWER}000000000'), '[\x20\x09-\x0D]+', ' ', 'g')) y FROM l),
+bad AS (SELECT host, y FROM ln GROUP BY ALL HAVING count(DISTINCT doc) > {LINE_DOCS}),
 cut AS (SELECT r, sum(len(string_split(y, ' '))) removed FROM ln JOIN bad USING (host, y) GROUP BY r),
 dup AS (SELECT r, count(*) - count(DISTINCT line) n FROM l GROUP BY r),
 win AS (SELECT r, i, s, count(*) OVER (PARTITION BY r, s) c FROM (SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] s FROM (SELECT r, w, unnest(range(1, len(w) - 1)) i FROM d WHERE len(w) >= 3))),
