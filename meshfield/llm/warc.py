@@ -1,9 +1,10 @@
 """WARC archives and their capture index.
 
-Archives are WARC/1.1 files of bounded size, written by Spark's text writer (so to any store that Spark reaches) with the
-records' closing blank lines as separator. Reading parses them by Content-Length. Each archive yields a sorted run of captures; runs
-are cut at common bounds of (URL key, timestamp, record), and each range merges its k runs with a loser tree, so that range after
-range the capture histories are in global order.
+Archives are WARC/1.1 files of bounded size with a gzip member for each record, so a capture's offset can be sought. Spark's text
+writer writes them (so to any store that Spark reaches): a member's last byte, the top byte of its length, is 0 and stands as the line
+separator. Reading parses members and headers and checks digests. Each archive yields a sorted run of captures; runs are merged FAN
+at a time with loser trees, cut at common bounds of (URL key, timestamp, record), and each range merges its runs in the same way, so
+that range after range the capture histories are in global order.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 from datetime import datetime, timedelta
 
@@ -18,10 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, broadcast_if_small, materialize, new_path
+from .common import arrow_map, keyed_join, materialize, new_path
 
-#: Payload bytes of one archive file, captures in one range of the merged index, and ranges at most (their bounds are all that the driver holds).
-ARCHIVE_BYTES, RANGE, MAX_RANGES = 12_000_000, 20_000, 20_000
+#: Payload bytes of one archive file, captures in one range of the merged index, and ranges at most (their bounds are all that the driver
+#: holds; with more than four billion captures ranges are longer, and a task still merges them as a stream).
+ARCHIVE_BYTES, RANGE, MAX_RANGES = 12_000_000, 20_000, 200_000
+#: Runs that one loser tree merges.
+FAN = 32
 INDEX = "url_key string, timestamp string, page_id long, record long, record_type string, refers_to long, payload_digest string, payload_bytes long, archive string, offset long"
 #: Pages carry no time: record n is dated n seconds after this.
 EPOCH = datetime(2000, 1, 1)
@@ -41,33 +46,25 @@ def base32_sha1(payload: bytes) -> str:
 
 
 def planned(pages: DataFrame, least: int = 0) -> DataFrame:
-    """pages (page_id, url, html) plus row, payload_digest, payload_bytes, record_type and refers_to.
+    """page_id, url, html, payload_sha1 (hex), payload_bytes, record_type and refers_to of pages (page_id, url, html).
 
-    Among payloads that are equal and have at least `least` bytes, rows with the smallest page_id are responses and the others revisit it.
-    Rows with a null page_id are responses and never referred to. Null html is an empty payload.
+    Among payloads that are equal and have at least `least` bytes, rows with the smallest page_id are responses (repeated rows too) and
+    the others revisit it. Rows with a null page_id are responses and never referred to. Null html is an empty payload. Extra columns
+    are left out, payloads of any length are taken whole, and an empty table gives an empty one.
     """
-
-    def f(b: pa.RecordBatch) -> pa.RecordBatch:
-        html = b.column(1).to_pylist()
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array([base32_sha1(x) for x in html], pa.string()), pa.array([len(x) for x in html], pa.int64())], names=["page_id", "payload_digest", "payload_bytes"])
-
-    body = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("html"))
-    digests = arrow_map(body, f, "page_id long, payload_digest string, payload_bytes long")
-    firsts = digests.where(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    firsts = materialize(firsts.select(F.col("payload_digest").alias("d"), "first"), "warc-firsts")
-
-    def g(b: pa.RecordBatch) -> pa.RecordBatch:
-        html = b.column(2).to_pylist()
-        return pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([base32_sha1(x) for x in html], pa.string()), pa.array([len(x) for x in html], pa.int64())], names=["page_id", "url", "html", "payload_digest", "payload_bytes"])
-
-    body = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("html"))
-    rows = arrow_map(body, g, "page_id long, url string, html binary, payload_digest string, payload_bytes long")
-    rows = rows.join(broadcast_if_small(firsts, 200_000), F.col("payload_digest") == F.col("d"), "left")
+    html = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
+    rows = rows.withColumns({"payload_sha1": F.sha1("html"), "payload_bytes": F.octet_length("html").cast("long")})
+    firsts = rows.where(F.col("payload_bytes") >= least).groupBy("payload_sha1").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    firsts = materialize(firsts, "warc-firsts")
+    copies = firsts.agg(F.sum("n")).first()[0] or 0
+    rows = keyed_join(rows, firsts, "payload_sha1", "n", copies, "left")
     revisit = F.coalesce(F.col("first") < F.col("page_id"), F.lit(False))
-    return rows.select("page_id", "url", "html", "payload_digest", "payload_bytes", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first")).alias("refers_to"))
+    return rows.select("page_id", "url", "html", "payload_sha1", "payload_bytes", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first")).alias("refers_to"))
 
 
-def _record(page_id, url, html: bytes, digest: str, size: int, kind: str, refers) -> bytes:
+def _record(page_id, url, html: bytes, sha1: str, size: int, kind: str, refers) -> bytes:
+    """A record with its closing blank lines. Line ends in a URL become %0D and %0A."""
     stamp = (EPOCH + timedelta(seconds=(page_id or 0) % 10**9)).strftime("%Y-%m-%dT%H:%M:%SZ")
     body = b"" if kind == "revisit" else html
     head = [
@@ -75,42 +72,65 @@ def _record(page_id, url, html: bytes, digest: str, size: int, kind: str, refers
         f"WARC-Type: {kind}",
         f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
         f"WARC-Date: {stamp}",
-        f"WARC-Target-URI: {re.sub(r'[\r\n]+', ' ', url)}" if url is not None else "",
-        f"WARC-Payload-Digest: sha1:{digest}",
+        "" if url is None else "WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"),
+        f"WARC-Payload-Digest: sha1:{base64.b32encode(bytes.fromhex(sha1)).decode()}",
         f"X-Payload-Length: {size}",
         f"WARC-Refers-To: <urn:page:{refers}>" if kind == "revisit" else "",
         "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest" if kind == "revisit" else "",
         "Content-Type: text/html; charset=utf-8",
         f"Content-Length: {len(body)}",
     ]
-    return "\r\n".join(x for x in head if x).encode() + b"\r\n\r\n" + body
+    return "\r\n".join(x for x in head if x).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
+
+
+def member(record: bytes) -> bytes:
+    """record as a gzip member whose last byte is 0 (an empty member follows where the length's top byte is not)."""
+    pack = zlib.compressobj(6, zlib.DEFLATED, 31)
+    out = pack.compress(record) + pack.flush()
+    return out if out[-1] == 0 else out + member(b"")
 
 
 def write_archives(pages: DataFrame, path: str, least: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> None:
-    """Writes pages as gzipped WARC files of about archive_bytes of payload each into the folder path."""
+    """Writes pages as WARC files (gzip members) of about archive_bytes of payload each into the folder path. Cases as in planned()."""
     total = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
 
     def f(b: pa.RecordBatch) -> pa.RecordBatch:
         cols = [c.to_pylist() for c in b.columns]
-        return pa.RecordBatch.from_arrays([pa.array([_record(*x) for x in zip(*cols, strict=True)], pa.binary())], names=["value"])
+        return pa.RecordBatch.from_arrays([pa.array([member(_record(*x))[:-1] for x in zip(*cols, strict=True)], pa.binary())], names=["value"])
 
     parts = max(1, -(-total // archive_bytes))
-    rows = planned(pages, least).repartition(parts, F.xxhash64("page_id", "url", "payload_digest"))
-    arrow_map(rows, f, "value binary").select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
+    rows = planned(pages, least).repartition(parts, F.xxhash64("page_id", "url", "payload_sha1"))
+    arrow_map(rows, f, "value binary").select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\0").text(path)
 
 
-def parse_archive(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
-    """(offset, headers, block) of each record."""
-    at = 0
+def members(data: bytes) -> Iterator[tuple[int, bytes]]:
+    """(offset, content) of each gzip member."""
+    at, view, step = 0, memoryview(data), 1 << 15
     while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode().split("\r\n")
+        unpack, parts, end = zlib.decompressobj(31), [], at
+        while not unpack.eof:
+            if end >= len(data):
+                raise ValueError(f"gzip member at {at} is cut off")
+            parts.append(unpack.decompress(view[end : end + step]))
+            end += step
+        yield at, b"".join(parts)
+        at = min(end, len(data)) - len(unpack.unused_data)
+
+
+def parse_archive(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
+    """(offset of its member, headers, block) of each record."""
+    for at, record in members(data):
+        if not record:
+            continue
+        end = record.index(b"\r\n\r\n")
+        lines = record[:end].decode().split("\r\n")
         if not lines[0].startswith("WARC/"):
             raise ValueError(f"no WARC record at {at}")
         head = dict(x.split(": ", 1) for x in lines[1:])
         size = int(head["Content-Length"])
-        yield at, head, data[end + 4 : end + 4 + size]
-        at = end + 4 + size + 4
+        if len(record) != end + 4 + size + 4:
+            raise ValueError(f"record at {at} has another length")
+        yield at, head, record[end + 4 : end + 4 + size]
 
 
 def _id(urn: str | None) -> int | None:
@@ -119,13 +139,12 @@ def _id(urn: str | None) -> int | None:
 
 def runs(spark, path: str) -> DataFrame:
     """One row per archive: its captures as a sorted run (Arrow bytes)."""
-    import zlib
 
     def f(b: pa.RecordBatch) -> pa.RecordBatch:
         out = []
         for name, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             rows = []
-            for k, (at, head, block) in enumerate(parse_archive(zlib.decompress(data, 31))):
+            for k, (at, head, block) in enumerate(parse_archive(data)):
                 kind, digest = head["WARC-Type"], head["WARC-Payload-Digest"][5:]
                 if kind == "response" and base32_sha1(block) != digest:
                     raise ValueError(f"{name}: payload at {at} has another digest")
@@ -136,7 +155,7 @@ def runs(spark, path: str) -> DataFrame:
             out.append(_to_bytes(rows))
         return pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["archive", "run"])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select(F.element_at(F.split("path", "/"), -1).alias("archive"), "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select(F.element_at(F.split("path", "/"), -1).alias("archive"), "content")
     return arrow_map(files, f, "archive string, run binary")
 
 
@@ -195,6 +214,13 @@ class LoserTree:
             self._play(w)
 
 
+def merged(sources: list[Iterator[tuple]], fan: int = FAN) -> Iterator[tuple]:
+    """All sources in order, by loser trees of at most fan sources each, in levels."""
+    while len(sources) > fan:
+        sources = [iter(LoserTree(sources[k : k + fan])) for k in range(0, len(sources), fan)]
+    return iter(LoserTree(sources))
+
+
 def merged_index(runs_: DataFrame, in_range: int = RANGE) -> DataFrame:
     """The captures of all runs (materialized) in global order: range (long), place in it (long), and the fields of INDEX.
 
@@ -215,20 +241,16 @@ def merged_index(runs_: DataFrame, in_range: int = RANGE) -> DataFrame:
         bounds = sorted((r.k, r.t, r.p) for r in arrow_map(ranked, lambda b: b.slice(b.num_rows - 1, 1), "k string, t string, p long").collect())[:-1]
     shared = spark.sparkContext.broadcast(bounds)
 
-    def cut(b: pa.RecordBatch) -> pa.RecordBatch:
-        out: list[tuple[int, bytes]] = []
-        limits = shared.value
-        for data in b.column(1).to_pylist():
-            own, r = [], 0
-            for x in _from_bytes(data):
-                while r < len(limits) and _order(x)[:3] > limits[r]:
-                    if own:
-                        out.append((r, _to_bytes(own)))
-                    own, r = [], r + 1
-                own.append(x)
-            if own:
-                out.append((r, _to_bytes(own)))
-        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], names=["range", "run"])
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[bytes] = []
+        for b in batches:
+            for data in b.column(1).to_pylist():
+                held.append(data)
+                if len(held) == FAN:
+                    yield _pieces(merged([_from_bytes(d) for d in held]), shared.value)
+                    held = []
+        if held:
+            yield _pieces(merged([_from_bytes(d) for d in held]), shared.value)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups: dict[int, list[bytes]] = {}
@@ -237,7 +259,7 @@ def merged_index(runs_: DataFrame, in_range: int = RANGE) -> DataFrame:
                 groups.setdefault(r, []).append(data)
         for r in sorted(groups):
             rows, place = [], 0
-            for x in LoserTree([_from_bytes(d) for d in groups[r]]):
+            for x in merged([_from_bytes(d) for d in groups[r]]):
                 rows.append((r, place, *x))
                 place += 1
                 if len(rows) == 5000:
@@ -246,10 +268,26 @@ def merged_index(runs_: DataFrame, in_range: int = RANGE) -> DataFrame:
             if rows:
                 yield _rows(rows)
 
-    dealt = arrow_map(runs_, cut, "range long, run binary").repartitionByRange(len(bounds) + 1, "range")
+    dealt = runs_.mapInArrow(cut, "range long, run binary").repartitionById(len(bounds) + 1, F.col("range").cast("int"))
     return dealt.mapInArrow(merge, f"range long, place long, {INDEX}")
 
 
+def _pieces(captures: Iterator[tuple], limits: list[tuple]) -> pa.RecordBatch:
+    """A sorted run, cut at limits: (range, run)."""
+    out: list[tuple[int, bytes]] = []
+    own: list[tuple] = []
+    r = 0
+    for x in captures:
+        while r < len(limits) and _order(x)[:3] > limits[r]:
+            if own:
+                out.append((r, _to_bytes(own)))
+            own, r = [], r + 1
+        own.append(x)
+    if own:
+        out.append((r, _to_bytes(own)))
+    return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], names=["range", "run"])
+
+
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
     kinds = [pa.int64(), pa.int64(), *_KINDS.types]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["range", "place", *_KINDS.names])
@@ -265,5 +303,5 @@ def op10_warc(spark, sf_dir):
     path = new_path(spark, "warc")
     write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
     index = merged_index(materialize(runs(spark, path), "warc-runs"))
-    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "timestamp", "range", "place")
 
