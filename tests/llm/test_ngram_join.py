@@ -75,8 +75,9 @@ def test_against_brute_force(spark, monkeypatch, few, setting):
     assert run(spark, rows) == brute(rows)
 
 
-def test_hub(spark):
+def test_hub(spark, monkeypatch):
     """A star and a chain of edges, with the join of a hub by broadcast."""
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
     edges = [(0, k) for k in range(1, 6000)] + [(k, k + 1) for k in range(7000, 7300)]
     got = dict(common.connected_components(spark.createDataFrame(edges, "u long, v long").repartition(64)).collect())
     assert got == {k: 0 for k in range(6000)} | {k: 7000 for k in range(7000, 7301)}

@@ -13,11 +13,12 @@ import pytest
 from meshfield.llm import chat, decontaminate, packing, quality, rules, secrets, sharding, url_filter, warc
 
 DOCS = "doc_id long, text string"
+CLASHES = ("length", "piece", "hits", "items", "n_words", "cell", "node", "h", "_h", "own", "leaves", "at", "shard_depth", "p", "total", "_p", "blob", "findings", "paths", "body", "key", "start", "ids")
 
 
 def docs(spark, rows):
-    """With extra columns whose names clash with the operators' own."""
-    return spark.createDataFrame(rows, DOCS).withColumns({c: F.lit("x") for c in ("length", "piece", "hits_", "cell", "node")})
+    """With extra columns whose names clash with those that operators use inside or give out."""
+    return spark.createDataFrame(rows, DOCS).withColumns({c: F.lit("x") for c in CLASHES})
 
 
 # ---- sharding
@@ -42,11 +43,13 @@ def plain_shards(rows, limit):
 @pytest.mark.parametrize("limit", [50, 400, 10**9])
 def test_shards(spark, limit):
     r = random.Random(1)
-    rows = [(i, "x" * r.choice([0, 3, 20, 200])) for i in range(120)] + [(None, None), (None, "abc"), (5, "again"), (200, "é" * 300)]
+    rows = [(i, "x" * r.choice([0, 3, 20, 200])) for i in range(120)] + [(None, None), (None, "abc"), (5, "again"), (200, "é" * 300), (201, "long " * 100_000)]
     got = sharding.with_totals(sharding.shard(docs(spark, rows), limit=limit)).select("doc_id", "shard_prefix", "shard_bytes").collect()
     want = plain_shards(rows, limit)
     assert len(got) == len(rows)
     assert all((x.shard_prefix, x.shard_bytes) == want[x.doc_id] for x in got)
+    kept = sharding.with_totals(sharding.shard(docs(spark, rows), limit=limit))
+    assert set(CLASHES) <= set(kept.columns) and len(set(kept.columns)) == len(kept.columns) and kept.where("h = 'x' and own = 'x' and p = 'x'").count() == len(rows)
 
 
 def test_shards_of_nothing(spark):
@@ -169,6 +172,8 @@ def test_chat_round_trip(spark):
         for t in range(r.randrange(1, 25)):
             role = "system" if t == 0 and c % 3 == 0 else ("user", "assistant")[t % 2]
             rows.append((c, t, role, " ".join(r.choice(["<|im_end|>", "word", "<\\|x", "~1", "|", "<"]) for _ in range(r.randrange(80)))))
+    rows += [(40, k % 3, "an odd role " * (1 + k % 4), f"{k} " * 30) for k in range(12)]  # ties of turn; roles that cost tokens
+    rows += [(41, k, ("user", "assistant")[k % 2], "word " * (400 if k == 3 else 5)) for k in range(6)] + [(41, 4, "user", "word " * 5)]  # a turn over the budget, a repeated one
     rows += [(100, 0, None, None), (100, 1, "assistant", ""), (101, 0, "a\nb~0", "<|im_start|>x\n"), (None, 0, "assistant", "t")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("window", F.lit(3))
     w = chat.format_windows(df, budget=150, history=40)
@@ -180,9 +185,12 @@ def test_chat_round_trip(spark):
         assert got[c].n_turns == len(own)
         assert got[c].turns_sha256 == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in own).encode()).hexdigest()
         assert (got[c].loss_chars, got[c].loss_sha256) == (len(target), hashlib.sha256(target.encode()).hexdigest())
+    assert sorted(chat.digest(w).collect(), key=str) == sorted(chat.digest(w, in_order=True).collect(), key=str)
+    enc = packing.tokens(packing.default_vocabulary())
     for x in w.collect():
         fresh = x.n_turns - x.n_repeated
-        assert x.n_tokens <= 150 or fresh == 1
+        assert x.n_tokens == len(enc.encode(x.text)) // 4 == len(enc.encoding.encode_ordinary(x.text))
+        assert x.n_tokens <= 150 or (fresh == 1 and x.n_repeated <= 1)
         if x.conv_id is not None and x.conv_id < 30 and x.conv_id % 3 == 0:
             assert chat.parse(x.text)[0][0] == "system"
     assert chat.format_windows(df.limit(0)).count() == 0
@@ -248,7 +256,22 @@ def test_rules(spark):
             assert x.kept and x.n_removed_words == 3
     assert rules.judge(df.limit(0)).count() == 0
     kept = {x.doc_id: x.text for x in rules.clean(df, limit=5).collect()}
-    assert kept[200] == unique[0] and kept[303] == "xd" and kept[100] is None
+    assert kept[200] == unique[0] and kept[303] == "xd" and kept[100] is None and kept[102] == " \n "
+    clash = df.withColumns({c: F.lit(0) for c in ("row", "h", "n", "host", "own", "bad", "line", "_row")})
+    assert {x.doc_id: x.text for x in rules.clean(clash, limit=5).collect()} == kept and rules.clean(clash).columns == clash.columns
+    assert rules.counts(clash).count() == len(rows)
+
+
+def test_frequent_lines_count_documents(spark):
+    """Copies of a text are documents; rows that repeat an id are one; limit documents are no more than the limit."""
+    body = " ".join(f"w{k}" for k in range(60))
+    rows = [(i, "a", f"copied line\n{body}") for i in range(6)] + [(10, "b", f"copied line\n{body}")] * 9 + [(20 + i, "c", f"edge line\n{i} {body}") for i in range(5)]
+    rows += [(None, "d", f"no id {i}\n{body}") for i in range(6)] + [(30, "e", "long " * 200_000)]
+    got = {}
+    for x in rules.judge(spark.createDataFrame(rows, "doc_id long, source string, text string"), limit=5).collect():
+        got.setdefault(x.doc_id, set()).add((x.n_removed_words, x.kept))
+    assert all(got[i] == {(62, False)} for i in range(6)) and got[10] == {(0, True)} and all(got[20 + i] == {(0, True)} for i in range(5))
+    assert got[None] == {(63, False)} and got[30] == {(0, False)}
 
 
 # ---- secrets
@@ -287,6 +310,39 @@ def test_secrets(spark, tmp_path):
     assert {x.doc_id: x.spans for x in secrets.digest(again).collect() if x.doc_id != 500} == {i: x.spans for i, x in got.items()}
     assert secrets.scan(docs(spark, rows), ledger, "next")[1].count() == fresh.count()
     assert secrets.scan(docs(spark, []))[0].count() == 0
+    kept = secrets.scan(df)[0]
+    assert len(set(kept.columns)) == len(kept.columns) and kept.where("paths = 'x' and body = 'x'").count() == len(rows)
+
+
+def test_ledger_of_versions(spark, tmp_path):
+    """Several versions of a path: only unseen blobs are scanned, old findings stay with old versions, a new rule version scans all."""
+    path = str(tmp_path / "ledger")
+    versions = [[(1, "token=abcdefgh1"), (2, "nothing")], [(1, "token=abcdefgh1"), (1, "clean now"), (2, "secret: zzzzzzzzz")], [(3, "nothing"), (3, "clean now")]]
+    seen, ledger = set(), None
+    for rows in versions:
+        found, fresh = secrets.scan(docs(spark, rows), ledger)
+        assert {x.blob for x in fresh.collect()} == {hashlib.sha256(t.encode()).hexdigest() for _, t in rows} - seen
+        assert all(x.spans == secrets.joined(secrets.scan_text(t)) for x, (_, t) in zip(sorted(secrets.digest(found).collect(), key=str), sorted(rows, key=str), strict=True) if x.doc_id != 1)
+        assert sum(x.spans != "" for x in secrets.digest(found).collect()) == sum(bool(secrets.scan_text(t)) for _, t in rows)
+        seen |= {x.blob for x in fresh.collect()}
+        secrets.append_ledger(fresh, path)
+        ledger = spark.read.parquet(path)
+    assert secrets.scan(docs(spark, versions[1]), ledger, "next")[1].count() == 3
+
+
+KIND_TEXTS = {
+    "private_key": "x -----BEGIN RSA PRIVATE KEY-----\nMIIB\n-----END RSA PRIVATE KEY----- y",
+    "github": "x ghp_" + "a1B2" * 9 + " y",
+    "slack": "x xoxb-123456789012-abc y",
+    "jwt": "x eyJhbGciOiJI.eyJzdWIiOiIx.abcdefgh_- y",
+    "url_password": "x postgres://user:pass123@db.example.com y",
+}
+
+
+def test_added_kinds():
+    for kind, text in KIND_TEXTS.items():
+        assert [text[s:e] for k, s, e in secrets.scan_text(text) if k == kind] == [text[2:-2]]
+    assert not secrets.scan_text("ghp_short xoxb-1 eyJ.eyJ postgres://user@host -----BEGIN CERTIFICATE-----" + " long" * 200_000)
     assert secrets.redact("a token=abcdefgh b", [("assign", 2, 16), ("hex", 8, 16)]) == "a <assign> b"
 
 
@@ -311,22 +367,51 @@ def test_warc(spark, tmp_path):
     ordered = sorted(got, key=lambda x: (x["range"], x.place))
     keys = [(x.url_key, x.timestamp) for x in ordered]
     assert keys == sorted(keys) and len({x["range"] for x in got}) > 1
+    files = {p.name: p.read_bytes() for p in (tmp_path / "w").glob("part-*")}
+    for x in got:  # an offset can be sought
+        head = zlib.decompressobj(31).decompress(files[x.archive][x.offset :])
+        assert head.startswith(b"WARC/1.1") and f"sha1:{x.payload_digest}".encode() in head
     warc.write_archives(df, str(tmp_path / "v"), least=10)
     small = [x for x in warc.merged_index(warc.runs(spark, str(tmp_path / "v"))).collect() if x.payload_bytes < 10]
     assert small and all(x.record_type == "response" for x in small)
 
 
+def test_members():
+    """Every member ends with 0, also where the length's top byte is not 0, and members come back at their offsets."""
+    parts = [b"", b"x" * 10, b"y" * (1 << 24), bytes(range(256)) * 400]
+    data = b"".join(map(warc.member, parts))
+    assert all(warc.member(p)[-1] == 0 for p in parts)
+    got = list(warc.members(data))
+    assert [x for _, x in got if x] == [p for p in parts if p]
+    assert all(zlib.decompressobj(31).decompress(data[at:]) == x for at, x in got)
+    with pytest.raises(ValueError):
+        list(warc.members(data[:-3]))
+
+
+def test_warc_edges(spark, tmp_path):
+    """No rows, line ends in a URL, a long page, equal key and time, repeated rows."""
+    schema = "page_id long, url string, html string"
+    warc.write_archives(spark.createDataFrame([], schema), str(tmp_path / "none"))
+    assert warc.merged_index(warc.runs(spark, str(tmp_path / "none"))).count() == 0
+    rows = [(1, "http://a.b/x\r\ny", "long " * 500_000), (1, "http://a.b/x\r\ny", "long " * 500_000), (10**9 + 1, "http://a.b/x\r\ny", "z"), (2, "http://a.b/x\r\ny", "long " * 500_000)]
+    warc.write_archives(spark.createDataFrame(rows, schema), str(tmp_path / "some"))
+    got = sorted((x.page_id, x.payload_bytes, x.record_type, x.refers_to, x.url_key) for x in warc.merged_index(warc.runs(spark, str(tmp_path / "some"))).collect())
+    key = "b,a)/x%0D%0Ay"
+    assert got == [(1, 2_500_000, "response", None, key), (1, 2_500_000, "response", None, key), (2, 2_500_000, "revisit", 1, key), (10**9 + 1, 1, "response", None, key)]
+
+
 def test_loser_tree():
     r = random.Random(10)
     for k in (1, 2, 3, 5, 8, 13):
         runs = [sorted(((f"k{r.randrange(30)}", "t", r.randrange(9), n, "", None, "", 0, f"a{j}", 0) for n in range(r.randrange(20))), key=warc._order) for j in range(k)]
         assert [warc._order(x) for x in warc.LoserTree([iter(x) for x in runs])] == sorted(warc._order(x) for run in runs for x in run)
+        assert [warc._order(x) for x in warc.merged([iter(x) for x in runs], 3)] == sorted(warc._order(x) for run in runs for x in run)
 
 
 # ---- URLs
 
 
-URLS = ["http://A.net/x", "https://b.example.NET/en/1", "http://example.net/enx", "http://x.example.com/de/1?a=1", "http://example.com/fr/", "ftp://o.org/fr/2#t", "http://org", "no url", None, "", "http://evil-net/x", "x://y.net?q"]
+URLS = ["http://A.net/x", "http://A.net/x", "http://a.com/" + "very-long/" * 20_000,  "https://b.example.NET/en/1", "http://example.net/enx", "http://x.example.com/de/1?a=1", "http://example.com/fr/", "ftp://o.org/fr/2#t", "http://org", "no url", None, "", "http://evil-net/x", "x://y.net?q"]
 
 
 def plain_rule(url):
@@ -342,6 +427,7 @@ def plain_rule(url):
 
 def test_urls(spark):
     df = spark.createDataFrame(list(enumerate(URLS)), "page_id long, url string").withColumns({c: F.lit(1) for c in ("host", "f_length", "rule")})
+    df = df.withColumns({c: F.lit(1) for c in ("_verdict", "label", "group", "grp")})
     model = url_filter.train(url_filter.ruled(df))
     for x in url_filter.judge(df, model).collect():
         host, path, rule, verdict = plain_rule(URLS[x.page_id])
@@ -357,3 +443,14 @@ def test_trees_learn(spark):
     model = url_filter.train(df, rounds=4)
     got = url_filter.judge(df, model, rules=()).collect()
     assert sum((x.score > 0.5) == bool(x.label) for x in got) >= 295
+    assert url_filter.held_out_auc(df.withColumn("group", F.lit("one")), whole_groups=False) > 0.99
+
+
+def test_suffix_of_one_rule_is_unknown(spark):
+    """What one rule alone has labelled says nothing of its suffix, and a row's own rule does not stand in its features."""
+    rows = [(f"http://h{k}.aa/x{k}", 1, "r1") for k in range(60)] + [(f"http://h{k}.bb/x{k}", 0, "r2") for k in range(60)]
+    rows += [(f"http://h{k}.cc/x{k}", k % 2, ("r3", "r4")[k % 2]) for k in range(60)]
+    model = url_filter.train(spark.createDataFrame(rows, "url string, label int, group string"), rounds=2)
+    assert set(model.suffixes) == {"cc"}
+    new = spark.createDataFrame([(f"http://n{k}.{s}/x{k}",) for k in range(5) for s in ("aa", "bb")], "url string")
+    assert {x.verdict for x in url_filter.judge(new, model, rules=()).collect()} == {"allow"}
