@@ -2,8 +2,9 @@
 
 Patterns are windows of WINDOW item words (an item with fewer words is one shorter window). Patterns of one length share
 their tables: SHIFT by a block of two words (one for single-word patterns) tells how many positions can be skipped, the
-block that ends a pattern selects its bucket, and words are compared directly to confirm. Tables hold benchmark data only;
-a benchmark beyond TABLE_WORDS words is searched in several passes of items.
+block that ends a pattern selects its bucket, the block that starts it those patterns of the bucket that are compared, word by
+word, to confirm. Tables hold benchmark data only; a benchmark beyond TABLE_WORDS words is searched in several passes of
+items, each a written table, so that a worker holds the tables of one pass.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, binary
+from .common import arrow_map, binary, materialize
 
 WINDOW = 8
 #: Benchmark words in the tables of one pass (about 100 bytes each in a worker).
@@ -38,12 +39,12 @@ class WuManber:
         self.block = min(2, m)
         self.skip = m - self.block + 1
         self.shift: dict = {}
-        self.bucket: dict = defaultdict(list)
+        self.bucket: dict = defaultdict(dict)
         for p in patterns:
             for end in range(self.block, m + 1):
                 key = p[0] if self.block == 1 else (p[end - 2], p[end - 1])
                 self.shift[key] = min(self.shift.get(key, self.skip), m - end)
-            self.bucket[key].append(p)
+            self.bucket[key].setdefault(p[: self.block], []).append(p)
         self.items = patterns
 
     def find(self, w: list[bytes]) -> list[tuple[int, tuple[bytes, ...]]]:
@@ -58,7 +59,7 @@ class WuManber:
                 i += s
                 continue
             here = tuple(w[i - m + 1 : i + 1])
-            for p in self.bucket[(w[i - 1], w[i])]:
+            for p in self.bucket[(w[i - 1], w[i])].get(here[: self.block], ()):
                 if p == here:
                     found.append((i - m + 1, p))
             i += 1
@@ -81,7 +82,9 @@ def tables(items: list[tuple[int, bytes | None]], window: int = WINDOW) -> list[
 def search(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs plus (or with other) hits (one byte per word: 1 inside an occurrence), items (sorted ids of items that occur) and n_words.
 
-    Null or wordless texts: no words, no items. Items that are null, wordless or have a null id match nothing; repeated items count once.
+    Null or wordless texts: no words, no items. Items that are null, wordless or have a null id match nothing; repeated items count once,
+    and with an empty benchmark nothing is hit. Repeated rows of docs are searched each, texts of any length whole; columns of docs with
+    these three names are replaced, all others kept.
     """
     spark = docs.sparkSession
     bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), binary().alias("body")).where("item_id is not null")
@@ -93,6 +96,8 @@ def search(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataF
         own = sorted((r.item_id, bytes(r.body)) for r in bench.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == part).collect())
         shared = spark.sparkContext.broadcast(own)
         docs_ = _one_pass(docs_, shared, window, keep)
+        if part < passes - 1:
+            docs_ = materialize(docs_, "decontamination")
     return docs_
 
 
