@@ -13,10 +13,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, binary, mixed
+from .common import arrow_map, binary, materialize, mixed
 
-#: Bits of the index space; labelled rows in the sample that is fitted (those with the smallest hash of their id).
-BITS, MAX_TRAIN = 18, 5000
+#: Bits of the index space; labelled rows in the sample that is fitted (those with the smallest hash of their id), and bytes of their
+#: indices at most (4 for an indicator; a text has 2**18 at most): the sample ends where they are reached.
+BITS, MAX_TRAIN, TRAIN_BYTES = 18, 5000, 200_000_000
 THRESHOLD = 0.7
 _CLOSING = b".,;:!?)\"'"
 _MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
@@ -161,8 +162,12 @@ def held_out() -> F.Column:
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN) -> Model:
-    """Fits to at most max_rows labelled documents that are not held out (label 1 in quality: good). Null ids, labels and repeated labels are left out."""
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN, max_bytes: int = TRAIN_BYTES) -> Model:
+    """Fits to at most max_rows labelled documents, and max_bytes of indices, that are not held out (label 1 in quality: good).
+
+    Null ids and labels are left out; of several labels of an id the highest holds, and of several texts of an id one. Without rows the model
+    scores a constant.
+    """
     some = labels.where("doc_id is not null and quality is not null").where(~held_out()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     some = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).select(F.col("doc_id").alias("id"), "quality")
     own = docs.select("doc_id", binary().alias("body")).join(F.broadcast(some), F.col("doc_id") == F.col("id"))
@@ -171,12 +176,22 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN) -> Mode
         return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([features(t).tobytes() for t in b.column(2).to_pylist()], pa.binary())], names=["doc_id", "quality", "x"])
 
     rows = arrow_map(own.select(F.col("doc_id").cast("long"), F.col("quality").cast("int"), "body"), f, "doc_id long, quality int, x binary")
-    got = sorted({r.doc_id: (r.doc_id, r.quality, bytes(r.x)) for r in sorted(rows.collect(), key=lambda r: bytes(r.x))}.values())
+    rows = materialize(rows.groupBy("doc_id").agg(F.min(F.struct("x", "quality")).alias("least")).select("doc_id", "least.quality", "least.x"), "quality-sample")
+    size, last = 0, None
+    for r in rows.select("doc_id", F.xxhash64("doc_id").alias("h"), F.octet_length("x").alias("n")).orderBy("h", "doc_id").collect():
+        size += r.n
+        if size > max_bytes:
+            break
+        last = (r.h, r.doc_id)
+    h = F.xxhash64("doc_id")
+    within = F.lit(False) if last is None else (h < last[0]) | ((h == last[0]) & (F.col("doc_id") <= last[1]))
+    got = sorted((r.doc_id, r.quality, bytes(r.x)) for r in rows.where(within).collect())
     return fit([np.frombuffer(x, np.int32) for _, _, x in got], np.array([int(q > 0) for _, q, _ in got]))
 
 
 def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
-    """docs plus the probability of label 1. Null and empty texts score as texts without any n-gram."""
+    """docs plus the probability of label 1. Null and empty texts score as texts without any n-gram; equal texts score equally, texts of
+    any length are read whole, a column of docs with that name is replaced, and an empty table gives an empty one."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     keep = [c for c in docs.columns if c != name]
     body = keep.index("text")
