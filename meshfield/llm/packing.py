@@ -192,7 +192,8 @@ def pack(sized: DataFrame, capacity: int = CAPACITY, share: int = SHARE, rounds:
 def packed(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """docs (doc_id, text, ...) -> doc_id, piece, start, length, ids_crc32, sequence_id, offset: one row per piece.
 
-    Repeated rows are packed each; null ids stay null. Extra columns are ignored.
+    Repeated rows are packed each; null ids stay null; null and empty texts are one piece with the end id; long texts are cut in pieces, of
+    which the first may be shorter. Extra columns are ignored, and an empty table gives an empty one.
     """
     cut = pieces(docs, vocabulary, capacity).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
     cut = materialize(cut.withColumn("key", F.monotonically_increasing_id()), "pieces")

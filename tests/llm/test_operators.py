@@ -92,6 +92,17 @@ def test_decontamination(spark, monkeypatch, words):
         assert d.contaminated == (len(found) >= 2)
 
 
+def test_decontamination_edges(spark):
+    """No benchmark, no documents, a long text, a bucket of patterns that start differently."""
+    bench = spark.createDataFrame([(1, "a b c d e f g h"), (2, "x b c d e f g h"), (3, "y y y")], "item_id long, text string")
+    rows = [(1, "word " * 300_000 + "a b c d e f g h " + "word " * 10), (2, "x b c d e f g h"), (3, "z b c d e f g h y y y y")]
+    got = {x.doc_id: (x.n_words, bytes(x.hits).count(1), x["items"]) for x in decontaminate.search(docs(spark, rows), bench).collect()}
+    assert got == {1: (300_018, 8, [1]), 2: (8, 8, [2]), 3: (12, 4, [3])}
+    assert all(not x["items"] for x in decontaminate.search(docs(spark, rows), bench.limit(0)).collect())
+    assert decontaminate.search(docs(spark, []), bench).count() == 0
+    assert set(CLASHES) <= set(decontaminate.search(docs(spark, rows), bench).columns)
+
+
 def test_hits_are_removed():
     assert decontaminate.remove_hits("A b, c d. e", bytes([0, 1, 1, 0, 0])) == "A  d. e"
 
@@ -112,7 +123,7 @@ def test_lower_bound_and_best_fit():
     assert packing.lower_bound(np.full(10, 51), 100) == 10
 
 
-def test_packed(spark, monkeypatch):
+def test_packed(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
 
@@ -120,7 +131,6 @@ def test_packed(spark, monkeypatch):
     r = random.Random(4)
     texts = [None, "", " ", "  two  spaces ", "tab\tand\n\n lines \u00a0 x", "it's  'll", "é ü \U0001f600", "a" * 5000] + [" ".join(r.choice(["word", "Straße", "12", "x.", "\n"]) for _ in range(r.randrange(900))) for _ in range(40)]
     rows = [(i, x) for i, x in enumerate(texts)] + [(3, texts[3]), (None, "no id")]
-    monkeypatch.setattr(packing, "CAPACITY", 256)
     got = packing.packed(docs(spark, rows), capacity=256).collect()
     by = {}
     for x in got:
@@ -143,6 +153,10 @@ def test_packed(spark, monkeypatch):
         assert all(x.length == 256 for x in own[1:])
 
 
+def test_packing_of_nothing(spark):
+    assert packing.packed(docs(spark, [])).count() == 0 and packing.sequences(docs(spark, [])).count() == 0
+
+
 def test_exchange_between_partitions(spark):
     r = np.random.default_rng(5)
     x = r.integers(1, 300, 3000).tolist() + [2048] * 3
@@ -215,6 +229,57 @@ def test_quality(spark):
     assert quality.score(docs(spark, []), model).count() == 0
 
 
+def test_ratios_against_counts():
+    r = np.random.default_rng(1)
+    xs = [np.flatnonzero(r.random(40) < 0.3) for _ in range(30)]
+    y = r.integers(0, 2, 30)
+    got = quality.ratios(xs, y)
+    total = [sum(len(x) for x, k in zip(xs, y, strict=True) if k == c) + (1 << quality.BITS) for c in (0, 1)]
+    for j in range(40):
+        n = [1 + sum(j in x.tolist() for x, k in zip(xs, y, strict=True) if k == c) for c in (0, 1)]
+        assert got[j] == pytest.approx(np.log(n[1] / total[1]) - np.log(n[0] / total[0]))
+
+
+def test_dual_descent_reaches_the_optimum():
+    """The primal value of the weights meets the dual value of the multipliers that they come from (no gap: the optimum)."""
+    r = np.random.default_rng(2)
+    rows = [(np.sort(r.choice(60, 12, replace=False)), r.normal(size=12)) for _ in range(80)]
+    y = r.integers(0, 2, 80)
+    cost = np.where(y > 0, 0.7, 0.4)
+    w, bias = quality.hinge_by_dual_descent(rows, y, cost, epochs=400)
+    sign = np.where(y > 0, 1.0, -1.0)
+
+    def primal(w, bias):
+        margin = np.array([w[x] @ v + bias for x, v in rows]) * sign
+        return (w @ w + bias * bias) / 2 + (cost * np.maximum(0, 1 - margin)).sum()
+
+    best = primal(w, bias)
+    for _ in range(200):  # a convex function: no step to any side goes below
+        assert primal(w + r.normal(size=len(w)) * 1e-3, bias + r.normal() * 1e-3) >= best - 1e-9
+    # Its dual, maximised by plain projected gradient steps over the multipliers.
+    dense = np.zeros((80, 61))
+    for k, (x, v) in enumerate(rows):
+        dense[k, x], dense[k, 60] = v, 1
+    q = (dense * sign[:, None]) @ (dense * sign[:, None]).T
+    a, step = np.zeros(80), 1 / np.linalg.eigvalsh(q)[-1]
+    for _ in range(20_000):
+        a = np.clip(a + step * (1 - q @ a), 0, cost)
+    assert best == pytest.approx(a.sum() - a @ q @ a / 2, rel=1e-4)
+
+
+def test_training_sample_is_bounded(spark, monkeypatch):
+    """The sample ends at its bytes, in the order of hashed ids; repeated ids with several labels and texts count once."""
+    rows = [(i, f"text {i} " * (1 + i % 5)) for i in range(60)] + [(3, "another text"), (70, "long " * 200_000)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(3, 1), (70, 1)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda xs, y: seen.append((len(xs), sum(x.nbytes for x in xs))))
+    quality.train(docs(spark, rows), labels)
+    quality.train(docs(spark, rows), labels, max_bytes=2000)
+    quality.train(docs(spark, rows), labels, max_bytes=1)
+    (n, _), (few, size), none = seen
+    assert n == sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in [*range(60), 70]) and 0 < few < n and size <= 2000 and none == (0, 0)
+
+
 def test_labels_that_are_held_out_are_not_read(spark):
     rows = spark.range(50).select(F.col("id").alias("doc_id"))
     got = {x.doc_id: x.h for x in rows.select("doc_id", quality.held_out().alias("h")).collect()}
