@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -67,7 +68,27 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = max(1, int(b.num_rows * SLICE / max(b.nbytes, SLICE)))
         for at in range(0, b.num_rows, step):
             yield b.slice(at, step)
-        pa.default_memory_pool().release_unused()
+        give_back()
+
+
+def give_back() -> None:
+    """Returns what a worker has freed to the system: workers live on from task to task."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc
+    if trim is not None:
+        trim(0)
+
+
+def tidy(f: Callable) -> Callable:
+    """f for groups of rows; what it has used goes back to the system."""
+
+    def run(*tables):
+        try:
+            return f(*tables)
+        finally:
+            give_back()
+
+    return run
 
 
 def arrow_map(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, arrow_map, binary, broadcast_if_small, components, connected_components, distinct_sorted, keyed_join, materialize, mixed, shingle_hashes, slices
+from .common import WordHashes, arrow_map, binary, broadcast_if_small, components, connected_components, distinct_sorted, keyed_join, materialize, mixed, shingle_hashes, slices, tidy
 
 FRAGMENTS = 4
 #: N-grams counted in one bucket; texts, and n-grams of them, of one block (a longer text is a block); texts of one chunk of a list.
@@ -219,9 +219,9 @@ def _postings(docs: DataFrame, classes: DataFrame, k: int, num: int, den: int, b
         return pa.table({"token": pa.array(tok[keep].view(np.int64), pa.int64()), "cls": pa.array(cls[keep], pa.int64()), "n": pa.array(n[who[keep]], pa.int64()), "pos": pa.array(pos[keep], pa.int64())})
 
     blobs = arrow_map(docs.select(binary()), cut, "bucket long, blob binary")
-    found = blobs.groupBy("bucket").applyInArrow(shared, "part long, blob binary")
+    found = blobs.groupBy("bucket").applyInArrow(tidy(shared), "part long, blob binary")
     own = classes.select(F.pmod("cls", F.lit(parts)).alias("part"), "cls", "n_shingles", "n0")
-    return own.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(prefixes, "token long, cls long, n long, pos long")
+    return own.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(tidy(prefixes), "token long, cls long, n long, pos long")
 
 
 def _by_class(b: pa.RecordBatch, k: int) -> pa.RecordBatch | None:
@@ -304,7 +304,7 @@ def _ways(posting: DataFrame, num: int, den: int) -> DataFrame:
 
     tasks = max(1, -(-entries // BUCKET))
     dealt = short.union(long_).withColumn("g", F.pmod("token", F.lit(tasks)))
-    return dealt.groupBy("g").applyInArrow(pairs, "cls long, label long, side int").distinct()
+    return dealt.groupBy("g").applyInArrow(tidy(pairs), "cls long, label long, side int").distinct()
 
 
 def _links(docs: DataFrame, classes: DataFrame, posting: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
@@ -380,7 +380,7 @@ def _links(docs: DataFrame, classes: DataFrame, posting: DataFrame, k: int, num:
         keep = others > 0
         return pa.table({"u": pa.array(keys[keep], pa.int64()), "v": pa.array(keys[label[keep]], pa.int64()), "others": pa.array(others[keep].astype(np.int64), pa.int64())})
 
-    found = segments.groupBy("g", "fragment").applyInArrow(overlaps, "g long, blob binary").groupBy("g").applyInArrow(summed, "u long, v long, others long")
+    found = segments.groupBy("g", "fragment").applyInArrow(tidy(overlaps), "g long, blob binary").groupBy("g").applyInArrow(tidy(summed), "u long, v long, others long")
     found = materialize(found, "ngram-found")
     return found.select("u", "v"), found.groupBy(F.col("u").alias("cls")).agg(F.sum("others").alias("others"))
 
