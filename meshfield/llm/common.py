@@ -79,12 +79,12 @@ def give_back() -> None:
         trim(0)
 
 
-def tidy(f: Callable) -> Callable:
+def tidy(f: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
     """f for groups of rows; what it has used goes back to the system."""
 
-    def run(*tables):
+    def run(table: pa.Table) -> pa.Table:
         try:
-            return f(*tables)
+            return f(table)
         finally:
             give_back()
 
