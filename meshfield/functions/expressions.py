@@ -31,6 +31,15 @@ def in_polygon(x: Column, y: Column, poly: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(False), lambda inside, i: inside != crossed(i))
 
 
+def in_corners(x: Column, y: Column, corners: Sequence[tuple[Column, Column]]) -> Column:
+    """in_polygon for a fixed number of corners, written out; repeated last corners do no harm."""
+    out = F.lit(False)
+    for (ax, ay), (bx, by) in zip(corners, [*corners[1:], corners[0]], strict=True):
+        at = F.try_divide((bx - ax) * (y - ay), by - ay) + ax
+        out = out != (((ay > y) != (by > y)) & F.coalesce(x < at, F.lit(False)))
+    return out
+
+
 def triangle_area(ax: Num, ay: Num, bx: Num, by: Num, cx: Num, cy: Num) -> Column:
     """Signed area (M-06), positive counter-clockwise."""
     ax, ay, bx, by, cx, cy = map(col, (ax, ay, bx, by, cx, cy))

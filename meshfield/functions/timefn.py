@@ -79,3 +79,8 @@ def shifted(t: Column, hours: float) -> Column:
 def to_zone(t: Column, old: float | None, new: float | None) -> Column:
     """T-05: from one offset to another; where either is None only the label changes."""
     return t if old is None or new is None else shifted(t, new - old)
+
+
+def with_origin(t: Column, first: datetime, origin: datetime) -> Column:
+    """T-04: times moved so that first falls on origin."""
+    return from_micros(micros(t) + F.lit(round((origin - first) / timedelta(microseconds=1))))

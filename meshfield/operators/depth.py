@@ -90,17 +90,21 @@ def bounded(idx: Column, alpha: Column, surface_index: int, bottom_index: int, s
     return F.when(idx.isNotNull() & ~gone, idx), F.when(idx.isNotNull() & ~gone, a)
 
 
-def in_profile(z: Column, profile: Column, surface: str = "extrapolate", bottom: str = "mask") -> tuple[Column, Column]:
-    """(k, alpha) in a descending profile of one's own (bottom first; I-08, J-09); a profile with a null has no water column."""
+def in_profile(z: Column, profile: Column, surface: str = "extrapolate", bottom: str = "mask", surface_first: bool = False) -> tuple[Column, Column]:
+    """(k, alpha) in a profile of one's own (I-08, J-09), bottom first or surface first; a profile with a null has no water column.
+
+    A point on the sea floor lies below it, one on the surface is inside, in either order.
+    """
     n = F.size(profile)
-    # Levels >= z from the bottom: a point on the sea floor lies below it, one on the surface is inside.
-    idx = F.when(F.exists(profile, lambda d: d.isNull()) | z.isNull(), F.lit(None).cast("int")).otherwise(F.size(F.filter(profile, lambda d: d > z)) - 1)
+    before = F.filter(profile, (lambda d: d <= z) if surface_first else (lambda d: d > z))
+    idx = F.when(profile.isNull() | F.exists(profile, lambda d: d.isNull()) | z.isNull(), F.lit(None).cast("int")).otherwise(F.size(before) - 1)
 
     def weights(p: Column) -> Column:
         a, b = F.get(profile, p), F.get(profile, p + 1)
-        above, below = p >= n - 1, p < 0
+        first, last = p < 0, p >= n - 1
+        above, below = (first, last) if surface_first else (last, first)
         gone = (above if surface == "mask" else F.lit(False)) | (below if bottom == "mask" else F.lit(False))
-        alpha = F.when(above, 0.0).when(below, 1.0).otherwise(F.try_divide(z - a, b - a))
+        alpha = F.when(last, 0.0).when(first, 1.0).otherwise(F.try_divide(z - a, b - a))
         return F.when(p.isNotNull() & ~gone, F.struct(p.alias("k"), alpha.alias("alpha")))
 
     both = let(idx, weights)

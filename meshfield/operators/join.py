@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expressions import in_polygon, squared_distance
+from ..functions.expressions import in_corners, in_polygon, squared_distance
 
 #: Most rows of a side that is broadcast; a larger one is shuffled on the key.
 BROADCAST_ROWS = 200_000
@@ -28,31 +28,50 @@ def with_boxes(cells: DataFrame) -> DataFrame:
     return cells.withColumns({"xmin": F.array_min(lon), "xmax": F.array_max(lon), "ymin": F.array_min(lat), "ymax": F.array_max(lat)})
 
 
-def tile_size(boxes: DataFrame) -> float:
-    """Twice the mean side of a cell."""
-    row = boxes.agg(F.avg(F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin")))).first()
-    return 2.0 * row[0] if row[0] else 1.0
+#: Entries of cells in tiles, per cell; bytes of a tiles table that is broadcast, and about how many an entry takes besides its corners.
+ENTRIES, TILE_BYTES, ENTRY_BYTES = 12, 100_000_000, 120
 
 
 def _tile(x: Column, size: float) -> Column:
     return F.floor(x / size).cast("long")
 
 
-def locate(points: DataFrame, cells: DataFrame, x: str = "lon", y: str = "lat", name: str = "cell", size: float | None = None) -> DataFrame:
-    """points plus the cell that holds each (J-01, J-02): the smallest id where several do, null off the grid.
+def locate(points: DataFrame, cells: DataFrame, x: str = "lon", y: str = "lat", name: str = "cell", size: float | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """points plus the cell that holds each (J-01, J-02), and the columns keep of that cell: the smallest id where several do, null off the grid.
 
-    cells: cell (long), poly (array of lon, lat). One row per point, no aggregate over points: cells are gathered per tile and the join
-    is on the tile; null coordinates are off the grid. Points keep their partitioning where the cells are broadcast.
+    cells: cell (long), poly (array of lon, lat), and keep. One row per point, no aggregate over points: cells are gathered per tile and
+    the join is on the tile; null coordinates are off the grid. Tiles are as small as ENTRIES entries per cell allow, so a point
+    meets few cells; of these, boxes are tested first. One job sizes the tiles; those of TILE_BYTES at most are broadcast, and
+    points then keep their partitioning.
     """
-    boxes = with_boxes(cells.select("cell", "poly"))
-    size = size or tile_size(boxes)
-    tiles = boxes.select("cell", "poly", F.explode(F.sequence(_tile(F.col("xmin"), size), _tile(F.col("xmax"), size))).alias("_tx"), "ymin", "ymax")
-    tiles = tiles.select("cell", "poly", "_tx", F.explode(F.sequence(_tile(F.col("ymin"), size), _tile(F.col("ymax"), size))).alias("_ty"))
-    tiles = tiles.groupBy("_tx", "_ty").agg(F.sort_array(F.collect_list(F.struct("cell", "poly"))).alias("_near"))
+    boxes = with_boxes(cells.select("cell", "poly", *keep)).where("xmin is not null and ymin is not null")
+    w, h = F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin")
+    n, area, sides, corners = boxes.agg(F.count("*"), F.sum(w * h), F.sum(w + h), F.max(F.size("poly"))).first()
+    if size is None:  # area / size**2 + sides / size + n = ENTRIES * n
+        a, b, c = (ENTRIES - 1) * n, sides or 0.0, area or 0.0
+        size = ((b + math.sqrt(b * b + 4 * a * c)) / (2 * a) if n else 1.0) or 1.0
+    entries = (area or 0.0) / size**2 + (sides or 0.0) / size + n
+    corner, unrolled = (lambda k: F.get("poly", F.least(F.lit(k), F.size("poly") - 1))), (corners or 0) <= 4
+    shape = [F.struct(*[corner(k)[c].alias(f"{c}{k}") for k in range(corners or 0) for c in ("lon", "lat")]).alias("s")] if unrolled and corners else ["poly"]
+    entry = F.struct("cell", "xmin", "xmax", "ymin", "ymax", *shape, *keep)
+    tiles = boxes.select(entry.alias("_e"), F.explode(F.sequence(_tile(F.col("xmin"), size), _tile(F.col("xmax"), size))).alias("_tx"), "ymin", "ymax")
+    tiles = tiles.select("_e", "_tx", F.explode(F.sequence(_tile(F.col("ymin"), size), _tile(F.col("ymax"), size))).alias("_ty"))
+    tiles = tiles.groupBy("_tx", "_ty").agg(F.sort_array(F.collect_list("_e")).alias("_near"))
+    tiles = F.broadcast(tiles) if entries * (ENTRY_BYTES + 16 * (corners or 0)) <= TILE_BYTES else tiles
     keyed = points.withColumns({"_px": _tile(F.col(x), size), "_py": _tile(F.col(y), size)})
-    out = keyed.join(small(tiles), (F.col("_px") == F.col("_tx")) & (F.col("_py") == F.col("_ty")), "left")
-    hit = F.get(F.filter("_near", lambda c: in_polygon(F.col(x), F.col(y), c["poly"])), F.lit(0))
-    return out.withColumn(name, hit["cell"]).drop("_px", "_py", "_tx", "_ty", "_near")
+    out = keyed.join(tiles, (F.col("_px") == F.col("_tx")) & (F.col("_py") == F.col("_ty")), "left")
+    px, py = F.col(x), F.col(y)
+
+    def holds(c: Column) -> Column:
+        within = (px >= c["xmin"]) & (px <= c["xmax"]) & (py >= c["ymin"]) & (py <= c["ymax"])
+        if unrolled and corners:
+            inside = in_corners(px, py, [(c["s"][f"lon{k}"], c["s"][f"lat{k}"]) for k in range(corners)])
+        else:
+            inside = in_polygon(px, py, c["poly"])
+        return F.coalesce(within & inside, F.lit(False))
+
+    out = out.withColumn("_hit", F.get(F.filter("_near", holds), F.lit(0)))
+    return out.withColumns({name: F.col("_hit.cell"), **{k: F.col(f"_hit.{k}") for k in keep}}).drop("_px", "_py", "_tx", "_ty", "_near", "_hit")
 
 
 def nearest(points: DataFrame, nodes: DataFrame, x: str = "lon", y: str = "lat", name: str = "node") -> DataFrame:

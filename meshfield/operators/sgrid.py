@@ -56,15 +56,28 @@ def locate(points: DataFrame, cell: DataFrame, x: str = "lon", y: str = "lat") -
     return out.withColumns({"j": j, "i": i}).drop("_cell")
 
 
+COEFFICIENTS = tuple(f"{c}{k}" for c in "ab" for k in range(4))
+
+
+def locate_logical(points: DataFrame, cell: DataFrame, x: str = "lon", y: str = "lat") -> DataFrame:
+    """points plus j, i, l, m: locate() and with_logical() in one join."""
+    out = join.locate(points, cell.select("cell", "poly", *[F.col(c).alias(f"_{c}") for c in COEFFICIENTS]), x, y, "_cell", keep=tuple(f"_{c}" for c in COEFFICIENTS))
+    j, i = from_id("_cell")
+    return _logical(out.withColumns({"j": j, "i": i}).drop("_cell"), x, y)
+
+
 def with_logical(located: DataFrame, cell: DataFrame, x: str = "lon", y: str = "lat") -> DataFrame:
     """located (with j, i) plus the offsets l (along i) and m (along j) within the cell (I-16, I-17).
 
     m solves aa m^2 + bb m + cc = 0 by the form without cancellation; l comes from the coordinate with the larger denominator; of two
     candidates the one closer to the unit square holds. Null for degenerate cells.
     """
-    names = [f"{c}{k}" for c in "ab" for k in range(4)]
-    table = cell.select(F.col("j").alias("_cj"), F.col("i").alias("_ci"), *[F.col(c).alias(f"_{c}") for c in names])
+    table = cell.select(F.col("j").alias("_cj"), F.col("i").alias("_ci"), *[F.col(c).alias(f"_{c}") for c in COEFFICIENTS])
     out = located.join(join.small(table), (F.col("j") == F.col("_cj")) & (F.col("i") == F.col("_ci")), "left")
+    return _logical(out.drop("_cj", "_ci"), x, y)
+
+
+def _logical(out: DataFrame, x: str, y: str) -> DataFrame:
     # One candidate at a time, as columns: nested expressions would repeat the solution many times over.
     a, b = ([F.col(f"_{c}{k}") for k in range(4)] for c in "ab")
     xc, yc = F.col(x), F.col(y)
@@ -88,7 +101,7 @@ def with_logical(located: DataFrame, cell: DataFrame, x: str = "lon", y: str = "
     out = out.withColumn("_first", far(1) <= far(2))
     pick = lambda c: F.when(F.col("_first"), F.col(f"_{c}1")).otherwise(F.col(f"_{c}2"))
     out = out.withColumns({"l": pick("l"), "m": pick("m")})
-    return out.drop("_cj", "_ci", *[f"_{c}" for c in names], "_aa", "_bb", "_cc", "_q", "_m1", "_m2", "_l1", "_l2", "_first")
+    return out.drop(*[f"_{c}" for c in COEFFICIENTS], "_aa", "_bb", "_cc", "_q", "_m1", "_m2", "_l1", "_l2", "_first")
 
 
 def interpolate(with_lm: DataFrame, field: DataFrame, location: str, padding: Mapping[str, str] | None = None, coast: DataFrame | None = None, name: str = "value", policy: str = "skip") -> DataFrame:
@@ -126,14 +139,19 @@ def _joined(points: DataFrame, table: DataFrame, dj: int, di: int) -> DataFrame:
     return points.join(join.small(table), (F.col("j") + dj == F.col("_fj")) & (F.col("i") + di == F.col("_fi")), "left")
 
 
-def _coastal(field: DataFrame, coast: DataFrame, along: str) -> DataFrame:
-    """Edge k lies between centers k - 1 and k: exactly one of both land masks it."""
+def coastal_edges(edges: DataFrame, coast: DataFrame, along: str) -> DataFrame:
+    """Those of edges (j, i) that lie between land and water: edge k lies between centers k - 1 and k of coast (j, i, masked)."""
     other = "i" if along == "j" else "j"
     mask = coast.select(F.col("j").alias("_j"), F.col("i").alias("_i"), F.col("masked").alias("_m"))
     before = mask.select((F.col(f"_{along}") + 1).alias(along), F.col(f"_{other}").alias(other), F.col("_m").alias("_before"))
     after = mask.select(F.col(f"_{along}").alias(along), F.col(f"_{other}").alias(other), F.col("_m").alias("_after"))
-    out = field.select("j", "i", "value").join(join.small(before), ["j", "i"], "left").join(join.small(after), ["j", "i"], "left")
-    return out.select("j", "i", F.when(F.coalesce(F.col("_before") == F.col("_after"), F.lit(True)), F.col("value")).alias("value"))
+    return edges.join(before, ["j", "i"]).join(after, ["j", "i"]).where(F.col("_before") != F.col("_after")).select("j", "i")
+
+
+def _coastal(field: DataFrame, coast: DataFrame, along: str) -> DataFrame:
+    shore = coastal_edges(field.select("j", "i"), coast, along).distinct().withColumn("_shore", F.lit(True))
+    out = field.select("j", "i", "value").join(shore, ["j", "i"], "left")
+    return out.select("j", "i", F.when(F.col("_shore").isNull(), F.col("value")).alias("value"))
 
 
 def nearest_value(points: DataFrame, places: DataFrame, field: DataFrame, x: str = "lon", y: str = "lat", name: str = "value") -> DataFrame:

@@ -14,7 +14,7 @@ from . import join
 def with_polygons(faces: DataFrame, nodes: DataFrame) -> DataFrame:
     """faces plus poly: their corners' coordinates in order (J-10)."""
     at = faces.select("face", F.posexplode("nodes").alias("_k", "_n"))
-    got = at.join(join.small(nodes.select(F.col("node").alias("_node"), "lon", "lat")), F.col("_n") == F.col("_node"))
+    got = at.join(nodes.select(F.col("node").alias("_node"), "lon", "lat"), F.col("_n") == F.col("_node"))
     poly = got.groupBy("face").agg(F.sort_array(F.collect_list(F.struct("_k", "lon", "lat"))).alias("_p"))
     return faces.join(poly.select("face", F.transform("_p", lambda p: F.struct(p["lon"].alias("lon"), p["lat"].alias("lat"))).alias("poly")), "face")
 
@@ -28,15 +28,24 @@ def locate(points: DataFrame, faces: DataFrame, nodes: DataFrame, x: str = "lon"
     return join.locate(points, cells(faces, nodes), x, y, "face")
 
 
-def weights(located: DataFrame, faces: DataFrame, nodes: DataFrame, x: str = "lon", y: str = "lat") -> DataFrame:
-    """located (with face) plus its nodes n0, n1, n2 and their barycentric weights w0, w1, w2 (I-13); null off the grid. Triangles only."""
-    tri = with_polygons(faces, nodes).select(F.col("face").cast("long").alias("_f"), F.col("nodes").alias("_nodes"), F.col("poly").alias("_poly"))
-    out = located.join(join.small(tri), F.col("face") == F.col("_f"), "left")
+def with_weights(points: DataFrame, faces: DataFrame, nodes: DataFrame, x: str = "lon", y: str = "lat") -> DataFrame:
+    """points plus face, its nodes n0, n1, n2 and their barycentric weights w0, w1, w2 (I-13): locate() and weights() in one join. Triangles only."""
+    out = join.locate(points, cells(faces, nodes).withColumnRenamed("poly", "_poly").withColumn("poly", F.col("_poly")), x, y, "face", keep=("nodes", "_poly"))
+    return _weighted(out.withColumnRenamed("nodes", "_nodes"), x, y)
+
+
+def _weighted(out: DataFrame, x: str, y: str) -> DataFrame:
     p = [(F.get("_poly", F.lit(k))["lon"], F.get("_poly", F.lit(k))["lat"]) for k in range(3)]
     w = barycentric(F.col(x), F.col(y), p)
     return out.withColumns({f"n{k}": F.get("_nodes", F.lit(k)).cast("long") for k in range(3)} | {f"w{k}": w[k] for k in range(3)}).drop("_f", "_nodes", "_poly")
 
 
+def weights(located: DataFrame, faces: DataFrame, nodes: DataFrame, x: str = "lon", y: str = "lat") -> DataFrame:
+    """located (with face) plus its nodes n0, n1, n2 and their barycentric weights w0, w1, w2 (I-13, J-15); null off the grid. Triangles only."""
+    tri = with_polygons(faces, nodes).select(F.col("face").cast("long").alias("_f"), F.col("nodes").alias("_nodes"), F.col("poly").alias("_poly"))
+    return _weighted(located.join(join.small(tri), F.col("face") == F.col("_f"), "left"), x, y)
+
+
 def face_values(faces: DataFrame, field: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """For each face the node values in corner order: (*by, face, values). field: (*by, node, value)."""
     at = faces.select("face", F.posexplode("nodes").alias("_k", "_n"))
@@ -47,7 +56,7 @@ def face_values(faces: DataFrame, field: DataFrame, by: tuple[str, ...] = ()) ->
 
 def interpolate_nodes(points: DataFrame, faces: DataFrame, nodes: DataFrame, field: DataFrame, x: str = "lon", y: str = "lat", name: str = "value") -> DataFrame:
     """points plus the linear interpolation of a node field (I-14): 0 off the grid. A null node masks the value."""
-    w = weights(locate(points, faces, nodes, x, y), faces, nodes, x, y)
+    w = with_weights(points, faces, nodes, x, y)
     table = face_values(faces, field).select(F.col("face").alias("_f"), F.col("values").alias("_v"))
     out = w.join(join.small(table), F.col("face") == F.col("_f"), "left")
     value = sum((F.get("_v", F.lit(k)) * F.col(f"w{k}") for k in range(1, 3)), F.get("_v", F.lit(0)) * F.col("w0"))
@@ -183,6 +192,8 @@ def order_rings(segments: DataFrame, rounds: int = 64) -> DataFrame:
         label = nxt
         if same:
             break
+    else:
+        raise RuntimeError("rings did not converge")
     grouped = segments.join(label, segments.n0 == label.node).select("ring", "n0", "n1")
 
     def walk(pdf):

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import expressions as ex
 from ..functions import timefn
 from ..operators import depth, join, rgrid, sgrid, timeaxis, ugrid
-from ..operators.field import Field, RectGrid, VectorField, at_points, regrid
+from ..operators.field import Field, QuadGrid, RectGrid, Sigma, TriGrid, VectorField, at_points, regrid, regrid_sigma
 from ..sources import cdf, metadata, verdat
 
 XS, YS = (0.0, 1.0, 3.0, 7.0, 15.0, 31.0, 51.0), (0.0, 2.0, 3.0, 5.0, 8.0, 11.0)
@@ -181,9 +181,8 @@ def time_shift_tz(spark, d):
 @query("time_origin", "SELECT event_id::BIGINT pid, epoch_us(ts) - (SELECT epoch_us(min(ts)) FROM events) + epoch_us(TIMESTAMP '2030-01-01') us FROM events")
 def time_origin(spark, d):
     rows = _events(spark, d)
-    first = rows.agg(F.min("t").alias("first"))
-    start = int((datetime(2030, 1, 1) - datetime(1970, 1, 1)) / timedelta(microseconds=1))
-    return rows.join(F.broadcast(first)).select("pid", (timefn.micros(F.col("t")) - timefn.micros(F.col("first")) + F.lit(start)).alias("us"))
+    moved = timefn.with_origin(F.col("t"), rows.agg(F.min("t")).first()[0], datetime(2030, 1, 1))
+    return rows.select("pid", timefn.micros(moved).alias("us"))
 
 
 @query("time_displace", "SELECT event_id::BIGINT pid, epoch_us(ts + INTERVAL 90 MINUTE) us FROM events")
@@ -235,7 +234,7 @@ def tri_locate(spark, d):
 @query("tri_weights", f"WITH {OFF}, {MESH}, {BARY} SELECT pid, round(w0, 6) w0, round(w1, 6) w1, round(w2, 6) w2, ns[1]::BIGINT n0, ns[2]::BIGINT n1, ns[3]::BIGINT n2 FROM pts JOIN loc USING (x, y)")
 def tri_weights(spark, d):
     nodes, faces = _mesh(spark)
-    out = ugrid.weights(ugrid.locate(_off(spark, d), faces, nodes).where("face is not null"), faces, nodes)
+    out = ugrid.with_weights(_off(spark, d), faces, nodes).where("face is not null")
     return out.select("pid", *[_r(f"w{k}").alias(f"w{k}") for k in range(3)], *[F.col(f"n{k}").cast("long") for k in range(3)])
 
 
@@ -297,7 +296,8 @@ def mesh_extent(spark, d):
 @query("mesh_counts", f"WITH {MESH} SELECT (SELECT count(*) FROM nodes)::BIGINT n_nodes, (SELECT count(*) FROM faces)::BIGINT n_faces, 3::BIGINT num_vertices")
 def mesh_counts(spark, d):
     nodes, faces = _mesh(spark)
-    return nodes.agg(F.count("*").alias("n_nodes")).join(F.broadcast(faces.agg(F.count("*").alias("n_faces"), F.max(F.size("nodes")).cast("long").alias("num_vertices"))))
+    n = ugrid.Mesh(nodes, faces).info()
+    return spark.createDataFrame([(n["nodes"], n["faces"], n["num_vertices"])], "n_nodes long, n_faces long, num_vertices long")
 
 
 @query("checked_faces", f"WITH {MESH} SELECT face::BIGINT face, ns[1]::BIGINT n0, ns[3]::BIGINT n2 FROM faces")
@@ -330,7 +330,7 @@ def locate_or_nearest(spark, d):
     return join.locate_or_nearest(points, ugrid.cells(faces, nodes), mids, name="face").select("pid", "face", "inside")
 
 
-@query("selected_cells", f"WITH {OFF}, {MESH}, {BARY} SELECT pid, face::BIGINT face, n.node::BIGINT node, n.lon node_lon, n.lat node_lat, round((ax + bx + cx) / 3, 6) center_lon FROM pts JOIN loc USING (x, y) JOIN tri USING (face) JOIN nodes n ON list_contains(tri.ns, n.node) WHERE pid % 50 = 1")
+@query("selected_cells", f"WITH {OFF}, {MESH}, {BARY} SELECT pid, face::BIGINT face, n.node::BIGINT node, n.lon node_lon, n.lat node_lat, round((ax + bx + cx) / 3, 6) center_lon FROM pts JOIN loc USING (x, y) JOIN tri USING (face) JOIN nodes n ON list_contains(tri.ns, n.node)")
 def selected_cells(spark, d):
     nodes, faces = _mesh(spark)
     picked = ugrid.locate(_off(spark, d), faces, nodes).where("face is not null")
@@ -375,8 +375,7 @@ def quad_masked_locate(spark, d):
 
 
 def _lm(spark, d, nodes):
-    cell = sgrid.cells(nodes)
-    return sgrid.with_logical(sgrid.locate(_points(spark, d, 0.31, 0.17), cell), cell)
+    return sgrid.locate_logical(_points(spark, d, 0.31, 0.17), sgrid.cells(nodes))
 
 
 @query("quad_logical_linear", f"WITH {AFF} SELECT pid, round(l, 6) l, round(m, 6) m FROM g WHERE i IS NOT NULL")
@@ -639,8 +638,6 @@ def field_extrapolate_unmask(spark, d):
 
 @query("regrid_r_to_s", f"WITH n AS (SELECT j, i, (2.0 * i + 0.5 * j)::DOUBLE x, (2.0 * j + 0.25 * i)::DOUBLE y FROM range({QY}) a(j), range({QX}) b(i)), t AS (SELECT * FROM range(4) r(t)) SELECT j::BIGINT j, i::BIGINT i, t::BIGINT t_idx, round(2 * x + 3 * y + x * y + t, 6) v FROM n, t WHERE x <= 51 AND y <= 11")
 def regrid_r_to_s(spark, d):
-    from ..operators.field import QuadGrid
-
     grid = RectGrid(XS, YS)
     axis = timeaxis.TimeAxis(MONTHS[:4])
     data = grid.targets(spark).withColumn("t_idx", F.explode(F.sequence(F.lit(0), F.lit(3)))).select("elem", "t_idx", (2 * F.col("lon") + 3 * F.col("lat") + F.col("lon") * F.col("lat") + F.col("t_idx")).alias("value"))
@@ -649,6 +646,147 @@ def regrid_r_to_s(spark, d):
     return out.select(j.cast("long").alias("j"), i.cast("long").alias("i"), F.col("t_idx").cast("long"), _r("value").alias("v"))
 
 
+# ---- fields at every location, staggered vectors, sigma depths
+
+#: Position on the axis SHORT, clamped to its ends.
+TPOS = "(epoch_us(least(greatest(l_shipdate, TIMESTAMP '1997-01-01'), TIMESTAMP '1997-01-01' + to_days(728))) - epoch_us(TIMESTAMP '1997-01-01')) / (91 * 86400000000.0)"
+#: The points of AFF and OFF with that position and a depth.
+AFT = AFF.replace("0.17 y FROM", f"0.17 y, {TPOS} t FROM").replace("SELECT pid, x, y,", "SELECT pid, x, y, t,")
+OFT = OFF.replace("0.1 y FROM", f"0.1 y, {TPOS} t, l_extendedprice / 5000 z FROM")
+
+
+def _timed(spark, d, dx=0.0, dy=0.0):
+    lines = _t(spark, d, "lineitem")
+    return lines.select(F.expr(PID).cast("long").alias("pid"), (F.col("l_quantity") + dx).alias("lon"), (F.col("l_discount") * 100 + dy).alias("lat"), (F.col("l_extendedprice") / 5000).alias("z"), F.col("l_shipdate").cast("timestamp_ntz").alias("t"))
+
+
+def _stepped(rows, value):
+    """rows (elem, ...) at each step of SHORT, value and the step's number added up."""
+    return rows.withColumn("t_idx", F.explode(F.sequence(F.lit(0), F.lit(len(SHORT) - 1)))).withColumn("value", value + F.col("t_idx") + PI3)
+
+
+def _quad_field(spark, grid, location, rows, value):
+    rows = rows.withColumn("elem", sgrid.id_of())
+    return Field(location, grid, _stepped(rows, value).select("elem", "t_idx", "value"), timeaxis.TimeAxis(SHORT), location=location)
+
+
+@query("field_center_at", f"WITH {AFT} SELECT pid, round(i * 10 + j + t + {PI3}, 4) v FROM g")
+def field_center_at(spark, d):
+    f = _quad_field(spark, QuadGrid(_affine(spark)), "center", _ji(spark, QY - 1, QX - 1), F.col("i") * 10 + F.col("j"))
+    return f.at(_timed(spark, d, 0.31, 0.17), extrapolate=True).select("pid", _r("center", 4).alias("v"))
+
+
+@query("field_padded_center_at", f"WITH {AFT} SELECT pid, round((i + 1) * 10 + j + t + {PI3}, 4) v FROM g")
+def field_padded_center_at(spark, d):
+    """Centers with a row more on either side along i: their indices are one ahead of the cells' (F-07)."""
+    f = _quad_field(spark, QuadGrid(_affine(spark), padding={"center": {"i": "both"}}), "center", _ji(spark, QY - 1, QX + 1), F.col("i") * 10 + F.col("j"))
+    return f.at(_timed(spark, d, 0.31, 0.17), extrapolate=True).select("pid", _r("center", 4).alias("v"))
+
+
+def _edge_value(i, j):
+    return f"coalesce(CASE WHEN ({i} + {j}) % 4 <> 0 THEN {i} + 100.0 * ({j}) + t + {PI3} END, 0)"
+
+
+@query("field_edge_at", f"WITH {AFT} SELECT pid, CASE WHEN i IS NOT NULL THEN round((1 - l) * {_edge_value('i', 'j')} + l * {_edge_value('(i + 1)', 'j')}, 4) END v FROM g")
+def field_edge_at(spark, d):
+    value = F.when((F.col("i") + F.col("j")) % 4 != 0, F.col("i") + 100.0 * F.col("j"))
+    f = _quad_field(spark, QuadGrid(_affine(spark)), "edge1", _ji(spark, QY - 1, QX), value)
+    return f.at(_timed(spark, d, 0.31, 0.17), extrapolate=True).select("pid", _r("edge1", 4).alias("v"))
+
+
+@query("vector_staggered_at", f"""WITH {AFT} SELECT pid, round((1 - l) * (3 * i + 7 * j) + l * (3 * (i + 1) + 7 * j) + t + {PI3}, 4) u, round((1 - m) * (5 * i - 2 * j) + m * (5 * i - 2 * (j + 1)) + t + {PI3}, 4) v, round(3.0 * i + j + t + {PI3}, 4) rho FROM g""")
+def vector_staggered_at(spark, d):
+    """u on one kind of edges, v on the other and a tracer at centers: one location of the points for all (I-02)."""
+    grid = QuadGrid(_affine(spark))
+    u = _quad_field(spark, grid, "edge1", _ji(spark, QY - 1, QX), 3.0 * F.col("i") + 7 * F.col("j"))
+    v = _quad_field(spark, grid, "edge2", _ji(spark, QY, QX - 1), 5.0 * F.col("i") - 2 * F.col("j"))
+    rho = _quad_field(spark, grid, "center", _ji(spark, QY - 1, QX - 1), 3.0 * F.col("i") + F.col("j"))
+    out = VectorField({"u": u, "v": v, "rho": rho}).at(_timed(spark, d, 0.31, 0.17), extrapolate=True)
+    return out.select("pid", *[_r(c, 4).alias(c) for c in ("u", "v", "rho")])
+
+
+@query("field_face_at", f"WITH {OFT}, {MESH}, {BARY} SELECT pid, CASE WHEN face IS NULL THEN 0.0 ELSE round(face * 1.5 + t + {PI3}, 4) END v FROM pts LEFT JOIN loc USING (x, y)")
+def field_face_at(spark, d):
+    nodes, faces = _mesh(spark)
+    data = _stepped(faces.select(F.col("face").cast("long").alias("elem")), F.col("elem") * 1.5).select("elem", "t_idx", "value")
+    f = Field("f", TriGrid(faces, nodes), data, timeaxis.TimeAxis(SHORT), location="face")
+    return f.at(_timed(spark, d, 0.3, 0.1), extrapolate=True).select("pid", _r("f", 4).alias("v"))
+
+
+SIG = f"""p0 AS (SELECT ({PID})::BIGINT pid, l_quantity x, l_discount * 100 y, l_extendedprice / 5000 z, {TPOS} t FROM lineitem),
+hz AS (SELECT *, 12 + 0.1 * x + 0.2 * y h, 0.02 * y + 0.01 * (t + {PI3}) zeta FROM p0), pr AS (SELECT *, [{", ".join(_roms_sql(2))}] p FROM hz),
+pk AS (SELECT *, len(list_filter(p, lambda d: d > z)) - 1 k FROM pr)"""
+
+
+def _roms_depth(spark, grid):
+    nodes = grid.targets(spark)
+    h = Field("h", grid, nodes.select("elem", (12 + 0.1 * F.col("lon") + 0.2 * F.col("lat")).alias("value")))
+    zeta = _stepped(nodes.withColumn("a", F.col("lat") * 2), F.col("a") * 0).withColumn("value", F.col("value") * 0.01 + F.col("a") * 0.01)
+    return Sigma(h, Field("zeta", grid, zeta.select("elem", "t_idx", "value"), timeaxis.TimeAxis(SHORT)), S_W, CS_W, HC)
+
+
+def _sigma_data(nodes, n):
+    rows = _stepped(nodes.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))), 2 * F.col("lon") + 3 * F.col("lat") + 5 * F.col("k"))
+    return rows.select("elem", "t_idx", "k", "value")
+
+
+@query("field_sigma_roms_at", f"WITH {SIG} SELECT pid, CASE WHEN k >= 0 THEN round(2 * x + 3 * y + 5 * (CASE WHEN k >= 4 THEN 4 ELSE k + (z - p[k + 1]) / (p[k + 2] - p[k + 1]) END) + t + {PI3}, 4) END v FROM pk")
+def field_sigma_roms_at(spark, d):
+    """Level data between ROMS levels: each point's water column from h and zeta at the query's own time."""
+    grid = RectGrid(XS, YS)
+    f = Field("f", grid, _sigma_data(grid.targets(spark), len(S_W)), timeaxis.TimeAxis(SHORT), _roms_depth(spark, grid))
+    return f.at(_timed(spark, d), extrapolate=True).select("pid", _r("f", 4).alias("v"))
+
+
+@query("field_sigma_layers_at", f"WITH {SIG} SELECT pid, CASE WHEN k >= 0 THEN round(2 * x + 3 * y + 5 * least(k, 3) + t + {PI3}, 4) END v FROM pk")
+def field_sigma_layers_at(spark, d):
+    """Layer data on the same levels: constant within a layer (I-05)."""
+    grid = RectGrid(XS, YS)
+    f = Field("f", grid, _sigma_data(grid.targets(spark), len(S_W) - 1), timeaxis.TimeAxis(SHORT), _roms_depth(spark, grid), layers=True)
+    return f.at(_timed(spark, d), extrapolate=True).select("pid", _r("f", 4).alias("v"))
+
+
+FV = 5
+
+
+@query("field_sigma_fvcom_at", f"""WITH {OFT}, {MESH}, {BARY},
+k AS (SELECT pid, face, x, y, z, [(0.1 * y + 8 + 0.1 * x) * (k / {FV - 1}.0) * (1 + 0.002 * x) FOR k IN range({FV})] p FROM pts LEFT JOIN loc USING (x, y)),
+q AS (SELECT *, len(list_filter(p, lambda d: d <= z)) - 1 k FROM k)
+SELECT pid, CASE WHEN face IS NOT NULL AND k < {FV - 1} THEN round(3 * x - 2 * y + 5 * (k + (z - p[k + 1]) / (p[k + 2] - p[k + 1])) + {PI3}, 4) END v FROM q""")
+def field_sigma_fvcom_at(spark, d):
+    """Levels that differ from node to node, surface first."""
+    nodes, faces = _mesh(spark)
+    grid = TriGrid(faces, nodes)
+    own = grid.targets(spark)
+    levels = own.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(FV - 1)))).select("elem", "k", "lon", "lat")
+    sig = levels.select("elem", "k", (-(F.col("k") / (FV - 1)) * (1 + 0.002 * F.col("lon"))).alias("value"))
+    h, zeta = (Field(n, grid, own.select("elem", v.alias("value"))) for n, v in (("h", 8 + 0.1 * F.col("lon")), ("zeta", 0.1 * F.col("lat"))))
+    data = levels.select("elem", "k", (3 * F.col("lon") - 2 * F.col("lat") + 5 * F.col("k") + PI3).alias("value"))
+    f = Field("f", grid, data, depth=Sigma(h, zeta, levels=sig, n_levels=FV))
+    return f.at(_timed(spark, d, 0.3, 0.1)).select("pid", _r("f", 4).alias("v"))
+
+
+@query("regrid_sigma", f"""WITH n AS (SELECT j, i, (2.0 * i + 0.5 * j)::DOUBLE x, (2.0 * j + 0.25 * i)::DOUBLE y FROM range({QY}) a(j), range({QX}) b(i)),
+hz AS (SELECT j, i, t, 12 + 0.1 * x + 0.2 * y h, 0.02 * y + 0.01 * (t + {PI3}) zeta FROM n, range({len(SHORT)}) r(t) WHERE x <= 51 AND y <= 11)
+SELECT j::BIGINT j, i::BIGINT i, t::BIGINT t_idx, {", ".join(f"round({e}, 6) + 0.0 p{k}" for k, e in enumerate(_roms_sql(2)))} FROM hz""")
+def regrid_sigma_profiles(spark, d):
+    """The water columns of a sigma depth on another grid, from its regridded bathymetry and surface (R-02)."""
+    depth_ = regrid_sigma(_roms_depth(spark, RectGrid(XS, YS)), QuadGrid(_affine(spark)), spark)
+    rows = depth_.zeta.data.withColumnRenamed("value", "zeta").join(depth_.h.data.withColumnRenamed("value", "h"), "elem")
+    p = depth.profile_below_surface(depth.roms(depth_.s, depth_.cs, depth_.hc, F.col("h"), F.col("zeta")), F.col("zeta"))
+    j, i = sgrid.from_id("elem")
+    return rows.withColumn("p", p).select(j.cast("long").alias("j"), i.cast("long").alias("i"), F.col("t_idx").cast("long"), *[(_r(F.col("p")[k]) + 0.0).alias(f"p{k}") for k in range(len(S_W))])
+
+
+@query("regrid_to_centers", f"WITH n AS (SELECT j, i, (2.0 * (i + 0.5) + 0.5 * (j + 0.5))::DOUBLE x, (2.0 * (j + 0.5) + 0.25 * (i + 0.5))::DOUBLE y FROM range({QY - 1}) a(j), range({QX - 1}) b(i)) SELECT j::BIGINT j, i::BIGINT i, round(2 * x + 3 * y + x * y, 6) v FROM n WHERE x <= 51 AND y <= 11")
+def regrid_to_centers(spark, d):
+    grid = RectGrid(XS, YS)
+    data = grid.targets(spark).select("elem", (2 * F.col("lon") + 3 * F.col("lat") + F.col("lon") * F.col("lat")).alias("value"))
+    out = regrid(Field("f", grid, data), QuadGrid(_affine(spark)), spark, "center").data
+    j, i = sgrid.from_id("elem")
+    return out.select(j.cast("long").alias("j"), i.cast("long").alias("i"), _r("value").alias("v"))
+
+
 # ---- vectors and bearings
 
 SUP = "SELECT s_suppkey::BIGINT pid, s_nationkey * 10.0 - 120 lon1, s_acctbal / 200 lat1, s_nationkey * 7.0 - 80 lon2, s_acctbal / 300 + 10 lat2 FROM supplier"
@@ -707,7 +845,7 @@ def vars_by_attribute(spark, d):
     return metadata.vars_by_attribute(rows, "location", "node").select("name")
 
 
-@query("verdat_rings")
+@query("verdat_rings", "SELECT ring::BIGINT ring, place::INTEGER place, node::BIGINT node, true closed FROM (VALUES (0, 0, 0), (0, 1, 1), (0, 2, 2), (0, 3, 3), (4, 0, 4), (4, 1, 5), (4, 2, 6)) v(ring, place, node)")
 def verdat_rings(spark, d):
     """Rings of two boundaries read back from verdat text."""
     n = [(float(k), float(k * k % 7), 10.0 + k) for k in range(12)]
