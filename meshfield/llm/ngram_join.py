@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, arrow_map, binary, broadcast_if_small, components, connected_components, distinct_sorted, keyed_join, materialize, mixed, shingle_hashes, slices, tidy
+from .common import WordHashes, arrow_map, binary, broadcast_if_small, components, connected_components, distinct_sorted, keyed_join, materialize, mixed, shingle_hashes, slices, small_batches, tidy
 
 FRAGMENTS = 4
 #: N-grams counted in one bucket; texts, and n-grams of them, of one block (a longer text is a block); texts of one chunk of a list.
@@ -33,7 +33,7 @@ WIDE = 256
 #: An n-gram is not counted where more texts hold it than this, and than a millionth of all n-grams (so there are a million of them at most).
 FREQUENT = 5_000
 #: Least count of an n-gram in a share of COUNTED n-grams of one task from which it is added up.
-SEEN, COUNTED = 16, 4_000_000
+SEEN, COUNTED = 8, 1_000_000
 #: Bytes of the table of ways that is broadcast at most.
 ROUTE_BYTES = 16_000_000
 LIGHT = "doc_id long, n_shingles long, cls long, n0 long"
@@ -91,6 +91,7 @@ def light(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFra
         if held:
             yield often(list(held.values()))
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), binary()).mapInArrow(run, LIGHT)
 
 
@@ -230,7 +231,7 @@ def _by_class(b: pa.RecordBatch, k: int) -> pa.RecordBatch | None:
     return pa.RecordBatch.from_arrays([pa.array(list(own), pa.int64()), pa.array(list(own.values()), pa.binary())], names=["node", "body"]) if own else None
 
 
-def every_pair(first: np.ndarray, size: np.ndarray, most: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def every_pair(first: np.ndarray, size: np.ndarray, most: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(i, j), i < j, of all pairs of places within each run, some at a time."""
     end = np.repeat(first + size, size)
     i = np.repeat(first, size) + np.arange(len(end)) - np.repeat(np.cumsum(size) - size, size)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, broadcast_if_small, keyed_join, materialize, new_path, own_names, slices
+from .common import arrow_map, broadcast_if_small, keyed_join, materialize, new_path, own_names, slices, small_batches
 
 RULE_VERSION = "2"
 #: Digests that a task remembers, so as to scan a repeated text once.
@@ -76,6 +76,8 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, version: str = RULE_V
         missing = materialize(paths.select("blob").join(known.select("blob"), "blob", "left_anti"), "secret-unseen")
         unseen = unseen.join(broadcast_if_small(missing), "blob", "left_semi")
 
+    small_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[str] = set()
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
