@@ -440,7 +440,7 @@ def _planes_by_shuffle(out: DataFrame, data: DataFrame, vals: list[str], stencil
     spread = out.withColumn("_row", F.monotonically_increasing_id()).withColumn("_c", F.explode(parts))
     got = spread.join(table, (F.col("_c.e") == F.col("_de")) & (F.col("_c.at") == F.col("_dt")), "left")
     for kk in levels:
-        got = got.withColumn(f"_x{kk}", F.get(F.filter("_m", lambda e, kk=kk: e["s"] == F.col(f"{pre}_{kk}")), F.lit(0)))
+        got = got.withColumn(f"_x{kk}", _slot_of("_m", F.col(f"{pre}_{kk}")))
     aggs = [F.first(F.struct(*keep)).alias("_keep")]
     for c in range(size):
         for v in vals:
@@ -458,6 +458,10 @@ def _planes_by_shuffle(out: DataFrame, data: DataFrame, vals: list[str], stencil
     return out.withColumns(planes).select(*keep, *planes)
 
 
+def _slot_of(entries: str, at: Column) -> Column:
+    return F.get(F.filter(entries, lambda e: e["s"] == at), F.lit(0))
+
+
 @dataclass(frozen=True)
 class VectorField:
     """Component name -> Field (X-02, J-16). Components may lie at different locations (staggered u and v), and even on different grids."""

@@ -206,9 +206,9 @@ def average_to_centers(field: DataFrame, along: str, keep: Sequence[str] = ()) -
     return field.join(nxt, [*keep, "j", "i"]).select(*keep, "j", "i", ((F.col("value") + F.col("_n")) / 2).alias("value"))
 
 
-def centers_to_nodes(field: DataFrame) -> DataFrame:
+def centers_to_nodes(field: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """2 x 2 means (A-03)."""
-    return average_to_centers(average_to_centers(field, "j"), "i")
+    return average_to_centers(average_to_centers(field, "j", keep), "i", keep)
 
 
 def grid_lines(nodes: DataFrame) -> DataFrame:

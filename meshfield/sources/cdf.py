@@ -7,14 +7,16 @@ Headers alone are read on the driver; values are read by tasks that hold a range
 from __future__ import annotations
 
 import json
+import os
 import struct
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThanOrEqual, InputPartition, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
 #: nc_type -> numpy type. Fixed by the format.
 KINDS = {1: ">i1", 2: "S1", 3: ">i2", 4: ">i4", 5: ">f4", 6: ">f8", 7: ">u1", 8: ">u2", 9: ">u4", 10: ">i8", 11: ">u8"}
@@ -122,10 +124,21 @@ def _slab(v: Variable) -> int:
     return int(np.prod(v.shape[1:] if v.record else v.shape, dtype=np.int64)) * v.dtype.itemsize
 
 
+def place_of(path: str) -> tuple[fs.FileSystem, str]:
+    """The store of a path or URI (file, s3, gs, hdfs, ...) and the path in it: driver and tasks read the same way."""
+    path = path.removeprefix("file:") if path.startswith("file:/") and "://" not in path else path
+    return fs.FileSystem.from_uri(path if "://" in path else os.path.abspath(path))
+
+
+def _opened(path: str):
+    store, inner = place_of(path)
+    return store.open_input_file(inner)
+
+
 def read_header(path: str) -> Header:
     size = 1 << 14
     while True:
-        with open(path, "rb") as f:
+        with _opened(path) as f:
             data = f.read(size)
         try:
             return parse_header(data)
@@ -139,12 +152,12 @@ def read_values(path: str, h: Header, name: str, start: int = 0, stop: int | Non
     """Values of rows start to stop of the leading dimension (all of a scalar)."""
     v = h.variables[name]
     if not v.shape:
-        with open(path, "rb") as f:
+        with _opened(path) as f:
             f.seek(v.begin)
             return np.frombuffer(f.read(v.dtype.itemsize), v.dtype).reshape(())
     stop = v.shape[0] if stop is None else stop
     row = int(np.prod(v.shape[1:], dtype=np.int64)) * v.dtype.itemsize
-    with open(path, "rb") as f:
+    with _opened(path) as f:
         if v.record:
             parts = []
             for k in range(start, stop):
@@ -204,7 +217,8 @@ def write(path: str, dims: Mapping[str, int | None], variables: Mapping[str, tup
         begins[k] = at
         own = arrays[k][1][:1].nbytes
         at += own if len(records) == 1 else own + -own % 4
-    with open(path, "wb") as f:
+    store, inner = place_of(path)
+    with store.open_output_stream(inner) as f:
         f.write(header(begins))
         for k, (_, a, _) in arrays.items():
             if k not in records:
@@ -242,11 +256,14 @@ class _Reader(DataSourceReader):
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         for f in filters:
-            if getattr(f, "attribute", None) == ("t_idx",) and isinstance(f, EqualTo | GreaterThanOrEqual | LessThanOrEqual):
-                if not isinstance(f, LessThanOrEqual):
-                    self.lo = max(self.lo, int(f.value))
-                if not isinstance(f, GreaterThanOrEqual):
-                    self.hi = min(self.hi, int(f.value))
+            if getattr(f, "attribute", None) == ("t_idx",):
+                if isinstance(f, In):
+                    lo, hi = (min(f.value), max(f.value)) if f.value else (1, 0)
+                else:
+                    lo = f.value if isinstance(f, EqualTo | GreaterThanOrEqual) else f.value + 1 if isinstance(f, GreaterThan) else None
+                    hi = f.value if isinstance(f, EqualTo | LessThanOrEqual) else f.value - 1 if isinstance(f, LessThan) else None
+                self.lo = self.lo if lo is None else max(self.lo, int(lo))
+                self.hi = self.hi if hi is None else min(self.hi, int(hi))
             yield f  # Spark tests them again
 
     def partitions(self) -> list[InputPartition]:
