@@ -29,9 +29,11 @@ def own_names(df: DataFrame, *names: str) -> list[str]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode a folder of our own where that is unset (tests)."""
     sc = spark.sparkContext
     if spark.conf.get("spark.checkpoint.dir", None) is None and sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: no folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="meshfield-"))
     inner = sc._jsc.sc().getCheckpointDir()
     return (inner.get() if inner.isDefined() else spark.conf.get("spark.checkpoint.dir")).rstrip("/")
