@@ -52,13 +52,13 @@ def normalised(line: Column) -> Column:
 def counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs plus n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed."""
     t = F.coalesce(F.col(text), F.lit(""))
-    own = let(words(t), lambda w: F.struct(F.size(w).alias("n"), repeated_words(w).alias("r")))
+    own = let(words(t), lambda w: F.struct(F.size(w).alias("n"), repeated_words(w).alias("r"), F.aggregate(w, F.lit(0), lambda a, x: a + F.length(x)).alias("c")))
     dup = let(lines(t), lambda x: F.size(x) - F.size(F.array_distinct(x)))
     (name,) = own_names(docs, "own")
     out = docs.withColumn(name, own).withColumns({
         "n_words": F.col(f"{name}.n").cast("long"),
-        "word_chars": F.length(F.translate(t, " \t\n\x0b\x0c\r", "")).cast("long"),
-        "n_symbols": (F.length(t) - F.length(F.translate(t, "#*$%&|<>", ""))).cast("long"),
+        "word_chars": F.col(f"{name}.c").cast("long"),
+        "n_symbols": F.regexp_count(t, F.lit("[#*$%&|<>]")).cast("long"),
         "n_dup_lines": dup.cast("long"),
         "n_repeat_words": F.col(f"{name}.r").cast("long"),
     })
@@ -67,7 +67,7 @@ def counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def line_hash(host: Column, line: Column) -> Column:
     """Key of a normalised line on a host (null: one host)."""
-    return F.xxhash64(F.coalesce(host.cast("string"), F.lit("")), normalised(line))
+    return F.xxhash64(F.coalesce(host.cast("string"), F.lit("")), line)
 
 
 def frequent_lines(docs: DataFrame, host: str = "source", limit: int = LINE_DOCS) -> DataFrame:
@@ -76,7 +76,7 @@ def frequent_lines(docs: DataFrame, host: str = "source", limit: int = LINE_DOCS
     A document is its doc_id; where that is null, its text.
     """
     doc = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
-    keys = F.transform(lines(F.coalesce(F.col("text"), F.lit(""))), lambda x: line_hash(F.col(host), x))
+    keys = F.transform(lines(F.coalesce(F.col("text"), F.lit(""))), lambda x: line_hash(F.col(host), normalised(x)))
     own = docs.select(doc.alias("doc"), F.explode(F.array_distinct(keys)).alias("h"))
     return own.groupBy("h").agg(F.count_distinct("doc").alias("n")).where(F.col("n") > limit)
 
@@ -91,8 +91,8 @@ def judge(docs: DataFrame, host: str = "source", limit: int = LINE_DOCS, least:
     bad = materialize(frequent_lines(docs, host, limit), "rules-lines")
     base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     rows = counts(docs.select("doc_id", F.col(host).alias("host"), "text").withColumn("row", F.monotonically_increasing_id()))
-    words_of = lambda x: F.length(x) - F.length(F.translate(x, " ", "")) + 1
-    line = F.transform(lines(F.coalesce(F.col("text"), F.lit(""))), lambda x: F.struct(line_hash(F.col("host"), x).alias("h"), words_of(normalised(x)).alias("k")))
+    keyed = lambda y: F.struct(line_hash(F.col("host"), y).alias("h"), (F.regexp_count(y, F.lit(" ")) + 1).alias("k"))
+    line = F.transform(lines(F.coalesce(F.col("text"), F.lit(""))), lambda x: let(normalised(x), keyed))
     each = rows.select("row", "doc_id", *base, F.explode_outer(line).alias("line")).select("row", "doc_id", *base, "line.h", "line.k")
     each = keyed_join(each, bad, "h", "n", bad.agg(F.sum("n")).first()[0] or 0, "left", F.lit(True).alias("bad"))
     out = each.groupBy("row", "doc_id", *base).agg(F.coalesce(F.sum(F.when(F.col("bad"), F.col("k"))), F.lit(0)).alias("n_removed_words"))
@@ -110,7 +110,7 @@ def clean(docs: DataFrame, host: str = "source", limit: int = LINE_DOCS) -> Data
     rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "rules-rows")
     bad = bad.select(F.col("h").alias(h), F.col("n").alias(n))
     # A line without words is nothing that is counted: no key.
-    key = F.when(F.col("line").rlike(r"[^\x20\x09-\x0D]"), line_hash(F.col("host"), F.col("line")))
+    key = F.when(F.col("line").rlike(r"[^\x20\x09-\x0D]"), line_hash(F.col("host"), normalised(F.col("line"))))
     each = rows.where("text is not null").select(row, F.col(host).alias("host"), F.posexplode(F.split("text", "\n")).alias("place", "line")).withColumn(h, key)
     each = keyed_join(each, bad, h, n, bad.agg(F.sum(n)).first()[0] or 0, "left", F.lit(True).alias("bad"))
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "line"))), lambda x: x["line"]), "\n")
