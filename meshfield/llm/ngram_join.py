@@ -439,3 +439,18 @@ def pair_counts(segs: list[np.ndarray], label: np.ndarray, side: np.ndarray) ->
 
 def op3_ngram_jaccard(spark, sf_dir):
     return ngram_jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+OP3_SQL = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE [w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)] END) g FROM w),
+n AS (SELECT doc_id, count(*) n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id a, b.doc_id b, count(*) c FROM s a JOIN s b USING (g) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 90 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id, doc_id AS root FROM documents UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.doc_id),
+c AS (SELECT doc_id, min(root) component_id FROM r GROUP BY doc_id),
+k AS (SELECT a doc_id, count(*) k FROM e GROUP BY a)
+SELECT d.doc_id::BIGINT doc_id, coalesce(n, 0)::BIGINT n_shingles, component_id::BIGINT component_id, coalesce(k, 0)::BIGINT n_links FROM documents d JOIN c USING (doc_id) LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id)
+"""

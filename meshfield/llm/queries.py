@@ -31,5 +31,7 @@ def oracle_sql():
     return {
         "op1_extendible_sharding": sharding.OP1_SQL,
         "op2_decontamination": decontaminate.OP2_SQL,
+        "op3_ngram_jaccard": ngram_join.OP3_SQL,
         "op8_quality_rules": rules.OP8_SQL,
+        "op10_warc": warc.OP10_SQL,
     }

@@ -17,10 +17,10 @@ from collections.abc import Iterator
 from datetime import datetime, timedelta
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, keyed_join, materialize, new_path
+from .common import arrow_map, broadcast_if_small, keyed_join, materialize, new_path
 
 #: Payload bytes of one archive file, captures in one range of the merged index, and ranges at most (their bounds are all that the driver
 #: holds; with more than four billion captures ranges are longer, and a task still merges them as a stream).
@@ -222,7 +222,7 @@ def merged(sources: list[Iterator[tuple]], fan: int = FAN) -> Iterator[tuple]:
 
 
 def merged_index(runs_: DataFrame, in_range: int = RANGE) -> DataFrame:
-    """The captures of all runs (materialized) in global order: range (long), place in it (long), and the fields of INDEX.
+    """The captures of all runs (materialized) in global order: range, place in it, history (place among those of its URL key in the range), and the fields of INDEX.
 
     Bounds between ranges come from a sample of every run that grows with the number of captures: one key in about in_range / 100.
     """
@@ -258,9 +258,10 @@ def merged_index(runs_: DataFrame, in_range: int = RANGE) -> DataFrame:
             for r, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 groups.setdefault(r, []).append(data)
         for r in sorted(groups):
-            rows, place = [], 0
+            rows, place, key, seen = [], 0, None, 0
             for x in merged([_from_bytes(d) for d in groups[r]]):
-                rows.append((r, place, *x))
+                key, seen = x[0], seen + 1 if x[0] == key else 0
+                rows.append((r, place, seen, *x))
                 place += 1
                 if len(rows) == 5000:
                     yield _rows(rows)
@@ -269,7 +270,7 @@ def merged_index(runs_: DataFrame, in_range: int = RANGE) -> DataFrame:
                 yield _rows(rows)
 
     dealt = runs_.mapInArrow(cut, "range long, run binary").repartitionById(len(bounds) + 1, F.col("range").cast("int"))
-    return dealt.mapInArrow(merge, f"range long, place long, {INDEX}")
+    return dealt.mapInArrow(merge, f"range long, place long, history long, {INDEX}")
 
 
 def _pieces(captures: Iterator[tuple], limits: list[tuple]) -> pa.RecordBatch:
@@ -289,8 +290,8 @@ def _pieces(captures: Iterator[tuple], limits: list[tuple]) -> pa.RecordBatch:
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), *_KINDS.types]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["range", "place", *_KINDS.names])
+    kinds = [pa.int64(), pa.int64(), pa.int64(), *_KINDS.types]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["range", "place", "history", *_KINDS.names])
 
 
 def _every(rows: Iterator[tuple], step: int) -> Iterator[tuple]:
@@ -299,9 +300,40 @@ def _every(rows: Iterator[tuple], step: int) -> Iterator[tuple]:
             yield x
 
 
+def with_history(index: DataFrame) -> DataFrame:
+    """index (materialized) with history: the capture's place (from 0) among those of its url_key, over all ranges.
+
+    Ranges count their own keys in order; a key that goes on from range to range is carried over by one row per range.
+    """
+    ends = index.groupBy("range").agg(F.min("url_key").alias("first"), F.max("url_key").alias("last"))
+    sizes = index.groupBy("range", "url_key").agg(F.count("*").alias("n"))
+    ends = materialize(ends.join(sizes, "range").where("url_key = last").select("range", "first", "last", "n"), "warc-ends")
+    # Ranges before this one that end with the key: all of its captures there stand before those here.
+    before = Window.partitionBy("key").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    told = ends.select("range", F.col("last").alias("key"), "n").union(ends.select("range", F.col("first").alias("key"), F.lit(0).cast("long").alias("n")))
+    told = told.groupBy("range", "key").agg(F.max("n").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).where("before > 0")
+    told = materialize(told.select(F.col("range").alias("r"), F.col("key").alias("u"), "before"), "warc-carried")
+    out = index.join(broadcast_if_small(told), (F.col("range") == F.col("r")) & (F.col("url_key") == F.col("u")), "left")
+    return out.select(*index.columns[:2], (F.col("history") + F.coalesce("before", F.lit(0))).alias("history"), *index.columns[3:])
+
+
 def op10_warc(spark, sf_dir):
     path = new_path(spark, "warc")
     write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
-    index = merged_index(materialize(runs(spark, path), "warc-runs"))
-    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "timestamp", "range", "place")
+    index = with_history(materialize(merged_index(materialize(runs(spark, path), "warc-runs")), "warc-index"))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "timestamp", "history")
+
+
+OP10_SQL = r"""
+WITH p AS (SELECT page_id, url, coalesce(html, '') h, sha1(coalesce(html, '')) s FROM pages),
+k AS (SELECT *, regexp_extract(coalesce(url, ''), '^(?:[^:/?#]*://)?([^/?#]*)([^#]*)', ['host', 'rest']) u FROM p),
+f AS (SELECT *, list_reverse(string_split(regexp_extract(regexp_replace(lower(u.host), '^www\d*\.', ''), '([^@]*)$', 1), '.')) labels,
+ min(page_id) OVER (PARTITION BY s) AS least FROM k),
+r AS (SELECT *, array_to_string(labels, ',') || ')' || CASE WHEN u.rest = '' THEN '/' ELSE u.rest END url_key FROM f)
+SELECT page_id::BIGINT page_id, strlen(h)::BIGINT payload_bytes,
+ array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(s, (5 * (i // 4) + 1)::INT, 5))::INT >> (15 - 5 * (i % 4))::INT) & 31) + 1)::INT, 1)), '') payload_digest,
+ CASE WHEN least < page_id THEN 'revisit' ELSE 'response' END record_type, CASE WHEN least < page_id THEN least END::BIGINT refers_to, url_key,
+ strftime(TIMESTAMP '2000-01-01' + to_seconds(page_id % 1000000000), '%Y%m%d%H%M%S') AS "timestamp",
+ (row_number() OVER (PARTITION BY url_key ORDER BY page_id % 1000000000, page_id) - 1)::BIGINT history FROM r
+"""
 

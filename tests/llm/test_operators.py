@@ -432,6 +432,13 @@ def test_warc(spark, tmp_path):
     ordered = sorted(got, key=lambda x: (x["range"], x.place))
     keys = [(x.url_key, x.timestamp) for x in ordered]
     assert keys == sorted(keys) and len({x["range"] for x in got}) > 1
+    told = {}
+    small = warc.materialize(warc.merged_index(warc.materialize(warc.runs(spark, str(tmp_path / "w"))), in_range=2))
+    for x in warc.with_history(small).collect():
+        told.setdefault(x.url_key, []).append((x.timestamp, -1 if x.page_id is None else x.page_id, x.history))
+    assert small.select("range").distinct().count() > 10 and max(map(len, told.values())) > 4  # keys go over several ranges
+    for v in told.values():
+        assert [h for *_, h in sorted(v, key=lambda x: (x[0], x[1], x[2]))] == list(range(len(v)))
     files = {p.name: p.read_bytes() for p in (tmp_path / "w").glob("part-*")}
     for x in got:  # an offset can be sought
         head = zlib.decompressobj(31).decompress(files[x.archive][x.offset :])
