@@ -132,25 +132,39 @@ def digitize_long(x: Column, axis: list[int]) -> Column:
     return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda pos, s: F.when(F.coalesce(F.get(values, pos + s - 1) < x, F.lit(False)), pos + s).otherwise(pos))
 
 
+#: Buckets of a series at most, and entries that one aims at.
+BUCKETS, IN_BUCKET = 1_000_000, 32
+
+
 def bracket_join(points: DataFrame, series: DataFrame, t: str = "t", value: str = "value") -> DataFrame:
-    """points plus lo_t, lo, hi_t, hi: the series' entries before t and at or after it. For series too long for an expression: one union and one sort per bucket of time.
+    """points plus lo_us, lo, hi_us, hi: the series' entries before t and at or after it (J-07), for series too long for an expression.
 
-    The bucket is a day; entries that close a bucket's gaps are carried over by a window over one row per bucket, so no window runs over all rows.
+    Buckets of time are as long as IN_BUCKET entries are on average (one aggregate over the series tells), so a dense series has short ones.
+    A point meets one bucket and searches it in halves; what lies beyond a bucket's ends is carried over by a window over one row per
+    bucket (BUCKETS of them at most), so no window runs over all rows. Points with a null time, and null times of the series, bracket nothing.
     """
     us = lambda c: timefn.micros(F.col(c))
-    day = lambda c: F.floor(c / 86_400_000_000)
-    s = series.select(us(t).alias("_s"), F.col(value).alias("_v"))
-    days = s.groupBy(day(F.col("_s")).alias("_d")).agg(F.max(F.struct("_s", "_v")).alias("_last"), F.min(F.struct("_s", "_v")).alias("_first"))
-    wanted = points.select(day(us(t)).alias("_d")).distinct()
+    s = series.select(us(t).alias("_s"), F.col(value).alias("_v")).where("_s is not null")
+    first, last, n = s.agg(F.min("_s"), F.max("_s"), F.count("*")).first()
+    first, last = first or 0, last or 0
+    width = max(1, (last - first) // max(1, min(BUCKETS, n // IN_BUCKET)) + 1)
+    bucket = lambda c: F.floor((F.least(F.greatest(c, F.lit(first - 1)), F.lit(last + 1)) - first) / width)
+    inner = s.groupBy(bucket(F.col("_s")).alias("_d")).agg(F.sort_array(F.collect_list(F.struct("_s", "_v"))).alias("_own"))
+    wanted = points.select(bucket(us(t)).alias("_d")).where("_d is not null").distinct()
     w = Window.orderBy("_d")
-    spine = days.join(wanted, "_d", "full").select("_d", F.last("_last", True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"), F.first("_first", True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("_after"))
-    inner = s.groupBy(day(F.col("_s")).alias("_d")).agg(F.sort_array(F.collect_list(F.struct("_s", "_v"))).alias("_own"))
+    ends = inner.select("_d", F.get("_own", F.lit(0)).alias("_first"), F.element_at("_own", -1).alias("_last"), F.size("_own").alias("_n"))
+    longest = ends.agg(F.max("_n")).first()[0] or 0
+    spine = ends.join(wanted, "_d", "full").select("_d", F.last("_last", True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"), F.first("_first", True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("_after"))
     table = spine.join(inner, "_d", "left")
-    out = points.withColumns({"_t": us(t)}).withColumn("_d", day(F.col("_t"))).join(table, "_d", "left")
-    lo = F.coalesce(F.try_element_at(F.filter("_own", lambda x: x["_s"] < F.col("_t")), F.lit(-1)), F.col("_before"))
-    hi = F.coalesce(F.get(F.filter("_own", lambda x: x["_s"] >= F.col("_t")), F.lit(0)), F.col("_after"))
+    out = points.withColumn("_t", us(t)).withColumn("_d", bucket(F.col("_t"))).join(table, "_d", "left")
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(max(1, longest.bit_length())))])
+    below = F.aggregate(steps, F.lit(0), lambda pos, k: F.when(F.coalesce(F.get("_own", pos + k - 1)["_s"] < F.col("_t"), F.lit(False)), pos + k).otherwise(pos))
+    out = out.withColumn("_pos", below)
+    known = F.col("_t").isNotNull()
+    lo = F.when(known, F.coalesce(F.get("_own", F.col("_pos") - 1), F.col("_before")))
+    hi = F.when(known, F.coalesce(F.get("_own", F.col("_pos")), F.col("_after")))
     out = out.withColumns({"_lo": lo, "_hi": hi})
-    return out.withColumns({"lo_us": F.col("_lo._s"), "lo": F.col("_lo._v"), "hi_us": F.col("_hi._s"), "hi": F.col("_hi._v")}).drop("_t", "_d", "_before", "_after", "_own", "_lo", "_hi")
+    return out.withColumns({"lo_us": F.col("_lo._s"), "lo": F.col("_lo._v"), "hi_us": F.col("_hi._s"), "hi": F.col("_hi._v")}).drop("_t", "_d", "_before", "_after", "_own", "_pos", "_lo", "_hi")
 
 
 def check_axis(df: DataFrame, t: str = "t", order: str = "t_idx") -> None:

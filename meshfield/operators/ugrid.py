@@ -217,6 +217,42 @@ def order_rings(segments: DataFrame, rounds: int = 64) -> DataFrame:
     return grouped.groupBy("ring").applyInPandas(walk, "ring long, place int, node long, closed boolean")
 
 
+def check_consistent(mesh: Mesh) -> None:
+    """A-18: every node of a face, edge or boundary is there, and no id stands twice; otherwise an error names the first."""
+    ids = mesh.nodes.select(F.col("node").cast("long").alias("node"))
+    parts = {"node": ids} | {n: d.select(F.col(n).cast("long").alias("node")) for n, d in (("face", mesh.faces), ("edge", mesh.edges)) if d is not None and n in d.columns}
+    for name, own in parts.items():
+        twice = own.groupBy("node").count().where("count > 1").orderBy("node").limit(1).collect()
+        if twice:
+            raise ValueError(f"{name} {twice[0].node} stands {twice[0]['count']} times")
+    used = [mesh.faces.select(F.explode(F.col("nodes").cast("array<long>")).alias("node"))] if mesh.faces is not None else []
+    used += [d.select(F.explode(F.array("n0", "n1").cast("array<long>")).alias("node")) for d in (mesh.edges, mesh.boundaries) if d is not None]
+    for own in used:
+        lost = own.join(ids, "node", "left_anti").orderBy("node").limit(1).collect()
+        if lost:
+            raise ValueError(f"node {lost[0].node} is used and not there")
+
+
+#: Columns of the table of selected cells, in order.
+SELECTED = ("pid", "lon", "lat", "face", "n_nodes", "place", "node", "node_lon", "node_lat", "center_lon", "center_lat", "area")
+
+
+def selected_cells(points: DataFrame, faces: DataFrame, nodes: DataFrame, path: str | None = None) -> DataFrame:
+    """SELECTED for the cells that hold points (pid, lon, lat), or lie nearest (P-08): one row per point and corner; with a path also written there as CSV."""
+    own = with_polygons(faces, nodes)
+    where = join.locate_or_nearest(points.select("pid", "lon", "lat"), own.select(F.col("face").cast("long").alias("cell"), "poly"), centroids(faces, nodes).select(F.col("face").cast("long").alias("node"), "lon", "lat"), name="face")
+    n = F.size("poly")
+    after = lambda k: F.get("poly", (k + 1) % n)
+    twice = F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0.0), lambda a, k: a + F.get("poly", k)["lon"] * after(k)["lat"] - after(k)["lon"] * F.get("poly", k)["lat"])
+    mean = lambda c: F.aggregate("poly", F.lit(0.0), lambda a, p: a + p[c]) / n
+    cell = own.select(F.col("face").cast("long").alias("face"), "nodes", "poly", n.alias("n_nodes"), mean("lon").alias("center_lon"), mean("lat").alias("center_lat"), F.abs(twice / 2).alias("area"))
+    out = where.join(cell, "face").select("pid", "lon", "lat", "face", "n_nodes", "center_lon", "center_lat", "area", F.posexplode(F.arrays_zip("nodes", "poly")).alias("place", "z"))
+    out = out.withColumns({"node": F.col("z.nodes").cast("long"), "node_lon": F.col("z.poly.lon"), "node_lat": F.col("z.poly.lat")}).select(*SELECTED)
+    if path is not None:
+        out.write.mode("overwrite").option("header", True).csv(path)
+    return out
+
+
 def face_node_rows(faces: DataFrame, nodes: DataFrame, located: DataFrame) -> DataFrame:
     """For the faces of located (face, lon, lat): one row per corner with its coordinates and the face's centroid (P-08)."""
     corners = with_polygons(faces, nodes).select(F.col("face").alias("_f"), "nodes", "poly")

@@ -545,3 +545,68 @@ def test_selected_cells(spark, tmp_path):
     got = [tuple(r) for r in catalog.queries()["selected_cells"](spark, str(tmp_path)).collect()]
     assert len(got) == len(set(got)) and set(got) == want
     assert {p % 50 for p, *_ in want} > {1}
+
+
+def test_bracket_join_dense_and_sparse(spark, monkeypatch):
+    """Bursts and gaps, times before, at and after the ends, nulls, an empty series; many buckets and one."""
+    import random
+    from datetime import datetime, timedelta
+
+    from meshfield.operators import timeaxis
+
+    r = random.Random(3)
+    start = datetime(2024, 1, 1)
+    times = sorted({start + timedelta(microseconds=r.randrange(10_000)) for _ in range(300)} | {start + timedelta(days=k * k) for k in range(30)})
+    series = [(x, float(k)) for k, x in enumerate(times)]
+    asked = [start - timedelta(days=1), times[0], times[-1], times[-1] + timedelta(days=9), None] + [r.choice(times) + timedelta(microseconds=r.randrange(-3, 4)) for _ in range(80)]
+    points = spark.createDataFrame(list(enumerate(asked)), "pid long, t timestamp")
+    df = spark.createDataFrame([*series, (None, 1.0)], "t timestamp, value double")
+    for buckets, size in ((1_000_000, 32), (1, 1), (7, 1)):
+        monkeypatch.setattr(timeaxis, "BUCKETS", buckets)
+        monkeypatch.setattr(timeaxis, "IN_BUCKET", size)
+        got = {x.pid: (x.lo, x.hi) for x in timeaxis.bracket_join(points, df).collect()}
+        for k, x in enumerate(asked):
+            before = [v for s, v in series if x is not None and s < x]
+            after = [v for s, v in series if x is not None and s >= x]
+            assert got[k] == (before[-1] if before else None, after[0] if after else None)
+    assert all(x.lo is None and x.hi is None for x in timeaxis.bracket_join(points, df.limit(0)).collect())
+
+
+def test_check_consistent(spark):
+    from meshfield.operators import ugrid
+
+    nodes = spark.createDataFrame([(k, float(k % 2), float(k // 2)) for k in range(4)], "node int, lon double, lat double")
+    faces = spark.createDataFrame([(0, [0, 1, 2]), (1, [1, 3, 2])], "face int, nodes array<int>")
+    ugrid.check_consistent(ugrid.Mesh(nodes, faces, boundaries=ugrid.boundaries(faces)))
+    with pytest.raises(ValueError, match="node 3 is used"):
+        ugrid.check_consistent(ugrid.Mesh(nodes.where("node < 3"), faces))
+    with pytest.raises(ValueError, match="node 0 stands 2"):
+        ugrid.check_consistent(ugrid.Mesh(nodes.union(nodes.where("node = 0")), faces))
+
+
+def test_selected_cells_csv(spark, tmp_path):
+    from meshfield.operators import ugrid
+
+    nodes = spark.createDataFrame([(k, 2.0 * (k % 2), 2.0 * (k // 2)) for k in range(4)], "node int, lon double, lat double")
+    faces = spark.createDataFrame([(0, [0, 1, 2]), (1, [1, 3, 2])], "face int, nodes array<int>")
+    points = spark.createDataFrame([(7, 0.2, 0.2), (8, 9.0, 9.0)], "pid long, lon double, lat double")
+    out = ugrid.selected_cells(points, faces, nodes, str(tmp_path / "csv"))
+    rows = sorted(out.collect(), key=lambda x: (x.pid, x.place))
+    assert [(x.pid, x.face, x.place, x.node) for x in rows] == [(7, 0, 0, 0), (7, 0, 1, 1), (7, 0, 2, 2), (8, 1, 0, 1), (8, 1, 1, 3), (8, 1, 2, 2)]
+    assert all(x.area == 2.0 and x.n_nodes == 3 for x in rows)
+    back = spark.read.option("header", True).csv(str(tmp_path / "csv"))
+    assert back.columns == list(ugrid.SELECTED) and back.count() == 6
+
+
+def test_many_corners(spark):
+    """Cells of five corners go through the general polygon test, and a large cell among small ones is found."""
+    from meshfield.operators import join
+
+    poly = lambda *p: [{"lon": float(a), "lat": float(b)} for a, b in p]
+    cells = [(0, poly((0, 0), (4, 0), (5, 3), (2, 5), (0, 4))), (1, poly((100, 0), (900, 0), (900, 700), (100, 700))), (2, poly((6, 0), (7, 0), (7, 1)))]
+    df = spark.createDataFrame(cells, "cell long, poly array<struct<lon:double,lat:double>>")
+    points = spark.createDataFrame([(0, 2.0, 2.0), (1, 4.9, 4.9), (2, 500.0, 300.0), (3, 6.9, 0.5), (4, None, 1.0)], "pid int, lon double, lat double")
+    assert {x.pid: x.cell for x in join.locate(points, df).collect()} == {0: 0, 1: None, 2: 1, 3: 2, 4: None}
+    four = df.where("cell > 0")
+    assert {x.pid: x.cell for x in join.locate(points, four).collect()} == {0: None, 1: None, 2: 1, 3: 2, 4: None}
+    assert {x.cell for x in join.locate(points, df.limit(0)).collect()} == {None}
