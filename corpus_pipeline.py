@@ -1,4 +1,8 @@
-"""Corpus pipeline: quality classifier, n-gram Jaccard join, benchmark decontamination, secret scans, best-fit packing."""
+"""Corpus pipeline: quality classifier, n-gram Jaccard join, benchmark decontamination, secret scans, best-fit packing.
+
+Each stage takes all rows that its predecessor kept. All but the last give the columns of documents and leave others out, whatever their names; an
+empty table gives an empty one, and texts of any length are read whole.
+"""
 
 from __future__ import annotations
 
@@ -19,13 +23,20 @@ def _columns(docs: DataFrame) -> DataFrame:
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject."""
+    """Documents whose probability of label 1 is quality.THRESHOLD or more.
+
+    Null and empty texts score like any other; repeated rows score equally and stay or go together; null ids are scored too. Without labels all
+    documents score the same, and go or stay with that score.
+    """
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return _columns(quality.score(_columns(docs), model, "quality_score").where(F.col("quality_score") >= quality.THRESHOLD))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked rows, the one with the smallest id, null ids last; one row too where ids repeat or are null. Texts without words stay."""
+    """Of each group of linked rows, the one with the smallest id, null ids last; one row too where ids repeat or are null, or rows are equal.
+
+    Null texts and texts without words are linked with nothing and stay. Of rows that tie in their id the first by row number stays.
+    """
     rows = materialize(_columns(docs).withColumn("row", F.monotonically_increasing_id()), "rows")
     found = ngram_join.ngram_jaccard_join(rows.select(F.col("row").alias("doc_id"), "text"), **NEAR)
     linked = found.where("n_links > 0").select(F.col("doc_id").alias("row"), "component_id")
@@ -37,7 +48,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Contaminated documents (two benchmark items or more) go; elsewhere the words of an occurrence are removed."""
+    """Contaminated documents (two benchmark items or more) go; elsewhere the words of an occurrence are removed.
+
+    Null texts stay null; repeated rows are treated alike; items without words or id match nothing; with an empty benchmark nothing changes.
+    """
     found = decontaminate.search(_columns(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where(F.size("items") < 2)
 
     def f(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -48,7 +62,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their secrets replaced by the kind of each."""
+    """Documents with their secrets replaced by the kind of each (overlapping ones by the first). Null texts stay null; repeated texts are one blob of the ledger."""
     found, _ = secrets.scan(_columns(docs))
 
     def f(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -59,7 +73,7 @@ def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per token piece with its sequence."""
+    """One row per token piece with its sequence. Null and empty texts are a piece with the end token; repeated rows are packed each; null ids stay null."""
     return packing.packed(docs)
 
 
