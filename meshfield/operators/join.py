@@ -17,9 +17,9 @@ def is_small(df: DataFrame) -> bool:
     return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
 
 
-def small(df: DataFrame) -> DataFrame:
-    """df marked for broadcast if it has at most BROADCAST_ROWS rows."""
-    return F.broadcast(df) if is_small(df) else df
+def small(df: DataFrame, like: DataFrame | None = None) -> DataFrame:
+    """df marked for broadcast if it has at most BROADCAST_ROWS rows; like: a plainer table of about as many rows, counted in its place."""
+    return F.broadcast(df) if is_small(df if like is None else like) else df
 
 
 def with_boxes(cells: DataFrame) -> DataFrame:
@@ -97,7 +97,7 @@ def nearest(points: DataFrame, nodes: DataFrame, x: str = "lon", y: str = "lat",
         spread = own.withColumn("_dx", around).withColumn("_dy", around)
         tiles = spread.groupBy((_tile(F.col("_nx"), s) + F.col("_dx")).alias("_tx"), (_tile(F.col("_ny"), s) + F.col("_dy")).alias("_ty")).agg(F.collect_list(F.struct("node", "_nx", "_ny")).alias("_near"))
         keyed = out.withColumns({"_px": F.when(~F.col("_done"), _tile(F.col("_cx"), s)), "_py": F.when(~F.col("_done"), _tile(F.col("_cy"), s))})
-        joined = keyed.join(small(tiles), (F.col("_px") == F.col("_tx")) & (F.col("_py") == F.col("_ty")), "left")
+        joined = keyed.join(F.broadcast(tiles) if 9 * n <= BROADCAST_ROWS else tiles, (F.col("_px") == F.col("_tx")) & (F.col("_py") == F.col("_ty")), "left")
         found = F.array_min(F.transform("_near", lambda c: F.struct(squared_distance(F.col(x), F.col(y), c["_nx"], c["_ny"]).alias("d2"), c["node"].alias("node"))))
         joined = joined.withColumn("_best", F.when(F.col("_done"), F.col("_best")).otherwise(found)).drop("_px", "_py", "_tx", "_ty", "_near")
         final = F.lit(True) if k == len(sizes) - 1 else F.coalesce(F.col("_best.d2") <= off + s * s, F.lit(False))

@@ -53,7 +53,7 @@ def interpolate(points: DataFrame, field: DataFrame, xs: Sequence[float], ys: Se
         value = v00 * (1 - p) * (1 - q) + v01 * p * (1 - q) + v10 * (1 - p) * q + v11 * p * q
     else:
         raise ValueError(f"method {method}: linear or nearest")
-    joined = out.join(small(table), F.col("_in") & (F.col("_j") == F.col("_fj")) & (F.col("_i") == F.col("_fi")), "left")
+    joined = out.join(small(table, field), F.col("_in") & (F.col("_j") == F.col("_fj")) & (F.col("_i") == F.col("_fi")), "left")
     gone = [c for c in joined.columns if c.startswith("_")]
     return joined.withColumn(name, F.when(F.col("_in"), F.coalesce(value, F.lit(0.0))).otherwise(0.0)).drop(*gone)
 

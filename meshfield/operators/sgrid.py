@@ -116,7 +116,7 @@ def interpolate(with_lm: DataFrame, field: DataFrame, location: str, padding: Ma
     dj, di = (PADDING[pad.get(d, "none")][0] for d in ("j", "i"))
     if location == "node":
         got = gather_corners(field.select("j", "i", "value")).select(F.col("j").alias("_fj"), F.col("i").alias("_fi"), F.transform("c", lambda c: c["value"]).alias("_v"))
-        out = _joined(with_lm, got, 0, 0)
+        out = _joined(with_lm, got, 0, 0, field)
         ll, m = F.col("l"), F.col("m")
         w = [1.0 - ll - m + ll * m, m - ll * m, ll * m, ll - ll * m]
         value = with_mask_policy([F.get("_v", F.lit(k)) for k in range(4)], w, policy)
@@ -130,13 +130,13 @@ def interpolate(with_lm: DataFrame, field: DataFrame, location: str, padding: Ma
         pairs = own.withColumn("_k", step)
         shifted = {c: (F.col(c) - F.col("_k") if c == along[0] else F.col(c)) for c in ("j", "i")}
         got = pairs.groupBy(shifted["j"].alias("_fj"), shifted["i"].alias("_fi")).agg(F.max(F.when(F.col("_k") == 0, F.col("value"))).alias("_v0"), F.max(F.when(F.col("_k") == 1, F.col("value"))).alias("_v1"))
-        out = _joined(with_lm, got, dj, di)
+        out = _joined(with_lm, got, dj, di, field)
         value = with_mask_policy([F.col("_v0"), F.col("_v1")], [1.0 - F.col(along[1]), F.col(along[1])], "zero")
     return out.withColumn(name, F.when(F.col("i").isNotNull(), value)).drop("_fj", "_fi", "_v", "_v0", "_v1")
 
 
-def _joined(points: DataFrame, table: DataFrame, dj: int, di: int) -> DataFrame:
-    return points.join(join.small(table), (F.col("j") + dj == F.col("_fj")) & (F.col("i") + di == F.col("_fi")), "left")
+def _joined(points: DataFrame, table: DataFrame, dj: int, di: int, like: DataFrame | None = None) -> DataFrame:
+    return points.join(join.small(table, like), (F.col("j") + dj == F.col("_fj")) & (F.col("i") + di == F.col("_fi")), "left")
 
 
 def coastal_edges(edges: DataFrame, coast: DataFrame, along: str) -> DataFrame:

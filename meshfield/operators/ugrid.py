@@ -43,13 +43,13 @@ def _weighted(out: DataFrame, x: str, y: str) -> DataFrame:
 def weights(located: DataFrame, faces: DataFrame, nodes: DataFrame, x: str = "lon", y: str = "lat") -> DataFrame:
     """located (with face) plus its nodes n0, n1, n2 and their barycentric weights w0, w1, w2 (I-13, J-15); null off the grid. Triangles only."""
     tri = with_polygons(faces, nodes).select(F.col("face").cast("long").alias("_f"), F.col("nodes").alias("_nodes"), F.col("poly").alias("_poly"))
-    return _weighted(located.join(join.small(tri), F.col("face") == F.col("_f"), "left"), x, y)
+    return _weighted(located.join(join.small(tri, faces), F.col("face") == F.col("_f"), "left"), x, y)
 
 
 def face_values(faces: DataFrame, field: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """For each face the node values in corner order: (*by, face, values). field: (*by, node, value)."""
     at = faces.select("face", F.posexplode("nodes").alias("_k", "_n"))
-    got = join.small(at).join(field, F.col("_n") == F.col("node"))
+    got = join.small(at, faces).join(field, F.col("_n") == F.col("node"))
     out = got.groupBy(*by, "face").agg(F.sort_array(F.collect_list(F.struct("_k", F.col("value").alias("v")))).alias("_v"))
     return out.select(*by, F.col("face").cast("long").alias("face"), F.transform("_v", lambda v: v["v"]).alias("values"))
 
@@ -58,7 +58,7 @@ def interpolate_nodes(points: DataFrame, faces: DataFrame, nodes: DataFrame, fie
     """points plus the linear interpolation of a node field (I-14): 0 off the grid. A null node masks the value."""
     w = with_weights(points, faces, nodes, x, y)
     table = face_values(faces, field).select(F.col("face").alias("_f"), F.col("values").alias("_v"))
-    out = w.join(join.small(table), F.col("face") == F.col("_f"), "left")
+    out = w.join(join.small(table, faces), F.col("face") == F.col("_f"), "left")
     value = sum((F.get("_v", F.lit(k)) * F.col(f"w{k}") for k in range(1, 3)), F.get("_v", F.lit(0)) * F.col("w0"))
     return out.withColumn(name, F.when(F.col("face").isNull(), F.lit(0.0)).otherwise(value)).drop("_f", "_v")
 
@@ -177,11 +177,12 @@ def same_rows(a: DataFrame, b: DataFrame) -> bool:
 
 
 def order_rings(segments: DataFrame, rounds: int = 64) -> DataFrame:
-    """segments (n0, n1), each node in two at most -> ring, place, node, closed (A-14).
+    """segments (n0, n1), each node in two at most -> ring, place, node, closed (A-14). The session needs a checkpoint folder.
 
-    Components come from pointer doubling over smallest ids (logarithmic rounds, one join each); the walk along a ring is one group per ring.
+    A ring's name is its smallest node. It starts there, or at the smaller of its ends, and goes on to the smaller neighbour. Components and places both
+    come from pointer doubling (logarithmic rounds, one join each), so no ring has to fit one task.
     """
-    both = segments.select("n0", "n1").union(segments.select("n1", "n0")).distinct()
+    both = segments.select("n0", "n1").union(segments.select("n1", "n0")).where("n0 <> n1").distinct()
     label = both.select(F.col("n0").alias("node")).distinct().withColumn("ring", F.col("node"))
     for _ in range(rounds):
         near = both.join(label, both.n1 == label.node).groupBy("n0").agg(F.min("ring").alias("_m"))
@@ -194,63 +195,23 @@ def order_rings(segments: DataFrame, rounds: int = 64) -> DataFrame:
             break
     else:
         raise RuntimeError("rings did not converge")
-    grouped = segments.join(label, segments.n0 == label.node).select("ring", "n0", "n1")
-
-    def walk(pdf):
-        import pandas as pd
-
-        near: dict[int, list[int]] = {}
-        for a, b in sorted(zip(pdf.n0.tolist(), pdf.n1.tolist(), strict=True)):
-            near.setdefault(a, []).append(b)
-            near.setdefault(b, []).append(a)
-        ends = sorted(n for n, o in near.items() if len(o) == 1)
-        start = ends[0] if ends else min(near)
-        out, prev, at = [start], None, start
-        while True:
-            step = [n for n in sorted(near[at]) if n != prev]
-            prev, at = at, (step[0] if step else start)
-            if at == start or not step or at in out[-1:]:
-                break
-            out.append(at)
-        return pd.DataFrame({"ring": int(pdf.ring.iloc[0]), "place": range(len(out)), "node": out, "closed": not ends})
-
-    return grouped.groupBy("ring").applyInPandas(walk, "ring long, place int, node long, closed boolean")
-
-
-def check_consistent(mesh: Mesh) -> None:
-    """A-18: every node of a face, edge or boundary is there, and no id stands twice; otherwise an error names the first."""
-    ids = mesh.nodes.select(F.col("node").cast("long").alias("node"))
-    parts = {"node": ids} | {n: d.select(F.col(n).cast("long").alias("node")) for n, d in (("face", mesh.faces), ("edge", mesh.edges)) if d is not None and n in d.columns}
-    for name, own in parts.items():
-        twice = own.groupBy("node").count().where("count > 1").orderBy("node").limit(1).collect()
-        if twice:
-            raise ValueError(f"{name} {twice[0].node} stands {twice[0]['count']} times")
-    used = [mesh.faces.select(F.explode(F.col("nodes").cast("array<long>")).alias("node"))] if mesh.faces is not None else []
-    used += [d.select(F.explode(F.array("n0", "n1").cast("array<long>")).alias("node")) for d in (mesh.edges, mesh.boundaries) if d is not None]
-    for own in used:
-        lost = own.join(ids, "node", "left_anti").orderBy("node").limit(1).collect()
-        if lost:
-            raise ValueError(f"node {lost[0].node} is used and not there")
-
-
-#: Columns of the table of selected cells, in order.
-SELECTED = ("pid", "lon", "lat", "face", "n_nodes", "place", "node", "node_lon", "node_lat", "center_lon", "center_lat", "area")
-
-
-def selected_cells(points: DataFrame, faces: DataFrame, nodes: DataFrame, path: str | None = None) -> DataFrame:
-    """SELECTED for the cells that hold points (pid, lon, lat), or lie nearest (P-08): one row per point and corner; with a path also written there as CSV."""
-    own = with_polygons(faces, nodes)
-    where = join.locate_or_nearest(points.select("pid", "lon", "lat"), own.select(F.col("face").cast("long").alias("cell"), "poly"), centroids(faces, nodes).select(F.col("face").cast("long").alias("node"), "lon", "lat"), name="face")
-    n = F.size("poly")
-    after = lambda k: F.get("poly", (k + 1) % n)
-    twice = F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0.0), lambda a, k: a + F.get("poly", k)["lon"] * after(k)["lat"] - after(k)["lon"] * F.get("poly", k)["lat"])
-    mean = lambda c: F.aggregate("poly", F.lit(0.0), lambda a, p: a + p[c]) / n
-    cell = own.select(F.col("face").cast("long").alias("face"), "nodes", "poly", n.alias("n_nodes"), mean("lon").alias("center_lon"), mean("lat").alias("center_lat"), F.abs(twice / 2).alias("area"))
-    out = where.join(cell, "face").select("pid", "lon", "lat", "face", "n_nodes", "center_lon", "center_lat", "area", F.posexplode(F.arrays_zip("nodes", "poly")).alias("place", "z"))
-    out = out.withColumns({"node": F.col("z.nodes").cast("long"), "node_lon": F.col("z.poly.lon"), "node_lat": F.col("z.poly.lat")}).select(*SELECTED)
-    if path is not None:
-        out.write.mode("overwrite").option("header", True).csv(path)
-    return out
+    near = both.groupBy(F.col("n0").alias("node")).agg(F.sort_array(F.collect_list("n1")).alias("near")).join(label, "node").checkpoint()
+    ends = F.when(F.size("near") == 1, F.struct("node", "near"))
+    ring = near.groupBy("ring").agg(F.min(ends).alias("end"), F.min(F.struct("node", "near")).alias("low"), F.count("*").alias("size"))
+    first = F.coalesce("end", "low")
+    ring = ring.select("ring", first["node"].alias("start"), first["near"][0].alias("then"), F.col("end").isNull().alias("closed"), "size").checkpoint()
+    # A step is a directed segment a -> b; the step before it comes to a from a's other neighbour. The first step, and one that starts at an end, is its own.
+    step = near.join(ring, "ring").select("ring", "start", "then", "closed", F.col("node").alias("a"), "near", F.explode("near").alias("b"))
+    other = F.get(F.filter("near", lambda x: x != F.col("b")), F.lit(0))
+    is_first = ((F.col("a") == F.col("start")) & (F.col("b") == F.col("then"))) | other.isNull()
+    step = step.select("ring", "start", "then", "closed", "a", "b", F.when(is_first, F.col("a")).otherwise(other).alias("pa"), F.when(is_first, F.col("b")).otherwise(F.col("a")).alias("pb"), F.when(is_first, 0).otherwise(1).cast("long").alias("dist")).checkpoint()
+    for _ in range(int(ring.agg(F.max("size")).first()[0] or 0).bit_length()):
+        up = step.select(F.col("a").alias("_a"), F.col("b").alias("_b"), F.col("pa").alias("_pa"), F.col("pb").alias("_pb"), F.col("dist").alias("_d"))
+        got = step.join(up, (F.col("pa") == F.col("_a")) & (F.col("pb") == F.col("_b")))
+        step = got.select("ring", "start", "then", "closed", "a", "b", F.col("_pa").alias("pa"), F.col("_pb").alias("pb"), (F.col("dist") + F.col("_d")).alias("dist")).checkpoint()
+    walked = step.where((F.col("pa") == F.col("start")) & (F.col("pb") == F.col("then")) & (F.col("b") != F.col("start")))
+    walked = walked.select("ring", (F.col("dist") + 1).cast("int").alias("place"), F.col("b").alias("node"), "closed")
+    return ring.select("ring", F.lit(0).alias("place"), F.col("start").alias("node"), "closed").union(walked)
 
 
 def face_node_rows(faces: DataFrame, nodes: DataFrame, located: DataFrame) -> DataFrame:

@@ -610,3 +610,32 @@ def test_many_corners(spark):
     four = df.where("cell > 0")
     assert {x.pid: x.cell for x in join.locate(points, four).collect()} == {0: None, 1: None, 2: 1, 3: 2, 4: None}
     assert {x.cell for x in join.locate(points, df.limit(0)).collect()} == {None}
+
+
+def test_many_rings(spark):
+    """Closed and open rings of all lengths against a plain walk; segments in any order and direction, some twice."""
+    import random
+
+    from meshfield.operators import ugrid
+
+    r = random.Random(5)
+    ids = list(range(400))
+    r.shuffle(ids)
+    segments, want, at = [], set(), 0
+    for size in (2, 3, 4, 5, 8, 17, 33, 64, 2, 3, 9):
+        own = ids[at : at + size]
+        at += size
+        closed = size > 2 and r.random() < 0.6
+        segments += list(zip(own, own[1:], strict=False)) + ([(own[-1], own[0])] if closed else [])
+        k = own.index(min(own) if closed else min(own[0], own[-1]))
+        turned = own[k:] + own[:k]
+        if closed and turned[-1] < turned[1]:
+            turned = turned[:1] + turned[:0:-1]
+        if not closed:
+            turned = own if own[0] < own[-1] else own[::-1]
+        want |= {(min(own), p, n, closed) for p, n in enumerate(turned)}
+    segments = [s if r.random() < 0.5 else s[::-1] for s in segments] + segments[:5]
+    r.shuffle(segments)
+    got = ugrid.order_rings(spark.createDataFrame(segments, "n0 long, n1 long")).collect()
+    assert {(x.ring, x.place, x.node, x.closed) for x in got} == want and len(got) == len(want)
+    assert ugrid.order_rings(spark.createDataFrame([], "n0 long, n1 long")).count() == 0

@@ -17,8 +17,8 @@ def test_flagship(spark):
     assert entry.entry(spark).columns == ["pid", "v"]
 
 
-#: Queries with work in Python: a ring is walked, files are read by a Python source.
-IN_PYTHON = {"verdat_rings", "classic_cdf_roundtrip", "ugrid_load", "sgrid_load"}
+#: Queries with work in Python: files are read by a Python source.
+IN_PYTHON = {"classic_cdf_roundtrip", "ugrid_load", "sgrid_load"}
 
 
 @pytest.mark.parametrize("name", sorted(catalog.queries()))
