@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import barycentric
+from ..sources.scratch import written
 from . import join
 
 
@@ -177,7 +178,7 @@ def same_rows(a: DataFrame, b: DataFrame) -> bool:
 
 
 def order_rings(segments: DataFrame, rounds: int = 64) -> DataFrame:
-    """segments (n0, n1), each node in two at most -> ring, place, node, closed (A-14). The session needs a checkpoint folder.
+    """segments (n0, n1), each node in two at most -> ring, place, node, closed (A-14).
 
     A ring's name is its smallest node. It starts there, or at the smaller of its ends, and goes on to the smaller neighbour. Components and places both
     come from pointer doubling (logarithmic rounds, one join each), so no ring has to fit one task.
@@ -188,27 +189,27 @@ def order_rings(segments: DataFrame, rounds: int = 64) -> DataFrame:
         near = both.join(label, both.n1 == label.node).groupBy("n0").agg(F.min("ring").alias("_m"))
         nxt = label.join(near, label.node == near.n0).select("node", F.least("ring", "_m").alias("_r"))
         jump = nxt.select(F.col("node").alias("_k"), F.col("_r").alias("_rr"))
-        nxt = nxt.join(jump, F.col("_r") == F.col("_k")).select("node", F.least("_r", "_rr").alias("ring")).checkpoint()
+        nxt = written(nxt.join(jump, F.col("_r") == F.col("_k")).select("node", F.least("_r", "_rr").alias("ring")))
         same = nxt.join(label.withColumnRenamed("ring", "_old"), "node").where("ring <> _old").isEmpty()
         label = nxt
         if same:
             break
     else:
         raise RuntimeError("rings did not converge")
-    near = both.groupBy(F.col("n0").alias("node")).agg(F.sort_array(F.collect_list("n1")).alias("near")).join(label, "node").checkpoint()
+    near = written(both.groupBy(F.col("n0").alias("node")).agg(F.sort_array(F.collect_list("n1")).alias("near")).join(label, "node"))
     ends = F.when(F.size("near") == 1, F.struct("node", "near"))
     ring = near.groupBy("ring").agg(F.min(ends).alias("end"), F.min(F.struct("node", "near")).alias("low"), F.count("*").alias("size"))
     first = F.coalesce("end", "low")
-    ring = ring.select("ring", first["node"].alias("start"), first["near"][0].alias("then"), F.col("end").isNull().alias("closed"), "size").checkpoint()
+    ring = written(ring.select("ring", first["node"].alias("start"), first["near"][0].alias("then"), F.col("end").isNull().alias("closed"), "size"))
     # A step is a directed segment a -> b; the step before it comes to a from a's other neighbour. The first step, and one that starts at an end, is its own.
     step = near.join(ring, "ring").select("ring", "start", "then", "closed", F.col("node").alias("a"), "near", F.explode("near").alias("b"))
     other = F.get(F.filter("near", lambda x: x != F.col("b")), F.lit(0))
     is_first = ((F.col("a") == F.col("start")) & (F.col("b") == F.col("then"))) | other.isNull()
-    step = step.select("ring", "start", "then", "closed", "a", "b", F.when(is_first, F.col("a")).otherwise(other).alias("pa"), F.when(is_first, F.col("b")).otherwise(F.col("a")).alias("pb"), F.when(is_first, 0).otherwise(1).cast("long").alias("dist")).checkpoint()
+    step = written(step.select("ring", "start", "then", "closed", "a", "b", F.when(is_first, F.col("a")).otherwise(other).alias("pa"), F.when(is_first, F.col("b")).otherwise(F.col("a")).alias("pb"), F.when(is_first, 0).otherwise(1).cast("long").alias("dist")))
     for _ in range(int(ring.agg(F.max("size")).first()[0] or 0).bit_length()):
         up = step.select(F.col("a").alias("_a"), F.col("b").alias("_b"), F.col("pa").alias("_pa"), F.col("pb").alias("_pb"), F.col("dist").alias("_d"))
         got = step.join(up, (F.col("pa") == F.col("_a")) & (F.col("pb") == F.col("_b")))
-        step = got.select("ring", "start", "then", "closed", "a", "b", F.col("_pa").alias("pa"), F.col("_pb").alias("pb"), (F.col("dist") + F.col("_d")).alias("dist")).checkpoint()
+        step = written(got.select("ring", "start", "then", "closed", "a", "b", F.col("_pa").alias("pa"), F.col("_pb").alias("pb"), (F.col("dist") + F.col("_d")).alias("dist")))
     walked = step.where((F.col("pa") == F.col("start")) & (F.col("pb") == F.col("then")) & (F.col("b") != F.col("start")))
     walked = walked.select("ring", (F.col("dist") + 1).cast("int").alias("place"), F.col("b").alias("node"), "closed")
     return ring.select("ring", F.lit(0).alias("place"), F.col("start").alias("node"), "closed").union(walked)

@@ -5,8 +5,6 @@ Driver tables hold no meshes: grids are generated in the query; points, times an
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -17,7 +15,7 @@ from ..functions import expressions as ex
 from ..functions import timefn
 from ..operators import depth, join, rgrid, sgrid, timeaxis, ugrid
 from ..operators.field import Dataset, Field, QuadGrid, RectGrid, Sigma, TriGrid, VectorField, at_points, regrid, regrid_sigma
-from ..sources import cdf, dataset, metadata, verdat
+from ..sources import cdf, dataset, metadata, scratch, verdat
 
 XS, YS = (0.0, 1.0, 3.0, 7.0, 15.0, 31.0, 51.0), (0.0, 2.0, 3.0, 5.0, 8.0, 11.0)
 SMALL_XS, SMALL_YS = (5.0, 10.0, 20.0, 40.0), (950.0, 1000.0, 1100.0, 1300.0)
@@ -851,7 +849,6 @@ def verdat_rings(spark, d):
     n = [(float(k), float(k * k % 7), 10.0 + k) for k in range(12)]
     units, rows, segments = verdat.parse(verdat.render(n, [[0, 3, 2, 1], [5, 6, 8]], "m"))
     df = spark.createDataFrame(segments, "n0 long, n1 long")
-    spark_dir(spark)
     return ugrid.order_rings(df)
 
 
@@ -860,27 +857,12 @@ def classic_cdf_roundtrip(spark, d):
     """A classic file written and read again, with a filter on the record dimension."""
     t, j, i = np.meshgrid(np.arange(6), np.arange(4), np.arange(5), indexing="ij")
     v = np.where((t + j + i) % 5 != 0, t * 100 + j * 10 + i + 0.25, -9999.0)
-    path = _file(spark, "sample.nc")
+    path = scratch.new_path(spark, "sample.nc")
     cdf.write(path, {"time": None, "y": 4, "x": 5}, {"temp": (("time", "y", "x"), v, {"_FillValue": -9999.0, "units": "degC"}), "lon": (("x",), np.arange(5.0), {})}, {"title": "sample"})
     df = cdf.load_variable(spark, path, "temp").where(F.col("t_idx").between(2, 4))
     return df.select("t_idx", F.col("idx")[1].alias("j"), F.col("idx")[2].alias("i"), F.col("value").alias("v"))
 
 
-def spark_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's checkpoint folder. In local mode one is made where none is set; a cluster names its own."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        own = spark.conf.get("spark.checkpoint.dir", None)
-        if own is None and not sc.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir is not set: no folder that driver and executors share")
-        sc.setCheckpointDir(own or tempfile.mkdtemp(prefix="meshfield-"))
-    return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
-
-
-def _file(spark: SparkSession, name: str) -> str:
-    return f"{spark_dir(spark)}/{uuid.uuid4().hex}-{name}"
-
-
 @query("ugrid_load", f"WITH {OFT}, {MESH}, {BARY} SELECT pid, CASE WHEN face IS NULL THEN 0.0 ELSE round(3 * x - 2 * y + t + {PI3}, 4) END v, CASE WHEN face IS NULL THEN 0.0 ELSE face * 1.5 END::DOUBLE f FROM pts LEFT JOIN loc USING (x, y)")
 def ugrid_load(spark, d):
     """A UGRID file with edges and boundaries, a node field in time and a face field: written, loaded and queried."""
@@ -888,7 +870,7 @@ def ugrid_load(spark, d):
     grid = TriGrid(faces, nodes, ugrid.edges(faces), ugrid.boundaries(faces).select("n0", "n1"))
     v = _stepped(grid.targets(spark), 3 * F.col("lon") - 2 * F.col("lat")).select("elem", "t_idx", "value")
     f = faces.select(F.col("face").cast("long").alias("elem"), (F.col("face") * 1.5).cast("double").alias("value"))
-    path = _file(spark, "u.nc")
+    path = scratch.new_path(spark, "u.nc")
     dataset.save(Dataset(grid, {"v": Field("v", grid, v, timeaxis.TimeAxis(SHORT)), "f": Field("f", grid, f, location="face")}), path)
     ds = dataset.load_dataset(spark, path)
     out = at_points(ds.variables, _timed(spark, d, 0.3, 0.1), extrapolate=True)
@@ -901,7 +883,7 @@ def sgrid_load(spark, d):
     grid = QuadGrid(_affine(spark), padding={"center": {"i": "both"}})
     c = _quad_field(spark, grid, "center", _ji(spark, QY - 1, QX + 1), F.col("i") * 10 + F.col("j"))
     u = _quad_field(spark, grid, "edge1", _ji(spark, QY - 1, QX), 3.0 * F.col("i") + 7 * F.col("j"))
-    path = _file(spark, "s.nc")
+    path = scratch.new_path(spark, "s.nc")
     dataset.save(Dataset(grid, {"c": c, "u": u}), path)
     ds = dataset.load_dataset(spark, path)
     out = at_points(ds.variables, _timed(spark, d, 0.31, 0.17), extrapolate=True)
