@@ -153,6 +153,21 @@ def test_packed(spark):
         assert all(x.length == 256 for x in own[1:])
 
 
+def test_end_token_in_texts(spark):
+    """A text's own <|endoftext|> is ordinary text, as the vocabularies' README sets the tokenizer (encode_special_tokens): no text makes the token 50256."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    t.encode_special_tokens = True
+    mark = "<|endoftext|>"
+    texts = [mark, f"a {mark} b", mark * 3, f" {mark} {mark} ", f"{mark}\n{mark}a", f"word{mark}word", f"x  {mark}\t {mark}  y", "<|endoftext", f"<{mark}>"]
+    want = [[*t.encode(x, add_special_tokens=False).ids, 0] for x in texts]
+    assert all(50256 not in x for x in want)
+    got = {x.doc_id: (x.length, x.ids_crc32) for x in packing.packed(docs(spark, list(enumerate(texts)))).collect()}
+    assert got == {i: (len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in enumerate(want)}
+
+
 def test_packing_of_nothing(spark):
     assert packing.packed(docs(spark, [])).count() == 0 and packing.sequences(docs(spark, [])).count() == 0
 
