@@ -290,16 +290,21 @@ def _columns_at(out: DataFrame, levels: DataFrame, stencil: Stencil, n: int, nam
     return out.drop(*[f"_c{v}{c}" for v in "ev" for c in range(len(stencil.elems))])
 
 
-def at_points(fields: Mapping[str, Field], points: DataFrame, lon: str = "lon", lat: str = "lat", z: str = "z", t: str = "t", extrapolate: bool = False, strict: bool = True, unmask: bool = False) -> DataFrame:
+def at_points(fields: Mapping[str, Field], points: DataFrame, lon: str = "lon", lat: str = "lat", z: str = "z", t: str = "t", extrapolate: bool = False, strict: bool = True, unmask: bool = False, located: bool = False) -> DataFrame:
     """points plus a column per field (I-02). Fields on one grid share the location of the points, and fields that share location, time and depth their lookups too.
 
     A field within the broadcast bound is looked up element by element, with no shuffle or aggregate of the points. A larger one is
     first cut to the steps, levels and elements that the points touch (F-09); if it is still too large it is joined on (element, time step)
     and summed back per point. Off the grid the value is the grid's own (0 or null), but null where the depth masks; masked elements
-    follow the grid (I-20); either side of a bracket that is null makes the value null.
+    follow the grid (I-20); either side of a bracket that is null makes the value null. located: points are grid.located() of the fields' one
+    grid already (cached or written, say), and stay so (J-15).
     """
     out = points
-    for grid in {id(f.grid): f.grid for f in fields.values()}.values():
+    if located:
+        if len({id(f.grid) for f in fields.values()}) > 1:
+            raise ValueError("located points lie on one grid")
+        out = _evaluated(fields, out, lon, lat, z, t, extrapolate, strict)
+    for grid in {} if located else {id(f.grid): f.grid for f in fields.values()}.values():
         own = {n: f for n, f in fields.items() if f.grid is grid}
         taken = set(out.columns)
         out = _evaluated(own, grid.located(out, lon, lat), lon, lat, z, t, extrapolate, strict)

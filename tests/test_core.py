@@ -16,6 +16,7 @@ from meshfield.operators.timeaxis import TimeAxis, TimeSeriesError, bracket_join
 from meshfield.sources import cdf, metadata, verdat
 from meshfield.streaming import points as stream
 
+# This mesh, the vectors in test_vectors, the axes in test_rgrid and the text of axes in test_parsers, with the results that they have elsewhere.
 NODES = [(0, 0.1, 0.1), (1, 2.1, 0.1), (2, 1.1, 2.1), (3, 3.1, 2.1)]
 FACES = [(0, [0, 1, 2]), (1, [1, 3, 2])]
 
@@ -639,3 +640,21 @@ def test_many_rings(spark):
     got = ugrid.order_rings(spark.createDataFrame(segments, "n0 long, n1 long")).collect()
     assert {(x.ring, x.place, x.node, x.closed) for x in got} == want and len(got) == len(want)
     assert ugrid.order_rings(spark.createDataFrame([], "n0 long, n1 long")).count() == 0
+
+
+def test_points_are_located_once(spark):
+    """A located table serves several queries (J-15), with the same values as a query of its own."""
+    from meshfield.operators.field import at_points
+
+    nodes = spark.createDataFrame([(j, i, i + 0.1 * j, j - 0.1 * i) for j in range(4) for i in range(5)], "j int, i int, lon double, lat double")
+    grid = QuadGrid(nodes)
+    fields = {n: Field(n, grid, grid.targets(spark).select("elem", (F.col("lon") * k).alias("value"))) for n, k in (("a", 2), ("b", 3))}
+    points = pts(spark, [(1.2, 0.7), (2.5, 1.5), (9, 9)])
+    located = grid.located(points, "lon", "lat").cache()
+    both = at_points({"a": fields["a"]}, located, located=True)
+    both = at_points({"b": fields["b"]}, both, located=True)
+    assert column(both, "a", "b") == column(at_points(fields, points), "a", "b")
+    assert column(both, "a")[2] is None and column(both, "a")[0] == pytest.approx(2.4)
+    other = Field("c", QuadGrid(nodes), fields["a"].data)
+    with pytest.raises(ValueError, match="one grid"):
+        at_points({"a": fields["a"], "c": other}, located, located=True)
