@@ -890,4 +890,19 @@ def sgrid_load(spark, d):
     return out.select("pid", _r("c", 4).alias("c"), _r("u", 4).alias("u"))
 
 
+@query("sgrid_variables", """SELECT * FROM (VALUES ('c', 'center', 'eta_cell', 'xi_cell', NULL, '0: 0: 1:-1'), ('u', 'edge1', 'eta_edge1', 'xi_node', 'X', '0: 0: 0:'), ('v', 'edge2', 'eta_node', 'xi_edge2', 'Y', '0: 0: 0:')) v(name, location, y_axis, x_axis, vector_axis, slices)""")
+def sgrid_variables(spark, d):
+    """What the topology of an SGRID file says of its variables: location, axes, part of a vector, slices without padding (F-16, F-17, F-20)."""
+    path = scratch.new_path(spark, "d.nc")
+    top = {"cf_role": "grid_topology", "topology_dimension": 2, "node_dimensions": "xi_node eta_node", "node_coordinates": "node_lon node_lat", "face_dimensions": "xi_cell: xi_node (padding: both) eta_cell: eta_node (padding: none)", "edge1_dimensions": "xi_node eta_edge1: eta_node (padding: none)", "edge2_dimensions": "xi_edge2: xi_node (padding: none) eta_node"}
+    dims = {"time": None, "eta_node": 3, "xi_node": 4, "eta_cell": 2, "xi_cell": 5, "eta_edge1": 2, "xi_edge2": 3}
+    nodes = np.zeros((3, 4))
+    values = {"grid": ((), np.int32(0), top), "node_lon": (("eta_node", "xi_node"), nodes, {"standard_name": "longitude"}), "node_lat": (("eta_node", "xi_node"), nodes, {"standard_name": "latitude"})}
+    values["c"] = (("time", "eta_cell", "xi_cell"), np.zeros((1, 2, 5)), {"grid": "grid"})
+    values["u"] = (("time", "eta_edge1", "xi_node"), np.zeros((1, 2, 4)), {"standard_name": "sea_water_x_velocity"})
+    values["v"] = (("time", "eta_node", "xi_edge2"), np.zeros((1, 3, 3)), {"standard_name": "sea_water_y_velocity"})
+    cdf.write(path, dims, values)
+    return dataset.describe_table(spark, path).select("name", "location", "y_axis", "x_axis", "vector_axis", F.array_join("slices", " ").alias("slices"))
+
+
 __all__ = ["at_points", "oracle_sql", "queries"]

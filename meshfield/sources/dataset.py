@@ -5,6 +5,7 @@ Headers, axes and terms of the vertical are read on the driver; grid arrays and
 
 from __future__ import annotations
 
+import re
 import warnings
 from collections.abc import Mapping, Sequence
 from dataclasses import replace
@@ -127,6 +128,12 @@ def _staggered(spark: SparkSession, path: str, h: cdf.Header, v, lon: str, lat:
     for place in ("center", "edge1", "edge2"):
         given = str(v[top].attrs.get(f"{'face' if place == 'center' else place}_coordinates", "")).split() if top else []
         pair = _lon_lat(v, given) if len(given) == 2 and all(n in v for n in given) else (names.get(f"{place}_lon"), names.get(f"{place}_lat"))
+        if not all(n in v for n in pair) and top:  # coordinates that only their units or standard names tell (S-36)
+            dims = _dimensions(v, top)[place]
+            try:
+                pair = metadata.coordinates_of(v, dims[::-1]) if len(dims) == 2 else pair
+            except ValueError:
+                pair = (None, None)
         has = all(n in v for n in pair)
         if has:
             parts[place] = _places(spark, path, *pair, {"j": 1, "i": 2})
@@ -155,6 +162,49 @@ def load_mask(spark: SparkSession, path: str, h: cdf.Header, name: str) -> DataF
     return cdf.load_variable(spark, path, name).select(_idx(1).cast("int").alias("j"), _idx(2).cast("int").alias("i"), code.alias("masked"))
 
 
+def _dimensions(v, top: str) -> dict[str, list[str]]:
+    """Location -> its dimensions, x first, from a topology's attributes."""
+    nodes = str(v[top].attrs.get("node_dimensions", "")).split()
+    out = {"node": nodes}
+    for place, attr in (("center", "face_dimensions"), ("edge1", "edge1_dimensions"), ("edge2", "edge2_dimensions")):
+        text = str(v[top].attrs.get(attr, ""))
+        own = {node: face for face, node, _ in metadata.parse_padding(text, top)} if "padding" in text else {}
+        words = [w.strip(":") for w in re.sub(r"\([^)]*\)", " ", text).split()]
+        out[place] = [own.get(n, n) for n in nodes if n in words]
+    return out
+
+
+def describe(path: str, topology: Mapping[str, str] | None = None) -> list[dict]:
+    """What a file says of its variables on a staggered grid (F-16, F-17, F-20): name, location, dims, x_axis, y_axis, z_axis, vector_axis, slices that take the padding away."""
+    h = cdf.read_header(path)
+    v = variables_of(h)
+    top = metadata.staggered_topology(v)
+    lon, lat = _coordinates(v, "S", topology)
+    places, pads = _dimensions(v, top), _paddings(v, top)
+    nodes = places["node"]
+    vertical = dict.fromkeys(w for w, *_ in metadata.parse_padding(str(v[top].attrs["vertical_dimensions"]), top)) if "vertical_dimensions" in v[top].attrs else {}
+    out = []
+    for name in (n for n in v if n not in metadata.referenced(v) and len(v[n].dims) >= 2):
+        m = v[name]
+        place = metadata.variable_location(m, places)
+        place = sgrid.LOCATIONS.get(str(place).lower(), place)
+        if place is None:
+            continue
+        padding = {d: pads.get(place, {}).get(("i", "j")[nodes.index(n)], "none") for d, n in zip(places.get(place, ()), nodes, strict=False)}
+        x, y, z = metadata.parse_axes(str(m.attrs.get("axes", "")))
+        dims = places.get(place, [])
+        x, y, z = x or (dims[0] if dims else None), y or (dims[1] if len(dims) > 1 else None), z or next((d for d in m.dims if d in vertical), None)
+        slices = metadata.variable_slices(m, padding, sgrid.PADDING)
+        out.append({"name": name, "location": place, "dims": list(m.dims), "x_axis": x, "y_axis": y, "z_axis": z, "vector_axis": metadata.parse_vector_axis(str(m.attrs.get("standard_name", ""))), "slices": [f"{a}:{'' if b is None else b}" for a, b in slices]})
+    return out
+
+
+def describe_table(spark: SparkSession, path: str) -> DataFrame:
+    """describe() as a table."""
+    rows = [tuple(r.values()) for r in describe(path)]
+    return spark.createDataFrame(rows, "name string, location string, dims array<string>, x_axis string, y_axis string, z_axis string, vector_axis string, slices array<string>")
+
+
 def _paddings(v, top: str) -> dict[str, dict[str, str]]:
     """Location -> dimension (j, i) -> padding, from a topology's attributes (F-17)."""
     nodes = str(v[top].attrs.get("node_dimensions", "")).split()
@@ -280,12 +330,7 @@ def location_of(meta: metadata.Meta, v, grid: Grid, shapes: Mapping[str, tuple[i
         return "node" if own in (n, n[::-1]) else "center" if own in (less, less[::-1]) else None
     top = metadata.topology_variable(v)
     if top:
-        a = v[top].attrs
-        nodes = str(a.get("node_dimensions", "")).split()
-        words = {"node": nodes}
-        for place, attr in (("center", "face_dimensions"), ("edge1", "edge1_dimensions"), ("edge2", "edge2_dimensions")):
-            words[place] = [w.rstrip(":") for w in str(a.get(attr, "")).replace("(", " ").split() if w.endswith(":") and w != "padding:"] or str(a.get(attr, "")).split()
-        found = metadata.variable_location(meta, words)
+        found = metadata.variable_location(meta, _dimensions(v, top))
         if found:
             return found
     return sgrid.infer_location(meta.shape, shapes["node"])
@@ -326,8 +371,10 @@ def load_field(
             level = depth.Levels.loaded(_read(paths[0], h, levels).tolist())
         else:
             level, layers = sigma, False
-            kind = "roms" if all(n in v for n in metadata.ROMS_TERMS) else "fvcom" if all(n in v for n in metadata.FVCOM_TERMS) else None
-            if level is None and kind is not None:
+            with warnings.catch_warnings():
+                warnings.simplefilter("ignore", RuntimeWarning)  # no depth at all is an error below
+                kind = metadata.depth_kind(v) if level is None else "given"
+            if level is None and kind in ("roms", "fvcom"):
                 terms = ("s_w", "s_rho") if kind == "roms" else ("siglev", "siglay")
                 if size in (v[terms[0]].shape[0], v[terms[1]].shape[0]):
                     level = load_sigma(spark, paths, grid, kind, home, topology, **how)
@@ -504,4 +551,4 @@ def _add_field(out: dict, dims: dict, name: str, f: Field, space: Sequence[str],
     out[name] = ((*[d for d, _ in lead], *space), a, {"location": f.location, "_FillValue": -1e34, **attrs, **({"units": f.units} if f.units else {})})
 
 
-__all__ = ["load_dataset", "load_field", "load_grid", "load_mask", "load_mesh", "load_sigma", "load_time", "load_vector", "save", "save_rgrid", "save_sgrid", "save_ugrid"]
+__all__ = ["describe", "describe_table", "load_dataset", "load_field", "load_grid", "load_mask", "load_mesh", "load_sigma", "load_time", "load_vector", "save", "save_rgrid", "save_sgrid", "save_ugrid"]

@@ -18,7 +18,7 @@ def test_flagship(spark):
 
 
 #: Queries with work in Python: files are read by a Python source.
-IN_PYTHON = {"classic_cdf_roundtrip", "ugrid_load", "sgrid_load"}
+IN_PYTHON = {"classic_cdf_roundtrip", "ugrid_load", "sgrid_load", "sgrid_variables"}
 
 
 @pytest.mark.parametrize("name", sorted(catalog.queries()))
