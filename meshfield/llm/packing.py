@@ -10,10 +10,12 @@ from __future__ import annotations
 
 import base64
 import math
+import re
+import sys
+from array import array
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,9 +36,13 @@ def default_vocabulary() -> str:
 
 
 class Tokens:
-    """Byte-level BPE ids as little-endian uint32 bytes. A chunk that starts at a single space between non-spaces never shares a token with what precedes it, so chunks are encoded once and remembered."""
+    """Byte-level BPE ids as little-endian uint32 bytes. Nothing in a text is a special token.
 
-    LIMIT = 120_000
+    White space of LONG_RUN characters and more is handed over as the piece that the pattern makes of it (all but its last character where
+    more text follows), since the pattern's own search runs out of stack there.
+    """
+
+    LONG_RUN = 1000
 
     def __init__(self, vocabulary: str):
         import public_tokenizers
@@ -45,29 +51,22 @@ class Tokens:
         with open(vocabulary, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self.encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.known: dict[str, bytes] = {}
-        self.odd = regex.compile(r"\s[ ]|[ ]\s|^\s|\s$").search
-        self.slow = regex.compile(r"(?<=\S)(?=[ ]\S)").split
-
-    def chunk(self, text: str) -> bytes:
-        v = self.known.get(text)
-        if v is None:
-            v = np.array(self.encoding.encode_ordinary(text), "<u4").tobytes()
-            if len(text) <= 64:
-                if len(self.known) > self.LIMIT:
-                    self.known.clear()
-                self.known[text] = v
-        return v
+
+        # The characters that are white space to the pattern.
+        space = "\t\n\v\f\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+        self.runs = re.compile(f"[{space}]{{{self.LONG_RUN},}}").finditer
 
     def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if self.odd(text):
-            parts = self.slow(text)
-        else:
-            first, *rest = text.split(" ")
-            parts = [first, *(" " + x for x in rest)]
-        return b"".join(map(self.chunk, parts))
+        ids, at = array("I"), 0
+        for run in self.runs(text):
+            end = run.end() - (run.end() < len(text))
+            ids.extend(self.encoding.encode_ordinary(text[at : run.start()]))
+            ids.extend(self.encoding._encode_single_piece(text[run.start() : end]))
+            at = end
+        ids.extend(self.encoding.encode_ordinary(text[at:] if at else text))
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
 
 _TOKENS: dict[str, Tokens] = {}

@@ -168,6 +168,19 @@ def test_end_token_in_texts(spark):
     assert got == {i: (len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in enumerate(want)}
 
 
+def test_runs_of_white_space():
+    """Long runs, at either end, between words, of several kinds, at and under the length from which they are split off."""
+    enc = packing.tokens(packing.default_vocabulary())
+    r = random.Random(9)
+    texts = [" " * n + "x" for n in (999, 1000, 1001)] + ["a" + "\n " * 700 + "b", "\u3000" * 1500, "a" + " " * 1200, "a" + " " * 1200 + "\n", "\n" * 1100 + "'s", " \x1c" * 900, "a b" + "\t" * 1000 + " 1 " + " " * 1300 + "!"]
+    texts += ["".join(r.choice(["a", " " * r.randrange(1, 1500), "\n" * r.randrange(1, 1100), "\u00a0", ".", "12"]) for _ in range(12)) for _ in range(20)]
+    for text in texts:
+        assert enc.encode(text) == np.array(enc.encoding.encode_ordinary(text), "<u4").tobytes()
+    assert len(enc.encode("x" + " " * 2_000_000 + "y")) > 0
+    for text in ("a" * 500_000, "!" * 500_000, "1" * 500_000, "é" * 300_000, "'s" * 200_000, "\n" * 500_000, "word " * 200_000, ""):
+        enc.encode(text)
+
+
 def test_packing_of_nothing(spark):
     assert packing.packed(docs(spark, [])).count() == 0 and packing.sequences(docs(spark, [])).count() == 0
 
