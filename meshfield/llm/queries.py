@@ -33,5 +33,6 @@ def oracle_sql():
         "op2_decontamination": decontaminate.OP2_SQL,
         "op3_ngram_jaccard": ngram_join.OP3_SQL,
         "op8_quality_rules": rules.OP8_SQL,
+        "op9_secret_scan": secrets.OP9_SQL,
         "op10_warc": warc.OP10_SQL,
     }

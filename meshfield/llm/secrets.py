@@ -25,12 +25,16 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
-_MORE = (
-    ("private_key", "-----BEGIN", re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----(?:[A-Za-z0-9+/=\s]+-----END (?:[A-Z]+ )*PRIVATE KEY-----)?")),
-    ("github", "gh", re.compile(r"\bgh[pousr]_[A-Za-z0-9]{36,}")),
-    ("slack", "xox", re.compile(r"\bxox[abprs]-[A-Za-z0-9-]{10,}")),
-    ("jwt", "eyJ", re.compile(r"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")),
-    ("url_password", "://", re.compile(r"\b[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,100}:[^\s/@]{3,200}@[A-Za-z0-9.-]+")),
+#: (kind, text that has to be there, pattern); letters, words and spaces are those of ASCII.
+_MORE = tuple(
+    (kind, sign, re.compile(rule, re.A))
+    for kind, sign, rule in (
+        ("private_key", "-----BEGIN", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----(?:[A-Za-z0-9+/=\s]+-----END (?:[A-Z]+ )*PRIVATE KEY-----)?"),
+        ("github", "gh", r"\bgh[pousr]_[A-Za-z0-9]{36,}"),
+        ("slack", "xox", r"\bxox[abprs]-[A-Za-z0-9-]{10,}"),
+        ("jwt", "eyJ", r"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+        ("url_password", "://", r"\b[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,100}:[^\s/@]{3,200}@[A-Za-z0-9.-]+"),
+    )
 )
 FINDINGS = "kind string, start long, end long"
 LEDGER = f"blob string, rule_version string, findings array<struct<{FINDINGS.replace(' ', ':').replace(',:', ',')}>>"
@@ -145,3 +149,21 @@ def op9_secret_scan(spark, sf_dir):
     found, fresh = scan(docs, spark.read.schema(LEDGER).parquet(ledger))
     append_ledger(fresh, ledger)
     return digest(found)
+
+
+def _any_case(pattern: str) -> str:
+    return re.sub("[a-z]", lambda m: f"[{m[0].upper()}{m[0]}]", pattern)
+
+
+_PATTERNS = {"assign": "(" + _any_case("password|passwd|secret|token|api_?key") + r""")["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", "access": "AKIA[A-Z0-9]+", "hex": "[0-9a-f]+", **{k: r.pattern.replace(r"\s", r"\x09-\x0D\x20") for k, _, r in _MORE}}
+_KIND_ROWS = ", ".join(f"({n}, '{k}', '{p.replace(chr(39), chr(39) * 2)}')" for n, (k, p) in enumerate(_PATTERNS.items()))
+#: What stands between matches, and the matches, give their places.
+OP9_SQL = rf"""
+WITH kinds AS (SELECT * FROM (VALUES {_KIND_ROWS}) v(o, kind, p)), d AS (SELECT doc_id, coalesce(text, '') t FROM documents),
+{", ".join(f"m{n} AS (SELECT doc_id, {n} o, regexp_extract_all(t, '{p.replace(chr(39), chr(39) * 2)}') m, string_split_regex(t, '{p.replace(chr(39), chr(39) * 2)}') b FROM d)" for n, p in enumerate(_PATTERNS.values()))},
+m AS ({" UNION ALL ".join(f"SELECT * FROM m{n} WHERE len(m) > 0" for n in range(len(_PATTERNS)))}),
+w AS (SELECT doc_id, o, unnest([struct_pack(x := m[i], a := list_sum(list_transform(b[1:i], lambda y: length(y))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda y: length(y))), 0)) FOR i IN range(1, len(m) + 1)]) s FROM m),
+f AS (SELECT doc_id, o, kind, s.a::BIGINT a, (s.a + length(s.x))::BIGINT z FROM w JOIN kinds USING (o) WHERE CASE o WHEN 0 THEN length(regexp_extract(s.x, p, 2)) >= 8 WHEN 1 THEN length(s.x) >= 16 WHEN 2 THEN length(s.x) >= 32 ELSE true END),
+j AS (SELECT doc_id, count(*) FILTER (o = 0) n0, count(*) FILTER (o = 1) n1, count(*) FILTER (o = 2) n2, string_agg(kind || ':' || a || ':' || z, ',' ORDER BY a, o) spans, string_agg(kind || ':' || a || ':' || z, ',' ORDER BY a, o) FILTER (o < 3) base FROM f GROUP BY doc_id)
+SELECT doc_id::BIGINT doc_id, coalesce(n0, 0)::BIGINT n_assign, coalesce(n1, 0)::BIGINT n_access, coalesce(n2, 0)::BIGINT n_hex, sha256(coalesce(base, '')) base_sha256, coalesce(spans, '') spans FROM d LEFT JOIN j USING (doc_id)
+"""
