@@ -69,11 +69,6 @@ def digitize(x: Column, axis: Sequence[float], right: bool = False) -> Column:
     return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda pos, s: F.when(F.coalesce(test(F.get(values, pos + s - 1)), F.lit(False)), pos + s).otherwise(pos))
 
 
-def count_at_most(x: Column, profile: Column) -> Column:
-    """Entries of an array column that are <= x, nulls apart."""
-    return F.size(F.filter(profile, lambda a: a <= x))
-
-
 def vector_sum(x: Num | str, y: Num | str) -> Column:
     """Length of a vector (M-01)."""
     return F.sqrt(col(x) * col(x) + col(y) * col(y))

@@ -20,8 +20,8 @@ def _checked(*conditions: str) -> None:
             raise ValueError(f"boundary condition {c}: mask or extrapolate")
 
 
-def surface_only(surface_index: int = -1) -> tuple[Column, Column]:
-    """I-06: (k, alpha)"""
+def surface_only(surface_index: int = 0) -> tuple[Column, Column]:
+    """(k, alpha) of a single level, whatever the depth asked for (I-06)."""
     return F.lit(surface_index), F.lit(0.0)
 
 
@@ -64,6 +64,8 @@ class Levels:
     def weights(self, z: Column) -> tuple[Column, Column]:
         """(k, alpha) between levels k and k + 1; null where a boundary condition masks."""
         n, idx = len(self.depths), self.index(z)
+        if n == 1:
+            return surface_only()
         levels = F.array(*[F.lit(float(d)) for d in self.depths])
         a, b = F.get(levels, idx), F.get(levels, idx + 1)
         inside = (z - a) / (b - a)
@@ -134,13 +136,3 @@ def sigma(levels: Column, h: Column, zeta: Column) -> Column:
 def profile_below_surface(depths: Column, zeta: Column) -> Column:
     """I-10: positive down from the instantaneous surface."""
     return F.transform(depths, lambda d: d + zeta)
-
-
-def value_between(points: DataFrame, values: Column, k: str = "k", alpha: str = "alpha", layers: bool = False, name: str = "value") -> DataFrame:
-    """points plus a value from an array over levels (I-05): lerp between k and k + 1, or the layer's own value. Ends stand for themselves."""
-    n = F.size(values)
-    kk, a = F.col(k), F.col(alpha)
-    if layers:
-        return points.withColumn(name, F.when(kk.isNotNull(), F.get(values, F.greatest(F.least(kk, n - 1), F.lit(0)))))
-    lo, hi = F.get(values, F.greatest(kk, F.lit(0))), F.get(values, F.least(kk + 1, n - 1))
-    return points.withColumn(name, F.when(kk < 0, F.get(values, F.lit(0))).when(kk >= n - 1, F.get(values, n - 1)).otherwise(lo + (hi - lo) * a))

@@ -260,6 +260,9 @@ class Sigma:
 
     def weights(self, out: DataFrame, located: Grid, z: str, lon: str, lat: str, t: str, extrapolate: bool, strict: bool, k: str, a: str) -> DataFrame:
         """out plus k and a (I-08), null where no water column is or a boundary condition masks."""
+        if len(self) == 1:
+            one, none = depths.surface_only()
+            return out.withColumns({k: one, a: none})
         taken = set(out.columns)
         fields = {"_sh": self.h} | ({"_sz": self.zeta} if self.zeta is not None else {})
         for name, f in fields.items():

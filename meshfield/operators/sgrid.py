@@ -193,12 +193,6 @@ def infer_location(shape: Sequence[int], node_shape: Sequence[int]) -> str | Non
     return "edge1" if abs(dj) == 1 and di == 0 else "edge2" if dj == 0 and abs(di) == 1 else None
 
 
-def covering(located: DataFrame, extra: int = 1) -> dict[str, tuple[int, int]]:
-    """Smallest slab of indices that a query touches (F-09), to be pushed to the field's scan."""
-    r = located.agg(F.min("j"), F.max("j"), F.min("i"), F.max("i")).first()
-    return {"j": (r[0], r[1] + extra), "i": (r[2], r[3] + extra)} if r[0] is not None else {}
-
-
 def average_to_centers(field: DataFrame, along: str, keep: Sequence[str] = ()) -> DataFrame:
     """Mean of neighbours along one dimension (A-04): a self-join on the next index, so no dimension has to fit one task."""
     other = "i" if along == "j" else "j"

@@ -260,21 +260,27 @@ def load_sigma(spark: SparkSession, path: str | Sequence[str], grid: Grid, kind:
     paths = [path] if isinstance(path, str) else list(path)
     h = cdf.read_header(paths[0])
     v = variables_of(h)
-    found = metadata.search(v, {"h": ("h",), "zeta": metadata.ZETA})
+    roles, said = {"h": ("h",), "zeta": metadata.ZETA}, {"h": metadata.BATHYMETRY_LONG, "zeta": metadata.ZETA_LONG}
+    own = metadata.search(v, roles, said)
+    there = metadata.search(variables_of(cdf.read_header(grid_file)), roles, said) if grid_file and grid_file not in paths else {}
+    found = metadata.merged(own, there)  # what the data file names, else the grid file (S-32)
     loaded = {}
     for role in ("h", "zeta"):
         if found[role] is None:
             warnings.warn("no zeta found: the undisturbed surface", RuntimeWarning, stacklevel=2)
             loaded[role] = None
             continue
-        f = load_field(spark, paths if role == "zeta" else paths[0], found[role], grid, topology, grid_file, **(axis if role == "zeta" else {}))
+        files = (paths if role == "zeta" else paths[0]) if own[role] is not None else grid_file
+        f = load_field(spark, files, found[role], grid, topology, grid_file, **(axis if role == "zeta" else {}))
         loaded[role] = _at_nodes(f) if f.location == "center" and isinstance(grid, QuadGrid) else f
+    headers = {p: cdf.read_header(p) for p in dict.fromkeys([paths[0], *([grid_file] if grid_file else [])])}
+    home = lambda n: next((p for p, head in headers.items() if n in head.variables), paths[0])
+    term = lambda n: _read(home(n), headers[home(n)], n)
     if kind == "roms":
-        s, cs = (tuple(_read(paths[0], h, n).tolist()) for n in ("s_w", "Cs_w"))
-        transform = int(_read(paths[0], h, "Vtransform")) if "Vtransform" in v else 2
-        return Sigma(loaded["h"], loaded["zeta"], s, cs, float(_read(paths[0], h, "hc")), transform)
-    levels = cdf.load_variable(spark, paths[0], "siglev").select(_idx(2).cast("long").alias("elem"), _idx(1).alias("k"), "value")
-    return Sigma(loaded["h"], loaded["zeta"], levels=levels, n_levels=v["siglev"].shape[0])
+        transform = int(term("Vtransform")) if any("Vtransform" in head.variables for head in headers.values()) else 2
+        return Sigma(loaded["h"], loaded["zeta"], tuple(term("s_w").tolist()), tuple(term("Cs_w").tolist()), float(term("hc")), transform)
+    levels = cdf.load_variable(spark, home("siglev"), "siglev").select(_idx(2).cast("long").alias("elem"), _idx(1).alias("k"), "value")
+    return Sigma(loaded["h"], loaded["zeta"], levels=levels, n_levels=headers[home("siglev")].variables["siglev"].shape[0])
 
 
 def _at_nodes(f: Field) -> Field:
@@ -337,13 +343,17 @@ def location_of(meta: metadata.Meta, v, grid: Grid, shapes: Mapping[str, tuple[i
 
 
 def load_field(
-    spark: SparkSession, path: str | Sequence[str], name: str, grid: Grid | None = None, topology: Mapping[str, str] | None = None, grid_file: str | None = None,
+    spark: SparkSession, path: str | Sequence[str], name: str | Sequence[str], grid: Grid | None = None, topology: Mapping[str, str] | None = None, grid_file: str | None = None,
     location: str | None = None, tz_offset: float | None | str = "file", origin=None, displacement: timedelta | None = None, fill_value: float = 0.0, sigma: Sigma | None = None,
 ) -> Field:
-    """One field at its location (S-06), of one file or of several along the time dimension (S-01); grid_file: where the grid is in another file (S-02)."""
+    """One field at its location (S-06), of one file or of several along the time dimension (S-01); grid_file: where the grid is in another file (S-02).
+
+    name: of a variable, or names to look for in this order, as long or standard names too (S-33).
+    """
     paths = [path] if isinstance(path, str) else list(path)
     h = cdf.read_header(paths[0])
     v = variables_of(h)
+    name = name if isinstance(name, str) else metadata.default_name(v, name, name)
     meta = v[name]
     home = grid_file or paths[0]
     grid = grid or load_grid(spark, home, topology)
@@ -373,10 +383,11 @@ def load_field(
             level, layers = sigma, False
             with warnings.catch_warnings():
                 warnings.simplefilter("ignore", RuntimeWarning)  # no depth at all is an error below
-                kind = metadata.depth_kind(v) if level is None else "given"
+                either = {**variables_of(cdf.read_header(home)), **v}
+                kind = metadata.depth_kind(either) if level is None else "given"
             if level is None and kind in ("roms", "fvcom"):
                 terms = ("s_w", "s_rho") if kind == "roms" else ("siglev", "siglay")
-                if size in (v[terms[0]].shape[0], v[terms[1]].shape[0]):
+                if size in (either[terms[0]].shape[0], either[terms[1]].shape[0]):
                     level = load_sigma(spark, paths, grid, kind, home, topology, **how)
             if level is not None:
                 layers = size == len(level) - 1

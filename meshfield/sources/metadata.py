@@ -28,6 +28,8 @@ DEPTH_LEVELS = ("depth", "depth_levels", "Depth")
 ROMS_TERMS = ("Cs_r", "s_rho", "Cs_w", "s_w", "hc", "h")
 FVCOM_TERMS = ("siglay", "siglev", "h")
 ZETA = ("zeta",)
+ZETA_LONG = ("free-surface", "sea_surface_height_above_geoid")
+BATHYMETRY_LONG = ("bathymetry at rho-points", "final bathymetry at rho-points", "sea_floor_depth_below_geoid")
 
 
 @dataclass

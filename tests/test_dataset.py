@@ -167,6 +167,24 @@ def test_fvcom_file(spark, tmp_path):
     assert (got[2].w, got[2].salt, got[3].ua) == (None, None, 0.0)
     with pytest.raises(ValueError, match="components"):
         dataset.load_vector(spark, data_path, grid=ds.grid)
+    # Bathymetry in the grid file; a field by one of several names.
+    both = str(tmp_path / "b.nc")
+    bare = {k: v for k, v in data.items() if k != "h"}
+    cdf.write(both, dims, {**base, "nv": (("nele", "three"), np.array([[1, 2, 3], [2, 4, 3]], "i4"), {}), "h": (("node",), np.array([10, 20.0, 10, 20.0]), {"standard_name": "sea_floor_depth_below_geoid", "location": "node"})})
+    cdf.write(data_path, dims, bare)
+    f = dataset.load_field(spark, data_path, ["none", "w"], grid_file=both, location="node")
+    assert f.name == "w" and f.at(points.limit(1)).first().w == pytest.approx(2.0 / (0.475 * 12.5))
+
+
+def test_single_level(spark):
+    """A field of one level has that level's value at any depth (I-06)."""
+    from meshfield.operators import depth
+
+    grid = RectGrid((0.0, 1.0, 2.0), (0.0, 1.0))
+    data = grid.targets(spark).select("elem", F.lit(0).alias("k"), F.col("lon").alias("value"))
+    points = spark.createDataFrame([(0, 0.5, 0.5, 0.0), (1, 1.5, 0.5, 99.0)], "pid long, lon double, lat double, z double")
+    got = Field("f", grid, data, depth=depth.Levels((0.0,))).at(points).collect()
+    assert sorted((r.pid, r.f) for r in got) == [(0, 0.5), (1, 1.5)]
 
 
 def test_mesh_parts(spark, tmp_path):
