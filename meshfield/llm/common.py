@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -115,21 +116,6 @@ def arrow_map(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None
     return df.mapInArrow(run, schema)
 
 
-class WordHashes(dict):
-    """word (bytes) -> 8 bytes of its hash; forgets all when it has grown too large."""
-
-    LIMIT = 80_000
-
-    def __missing__(self, word: bytes) -> bytes:
-        v = self[word] = xxhash.xxh64_digest(word)
-        return v
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > self.LIMIT:
-            self.clear()
-        return np.frombuffer(b"".join(map(self.__getitem__, words)), dtype="<u8")
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     """Finalizer of 64-bit hashes."""
     x = x ^ (x >> np.uint64(32))
@@ -139,6 +125,57 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+#: Bytes hashed at once (more than LONG_WORD), bytes of a word from which it is hashed on its own, and an odd base with its inverse modulo 2**64.
+HASHED, LONG_WORD, BASE = 1 << 20, 256, 0x9E3779B97F4A7C15
+_POWERS: list[np.ndarray] = []
+_SPACE = re.compile(rb"[\x20\x09-\x0D]").search
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        _POWERS[:] = [np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n - 1, x, np.uint64)))) for x in (BASE, pow(BASE, -1, 1 << 64))]
+    return _POWERS
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the words of all texts in order, words of each text): A-Z count as a-z, and \\x20 and \\x09-\\x0D separate words.
+
+    A word's hash is a polynomial of its bytes modulo 2**64 (from sums over prefixes of the whole buffer), mixed with its length; longer words
+    than LONG_WORD, for which such polynomials can be made to agree, have xxHash.
+    """
+    data = b"\n".join(texts).lower() + b"\n"
+    ends = np.cumsum(np.array([len(t) + 1 for t in texts], np.int64))
+    hashes, starts, at = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], 0
+    while at < len(data):
+        stop = min(at + HASHED, len(data))
+        if stop < len(data):  # a word is never cut
+            cut = max(data.rfind(c, at, stop) for c in (b" ", b"\n", b"\t", b"\r", b"\v", b"\f"))
+            if cut < at:  # one word beyond all that is hashed at once
+                cut = _SPACE(data, stop).start()
+                hashes.append(np.array([xxhash.xxh64_intdigest(data[at:cut])], np.uint64))
+                starts.append(np.array([at]))
+                at = cut + 1
+                continue
+            stop = cut + 1
+        buf = np.frombuffer(data, np.uint8, stop - at, at)
+        space = (buf == 32) | ((buf >= 9) & (buf <= 13))
+        edge = np.flatnonzero(np.diff(np.concatenate(([True], space, [True])).view(np.int8)))
+        first, last = edge[::2], edge[1::2]
+        power, inverse = _powers(max(HASHED, len(buf)) + 1)
+        upto = np.zeros(len(buf) + 1, np.uint64)
+        np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * power[: len(buf)], out=upto[1:])
+        size = last - first
+        h = mixed((upto[last] - upto[first]) * inverse[first] + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        for k in np.flatnonzero(size > LONG_WORD):
+            h[k] = xxhash.xxh64_intdigest(buf[first[k] : last[k]].tobytes())
+        hashes.append(h)
+        starts.append(first + at)
+        at = stop
+    counts = np.diff(np.concatenate(([0], np.searchsorted(np.concatenate(starts), ends))))
+    return np.concatenate(hashes), counts
+
+
 def shingle_hashes(h: np.ndarray, k: int) -> np.ndarray:
     """Hashes of all windows of k word hashes, in order."""
     n = len(h) - k + 1

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, arrow_map, binary, broadcast_if_small, components, connected_components, distinct_sorted, keyed_join, materialize, mixed, shingle_hashes, slices, small_batches, tidy
+from .common import arrow_map, binary, broadcast_if_small, components, connected_components, distinct_sorted, keyed_join, materialize, mixed, shingle_hashes, slices, small_batches, tidy, word_hashes
 
 FRAGMENTS = 4
 #: N-grams counted in one bucket; texts, and n-grams of them, of one block (a longer text is a block); texts of one chunk of a list.
@@ -37,7 +37,6 @@ SEEN, COUNTED = 8, 1_000_000
 #: Bytes of the table of ways that is broadcast at most.
 ROUTE_BYTES = 16_000_000
 LIGHT = "doc_id long, n_shingles long, cls long, n0 long"
-_HASHES = WordHashes()
 _TOP = np.uint64(2**64 // FRAGMENTS)
 #: Stands for the document frequency of what is not counted.
 _MANY = 1 << 40
@@ -45,13 +44,14 @@ _MANY = 1 << 40
 
 def shingle_sets(texts: list[bytes | None], k: int) -> list[np.ndarray]:
     """Sorted distinct k-word shingle hashes of each text. Fewer words than k: the whole sequence is one; no word: none."""
-    words = [(t or b"").lower().split() for t in texts]  # bytes: only A-Z change, and only \\x20 \\x09-\\x0D separate
-    h = _HASHES.of([w for x in words for w in x])
-    out, at = [], 0
-    for x in words:
-        own = h[at : at + len(x)]
-        at += len(x)
-        out.append(distinct_sorted(shingle_hashes(own, min(k, len(x)))) if x else own)
+    h, counts = word_hashes([t or b"" for t in texts])
+    every, out, at = shingle_hashes(h, k), [], 0
+    for n in counts.tolist():
+        if n >= k:
+            out.append(distinct_sorted(every[at : at + n - k + 1]))
+        else:
+            out.append(shingle_hashes(h[at : at + n], n) if n else h[:0])
+        at += n
     return out
 
 

@@ -134,3 +134,27 @@ def test_null_ids_link(spark):
     assert got == [(-1, 1, 3), (-1, 1, 3), (1, 1, 2), (2, 1, 2)]
     alone = spark.createDataFrame([(None, changed()), (None, changed(20))], "doc_id long, text string")
     assert [(r.component_id, r.n_links) for r in nj.ngram_jaccard_join(alone).collect()] == [(None, 1), (None, 1)]
+
+
+@pytest.mark.parametrize("at_once", [1 << 20, 700, 257])
+def test_word_hashes(monkeypatch, at_once):
+    """Equal words, and only they, have equal hashes, wherever a buffer is cut; counts are those of split(); only A-Z change their case."""
+    monkeypatch.setattr(common, "HASHED", at_once)
+    r = random.Random(4)
+    words = ["a", "b", "ab", "ba", "aa", "aaa", "A", "É", "é", "\x1c", "\x00", "\x00\x00", "\u00a0", "x" * 300, "x" * 301, "y" * 256, "y" * 257, "z" * 5000] + [f"w{i}" for i in range(50)]
+    texts = ["", " ", "\n\t\v\f\r "] + ["".join(r.choice(words) + r.choice([" ", "\n", "  ", "\t\r", "\v"]) for _ in range(r.randrange(30))) for _ in range(40)] + ["end"]
+    raw = [t.encode() for t in texts]
+    h, counts = common.word_hashes(raw)
+    plain = [w for t in raw for w in t.lower().split()]
+    assert counts.tolist() == [len(t.split()) for t in raw] and len(h) == len(plain)
+    by = {}
+    for w, x in zip(plain, h.tolist(), strict=True):
+        assert by.setdefault(w, x) == x
+    assert len(set(by.values())) == len(by)
+    monkeypatch.setattr(common, "HASHED", 1 << 20)
+    again = dict(zip(plain, common.word_hashes(raw)[0].tolist(), strict=True))
+    assert again == by
+    one, n = common.word_hashes([])
+    assert len(one) == 0 and len(n) == 0
+    many = [bytes(r.randrange(97, 123) for _ in range(r.randrange(1, 12))) for _ in range(200_000)]
+    assert len(set(common.word_hashes([b" ".join(many)])[0].tolist())) == len(set(many))
