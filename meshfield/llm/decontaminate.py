@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections import defaultdict
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -79,12 +80,12 @@ def tables(items: list[tuple[int, bytes | None]], window: int = WINDOW) -> list[
     return [WuManber(p) for _, p in sorted(by.items())]
 
 
-def search(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+def search(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, then: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None, schema=None) -> DataFrame:
     """docs plus (or with other) hits (one byte per word: 1 inside an occurrence), items (sorted ids of items that occur) and n_words.
 
     Null or wordless texts: no words, no items. Items that are null, wordless or have a null id match nothing; repeated items count once,
     and with an empty benchmark nothing is hit. Repeated rows of docs are searched each, texts of any length whole; columns of docs with
-    these three names are replaced, all others kept.
+    these three names are replaced, all others kept. then: what becomes of each batch of the result (of that schema), in the same worker.
     """
     spark = docs.sparkSession
     bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), binary().alias("body")).where("item_id is not null")
@@ -95,16 +96,17 @@ def search(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataF
     for part in range(passes):
         own = sorted((r.item_id, bytes(r.body)) for r in bench.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == part).collect())
         shared = spark.sparkContext.broadcast(own)
-        docs_ = _one_pass(docs_, shared, window, keep)
         if part < passes - 1:
-            docs_ = materialize(docs_, "decontamination")
+            docs_ = materialize(_one_pass(docs_, shared, window, keep), "decontamination")
+        else:
+            docs_ = _one_pass(docs_, shared, window, keep, then, schema)
     return docs_
 
 
 _TABLES: dict = {}
 
 
-def _one_pass(docs: DataFrame, shared, window: int, keep: list[str]) -> DataFrame:
+def _one_pass(docs: DataFrame, shared, window: int, keep: list[str], then=None, schema=None) -> DataFrame:
     body = docs.columns.index("text")
     at = {c: docs.columns.index(c) for c in ("hits", "items")}
     key = uuid.uuid4().hex
@@ -126,9 +128,10 @@ def _one_pass(docs: DataFrame, shared, window: int, keep: list[str]) -> DataFram
             items.append(sorted(own))
             counts.append(len(w))
         cols = [b.column(i) for i in range(len(keep))] + [pa.array(hits, pa.binary()), pa.array(items, pa.list_(pa.int64())), pa.array(counts, pa.int64())]
-        return pa.RecordBatch.from_arrays(cols, names=[*keep, "hits", "items", "n_words"])
+        out = pa.RecordBatch.from_arrays(cols, names=[*keep, "hits", "items", "n_words"])
+        return out if then is None else then(out)
 
-    return arrow_map(docs, f, docs.schema)
+    return arrow_map(docs, f, docs.schema if then is None else schema)
 
 
 def remove_hits(text: str, hits: bytes) -> str:
@@ -151,22 +154,21 @@ def remove_hits(text: str, hits: bytes) -> str:
     return b"".join([*out, raw[last:]]).decode()
 
 
-def digest(found: DataFrame, limit: int = 2) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+DIGEST = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
-    def f(b: pa.RecordBatch) -> pa.RecordBatch:
-        items = b.column(2).to_pylist()
-        sha = [hashlib.sha256(",".join(sorted(map(str, x))).encode()).hexdigest() for x in items]
-        n_hit = [x.count(1) for x in b.column(1).to_pylist()]
-        n = [len(x) for x in items]
-        return pa.RecordBatch.from_arrays([b.column(0), b.column(3), pa.array(n_hit, pa.int64()), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array([x >= limit for x in n], pa.bool_())], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
-    return arrow_map(found.select(F.col("doc_id").cast("long"), "hits", "items", "n_words"), f, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+def digest(found: pa.RecordBatch, limit: int = 2) -> pa.RecordBatch:
+    """DIGEST of a batch of search()."""
+    items, hits = found.column("items").to_pylist(), found.column("hits").to_pylist()
+    sha = [hashlib.sha256(",".join(sorted(map(str, x))).encode()).hexdigest() for x in items]
+    n = [len(x) for x in items]
+    cols = [found.column("doc_id").cast(pa.int64()), found.column("n_words"), pa.array([x.count(1) for x in hits], pa.int64()), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array([x >= limit for x in n], pa.bool_())]
+    return pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in DIGEST.split(", ")])
 
 
 def op2_decontamination(spark, sf_dir):
     docs, bench = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
-    return digest(search(docs.select("doc_id", "text"), bench))
+    return search(docs.select("doc_id", "text"), bench, then=digest, schema=DIGEST)
 
 
 OP2_SQL = r"""

@@ -82,7 +82,7 @@ def test_decontamination(spark, monkeypatch, words):
     rows = [(i, "-".join(r.choice(v) for _ in range(r.randrange(40)))) for i in range(80)] + [(90, None), (91, ""), (92, "zz... YY"), (92, "zz... YY")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = decontaminate.search(docs(spark, rows), bench)
-    digest = {x.doc_id: x for x in decontaminate.digest(got).collect()}
+    digest = {x.doc_id: x for x in decontaminate.search(docs(spark, rows), bench, then=decontaminate.digest, schema=decontaminate.DIGEST).collect()}
     by = dict(rows)
     for x in got.collect():
         n, hit, found = plain_hits(by[x.doc_id], [i for i in items if i[0] is not None])
