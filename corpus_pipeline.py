@@ -52,13 +52,15 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     Null texts stay null; repeated rows are treated alike; items without words or id match nothing; with an empty benchmark nothing changes.
     """
-    found = decontaminate.search(_columns(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where(F.size("items") < 2)
 
     def f(b: pa.RecordBatch) -> pa.RecordBatch:
-        texts = [t if t is None or 1 not in h else decontaminate.remove_hits(t, h) for t, h in zip(b.column(1).to_pylist(), b.column(5).to_pylist(), strict=True)]
-        return _with_text(b, texts)
+        keep = pa.array([len(x) < 2 for x in b.column("items").to_pylist()], pa.bool_())
+        b = b.filter(keep)
+        hits = b.column("hits").to_pylist()
+        return _with_text(b, [decontaminate.remove_hits(t, h) if t is not None and 1 in h else t for t, h in zip(b.column("text").to_pylist(), hits, strict=True)])
 
-    return arrow_map(found.select(*DOCUMENTS, "hits"), f, docs.select(*DOCUMENTS).schema)
+    docs = _columns(docs)
+    return decontaminate.search(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), then=f, schema=docs.schema)
 
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
