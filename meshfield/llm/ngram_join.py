@@ -311,7 +311,10 @@ def _ways(posting: DataFrame, num: int, den: int) -> DataFrame:
 def _links(docs: DataFrame, classes: DataFrame, posting: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """Spanning links (u, v) between classes, and for each linked class the number of documents in the others (cls, others)."""
     ways = materialize(_ways(posting, num, den), "ngram-ways")
-    route = ways.groupBy("cls").agg(F.collect_list(F.struct("label", "side")).alias("to"))
+    # Labels of many texts are groups of their own; the others share cells.
+    wide = materialize(ways.groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK // 8).select(F.col("label").alias("w")), "ngram-wide")
+    ways = ways.join(broadcast_if_small(wide), F.col("label") == F.col("w"), "left")
+    route = ways.groupBy("cls").agg(F.collect_list(F.struct("label", "side", F.col("w").isNotNull().alias("alone"))).alias("to"))
     route = route.withColumnRenamed("cls", "node").join(classes.select(F.col("cls").alias("node"), "n_shingles", "rep", "copies"), "node")
     route = materialize(route, "ngram-route")
     texts, places, grams = (x or 0 for x in route.agg(F.count("*"), F.sum(F.size("to")), F.sum(F.col("n_shingles") * F.size("to"))).first())
@@ -337,7 +340,7 @@ def _links(docs: DataFrame, classes: DataFrame, posting: DataFrame, k: int, num:
             for f, seg in enumerate(np.split(s, np.searchsorted(s, edges))):
                 raw = seg.tobytes()
                 for x in to:
-                    for key, v in (("g", x["label"] % cells), ("fragment", f), ("cls", node), ("label", x["label"]), ("side", x["side"]), ("n", len(s)), ("copies", c), ("segment", raw)):
+                    for key, v in (("g", x["label"] if x["alone"] else x["label"] % cells), ("fragment", f), ("cls", node), ("label", x["label"]), ("side", x["side"]), ("n", len(s)), ("copies", c), ("segment", raw)):
                         out[key].append(v)
         kinds = {"fragment": pa.int32(), "side": pa.int32(), "segment": pa.binary()}
         return pa.RecordBatch.from_arrays([pa.array(v, kinds.get(key, pa.int64())) for key, v in out.items()], names=list(out)) if out["g"] else None
