@@ -267,12 +267,12 @@ class Sigma:
         fields = {"_sh": self.h} | ({"_sz": self.zeta} if self.zeta is not None else {})
         for name, f in fields.items():
             args = ({name: f}, out, lon, lat, z, t, extrapolate, strict)
-            out = _evaluated(*args) if f.grid is located else _apart(*args)
+            out = _evaluated(*args) if _same(f.grid) == _same(located) else _apart(*args)
         h, zeta = F.col("_sh"), F.col("_sz") if self.zeta is not None else F.lit(0.0)
         if self.levels is None:
             below_mean = depths.roms(self.s, self.cs, self.hc, h, zeta, self.vtransform)
         else:
-            if self.h.grid is not located:
+            if _same(self.h.grid) != _same(located):
                 raise ValueError("levels at nodes need data on the grid of h")
             below_mean = depths.sigma(F.col("_slev"), h, zeta)
             out = _columns_at(out, self.levels, located.stencil("node"), len(self), "_slev")
@@ -304,11 +304,11 @@ def at_points(fields: Mapping[str, Field], points: DataFrame, lon: str = "lon",
     """
     out = points
     if located:
-        if len({id(f.grid) for f in fields.values()}) > 1:
+        if len({_same(f.grid) for f in fields.values()}) > 1:
             raise ValueError("located points lie on one grid")
         out = _evaluated(fields, out, lon, lat, z, t, extrapolate, strict)
-    for grid in {} if located else {id(f.grid): f.grid for f in fields.values()}.values():
-        own = {n: f for n, f in fields.items() if f.grid is grid}
+    for key, grid in ({} if located else {_same(f.grid): f.grid for f in fields.values()}).items():
+        own = {n: f for n, f in fields.items() if _same(f.grid) == key}
         taken = set(out.columns)
         out = _evaluated(own, grid.located(out, lon, lat), lon, lat, z, t, extrapolate, strict)
         out = out.drop(*[c for c in out.columns if c.startswith("_g") and c not in taken])
@@ -317,6 +317,11 @@ def at_points(fields: Mapping[str, Field], points: DataFrame, lon: str = "lon",
     return out
 
 
+def _same(grid: Grid) -> object:
+    """Equal for equal axes, and for one and the same mesh."""
+    return grid if isinstance(grid, RectGrid) else id(grid)
+
+
 def _apart(fields: Mapping[str, Field], out: DataFrame, lon: str, lat: str, z: str, t: str, extrapolate: bool, strict: bool) -> DataFrame:
     """Fields on another grid than the one that out is located on, whose columns stand aside meanwhile."""
     mine = [c for c in out.columns if c.startswith("_g")]
@@ -392,7 +397,8 @@ def _group_values(out: DataFrame, own: dict[str, Field], at_t: str | None, at_z:
     if not small:
         data = _touched(data, out, pre, size)
         small = join.is_small(data)
-    out = (_planes_by_lookup if small else _planes_by_shuffle)(out, data, vals, local, times, levels, n_k, pre)
+    args = (out, data, vals, local, times, levels)
+    out = _planes_by_lookup(*args, n_t, n_k, pre) if small else _planes_by_shuffle(*args, pre)
     off = F.lit(one.grid.off_grid).cast("double")
     rows, values = {}, {}
     for i, n in enumerate(names):
@@ -419,26 +425,37 @@ def _touched(data: DataFrame, out: DataFrame, pre: str, size: int) -> DataFrame:
     return data
 
 
-def _planes_by_lookup(out: DataFrame, data: DataFrame, vals: list[str], stencil: Stencil, times, levels, n_k: int, pre: str) -> DataFrame:
-    """out plus {pre}_p{field}{time}{level}: the weighted sums. The field is broadcast, each element's values as one array over slots."""
-    slot = (F.col("t_idx") if "t_idx" in data.columns else F.lit(0)) * n_k + (F.col("k") if "k" in data.columns else F.lit(0))
-    table = data.groupBy("elem").agg(F.sort_array(F.collect_list(F.struct(slot.cast("int").alias("s"), *vals))).alias("_m"))
-    for c, e in enumerate(stencil.elems):
-        out = out.join(F.broadcast(table.select(F.col("elem").alias(f"{pre}_te{c}"), F.col("_m").alias(f"{pre}_m{c}"))), e == F.col(f"{pre}_te{c}"), "left")
+#: Entries of an element that one row of a lookup holds at most; with more, each step is a row of its own, so that rows stay short.
+ROW_ENTRIES = 64
 
-    def entry(c: int, at: Column) -> Column:
-        """The entry of a slot: at its own index where no step or level is missing before it, else searched for."""
-        m = F.col(f"{pre}_m{c}")
-        return F.when(F.get(m, at)["s"] == at, F.get(m, at)).otherwise(F.get(F.filter(m, lambda e: e["s"] == at), F.lit(0)))
 
-    # Columns in steps, so that no lookup is repeated.
-    out = out.withColumns({f"{pre}_s{tt}{kk}": (F.col(f"{pre}_{tt}") * n_k + F.col(f"{pre}_{kk}")).cast("int") for tt in times for kk in levels})
-    out = out.withColumns({f"{pre}_x{c}{tt}{kk}": entry(c, F.col(f"{pre}_s{tt}{kk}")) for c in range(len(stencil.elems)) for tt in times for kk in levels})
+def _planes_by_lookup(out: DataFrame, data: DataFrame, vals: list[str], stencil: Stencil, times, levels, n_t: int, n_k: int, pre: str) -> DataFrame:
+    """out plus {pre}_p{field}{time}{level}: the weighted sums. The field is broadcast: a row per element, or per element and step, with an array of its entries."""
+    stepped = "t_idx" in data.columns and n_t * n_k > ROW_ENTRIES
+    t_of = F.col("t_idx") if "t_idx" in data.columns and not stepped else F.lit(0)
+    slot = t_of * n_k + (F.col("k") if "k" in data.columns else F.lit(0))
+    entry = F.struct(slot.cast("int").alias("s"), *vals)
+    table = data.groupBy("elem", *(["t_idx"] if stepped else [])).agg(F.sort_array(F.collect_list(entry)).alias("m"))
+    at = {(tt, kk): (F.lit(0) if stepped else F.col(f"{pre}_{tt}")) * n_k + F.col(f"{pre}_{kk}") for tt in times for kk in levels}
+    out = out.withColumns({f"{pre}_s{tt}{kk}": x.cast("int") for (tt, kk), x in at.items()})
+    entries: dict[str, Column] = {}
+    for c, e in enumerate(stencil.elems):
+        for n, group in enumerate([(tt,) for tt in times] if stepped else [times]):
+            te, ts, tm = (f"{pre}_{x}{c}_{n}" for x in ("te", "tt", "tm"))
+            own = table.select(F.col("elem").alias(te), *([F.col("t_idx").alias(ts)] if stepped else []), F.col("m").alias(tm))
+            on = (e == F.col(te)) & (F.col(f"{pre}_{group[0]}") == F.col(ts)) if stepped else e == F.col(te)
+            out = out.join(F.broadcast(own), on, "left")
+            for tt in group:
+                for kk in levels:
+                    # At its own index where nothing is missing before it, else searched for.
+                    m, k = F.col(tm), F.col(f"{pre}_s{tt}{kk}")
+                    entries[f"{pre}_x{c}{tt}{kk}"] = F.when(F.get(m, k)["s"] == k, F.get(m, k)).otherwise(_slot_of(tm, k))
+    out = out.withColumns(entries)
     planes = {f"{pre}_p{v[1:]}{tt}{kk}": stencil.total([F.col(f"{pre}_x{c}{tt}{kk}")[v] for c in range(len(stencil.elems))]) for v in vals for tt in times for kk in levels}
     return out.withColumns(planes)
 
 
-def _planes_by_shuffle(out: DataFrame, data: DataFrame, vals: list[str], stencil: Stencil, times, levels, n_k: int, pre: str) -> DataFrame:
+def _planes_by_shuffle(out: DataFrame, data: DataFrame, vals: list[str], stencil: Stencil, times, levels, pre: str) -> DataFrame:
     """The same for a field too large to broadcast: one row per point, element and time, one join on (element, time), one aggregate back."""
     t_of = F.col("t_idx") if "t_idx" in data.columns else F.lit(0)
     k_of = F.col("k") if "k" in data.columns else F.lit(0)
