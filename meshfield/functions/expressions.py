@@ -46,6 +46,13 @@ def triangle_area(ax: Num, ay: Num, bx: Num, by: Num, cx: Num, cy: Num) -> Colum
     return ((bx - ax) * (cy - ay) - (cx - ax) * (by - ay)) / 2.0
 
 
+def in_triangle(x: Column, y: Column, p: Sequence[tuple[Column, Column]]) -> Column:
+    """Test by signed areas, in any orientation: edges and corners are inside; nothing is in a degenerate triangle."""
+    (ax, ay), (bx, by), (cx, cy) = p
+    u, v, w = triangle_area(x, y, bx, by, cx, cy), triangle_area(ax, ay, x, y, cx, cy), triangle_area(ax, ay, bx, by, cx, cy)
+    return ((w > 0) & (u >= 0) & (v >= 0) & (w - u - v >= 0)) | ((w < 0) & (u <= 0) & (v <= 0) & (w - u - v <= 0))
+
+
 def barycentric(x: Column, y: Column, p: Sequence[tuple[Column, Column]]) -> list[Column]:
     """Three weights that sum to 1 (I-13); null for degenerate triangles."""
     (ax, ay), (bx, by), (cx, cy) = p

@@ -183,6 +183,21 @@ def ji(spark, nj, ni):
     return spark.createDataFrame([(j, i) for j in range(nj) for i in range(ni)], "j int, i int")
 
 
+def test_closed_triangles(spark):
+    """Edges and corners belong to every triangle that has them, in any orientation, and to none that has no area; without closed a point has one cell."""
+    nodes = spark.createDataFrame([(0, 0.0, 0.0), (1, 2.0, 0.0), (2, 2.0, 2.0), (3, 0.0, 2.0)], "node int, lon double, lat double")
+    faces = spark.createDataFrame([(0, [0, 1, 2]), (1, [0, 3, 2]), (2, [0, 2, 2])], "face int, nodes array<int>")
+    points, cells = pts(spark, [(1, 1), (2, 2), (2, 1), (0, 1), (1.5, 0.5), (3, 1), (5, 5)]), ugrid.cells(faces, nodes)
+    rows = lambda df: sorted((r.pid, -1 if r.cell is None else r.cell) for r in df.collect())
+    want = [(0, 0), (0, 1), (1, 0), (1, 1), (2, 0), (3, 1), (4, 0), (5, -1), (6, -1)]
+    assert rows(join.locate(points, cells, closed=True)) == want
+    assert len(rows(join.locate(points, cells))) == 7
+    near = ugrid.centroids(faces, nodes).select(F.col("face").cast("long").alias("node"), "lon", "lat").where("node < 2")
+    assert rows(join.locate_or_nearest(points, cells, near, closed=True)) == [*want[:7], (5, 0), (6, 0)]
+    with pytest.raises(ValueError):
+        join.locate(points, spark.sql("select 0L cell, array(named_struct('lon', 0d, 'lat', 0d), named_struct('lon', 1d, 'lat', 0d), named_struct('lon', 1d, 'lat', 1d), named_struct('lon', 0d, 'lat', 1d)) poly"), closed=True)
+
+
 def test_half_open_cells(spark):
     nodes = ji(spark, 3, 3).select("j", "i", (1 + 2.0 * F.col("i")).alias("lon"), (1 + 2.0 * F.col("j")).alias("lat"))
     cell = sgrid.cells(nodes)

@@ -63,3 +63,11 @@ def test_trajectory_reaches_all_events(spark, tmp_path):
     rows = [(11 * k + n, t, n % 3, v) for n, t in enumerate(day) for k, v in enumerate(values)] + [(999, None, 1, 5.0)]
     got = same_as_sql(spark, "trajectory_at", tmp_path, "events", rows, "event_id long, ts timestamp_ntz, user_id long, value double")
     assert len(got) == len(rows) and all(v != 0 for *_, v, _ in got)
+
+
+def test_points_on_shared_edges(spark, tmp_path):
+    """On slanted sides and diagonals each face that holds a point by its areas has a row, as in the SQL; beside the mesh the nearest centroid counts."""
+    on = [(n, a + 400.0 * i) for n in range(10) for a in (50 * n + 5, 250 * n + 25) for i in range(-5, 25)]
+    rows = [(k, n, a) for k, (n, a) in enumerate([*on, (24, 800.0), (12, -999.99), (0, -300.0)])]
+    got = same_as_sql(spark, "locate_or_nearest", tmp_path, "customer", rows, "c_custkey long, c_nationkey int, c_acctbal double")
+    assert len(got) > len(rows) == len({r[0] for r in got})
